@@ -223,3 +223,125 @@ SELECT transcript_id, ok, CASE WHEN ok THEN safe END AS is_safe, CASE WHEN ok TH
        CASE WHEN NOT ok THEN 'VerificationError' END AS error_class,
        ok AND (safe = (reason IS NOT NULL)) AS inconsistent
 FROM q"""
+
+# --- J: job table ----------------------------------------------------------
+
+NOW = "TIMESTAMP '2024-02-01 00:00:00'"
+REQUESTED = "requested AS (SELECT DISTINCT job_id AS requested_id FROM (SELECT job_id FROM jobs UNION ALL SELECT job_id FROM job_events) u)"
+
+ORACLE["j01_create_pending"] = with_(URL_SUBMISSIONS) + f"""
+SELECT sha256(CAST(page_id AS VARCHAR) || '|' || url) AS job_id, url, 'PENDING' AS status,
+       coalesce(priority, 'MEDIUM') AS priority, {NOW} AS created_at
+FROM url_submissions"""
+
+ORACLE["j02_validate_state"] = with_(JOBS_DIRTY, """d AS (
+  SELECT job_id, status, coalesce(error_message <> '', false) AS has_msg,
+         coalesce(has_transcript, false) AS has_t FROM jobs_dirty)""") + """
+SELECT job_id, 1 AS rule, 'Completed jobs must have a transcript' AS message FROM d WHERE status = 'COMPLETED' AND NOT has_t
+UNION ALL SELECT job_id, 2, 'Failed jobs must have an error message' FROM d WHERE status = 'FAILED' AND NOT has_msg
+UNION ALL SELECT job_id, 3, 'Transcript can only be present for completed jobs' FROM d WHERE has_t AND status <> 'COMPLETED'
+UNION ALL SELECT job_id, 4, 'Error message can only be present for failed jobs' FROM d WHERE has_msg AND status <> 'FAILED'"""
+
+ORACLE["j03_mark_processing"] = with_(JOBS) + f"""
+SELECT job_id, CASE WHEN status = 'PENDING' THEN 'PROCESSING' ELSE status END AS status,
+       CASE WHEN status = 'PENDING' THEN {NOW} ELSE started_at END AS started_at,
+       completed_at, error_message,
+       CASE WHEN status <> 'PENDING' THEN 'InvalidJobStateError' END AS rejected_class,
+       CASE WHEN status <> 'PENDING' THEN 'Cannot mark job as processing from state JobStatus.' || status END AS rejected_message
+FROM jobs"""
+
+ORACLE["j03_mark_completed"] = with_(JOBS, DOC_TRANSCRIPTS, """r AS (
+  SELECT j.*, d.job_id IS NOT NULL AS has_t FROM jobs j LEFT JOIN doc_transcripts d USING (job_id))""") + f"""
+SELECT job_id, CASE WHEN status = 'PROCESSING' AND has_t THEN 'COMPLETED' ELSE status END AS status,
+       started_at,
+       CASE WHEN status = 'PROCESSING' AND has_t THEN {NOW} ELSE completed_at END AS completed_at,
+       error_message,
+       (status = 'PROCESSING' AND has_t) AS has_transcript,
+       CASE WHEN status <> 'PROCESSING' THEN 'InvalidJobStateError' WHEN NOT has_t THEN 'ValueError' END AS rejected_class,
+       CASE WHEN status <> 'PROCESSING' THEN 'Cannot mark job as completed from state JobStatus.' || status
+            WHEN NOT has_t THEN 'Must provide transcript when completing job' END AS rejected_message
+FROM r"""
+
+ORACLE["j03_mark_failed"] = with_(JOBS, """r AS (
+  SELECT j.*, CASE WHEN priority = 'LOW' THEN '' ELSE 'Worker stopped' END AS msg FROM jobs j)""") + f"""
+SELECT job_id, CASE WHEN status IN ('PENDING', 'PROCESSING') AND msg <> '' THEN 'FAILED' ELSE status END AS status,
+       started_at,
+       CASE WHEN status IN ('PENDING', 'PROCESSING') AND msg <> '' THEN {NOW} ELSE completed_at END AS completed_at,
+       CASE WHEN status IN ('PENDING', 'PROCESSING') AND msg <> '' THEN msg ELSE error_message END AS error_message,
+       CASE WHEN status NOT IN ('PENDING', 'PROCESSING') THEN 'InvalidJobStateError'
+            WHEN msg = '' THEN 'ValueError' END AS rejected_class,
+       CASE WHEN status NOT IN ('PENDING', 'PROCESSING') THEN 'Cannot mark job as failed from state JobStatus.' || status
+            WHEN msg = '' THEN 'Must provide error message when failing job' END AS rejected_message
+FROM r"""
+
+ORACLE["j04_fold_transitions"] = with_(JOB_EVENTS, """f AS (
+  SELECT job_id, count(*) AS n_events,
+         min(seq) FILTER (WHERE kind IN ('start', 'fail')) AS s1_seq,
+         arg_min(kind, seq) FILTER (WHERE kind IN ('start', 'fail')) AS s1_kind,
+         arg_min(ts, seq) FILTER (WHERE kind IN ('start', 'fail')) AS s1_ts
+  FROM job_events GROUP BY job_id)""", """s AS (
+  SELECT e.job_id, min(e.seq) AS s2_seq, arg_min(e.kind, e.seq) AS s2_kind, arg_min(e.ts, e.seq) AS s2_ts
+  FROM job_events e JOIN f ON e.job_id = f.job_id AND f.s1_kind = 'start' AND e.seq > f.s1_seq
+  WHERE e.kind IN ('complete', 'fail') GROUP BY e.job_id)""") + """
+SELECT f.job_id,
+       CASE WHEN s1_seq IS NULL THEN 'PENDING' WHEN s1_kind = 'fail' THEN 'FAILED'
+            WHEN s2_seq IS NULL THEN 'PROCESSING' WHEN s2_kind = 'complete' THEN 'COMPLETED' ELSE 'FAILED' END AS status,
+       CASE WHEN s1_kind = 'start' THEN s1_ts END AS started_at,
+       CASE WHEN s1_kind = 'fail' THEN s1_ts ELSE s2_ts END AS completed_at,
+       n_events,
+       n_events - (CASE WHEN s1_seq IS NULL THEN 0 ELSE 1 END) - (CASE WHEN s2_seq IS NULL THEN 0 ELSE 1 END) AS n_illegal
+FROM f LEFT JOIN s USING (job_id)"""
+
+for _name, _rank in (("j05_dispatch_order", "CASE priority WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END"),
+                     ("j05_dispatch_order_enum", "CASE priority WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END")):
+    ORACLE[_name] = with_(JOBS) + f"""
+SELECT job_id, priority, created_at,
+       row_number() OVER (ORDER BY {_rank}, created_at, job_id) AS dispatch_pos
+FROM jobs WHERE status = 'PENDING'"""
+
+ORACLE["j06_claim_next"] = with_(JOBS) + f"""
+SELECT job_id, priority, created_at, 'PROCESSING' AS status, {NOW} AS started_at,
+       row_number() OVER (ORDER BY r, created_at, job_id) AS claim_pos
+FROM (SELECT *, CASE priority WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END AS r
+      FROM jobs WHERE status = 'PENDING' ORDER BY r, created_at, job_id LIMIT 25) t"""
+
+ORACLE["j07_get_jobs"] = with_(JOBS, JOB_EVENTS, REQUESTED) + """
+SELECT q.requested_id, j.job_id IS NOT NULL AS found, j.status,
+       CASE WHEN j.job_id IS NULL THEN 'JobNotFoundError' END AS error_class,
+       CASE WHEN j.job_id IS NULL THEN 'Job ' || q.requested_id || ' not found' END AS message
+FROM requested q LEFT JOIN jobs j ON q.requested_id = j.job_id"""
+
+ORACLE["j08_list_jobs"] = with_(JOBS) + "SELECT * FROM jobs WHERE status = 'FAILED'"
+
+SWEEP_FLAGS = f"""flags AS (
+  SELECT *, coalesce(status IN ('COMPLETED', 'FAILED') AND completed_at IS NOT NULL
+                     AND completed_at < {NOW} - INTERVAL '1' HOUR, false) AS stale,
+            coalesce(status = 'PROCESSING' AND started_at IS NOT NULL
+                     AND started_at < {NOW} - INTERVAL '30' MINUTE, false) AS timed_out
+  FROM jobs)"""
+
+ORACLE["j09_sweep"] = with_(JOBS, SWEEP_FLAGS) + f"""
+SELECT job_id, CASE WHEN timed_out THEN 'FAILED' ELSE status END AS status, started_at,
+       CASE WHEN timed_out THEN {NOW} ELSE completed_at END AS completed_at,
+       CASE WHEN timed_out THEN 'Job timed out during forced cleanup' ELSE error_message END AS error_message
+FROM flags WHERE NOT stale"""
+
+ORACLE["j10_sweep_stats"] = with_(JOBS, SWEEP_FLAGS) + """
+SELECT count(*) AS initial_job_count, count(*) FILTER (WHERE NOT stale) AS final_job_count,
+       count(*) FILTER (WHERE stale AND status = 'COMPLETED') AS stale_completed_removed,
+       count(*) FILTER (WHERE stale AND status = 'FAILED') AS stale_failed_removed,
+       count(*) FILTER (WHERE timed_out) AS processing_timed_out
+FROM flags"""
+
+ORACLE["j11_fail_system_error"] = with_(JOBS, JOB_EVENTS, REQUESTED) + f"""
+SELECT q.requested_id,
+       CASE WHEN j.status IN ('PENDING', 'PROCESSING') THEN 'FAILED' ELSE j.status END AS status,
+       CASE WHEN j.status IN ('PENDING', 'PROCESSING') THEN 'System error: worker lost' END AS error_message,
+       CASE WHEN j.status IN ('PENDING', 'PROCESSING') THEN {NOW} END AS completed_at,
+       CASE WHEN j.job_id IS NULL THEN 'JobNotFoundError'
+            WHEN j.status NOT IN ('PENDING', 'PROCESSING') THEN 'InvalidJobStateError' END AS error_class,
+       CASE WHEN j.job_id IS NULL THEN 'Job ' || q.requested_id || ' not found'
+            WHEN j.status NOT IN ('PENDING', 'PROCESSING') THEN 'Cannot mark job as failed from state JobStatus.' || j.status END AS message
+FROM requested q LEFT JOIN jobs j ON q.requested_id = j.job_id"""
+
+ORACLE["j13_status_overview"] = with_(JOBS) + "SELECT status, priority, count(*) AS n FROM jobs GROUP BY status, priority"

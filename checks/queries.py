@@ -90,3 +90,110 @@ def v04(spark, base):
 def v02(spark, base):
     return ver.parse_verdicts(fx.verify_responses(spark, base)).select(
         "transcript_id", "ok", "is_safe", "reject_reason", "error_class", "inconsistent")
+
+
+# -- J: job table
+
+from palaver.functions.errors import taxonomy  # noqa: E402
+from palaver.operators import jobs as jb  # noqa: E402
+
+def _now():
+    return fx.ts_ntz(fx.CLOCK)
+
+_JOB_COLS = ["job_id", "status", "started_at", "completed_at", "error_message"]
+
+
+def _requested_ids(spark, base):
+    """Ids asked for: every job id plus every event-log id (unknown to the table)."""
+    return (fx.jobs(spark, base).select("job_id")
+            .unionByName(fx.job_events(spark, base).select("job_id")))
+
+
+@query("j01_create_pending")
+def j01(spark, base):
+    return jb.create_pending(fx.url_submissions(spark, base), _now(), ["page_id"]).select(
+        "job_id", "url", "status", "priority", "created_at")
+
+
+@query("j02_validate_state")
+def j02(spark, base):
+    return jb.state_violations(fx.jobs_dirty(spark, base))
+
+
+@query("j03_mark_processing")
+def j03p(spark, base):
+    jobs = fx.jobs(spark, base)
+    return jb.mark_processing(jobs, jobs.select("job_id"), _now()).select(
+        *_JOB_COLS, "rejected_class", "rejected_message")
+
+
+@query("j03_mark_completed")
+def j03c(spark, base):
+    jobs = fx.jobs(spark, base)
+    docs = fx.doc_transcripts(spark, base).select("job_id", F.lit(True).alias("has_transcript"))
+    req = jobs.select("job_id").join(docs, "job_id", "left").fillna(False, ["has_transcript"])
+    return jb.mark_completed(jobs, req, _now()).select(
+        *_JOB_COLS, "has_transcript", "rejected_class", "rejected_message")
+
+
+@query("j03_mark_failed")
+def j03f(spark, base):
+    jobs = fx.jobs(spark, base)
+    req = jobs.select("job_id", F.when(F.col("priority") == "LOW", F.lit(""))
+                      .otherwise(F.lit("Worker stopped")).alias("error_message"))
+    return jb.mark_failed(jobs, req, _now()).select(*_JOB_COLS, "rejected_class", "rejected_message")
+
+
+@query("j04_fold_transitions")
+def j04(spark, base):
+    return jb.fold_transitions(fx.job_events(spark, base))
+
+
+@query("j05_dispatch_order")
+def j05(spark, base):
+    return jb.dispatch_order(fx.jobs(spark, base)).select(
+        "job_id", "priority", "created_at", "dispatch_pos")
+
+
+@query("j05_dispatch_order_enum")
+def j05e(spark, base):
+    return jb.dispatch_order(fx.jobs(spark, base), order="enum").select(
+        "job_id", "priority", "created_at", "dispatch_pos")
+
+
+@query("j06_claim_next")
+def j06(spark, base):
+    return jb.claim_next(fx.jobs(spark, base), 25, _now()).select(
+        "job_id", "priority", "created_at", "status", "started_at", "claim_pos")
+
+
+@query("j07_get_jobs")
+def j07(spark, base):
+    return jb.get_jobs(fx.jobs(spark, base), _requested_ids(spark, base)).select(
+        "requested_id", "found", "status", "error_class", "message")
+
+
+@query("j08_list_jobs")
+def j08(spark, base):
+    return jb.list_jobs(fx.jobs(spark, base), "FAILED")
+
+
+@query("j09_sweep")
+def j09(spark, base):
+    return jb.sweep(fx.jobs(spark, base), _now()).select(*_JOB_COLS)
+
+
+@query("j10_sweep_stats")
+def j10(spark, base):
+    return jb.sweep_stats(fx.jobs(spark, base), _now())
+
+
+@query("j11_fail_system_error")
+def j11(spark, base):
+    return jb.fail_system_error(fx.jobs(spark, base), _requested_ids(spark, base),
+                                "worker lost", _now())
+
+
+@query("j13_status_overview")
+def j13(spark, base):
+    return jb.status_overview(fx.jobs(spark, base))
