@@ -345,3 +345,91 @@ SELECT q.requested_id,
 FROM requested q LEFT JOIN jobs j ON q.requested_id = j.job_id"""
 
 ORACLE["j13_status_overview"] = with_(JOBS) + "SELECT status, priority, count(*) AS n FROM jobs GROUP BY status, priority"
+
+# --- U: URL admission ------------------------------------------------------
+
+PARSED = r"""parsed AS (
+  SELECT page_id, url, priority, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path
+  FROM url_submissions)""" + """,
+parsed2 AS (
+  SELECT *, CASE WHEN contains(path, '.') THEN regexp_extract(lower(path), '([.][^.]*)$', 1)
+                 ELSE right(lower(path), 1) END AS extension
+  FROM parsed)"""
+
+FORMATS = "('.m4a', '.mp3', '.mp4', '.wav', '.webm')"
+FORMAT_MSG = "'Unsupported audio format: ' || extension || '. Supported formats: .m4a, .mp3, .mp4, .wav, .webm'"
+PROBE_CLS = """CASE WHEN coalesce(outcome, 'client_error') = 'timeout' THEN 'TranscriptionTimeoutError'
+     WHEN coalesce(outcome, 'client_error') <> 'ok' THEN 'InvalidURLError'
+     WHEN http_status <> 200 THEN 'InvalidURLError'
+     WHEN coalesce(content_length / 1048576.0 > 100, false) THEN 'FileTooLargeError' END"""
+PROBE_MSG = """CASE WHEN coalesce(outcome, 'client_error') = 'timeout' THEN 'Timeout while validating URL'
+     WHEN coalesce(outcome, 'client_error') <> 'ok' THEN 'Error accessing URL: ' || coalesce(outcome, 'client_error')
+     WHEN http_status <> 200 THEN 'URL returned status code: ' || CAST(http_status AS VARCHAR)
+     WHEN coalesce(content_length / 1048576.0 > 100, false)
+       THEN 'File size (' || printf('%.1f', content_length / 1048576.0) || 'MB) exceeds maximum allowed size of 100MB' END"""
+WARN = "NOT (contains(coalesce(content_type, ''), 'audio/') OR contains(coalesce(content_type, ''), 'video/'))"
+
+ADMITTED = f"""checked AS (
+  SELECT p.page_id, p.url, p.priority, p.scheme, p.extension, q.outcome, q.http_status, q.content_length, q.content_type,
+         CASE WHEN p.scheme NOT IN ('http', 'https') THEN 'InvalidURLError'
+              WHEN p.extension NOT IN {FORMATS} THEN 'UnsupportedAudioFormatError'
+              ELSE {PROBE_CLS} END AS error_class,
+         CASE WHEN p.scheme NOT IN ('http', 'https') THEN 'Unsupported URL scheme: ' || p.scheme
+              WHEN p.extension NOT IN {FORMATS} THEN {FORMAT_MSG.replace('extension', 'p.extension')}
+              ELSE {PROBE_MSG} END AS message
+  FROM parsed2 p LEFT JOIN url_probe q USING (page_id)),
+admitted AS (
+  SELECT sha256(CAST(page_id AS VARCHAR) || '|' || url) AS job_id, page_id, url,
+         CASE WHEN error_class IS NOT NULL THEN 'FAILED' ELSE 'PENDING' END AS status,
+         coalesce(priority, 'MEDIUM') AS priority, {NOW} AS created_at,
+         CASE WHEN error_class IS NOT NULL THEN {NOW} END AS completed_at,
+         message AS error_message, error_class,
+         (error_class IS NULL AND {WARN}) AS content_type_warning
+  FROM checked)"""
+
+ORACLE["u01_parse_url"] = with_(URL_SUBMISSIONS, PARSED) + \
+    "SELECT page_id, url, scheme, path, extension FROM parsed2"
+
+ORACLE["u02_check_scheme"] = with_(URL_SUBMISSIONS, PARSED) + """
+SELECT page_id, scheme IN ('http', 'https') AS ok,
+       CASE WHEN scheme NOT IN ('http', 'https') THEN 'Unsupported URL scheme: ' || scheme END AS message
+FROM parsed2"""
+
+ORACLE["u03_check_format"] = with_(URL_SUBMISSIONS, PARSED) + f"""
+SELECT page_id, extension IN {FORMATS} AS ok,
+       CASE WHEN extension NOT IN {FORMATS} THEN {FORMAT_MSG} END AS message
+FROM parsed2"""
+
+ORACLE["u04_check_probe"] = with_(URL_PROBE) + f"""
+SELECT page_id, {PROBE_CLS} AS error_class, {PROBE_MSG} AS message FROM url_probe"""
+
+ORACLE["u05_flag_content_type"] = with_(URL_PROBE) + f"""
+SELECT page_id, content_type, {WARN} AS content_type_warning FROM url_probe"""
+
+ORACLE["u06_admit"] = with_(URL_SUBMISSIONS, URL_PROBE, PARSED, ADMITTED) + "SELECT * FROM admitted"
+
+ORACLE["u07_admission_report"] = with_(URL_SUBMISSIONS, URL_PROBE, PARSED, ADMITTED) + """
+SELECT status, error_class, count(*) AS n, count(*) FILTER (WHERE content_type_warning) AS n_warned
+FROM admitted GROUP BY status, error_class"""
+
+TAXONOMY = """taxonomy(error_class, parent_class, status_code) AS (VALUES
+  ('LLMError', NULL, 500), ('LLMTimeoutError', 'LLMError', 504), ('LLMRateLimitError', 'LLMError', 429),
+  ('LLMConnectionError', 'LLMError', 503), ('InvalidResponseError', 'LLMError', 502),
+  ('TokenLimitError', 'LLMError', 400), ('TranscriptionError', NULL, 500),
+  ('InvalidURLError', 'TranscriptionError', 400), ('FileTooLargeError', 'TranscriptionError', 400),
+  ('UnsupportedAudioFormatError', 'TranscriptionError', 400),
+  ('TranscriptionTimeoutError', 'TranscriptionError', 504), ('SummaryError', NULL, 500),
+  ('ContentTooLongError', 'SummaryError', 400), ('InvalidMetadataError', 'SummaryError', 500),
+  ('VerificationError', NULL, 500), ('JobError', NULL, 500), ('JobNotFoundError', 'JobError', 404),
+  ('InvalidJobStateError', 'JobError', 400), ('InvalidPriorityError', 'JobError', 400),
+  ('JobQueueError', 'JobError', 503))"""
+
+ORACLE["j12_classify_errors"] = with_(URL_SUBMISSIONS, URL_PROBE, PARSED, ADMITTED, DOC_TRANSCRIPTS, TAXONOMY, """errs AS (
+  SELECT error_class FROM admitted
+  UNION ALL
+  SELECT CASE WHEN text IS NULL OR text = '' OR length(text) < 50 THEN 'SummaryError' END FROM doc_transcripts)""") + """
+SELECT e.error_class, t.parent_class, coalesce(t.status_code, 500) AS status_code, count(*) AS n
+FROM errs e LEFT JOIN taxonomy t USING (error_class)
+WHERE e.error_class IS NOT NULL
+GROUP BY e.error_class, t.parent_class, coalesce(t.status_code, 500)"""

@@ -197,3 +197,66 @@ def j11(spark, base):
 @query("j13_status_overview")
 def j13(spark, base):
     return jb.status_overview(fx.jobs(spark, base))
+
+
+# -- U: URL admission
+
+from palaver.operators import admission as adm  # noqa: E402
+
+
+def _parsed(spark, base):
+    return adm.parse_urls(fx.url_submissions(spark, base))
+
+
+@query("u01_parse_url")
+def u01(spark, base):
+    return _parsed(spark, base).select("page_id", "url", "scheme", "path", "extension")
+
+
+@query("u02_check_scheme")
+def u02(spark, base):
+    ok, msg = adm.scheme_check(F.col("scheme"))
+    return _parsed(spark, base).select("page_id", ok.alias("ok"), msg.alias("message"))
+
+
+@query("u03_check_format")
+def u03(spark, base):
+    ok, msg = adm.format_check(F.col("extension"))
+    return _parsed(spark, base).select("page_id", ok.alias("ok"), msg.alias("message"))
+
+
+@query("u04_check_probe")
+def u04(spark, base):
+    cls, msg = adm.probe_check()
+    return fx.url_probe(spark, base).select("page_id", cls.alias("error_class"), msg.alias("message"))
+
+
+@query("u05_flag_content_type")
+def u05(spark, base):
+    return fx.url_probe(spark, base).select(
+        "page_id", "content_type", adm.content_type_warning().alias("content_type_warning"))
+
+
+def _admitted(spark, base):
+    return adm.admit(fx.url_submissions(spark, base), fx.url_probe(spark, base), _now())
+
+
+@query("u06_admit")
+def u06(spark, base):
+    return _admitted(spark, base).select(
+        "job_id", "page_id", "url", "status", "priority", "created_at", "completed_at",
+        "error_message", "error_class", "content_type_warning")
+
+
+@query("u07_admission_report")
+def u07(spark, base):
+    return adm.admission_report(_admitted(spark, base))
+
+
+@query("j12_classify_errors")
+def j12(spark, base):
+    """Errors of admission and transcript validation, by class, parent and code."""
+    errors = (_admitted(spark, base).select("error_class")
+              .unionByName(tr.validate_transcripts(fx.doc_transcripts(spark, base))
+                           .select("error_class")))
+    return jb.error_counts(jb.classify_errors(errors, taxonomy(spark)))
