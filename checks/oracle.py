@@ -433,3 +433,120 @@ SELECT e.error_class, t.parent_class, coalesce(t.status_code, 500) AS status_cod
 FROM errs e LEFT JOIN taxonomy t USING (error_class)
 WHERE e.error_class IS NOT NULL
 GROUP BY e.error_class, t.parent_class, coalesce(t.status_code, 500)"""
+
+# --- P / E: replies ----------------------------------------------------------
+
+CLIENT_ERRORS = """client_errors AS (
+  SELECT event_id,
+         CASE event_type WHEN 'view' THEN 'timeout' WHEN 'click' THEN 'rate_limit' WHEN 'signup' THEN 'connection'
+                         WHEN 'purchase' THEN 'api_error' ELSE 'other' END AS k,
+         CASE WHEN event_id % 4 = 0 THEN 'This model''s Maximum Context Length is 8192 tokens'
+              ELSE 'upstream failure ' || CAST(event_id AS VARCHAR) END AS t
+  FROM events)"""
+
+CLEANED = f"""cleaned AS (SELECT transcript_id, {clean('raw')} AS s FROM llm_responses)"""
+
+TOPIC_CODE = """CASE WHEN json_type(t) <> 'OBJECT' OR json_type(t, '$.name') IS NULL OR json_type(t, '$.confidence_score') IS NULL THEN 1
+     WHEN json_type(t, '$.confidence_score') NOT IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 3
+     WHEN CAST(json_extract(t, '$.confidence_score') AS DOUBLE) < 0
+       OR CAST(json_extract(t, '$.confidence_score') AS DOUBLE) > 1 THEN 2 ELSE 0 END"""
+
+META = f"""m0 AS (SELECT transcript_id, s, json_valid(s) AS isj FROM cleaned),
+m1v AS (
+  SELECT transcript_id,
+         json_type(s) = 'OBJECT' AS is_obj0,
+         CASE WHEN json_type(s) = 'OBJECT'
+              THEN list_sort(list_filter(['conversation_type', 'key_points', 'topics'],
+                                         lambda k: NOT list_contains(json_keys(s), k))) END AS missing,
+         json_extract_string(s, '$.conversation_type') AS ctype,
+         json_type(s, '$.topics') = 'ARRAY' AS topics_arr,
+         CASE WHEN json_type(s, '$.topics') = 'ARRAY'
+              THEN list_filter(list_transform(json_extract(s, '$.topics[*]'), lambda t: {TOPIC_CODE}), lambda c: c > 0)[1] END AS problem,
+         CASE WHEN json_type(s, '$.topics') = 'ARRAY'
+              THEN coalesce(list_bool_and(list_transform(json_extract(s, '$.topics[*]'),
+                                                         lambda t: json_type(t, '$.name') = 'VARCHAR')), true) END AS names_ok,
+         coalesce(json_type(s, '$.key_points') = 'ARRAY'
+              AND coalesce(list_bool_and(list_transform(json_extract(s, '$.key_points[*]'),
+                                                        lambda x: json_type(x) = 'VARCHAR')), true), false) AS kp_ok
+  FROM m0 WHERE isj),
+m1 AS (SELECT m0.transcript_id, m0.s, m0.isj, coalesce(m1v.is_obj0, false) AS is_obj, m1v.missing, m1v.ctype,
+              m1v.topics_arr, m1v.problem, m1v.names_ok, m1v.kp_ok
+       FROM m0 LEFT JOIN m1v USING (transcript_id)),
+m2 AS (
+  SELECT *, CASE WHEN NOT isj THEN 'LLM did not return valid JSON'
+                 WHEN NOT is_obj THEN 'reply is not a JSON object'
+                 WHEN len(missing) > 0 THEN 'Missing required fields: {{' || array_to_string(list_transform(missing, lambda x: '''' || x || ''''), ', ') || '}}'
+                 WHEN NOT coalesce(ctype IN ('EDUCATIONAL', 'FORMAL', 'COMEDY', 'PROFESSIONAL', 'CASUAL', 'INTERVIEW'), false)
+                   THEN 'Invalid conversation type: ' || coalesce(ctype, 'None')
+                 WHEN NOT coalesce(topics_arr, false) THEN 'topics is not a list'
+                 WHEN problem = 1 THEN 'Invalid topic structure in metadata'
+                 WHEN problem = 2 THEN 'Topic confidence score must be between 0 and 1'
+                 WHEN problem = 3 THEN 'confidence_score is not a number'
+                 WHEN NOT names_ok OR NOT kp_ok THEN 'topic names and key points must be strings' END AS detail,
+            NULL AS cls0
+  FROM m1)"""
+
+ORACLE["p04_join_choices"] = r"""
+SELECT CAST(doc_id AS VARCHAR) AS transcript_id,
+       array_to_string(list_transform(regexp_extract_all(text, '[^.!?\n]+[.!?]*'), lambda c: ' ' || c), '') AS joined
+FROM documents"""
+
+ORACLE["p05_clean_reply"] = with_(LLM_RESPONSES, CLEANED) + "SELECT transcript_id, s AS cleaned FROM cleaned"
+
+for _k in ("p06_check_json", "p06_check_json_exact"):
+    ORACLE[_k] = with_(LLM_RESPONSES, CLEANED) + """
+SELECT transcript_id, json_valid(s) AS is_json,
+       CASE WHEN NOT json_valid(s) THEN 'InvalidResponseError' END AS error_class FROM cleaned"""
+
+ORACLE["p07_map_client_error"] = with_(CLIENT_ERRORS) + """
+SELECT event_id,
+       CASE WHEN k = 'timeout' THEN 'LLMTimeoutError' WHEN k = 'rate_limit' THEN 'LLMRateLimitError'
+            WHEN k = 'connection' THEN 'LLMConnectionError'
+            WHEN k = 'api_error' AND contains(lower(t), 'maximum context length') THEN 'TokenLimitError'
+            ELSE 'LLMError' END AS error_class,
+       CASE WHEN k = 'timeout' THEN 'Request to language model timed out'
+            WHEN k = 'rate_limit' THEN 'Rate limit exceeded for language model'
+            WHEN k = 'connection' THEN 'Failed to connect to language model service'
+            WHEN k = 'api_error' AND contains(lower(t), 'maximum context length') THEN 'Input exceeds maximum token limit'
+            WHEN k = 'api_error' THEN 'Language model error: ' || t
+            WHEN k = 'client_error' THEN 'Unexpected language model error: ' || t
+            ELSE 'Unexpected error: ' || t END AS message
+FROM client_errors"""
+
+ORACLE["e01_check_required_fields"] = with_(LLM_RESPONSES, CLEANED, META) + """
+SELECT transcript_id, CASE WHEN is_obj THEN array_to_string(missing, ',') END AS missing_fields FROM m2 WHERE isj"""
+
+ORACLE["e02_check_conversation_type"] = with_(LLM_RESPONSES, CLEANED, META) + """
+SELECT transcript_id, ctype AS conversation_type,
+       coalesce(ctype IN ('EDUCATIONAL', 'FORMAL', 'COMEDY', 'PROFESSIONAL', 'CASUAL', 'INTERVIEW'), false) AS valid
+FROM m2 WHERE isj"""
+
+ORACLE["e03_check_topics"] = with_(LLM_RESPONSES, CLEANED, META) + \
+    "SELECT transcript_id, problem AS topic_problem FROM m2 WHERE isj"
+
+ORACLE["e04_validate_metadata"] = with_(LLM_RESPONSES, CLEANED, META) + """
+SELECT transcript_id, detail IS NULL AS ok,
+       CASE WHEN detail IS NULL THEN NULL WHEN NOT isj THEN 'InvalidResponseError'
+            WHEN detail IN ('reply is not a JSON object', 'topics is not a list', 'confidence_score is not a number',
+                            'topic names and key points must be strings') THEN 'SummaryError'
+            ELSE 'InvalidMetadataError' END AS error_class,
+       CASE WHEN detail IS NULL THEN NULL
+            WHEN NOT isj THEN 'Failed to extract conversation metadata'
+            WHEN detail = 'topic names and key points must be strings'
+              THEN 'Failed to generate summary: invalid field type'
+            ELSE 'Unexpected error during metadata extraction' END AS message,
+       detail
+FROM m2"""
+
+ORACLE["e04_parse_metadata"] = with_(LLM_RESPONSES, CLEANED, META) + """
+SELECT transcript_id, ctype AS conversation_type, CAST(json_array_length(s, '$.topics') AS INTEGER) AS n_topics,
+       array_to_string(json_extract_string(s, '$.topics[*].name'), '|') AS topic_names,
+       array_to_string(json_extract_string(s, '$.key_points[*]'), '|') AS key_points
+FROM m2 WHERE detail IS NULL"""
+
+ORACLE["e05_explode_topics"] = with_(LLM_RESPONSES, CLEANED, META) + """
+SELECT transcript_id, CAST(pos AS INTEGER) AS pos,
+       json_extract_string(s, '$.topics[' || pos || '].name') AS name,
+       CAST(json_extract(s, '$.topics[' || pos || '].confidence_score') AS DOUBLE) AS confidence_score
+FROM (SELECT transcript_id, s, unnest(range(CAST(json_array_length(s, '$.topics') AS BIGINT))) AS pos
+      FROM m2 WHERE detail IS NULL) x"""

@@ -260,3 +260,89 @@ def j12(spark, base):
               .unionByName(tr.validate_transcripts(fx.doc_transcripts(spark, base))
                            .select("error_class")))
     return jb.error_counts(jb.classify_errors(errors, taxonomy(spark)))
+
+
+# -- P / E: replies and metadata
+
+from palaver.functions import replies as rf  # noqa: E402
+from palaver.functions import text as tx  # noqa: E402
+from palaver.operators import replies as rp  # noqa: E402
+
+
+def _client_errors(spark, base):
+    """(kind, text) rows derived from events, covering every client error kind."""
+    e = table(spark, base, "events")
+    et, eid = F.col("event_type"), F.col("event_id")
+    kind = (F.when(et == "view", "timeout").when(et == "click", "rate_limit")
+            .when(et == "signup", "connection").when(et == "purchase", "api_error").otherwise("other"))
+    text = (F.when(eid % 4 == 0, F.lit("This model's Maximum Context Length is 8192 tokens"))
+            .otherwise(F.concat(F.lit("upstream failure "), eid.cast("string"))))
+    return e.select("event_id", kind.alias("error_kind"), text.alias("error_text"))
+
+
+@query("p04_join_choices")
+def p04(spark, base):
+    d = table(spark, base, "documents")
+    return d.select(F.col("doc_id").cast("string").alias("transcript_id"),
+                    rf.join_choices(tx.sentences(F.col("text"))).alias("joined"))
+
+
+@query("p05_clean_reply")
+def p05(spark, base):
+    return rp.clean_replies(fx.llm_responses(spark, base)).select("transcript_id", "cleaned")
+
+
+@query("p06_check_json")
+def p06(spark, base):
+    return rp.check_json(rp.clean_replies(fx.llm_responses(spark, base))).select(
+        "transcript_id", "is_json", "error_class")
+
+
+@query("p06_check_json_exact")
+def p06x(spark, base):
+    return rp.check_json(rp.clean_replies(fx.llm_responses(spark, base)), mode="exact").select(
+        "transcript_id", "is_json", "error_class")
+
+
+@query("p07_map_client_error")
+def p07(spark, base):
+    return rp.map_client_errors(_client_errors(spark, base)).select("event_id", "error_class", "message")
+
+
+def _meta(spark, base):
+    return rp.metadata_checks(fx.llm_responses(spark, base))
+
+
+@query("e01_check_required_fields")
+def e01(spark, base):
+    return _meta(spark, base).where("is_json").select("transcript_id", "missing_fields")
+
+
+@query("e02_check_conversation_type")
+def e02(spark, base):
+    return _meta(spark, base).where("is_json").select(
+        "transcript_id", "conversation_type",
+        F.coalesce(F.col("conversation_type").isin(*rp.S.CONVERSATION_TYPES), F.lit(False)).alias("valid"))
+
+
+@query("e03_check_topics")
+def e03(spark, base):
+    return _meta(spark, base).where("is_json").select("transcript_id", "topic_problem")
+
+
+@query("e04_validate_metadata")
+def e04v(spark, base):
+    return _meta(spark, base).select("transcript_id", "ok", "error_class", "message", "detail")
+
+
+@query("e04_parse_metadata")
+def e04(spark, base):
+    p = rp.parse_metadata(_meta(spark, base))
+    return p.select("transcript_id", "conversation_type", F.size("topics").alias("n_topics"),
+                    F.array_join(F.transform("topics", lambda t: t["name"]), "|").alias("topic_names"),
+                    F.array_join("key_points", "|").alias("key_points"))
+
+
+@query("e05_explode_topics")
+def e05(spark, base):
+    return rp.explode_topics(rp.parse_metadata(_meta(spark, base)))
