@@ -550,3 +550,96 @@ SELECT transcript_id, CAST(pos AS INTEGER) AS pos,
        CAST(json_extract(s, '$.topics[' || pos || '].confidence_score') AS DOUBLE) AS confidence_score
 FROM (SELECT transcript_id, s, unnest(range(CAST(json_array_length(s, '$.topics') AS BIGINT))) AS pos
       FROM m2 WHERE detail IS NULL) x"""
+
+# --- M: offline model operators; E6-E8 ---------------------------------------
+
+def m1_ctes(src: str = "doc_transcripts") -> str:
+    return rf"""s AS (
+  SELECT job_id AS id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS sentence
+  FROM (SELECT job_id, regexp_extract_all(text, '[^.!?\n]+[.!?]*') AS l FROM {src}) x),
+sw AS (
+  SELECT id, pos, word, count(*) AS c
+  FROM (SELECT id, pos, unnest(regexp_extract_all(lower(sentence), '[\p{{L}}]+')) AS word FROM s) y
+  GROUP BY id, pos, word),
+tf AS (SELECT id, word, sum(c) AS tf FROM sw GROUP BY id, word),
+nd AS (SELECT id, sum(tf) AS n_doc FROM tf GROUP BY id),
+ps AS (SELECT sw.id, sw.pos, sum(sw.c * tf.tf) AS tf_sum, sum(sw.c) AS n_words
+       FROM sw JOIN tf USING (id, word) GROUP BY sw.id, sw.pos),
+sc AS (SELECT ps.id, ps.pos, CAST(ps.n_words AS BIGINT) AS n_words,
+              CAST(tf_sum AS DOUBLE) / n_words / n_doc AS score FROM ps JOIN nd USING (id)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, pos) AS rank FROM sc),
+sel1 AS (SELECT * FROM (
+         SELECT rk.*, CAST(sum(n_words) OVER (PARTITION BY id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running_words
+         FROM rk WHERE rank <= 3) z WHERE running_words <= 1000),
+sum1 AS (SELECT sel1.id, string_agg(regexp_replace(s.sentence, '^\s+|\s+$', '', 'g'), ' ' ORDER BY sel1.pos) AS summary_text
+        FROM sel1 JOIN s USING (id, pos) GROUP BY sel1.id),
+kp3 AS (SELECT rk.id, rk.rank, regexp_replace(s.sentence, '^\s+|\s+$', '', 'g') AS key_point
+       FROM rk JOIN s USING (id, pos) WHERE rk.rank <= 5)"""
+
+
+def m2_ctes(src: str = "doc_transcripts") -> str:
+    return rf"""w2 AS (SELECT job_id AS id, unnest(regexp_extract_all(lower(text), '[\p{{L}}]+')) AS word FROM {src}),
+f2 AS (SELECT id, word, count(*) AS f FROM w2 WHERE length(word) >= 4 GROUP BY id, word),
+n2 AS (SELECT count(*) AS n FROM {src}),
+df2 AS (SELECT word, count(*) AS df FROM f2 GROUP BY word),
+sc2 AS (SELECT f2.id, f2.word, f2.f * ln((1 + n2.n) / (1 + df2.df)) AS score FROM f2 JOIN df2 USING (word), n2),
+rk2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, word) AS rank FROM sc2) q
+        WHERE rank <= 5),
+top2 AS (SELECT id, rank, word, score,
+              CASE WHEN max(score) OVER (PARTITION BY id) > 0 THEN score / max(score) OVER (PARTITION BY id) ELSE 0.0 END AS confidence
+       FROM rk2)"""
+
+
+def _cue_list(words):
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def m4_cte(src: str = "doc_transcripts") -> str:
+    from palaver.operators.offline import TYPE_CUES
+    types = list(TYPE_CUES)
+    hits = ",\n         ".join(
+        f"CAST(len(list_filter(w, lambda x: list_contains({_cue_list(TYPE_CUES[t])}, x))) AS INTEGER) AS h{i}"
+        for i, t in enumerate(types))
+    g = "greatest(" + ", ".join(f"h{i}" for i in range(len(types))) + ")"
+    pick = " ".join(f"WHEN h{i} = {g} THEN '{t}'" for i, t in enumerate(types))
+    return rf"""m4h AS (
+  SELECT job_id, {hits}
+  FROM (SELECT job_id, regexp_extract_all(lower(text), '[\p{{L}}]+') AS w FROM {src}) x),
+m4 AS (SELECT job_id, {g} AS hits, CASE WHEN {g} = 0 THEN 'CASUAL' {pick} END AS conversation_type FROM m4h)"""
+
+
+ORACLE["m01_extractive_summary"] = with_(DOC_TRANSCRIPTS, m1_ctes()) + """
+SELECT id AS job_id, rank, pos, n_words, running_words, round(score, 9) AS score FROM sel1"""
+
+ORACLE["m01_summary_text"] = with_(DOC_TRANSCRIPTS, m1_ctes()) + "SELECT id AS job_id, summary_text FROM sum1"
+
+ORACLE["m02_topics"] = with_(DOC_TRANSCRIPTS, m2_ctes()) + """
+SELECT id AS job_id, rank, word, round(score, 6) AS score, round(confidence, 6) AS confidence FROM top2"""
+
+ORACLE["m03_key_points"] = with_(DOC_TRANSCRIPTS, m1_ctes()) + "SELECT id AS job_id, rank, key_point FROM kp3"
+
+ORACLE["m04_conversation_type"] = with_(DOC_TRANSCRIPTS, m4_cte()) + "SELECT * FROM m4"
+
+OK_DOCS = "ok_docs AS (SELECT * FROM doc_transcripts WHERE NOT (text IS NULL OR text = '' OR length(text) < 50))"
+
+ORACLE["e06_assemble_summary"] = with_(DOC_TRANSCRIPTS, OK_DOCS, m1_ctes("ok_docs"), LLM_RESPONSES, CLEANED, META) + """
+SELECT d.job_id AS transcript_id, m.ctype AS conversation_type, t.summary_text,
+       CAST(json_array_length(m.s, '$.topics') AS INTEGER) AS n_topics,
+       array_to_string(json_extract_string(m.s, '$.key_points[*]'), '|') AS key_points,
+       round(d.duration, 6) AS duration
+FROM ok_docs d JOIN sum1 t ON t.id = d.job_id JOIN m2 m ON m.transcript_id = d.job_id
+WHERE m.detail IS NULL"""
+
+ORACLE["e07_summarize_offline"] = with_(DOC_TRANSCRIPTS, OK_DOCS, m1_ctes("ok_docs"), m2_ctes("ok_docs"),
+                                        m4_cte("ok_docs")) + """
+SELECT d.job_id AS transcript_id, c.conversation_type, coalesce(t.summary_text, '') AS summary_text,
+       CAST(coalesce((SELECT count(*) FROM top2 WHERE top2.id = d.job_id), 0) AS INTEGER) AS n_topics,
+       CAST(coalesce((SELECT count(*) FROM kp3 WHERE kp3.id = d.job_id), 0) AS INTEGER) AS n_key_points,
+       round(d.duration, 6) AS duration
+FROM ok_docs d JOIN m4 c USING (job_id) LEFT JOIN sum1 t ON t.id = d.job_id"""
+
+ORACLE["e08_batch_summarize"] = with_(DOC_TRANSCRIPTS, LLM_RESPONSES, CLEANED, META) + """
+SELECT count(*) FILTER (WHERE ok_t AND m.detail IS NULL) AS n_success,
+       count(*) FILTER (WHERE NOT ok_t OR m.detail IS NOT NULL) AS n_failed
+FROM (SELECT job_id, NOT (text IS NULL OR text = '' OR length(text) < 50) AS ok_t FROM doc_transcripts) d
+LEFT JOIN m2 m ON m.transcript_id = d.job_id"""

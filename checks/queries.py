@@ -346,3 +346,72 @@ def e04(spark, base):
 @query("e05_explode_topics")
 def e05(spark, base):
     return rp.explode_topics(rp.parse_metadata(_meta(spark, base)))
+
+
+# -- M: offline model operators; E6-E8: summaries
+
+from palaver.operators import offline as off  # noqa: E402
+from palaver.operators import summaries as sm  # noqa: E402
+
+
+def _docs(spark, base):
+    return fx.doc_transcripts(spark, base).select("job_id", "text")
+
+
+@query("m01_extractive_summary")
+def m01(spark, base):
+    return off.extractive_summary(_docs(spark, base)).select(
+        "job_id", "rank", "pos", "n_words", "running_words", F.round("score", 9).alias("score"))
+
+
+@query("m01_summary_text")
+def m01t(spark, base):
+    return off.summary_text(off.extractive_summary(_docs(spark, base)))
+
+
+@query("m02_topics")
+def m02(spark, base):
+    return off.topics(_docs(spark, base)).select(
+        "job_id", "rank", "word", F.round("score", 6).alias("score"),
+        F.round("confidence", 6).alias("confidence"))
+
+
+@query("m03_key_points")
+def m03(spark, base):
+    return off.key_points(_docs(spark, base))
+
+
+@query("m04_conversation_type")
+def m04(spark, base):
+    return off.conversation_type(_docs(spark, base))
+
+
+@query("e06_assemble_summary")
+def e06(spark, base):
+    docs = fx.doc_transcripts(spark, base)
+    ok = tr.validate_transcripts(docs).where("ok")
+    texts = off.summary_text(off.extractive_summary(ok.select("job_id", "text"))).withColumnRenamed(
+        "job_id", "transcript_id")
+    meta = rp.parse_metadata(rp.metadata_checks(fx.llm_responses(spark, base)))
+    s = sm.assemble_summaries(ok, texts, meta)
+    return s.select("transcript_id", "conversation_type", "summary_text",
+                    F.size("topics").alias("n_topics"), F.array_join("key_points", "|").alias("key_points"),
+                    F.round("duration", 6).alias("duration"))
+
+
+@query("e07_summarize_offline")
+def e07(spark, base):
+    s, _ = sm.summarize_offline(fx.doc_transcripts(spark, base))
+    return s.select("transcript_id", "conversation_type", "summary_text",
+                    F.size("topics").alias("n_topics"), F.size("key_points").alias("n_key_points"),
+                    F.round("duration", 6).alias("duration"))
+
+
+@query("e08_batch_summarize")
+def e08(spark, base):
+    docs = fx.doc_transcripts(spark, base)
+    texts = off.summary_text(off.extractive_summary(docs.select("job_id", "text")))
+    s, f = sm.summarize_with_replies(
+        docs, texts.select(F.col("job_id").alias("transcript_id"), F.col("summary_text").alias("raw")),
+        fx.llm_responses(spark, base))
+    return sm.batch_summarize(s, f)

@@ -43,7 +43,7 @@ def speaker_shares(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
     w = Window.partitionBy("job_id")
     return (per_role
             .withColumn("share", F.col("n_chars") / F.sum("n_chars").over(w))
-            .withColumn("position", F.row_number().over(w.orderBy("_first_turn", "name")))
+            .withColumn("position", F.row_number().over(w.orderBy("_first_turn", "name")).cast("long"))
             .drop("_first_turn"))
 
 

@@ -54,5 +54,5 @@ def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int
              .drop("_r1", "_salt"))
     return (first
             .withColumn(name, F.row_number().over(
-                Window.partitionBy(*[F.col(g) for g in group]).orderBy(*order)))
+                Window.partitionBy(*[F.col(g) for g in group]).orderBy(*order)).cast("long"))
             .where(F.col(name) <= k))
