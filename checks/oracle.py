@@ -643,3 +643,59 @@ SELECT count(*) FILTER (WHERE ok_t AND m.detail IS NULL) AS n_success,
        count(*) FILTER (WHERE NOT ok_t OR m.detail IS NOT NULL) AS n_failed
 FROM (SELECT job_id, NOT (text IS NULL OR text = '' OR length(text) < 50) AS ok_t FROM doc_transcripts) d
 LEFT JOIN m2 m ON m.transcript_id = d.job_id"""
+
+# --- T5/T6, P1/P2, L ----------------------------------------------------------
+
+def _examples_prefix_literal() -> str:
+    """The few-shot block, built from the same file as the Spark side, as a SQL literal."""
+    import json
+
+    from palaver.sources.readers import EXAMPLES_PATH
+    ex = json.load(open(EXAMPLES_PATH))["examples"][:2]
+    blocks = [f"Transcript: {e['transcript']}\nSummary: {e['summary']}\n" for e in ex]
+    text = "\n".join(["Example transcripts with their summaries:", *blocks])
+    return "'" + text.replace("'", "''") + "'"
+
+
+_PREFIX = _examples_prefix_literal()
+
+ORACLE["t05_create_multiple"] = with_(JOBS, DOC_TRANSCRIPTS) + """
+SELECT j.job_id, j.status, d.language, length(d.text) AS n_chars
+FROM jobs j JOIN doc_transcripts d USING (job_id)"""
+
+ORACLE["t06_summarizable"] = with_(JOBS, DOC_TRANSCRIPTS) + """
+SELECT j.job_id, j.status, d.job_id IS NOT NULL AS has_transcript, j.status = 'COMPLETED' AS summarizable,
+       CASE WHEN j.status <> 'COMPLETED' THEN 'InvalidJobStateError' END AS error_class,
+       CASE WHEN j.status <> 'COMPLETED' THEN 'Cannot summarize job in status JobStatus.' || j.status ||
+            '. Job must be in COMPLETED state.' END AS message
+FROM jobs j LEFT JOIN doc_transcripts d USING (job_id)"""
+
+ORACLE["p01_build_summary_prompt"] = with_(DOC_TRANSCRIPTS) + f"""
+SELECT job_id, length(p) AS prompt_chars, sha256(p) AS prompt_sha256
+FROM (SELECT job_id, {_PREFIX} || chr(10) || 'Transcript: ' || text AS p FROM doc_transcripts) x"""
+
+ORACLE["p02_build_requests"] = with_(DOC_TRANSCRIPTS, f"""r AS (
+  SELECT job_id, 'summary' AS task, 1000 AS max_tokens, 0.7 AS temperature, false AS expect_json,
+         {_PREFIX} || chr(10) || 'Transcript: ' || text AS c FROM doc_transcripts
+  UNION ALL SELECT job_id, 'metadata', 4096, 0.3, true, text FROM doc_transcripts
+  UNION ALL SELECT job_id, 'verification', 4096, 0.1, true, text FROM doc_transcripts)""") + """
+SELECT sha256(task || '|' || job_id || '|' || sha256(c)) AS request_id, job_id, task,
+       CAST(max_tokens AS INTEGER) AS max_tokens, CAST(temperature AS DOUBLE) AS temperature, expect_json,
+       length(c) AS content_chars
+FROM r"""
+
+_LINE = (r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}) - (\S+) - (\S+) - (\S+) - "
+         r"Path: (\S+) Method: (\S+) Status: (\d+) Duration: ([0-9]+[.][0-9]+)s$")
+PARSED_LOG = f"""parsed_log AS (
+  SELECT regexp_extract(line, '{_LINE}', 1) AS logged_at, regexp_extract(line, '{_LINE}', 5) AS path,
+         regexp_extract(line, '{_LINE}', 6) AS method, CAST(regexp_extract(line, '{_LINE}', 7) AS INTEGER) AS status,
+         CAST(regexp_extract(line, '{_LINE}', 8) AS DOUBLE) AS seconds
+  FROM request_log WHERE regexp_matches(line, '{_LINE}'))"""
+
+ORACLE["l01_parse_request_log"] = with_(REQUEST_LOG, PARSED_LOG) + "SELECT * FROM parsed_log"
+
+ORACLE["l02_request_stats"] = with_(REQUEST_LOG, PARSED_LOG) + r"""
+SELECT regexp_replace(path, '^/v1/(jobs|summarize)/[^/]+$', '/v1/\1/{job_id}') AS route, method,
+       count(*) AS n, count(*) FILTER (WHERE status >= 500) AS n_errors,
+       round(avg(seconds), 6) AS mean_seconds, max(seconds) AS max_seconds
+FROM parsed_log GROUP BY 1, 2"""

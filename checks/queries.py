@@ -415,3 +415,82 @@ def e08(spark, base):
         docs, texts.select(F.col("job_id").alias("transcript_id"), F.col("summary_text").alias("raw")),
         fx.llm_responses(spark, base))
     return sm.batch_summarize(s, f)
+
+
+# -- T5/T6, P1-P3, P8, V1, E7 with a client, L
+
+from checks.stub_client import stub_client_factory  # noqa: E402
+from palaver.operators import completion as cp  # noqa: E402
+from palaver.operators import logs as lg  # noqa: E402
+from palaver.operators import prompts as pr  # noqa: E402
+from palaver.session import scratch_path  # noqa: E402
+from palaver.sources.readers import examples_prefix  # noqa: E402
+
+
+@query("t05_create_multiple")
+def t05(spark, base):
+    t = fx.doc_transcripts(spark, base)
+    return tr.transcripts_for_jobs(fx.jobs(spark, base).select("job_id", "status"), t).select(
+        "job_id", "status", "language", F.length("text").alias("n_chars"))
+
+
+@query("t06_summarizable")
+def t06(spark, base):
+    return tr.summarizable(fx.jobs(spark, base), fx.doc_transcripts(spark, base))
+
+
+@query("p01_build_summary_prompt")
+def p01(spark, base):
+    prefix = examples_prefix(spark)
+    p = fx.doc_transcripts(spark, base).select("job_id", pr.summary_prompt(F.col("text"), prefix).alias("p"))
+    return p.select("job_id", F.length("p").alias("prompt_chars"), F.sha2("p", 256).alias("prompt_sha256"))
+
+
+@query("p02_build_requests")
+def p02(spark, base):
+    r = pr.build_requests(fx.doc_transcripts(spark, base), examples_prefix(spark))
+    return r.select("request_id", "job_id", "task", "max_tokens", "temperature", "expect_json",
+                    F.length("user_content").alias("content_chars"))
+
+
+def _completed(spark, base):
+    req = pr.build_requests(fx.doc_transcripts(spark, base), examples_prefix(spark))
+    return cp.complete(req, stub_client_factory, scratch_path(spark, "completions"))
+
+
+@query("p03_complete")
+def p03(spark, base):
+    return cp.replies(_completed(spark, base)).select("request_id", "job_id", "task", "raw", "error_class")
+
+
+@query("p08_usage_report")
+def p08(spark, base):
+    return cp.usage_report(_completed(spark, base))
+
+
+@query("v01_verify")
+def v01(spark, base):
+    s, _ = sm.summarize_offline(fx.doc_transcripts(spark, base))
+    return ver.verify_with_client(s, stub_client_factory, scratch_path(spark, "verify"))
+
+
+@query("e07_summarize_with_client")
+def e07c(spark, base):
+    s, f = sm.summarize_with_client(fx.doc_transcripts(spark, base), stub_client_factory,
+                                    scratch_path(spark, "summarize"), examples_prefix(spark))
+    return (s.select("transcript_id", F.lit(None).cast("string").alias("error_class"), "conversation_type")
+            .unionByName(f.select("transcript_id", "error_class", F.lit(None).cast("string")
+                                  .alias("conversation_type"))))
+
+
+@query("l01_parse_request_log")
+def l01(spark, base):
+    parsed, _ = lg.parse_request_log(fx.request_log(spark, base))
+    return parsed
+
+
+@query("l02_request_stats")
+def l02(spark, base):
+    parsed, _ = lg.parse_request_log(fx.request_log(spark, base))
+    return lg.request_stats(parsed).select(
+        "route", "method", "n", "n_errors", F.round("mean_seconds", 6).alias("mean_seconds"), "max_seconds")

@@ -92,3 +92,36 @@ def batch_summarize(summaries: DataFrame, failures: DataFrame, continue_on_error
     s = summaries.agg(F.count(F.lit(1)).alias("n_success"))
     e = failures.agg(F.count(F.lit(1)).alias("n_failed"))
     return s.select("n_success", e.select("n_failed").scalar().alias("n_failed"))
+
+
+def summarize_with_client(transcripts: DataFrame, client_factory, store: str, prefix: str,
+                          concurrency: int = 8, mode: str = "sql"):
+    """E7 through the model client: summary calls, then metadata calls only for
+    transcripts whose summary call succeeded, then the checks of
+    ``summarize_with_replies``. Results of both stages are stored (P3).
+    """
+    from palaver.operators.completion import complete, replies
+    from palaver.operators.prompts import build_requests
+
+    checked = validate_transcripts(transcripts)
+    ok_t = checked.where("ok")
+    s_rep = replies(complete(build_requests(ok_t, prefix, ["summary"]), client_factory,
+                             f"{store}/summary", concurrency))
+    s_ok = s_rep.where(F.col("error_class").isNull()).select(F.col("job_id").alias("transcript_id"), "raw")
+    s_bad = s_rep.where(F.col("error_class").isNotNull()).select(
+        F.col("job_id").alias("transcript_id"),
+        F.when(F.col("error_class") == "TokenLimitError", F.lit("ContentTooLongError"))
+         .otherwise(F.col("error_class")).alias("error_class"),
+        F.when(F.col("error_class") == "TokenLimitError", F.lit("Transcript too long for summarization"))
+         .otherwise(F.concat(F.lit("Failed to generate summary: "), F.col("message"))).alias("message"),
+        F.col("message").alias("detail"))
+    with_summary = ok_t.join(s_ok.select(F.col("transcript_id").alias("job_id")), "job_id", "left_semi")
+    m_rep = replies(complete(build_requests(with_summary, prefix, ["metadata"]), client_factory,
+                             f"{store}/metadata", concurrency))
+    m_ok = m_rep.where(F.col("error_class").isNull()).select(F.col("job_id").alias("transcript_id"), "raw")
+    m_bad = m_rep.where(F.col("error_class").isNotNull()).select(
+        F.col("job_id").alias("transcript_id"), "error_class",
+        F.lit("Failed to extract conversation metadata").alias("message"), F.col("message").alias("detail"))
+    summaries, failures = summarize_with_replies(with_summary, s_ok, m_ok, mode)
+    return summaries, (_rejected_transcripts(checked).unionByName(failures)
+                       .unionByName(s_bad).unionByName(m_bad))

@@ -109,3 +109,27 @@ def parse_verdicts(replies: DataFrame, id_col: str = "transcript_id", raw_col: s
         F.when(~ok, F.lit("VerificationError")).alias("error_class"),
         "message",
         (ok & (F.col("_safe") == F.col("_reason").isNotNull())).alias("inconsistent"))
+
+
+def verify_with_client(summaries: DataFrame, client_factory, store: str, concurrency: int = 8,
+                       id_col: str = "transcript_id", text_col: str = "summary_text") -> DataFrame:
+    """V1: safety verdict per summary text through the model client.
+
+    Failed calls become ``VerificationError`` rows ("Failed to verify
+    content: .."); replies go through V2.
+    """
+    from palaver.operators.completion import complete, replies
+    from palaver.operators.prompts import build_requests
+
+    req = build_requests(summaries.select(F.col(id_col).alias("job_id"), F.col(text_col).alias("text")),
+                         prefix="", tasks=["verification"])
+    rep = replies(complete(req, client_factory, store, concurrency))
+    ok_calls = rep.where(F.col("error_class").isNull()).select(
+        F.col("job_id").alias("transcript_id"), "raw")
+    failed_calls = rep.where(F.col("error_class").isNotNull()).select(
+        F.col("job_id").alias("transcript_id"), F.lit(False).alias("ok"),
+        F.lit(None).cast("boolean").alias("is_safe"), F.lit(None).cast("string").alias("reject_reason"),
+        F.lit("VerificationError").alias("error_class"),
+        F.concat(F.lit("Failed to verify content: "), F.col("message")).alias("message"),
+        F.lit(False).alias("inconsistent"))
+    return parse_verdicts(ok_calls).unionByName(failed_calls)
