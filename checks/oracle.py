@@ -699,3 +699,31 @@ SELECT regexp_replace(path, '^/v1/(jobs|summarize)/[^/]+$', '/v1/\1/{job_id}') A
        count(*) AS n, count(*) FILTER (WHERE status >= 500) AS n_errors,
        round(avg(seconds), 6) AS mean_seconds, max(seconds) AS max_seconds
 FROM parsed_log GROUP BY 1, 2"""
+
+# --- S / W ------------------------------------------------------------------
+
+ORACLE["s01_read_submissions"] = with_(URL_SUBMISSIONS) + """
+SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY page_id) - 1 AS INTEGER) AS pos, url,
+       CASE WHEN request_id % 5 = 0 THEN 'MEDIUM'
+            ELSE arg_min(priority, page_id) OVER (PARTITION BY request_id) END AS priority
+FROM (SELECT *, CAST(floor(page_id / 8) AS BIGINT) AS request_id FROM url_submissions) s"""
+
+ORACLE["s02_read_transcripts"] = with_(TRANSCRIPTS) + """
+SELECT t.job_id, 'en' AS language, round(t.duration, 6) AS duration,
+       CAST(n.n AS INTEGER) AS n_speakers, sha256(t.text) AS text_sha256
+FROM transcripts t JOIN (SELECT CAST(conv_id AS VARCHAR) AS job_id, count(DISTINCT role) AS n
+                         FROM conversations GROUP BY conv_id) n USING (job_id)"""
+
+_PYTS = ("CASE WHEN {c} IS NULL THEN NULL WHEN epoch_us({c}) % 1000000 = 0 THEN strftime({c}, '%Y-%m-%d %H:%M:%S') "
+         "ELSE strftime({c}, '%Y-%m-%d %H:%M:%S.%f') END")
+
+ORACLE["s04_export_jobs_report"] = with_(JOBS) + f"""
+SELECT job_id, status, {_PYTS.format(c='created_at')} AS created_at, {_PYTS.format(c='started_at')} AS started_at,
+       error_message, true AS nulls_kept
+FROM jobs"""
+
+ORACLE["s05_write_job_table"] = with_(JOBS) + "SELECT job_id, status, priority FROM jobs"
+
+ORACLE["w01_admission_stream"] = ORACLE["u06_admit"]
+ORACLE["w02_lifecycle_stream"] = ORACLE["j04_fold_transitions"]
+ORACLE["w03_sweep_job"] = ORACLE["j10_sweep_stats"]

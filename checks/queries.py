@@ -494,3 +494,90 @@ def l02(spark, base):
     parsed, _ = lg.parse_request_log(fx.request_log(spark, base))
     return lg.request_stats(parsed).select(
         "route", "method", "n", "n_errors", F.round("mean_seconds", 6).alias("mean_seconds"), "max_seconds")
+
+
+# -- S: sources and sinks; W: streams (inputs staged as files under the checkpoint root)
+
+from palaver.sources import readers as rd  # noqa: E402
+from palaver.sources import sinks as sk  # noqa: E402
+from palaver.streaming.admission import admission_stream  # noqa: E402
+from palaver.streaming.lifecycle import final_states, lifecycle_stream  # noqa: E402
+from palaver.streaming.sweep import sweep_stream  # noqa: E402
+
+
+@query("s01_read_submissions")
+def s01(spark, base):
+    """Batch requests of up to 8 URLs (every fifth without a priority), written and read back."""
+    subs = fx.url_submissions(spark, base).withColumn("request_id", F.floor(F.col("page_id") / 8))
+    req = (subs.groupBy("request_id")
+           .agg(F.array_sort(F.collect_list(F.struct("page_id", "url"))).alias("_u"),
+                F.min_by("priority", "page_id").alias("_p"))
+           .select("request_id", F.transform("_u", lambda x: x["url"]).alias("urls"),
+                   F.when(F.col("request_id") % 5 == 0, F.lit(None)).otherwise(F.col("_p")).alias("priority")))
+    path = scratch_path(spark, "submissions")
+    req.write.json(path)
+    return rd.read_submissions(spark, path)
+
+
+@query("s02_read_transcripts")
+def s02(spark, base):
+    t = tr.transcripts_with_speakers(table(spark, base, "conversations")).select(
+        "job_id", F.lit(None).cast("string").alias("url"), "duration", "text", "speakers",
+        F.lit(None).cast("string").alias("language"))
+    path = scratch_path(spark, "transcripts")
+    t.write.json(path)
+    r = rd.read_transcripts(spark, path)
+    return r.select("job_id", "language", F.round("duration", 6).alias("duration"),
+                    F.size("speakers").alias("n_speakers"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("s04_export_jobs_report")
+def s04(spark, base):
+    path = scratch_path(spark, "jobs-report")
+    sk.export_jobs_report(fx.jobs(spark, base), path)
+    lines = spark.read.text(path)
+    parsed = spark.read.schema(
+        "job_id string, status string, created_at string, started_at string, error_message string").json(path)
+    kept = lines.select(F.count_if(F.col("value").contains('"started_at":null')).alias("n"))
+    return parsed.select("job_id", "status", "created_at", "started_at", "error_message",
+                         (kept.scalar() > 0).alias("nulls_kept"))
+
+
+@query("s05_write_job_table")
+def s05(spark, base):
+    path = scratch_path(spark, "job-table")
+    sk.write_table(fx.jobs(spark, base), path, ["status"])
+    return sk.read_table(spark, path).select("job_id", "status", "priority")
+
+
+@query("w01_admission_stream")
+def w01(spark, base):
+    inp, out, ck = (scratch_path(spark, n) for n in ("w01-in", "w01-out", "w01-ck"))
+    fx.url_submissions(spark, base).repartition(4).write.json(inp)
+    q = admission_stream(spark, inp, fx.url_probe(spark, base), _now(), out, ck)
+    q.awaitTermination()
+    return spark.read.parquet(out).select(
+        "job_id", "page_id", "url", "status", "priority", "created_at", "completed_at",
+        "error_message", "error_class", "content_type_warning")
+
+
+@query("w02_lifecycle_stream")
+def w02(spark, base):
+    """Timeout-free run (limits far beyond the data): final states equal the batch fold."""
+    inp, out, ck = (scratch_path(spark, n) for n in ("w02-in", "w02-out", "w02-ck"))
+    fx.job_events(spark, base).repartition(4).write.parquet(inp)
+    q = lifecycle_stream(spark, inp, out, ck, timeout_minutes=10 ** 7, retention_minutes=10 ** 7)
+    q.awaitTermination()
+    return final_states(spark.read.parquet(out)).select(
+        "job_id", "status", "started_at", "completed_at", "n_events", "n_illegal")
+
+
+@query("w03_sweep_job")
+def w03(spark, base):
+    inp, out, ck = (scratch_path(spark, n) for n in ("w03-in", "w03-out", "w03-ck"))
+    fx.jobs(spark, base).repartition(4).write.parquet(inp)
+    q = sweep_stream(spark, inp, out, ck, now=_now())
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/stats").select(
+        "initial_job_count", "final_job_count", "stale_completed_removed", "stale_failed_removed",
+        "processing_timed_out")
