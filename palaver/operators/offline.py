@@ -48,16 +48,17 @@ def _sentence_scores(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, pos, n_words, score) for every sentence with a word.
 
     score = mean in-document term frequency of the sentence's words divided
-    by the number of words in the document.
+    by the number of words in the document. Term frequencies are a partial
+    aggregate on (document, word) joined back to the word rows; a document
+    that is a large share of the corpus is split by the AQE skew join.
     """
     s = _sentences(docs, id_col, text_col)
-    sw = (s.select("id", "pos", F.explode(words(F.col("sentence"))).alias("word"))
-          .groupBy("id", "pos", "word").agg(F.count(F.lit(1)).alias("c")))
-    tf = sw.groupBy("id", "word").agg(F.sum("c").alias("tf"))
-    n_doc = tf.groupBy("id").agg(F.sum("tf").alias("n_doc"))
-    per_sentence = (sw.join(tf, ["id", "word"])
+    w = s.select("id", "pos", F.explode(words(F.col("sentence"))).alias("word"))
+    tf = w.groupBy("id", "word").agg(F.count(F.lit(1)).alias("tf"))
+    per_sentence = (w.join(tf, ["id", "word"])
                     .groupBy("id", "pos")
-                    .agg(F.sum(F.col("c") * F.col("tf")).alias("tf_sum"), F.sum("c").alias("n_words")))
+                    .agg(F.sum("tf").alias("tf_sum"), F.count(F.lit(1)).alias("n_words")))
+    n_doc = per_sentence.groupBy("id").agg(F.sum("n_words").alias("n_doc"))
     return (per_sentence.join(n_doc, "id")
             .select("id", "pos", "n_words",
                     (F.col("tf_sum") / F.col("n_words") / F.col("n_doc")).alias("score")))
@@ -77,9 +78,15 @@ def ranked_sentences(docs: DataFrame, k: int, id_col: str = "job_id",
 
 
 def extractive_summary(docs: DataFrame, k: int = 3, max_tokens: int = S.MAX_SUMMARY_TOKENS,
-                       id_col: str = "job_id", text_col: str = "text") -> DataFrame:
-    """M1 (exploded): chosen sentences, kept while the running word count fits."""
-    top = ranked_sentences(docs, k, id_col, text_col)
+                       id_col: str = "job_id", text_col: str = "text",
+                       ranked: DataFrame | None = None) -> DataFrame:
+    """M1 (exploded): chosen sentences, kept while the running word count fits.
+
+    ``ranked`` (from ``ranked_sentences`` with at least ``k``) lets M1 and
+    M3 share one ranking.
+    """
+    top = (ranked if ranked is not None else ranked_sentences(docs, k, id_col, text_col)) \
+        .where(F.col("rank") <= k)
     running = F.sum("n_words").over(
         Window.partitionBy("id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     return (top.withColumn("running_words", running)
@@ -95,9 +102,11 @@ def summary_text(chosen: DataFrame, id_col: str = "job_id") -> DataFrame:
             .select(id_col, F.array_join(F.transform("_p", lambda x: x["s"]), " ").alias("summary_text")))
 
 
-def key_points(docs: DataFrame, k: int = 5, id_col: str = "job_id", text_col: str = "text") -> DataFrame:
+def key_points(docs: DataFrame, k: int = 5, id_col: str = "job_id", text_col: str = "text",
+               ranked: DataFrame | None = None) -> DataFrame:
     """M3 (exploded): the ``k`` best sentences in rank order, trimmed."""
-    return (ranked_sentences(docs, k, id_col, text_col)
+    r = ranked if ranked is not None else ranked_sentences(docs, k, id_col, text_col)
+    return (r.where(F.col("rank") <= k)
             .select(F.col("id").alias(id_col), "rank", strip(F.col("sentence")).alias("key_point")))
 
 
@@ -124,28 +133,35 @@ def topics(docs: DataFrame, k: int = 5, min_letters: int = 4, id_col: str = "job
 
 def conversation_type(docs: DataFrame, cues: dict[str, list[str]] = TYPE_CUES,
                       id_col: str = "job_id", text_col: str = "text") -> DataFrame:
-    """M4: type with the most cue-word hits; per row, no shuffle."""
-    w = words(F.col(text_col))
+    """M4: type with the most cue-word hits (ties in enum order, none gives CASUAL).
 
-    def hit_count(cue_words: list[str]):
-        vocabulary = F.array(*[F.lit(v) for v in cue_words])
-        return F.size(F.filter(w, lambda x: F.array_contains(vocabulary, x)))
-
-    hits = [(t, hit_count(c)) for t, c in cues.items()]
+    Words are exploded and kept only when they are cue words (a hashed
+    ``IN`` test), so only hits are aggregated and shuffled; the best type
+    is a partial ``max`` over at most six rows per document.
+    """
     order = {t: i for i, t in enumerate(S.CONVERSATION_TYPES)}
-    best = F.greatest(*[F.struct(h.alias("hits"), F.lit(-order[t]).alias("neg_rank"), F.lit(t).alias("type"))
-                        for t, h in hits])
-    return docs.select(F.col(id_col), best.alias("_b")).select(
-        id_col, F.col("_b.hits").alias("hits"),
-        F.when(F.col("_b.hits") > 0, F.col("_b.type")).otherwise(F.lit("CASUAL")).alias("conversation_type"))
+    all_cues = sorted({w for c in cues.values() for w in c})
+    kind = F.when(F.lit(False), F.lit(None))
+    for t, c in cues.items():
+        kind = kind.when(F.col("word").isin(*c), F.lit(t))
+    hits = (docs.select(F.col(id_col).alias("_id"), F.explode(words(F.col(text_col))).alias("word"))
+            .where(F.col("word").isin(*all_cues))
+            .groupBy("_id", kind.alias("type")).agg(F.count(F.lit(1)).alias("hits")))
+    rank = F.when(F.lit(False), F.lit(None))
+    for t, i in order.items():
+        rank = rank.when(F.col("type") == t, F.lit(-i))
+    best = hits.groupBy("_id").agg(F.max(F.struct("hits", rank.alias("neg_rank"), "type")).alias("_b"))
+    return (docs.select(F.col(id_col)).join(best, F.col(id_col) == F.col("_id"), "left")
+            .select(id_col, F.coalesce(F.col("_b.hits"), F.lit(0)).alias("hits"),
+                    F.coalesce(F.col("_b.type"), F.lit("CASUAL")).alias("conversation_type")))
 
 
 def metadata_reply(docs: DataFrame, id_col: str = "job_id", text_col: str = "text",
-                   n_topics: int = 5, n_points: int = 5) -> DataFrame:
+                   n_topics: int = 5, n_points: int = 5, ranked: DataFrame | None = None) -> DataFrame:
     """A metadata reply (JSON text) per document built from M2-M4, as a model would send."""
     t = (topics(docs, n_topics, id_col=id_col, text_col=text_col)
          .groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("rank", "word", "confidence"))).alias("_t")))
-    kp = (key_points(docs, n_points, id_col, text_col)
+    kp = (key_points(docs, n_points, id_col, text_col, ranked=ranked)
           .groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("rank", "key_point"))).alias("_k")))
     ct = conversation_type(docs, id_col=id_col, text_col=text_col)
     j = ct.join(t, id_col, "left").join(kp, id_col, "left")

@@ -68,13 +68,15 @@ def summarize_offline(transcripts: DataFrame, k: int = 3, max_tokens: int = S.MA
     checked = validate_transcripts(transcripts)
     ok_t = checked.where("ok")
     docs = ok_t.select("job_id", "text")
-    texts = (M.summary_text(M.extractive_summary(docs, k, max_tokens))
+    n_points = 5
+    ranked = M.ranked_sentences(docs, max(k, n_points))  # shared by M1 and M3
+    texts = (M.summary_text(M.extractive_summary(docs, k, max_tokens, ranked=ranked))
              .withColumnRenamed("job_id", "transcript_id"))
     # a transcript with no sentence gets an empty summary, as a model reply could be
     texts = (docs.select(F.col("job_id").alias("transcript_id")).join(texts, "transcript_id", "left")
              .select("transcript_id", F.coalesce("summary_text", F.lit("")).alias("summary_text")))
     return summarize_with_replies(transcripts, texts.withColumnRenamed("summary_text", "raw"),
-                                  M.metadata_reply(docs))
+                                  M.metadata_reply(docs, n_points=n_points, ranked=ranked))
 
 
 def batch_summarize(summaries: DataFrame, failures: DataFrame, continue_on_error: bool = True) -> DataFrame:

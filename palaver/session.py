@@ -16,9 +16,15 @@ from pyspark.sql import SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
-                  app_name: str = "palaver") -> SparkSession:
-    """Session with the settings the operators assume (ANSI, UTC, AQE)."""
+                  app_name: str = "palaver", driver_memory: str | None = None) -> SparkSession:
+    """Session with the settings the operators assume (ANSI, UTC, AQE).
+
+    ``driver_memory`` only takes effect when this call starts the JVM (local
+    mode runs every task inside the driver, so it is the executor heap too).
+    """
     builder = SparkSession.builder.appName(app_name)
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     if master:
         builder = builder.master(master)
     builder = (

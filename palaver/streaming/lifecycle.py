@@ -17,8 +17,10 @@ sink; ``final_states`` reduces it to the latest row per job.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,8 +57,8 @@ MOVES = {("PENDING", "start"): "PROCESSING", ("PENDING", "fail"): "FAILED",
          ("PROCESSING", "complete"): "COMPLETED", ("PROCESSING", "fail"): "FAILED"}
 
 
-def _ts(us):
-    return None if us is None or pd.isna(us) else pd.Timestamp(int(us), unit="us")
+def _ts(us) -> pd.Series:
+    return pd.Series([None if us is None else np.datetime64(int(us), "us")], dtype="datetime64[us]")
 
 
 def _state_fn(timeout_minutes: int, retention_minutes: int):
@@ -64,17 +66,19 @@ def _state_fn(timeout_minutes: int, retention_minutes: int):
     retention_us = retention_minutes * 60_000_000
 
     def emit(job_id, st, change):
-        return pd.DataFrame([{
-            "job_id": job_id, "status": st["status"], "started_at": _ts(st["started_us"]),
-            "completed_at": _ts(st["completed_us"]), "n_events": st["n_events"],
-            "n_illegal": st["n_illegal"], "last_seq": st["last_seq"],
-            "error_message": st["message"], "change": change}])
+        return pd.DataFrame({
+            "job_id": [job_id], "status": [st["status"]], "started_at": _ts(st["started_us"]),
+            "completed_at": _ts(st["completed_us"]), "n_events": [st["n_events"]],
+            "n_illegal": [st["n_illegal"]], "last_seq": pd.Series([st["last_seq"]], dtype="Int64"),
+            "error_message": pd.Series([st["message"]], dtype=object), "change": [change]})
 
     def set_timeout(state: GroupState, at_us: int):
         wm = state.getCurrentWatermarkMs()
         state.setTimeoutTimestamp(max(at_us // 1000, wm + 1))
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # the worker's concat of one-row outputs warns about all-null columns
+        warnings.simplefilter("ignore", FutureWarning)
         job_id = key[0]
         names = [f.name for f in STATE.fields]
         if state.hasTimedOut:
@@ -94,24 +98,28 @@ def _state_fn(timeout_minutes: int, retention_minutes: int):
                 set_timeout(state, state.getCurrentWatermarkMs() * 1000 + retention_us)
                 yield emit(job_id, st, "dropped")
             return
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("seq", kind="stable")
+        parts = list(pdfs)
+        pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        order = np.argsort(pdf["seq"].to_numpy(), kind="stable")
+        seqs = pdf["seq"].to_numpy()[order].tolist()
+        kinds = pdf["kind"].to_numpy()[order].tolist()
+        stamps = pdf["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)[order].tolist()
         if state.exists:
             st = dict(zip(names, state.get))
         else:
             st = {"status": "PENDING", "started_us": None, "completed_us": None, "n_events": 0,
                   "n_illegal": 0, "last_seq": None, "message": None, "dropped": False}
         if st["dropped"]:
-            late = dict(st, n_events=len(pdf), last_seq=int(pdf["seq"].max()))
+            late = dict(st, n_events=len(seqs), last_seq=int(seqs[-1]))
             yield emit(job_id, late, "late")
             return
-        for seq, ts, kind in zip(pdf["seq"], pdf["ts"], pdf["kind"]):
+        for seq, us, kind in zip(seqs, stamps, kinds):
             st["n_events"] += 1
             st["last_seq"] = int(seq)
             new = MOVES.get((st["status"], kind))
             if new is None:
                 st["n_illegal"] += 1
                 continue
-            us = int(pd.Timestamp(ts).value // 1000)
             if new == "PROCESSING":
                 st["started_us"] = us
             else:
