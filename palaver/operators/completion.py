@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from palaver.functions import errors as E
 from palaver.functions.replies import clean_reply, join_choices
+from palaver.session import ship_package
 
 RESULT = T.StructType([
     T.StructField("request_id", T.StringType(), False),
@@ -86,6 +87,7 @@ def complete(requests: DataFrame, client_factory: Callable[[], Callable], store:
     ``repartition(concurrency)`` bounds the number of simultaneous callers.
     """
     spark = requests.sparkSession
+    ship_package(spark)
     todo = requests.dropDuplicates(["request_id"])
     done = _stored(spark, store)
     if done is not None:

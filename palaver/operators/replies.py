@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from palaver import schemas as S
 from palaver.functions import errors as E
 from palaver.functions import replies as R
+from palaver.session import ship_package
 
 _META_FAIL = "Unexpected error during metadata extraction"
 _META_LLM_FAIL = "Failed to extract conversation metadata"
@@ -35,6 +36,8 @@ def check_json(cleaned: DataFrame, mode: str = "sql", col: str = "cleaned") -> D
     ``mode='sql'`` stays in the JVM; ``mode='exact'`` uses Python's reader
     through an Arrow-batched pandas UDF.
     """
+    if mode != "sql":
+        ship_package(cleaned.sparkSession)
     test = R.is_json_sql(F.col(col)) if mode == "sql" else R.is_json_exact(F.col(col))
     return (cleaned.withColumn("is_json", test)
             .withColumn("error_class", F.when(~F.col("is_json"), F.lit("InvalidResponseError")))

@@ -71,3 +71,39 @@ def ensure_dir(path: str) -> str:
     if "://" not in p:
         os.makedirs(p, exist_ok=True)
     return path
+
+
+_PACKAGES = ("palaver", "checks")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable in Python workers (``--py-files`` at run time).
+
+    Functions run in workers (pandas UDFs, ``mapInPandas``, stream state)
+    are pickled by reference to this package, so the workers need it too.
+    The zip is built once per session on the driver and distributed by
+    Spark; it is written below the checkpoint root when that is a local
+    path, else in a driver temp folder (Spark copies it to the executors).
+    """
+    import zipfile
+
+    if spark.conf.get("palaver.shipped", "false") == "true":
+        return
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    root = local_path(checkpoint_root(spark))
+    folder = root if "://" not in root else tempfile.mkdtemp(prefix="palaver-pyfiles-")
+    os.makedirs(folder, exist_ok=True)
+    target = os.path.join(folder, f"palaver-{uuid.uuid4().hex}.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for pkg in _PACKAGES:
+            top = os.path.join(repo, pkg)
+            if not os.path.isdir(top):
+                continue
+            for dirpath, _, files in os.walk(top):
+                if "__pycache__" in dirpath:
+                    continue
+                for f in files:
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, repo))
+    spark.sparkContext.addPyFile(target)
+    spark.conf.set("palaver.shipped", "true")

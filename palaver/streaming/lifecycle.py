@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from palaver import schemas as S
+from palaver.session import ship_package
 
 STATE = T.StructType([
     T.StructField("status", T.StringType()),
@@ -57,8 +58,12 @@ MOVES = {("PENDING", "start"): "PROCESSING", ("PENDING", "fail"): "FAILED",
          ("PROCESSING", "complete"): "COMPLETED", ("PROCESSING", "fail"): "FAILED"}
 
 
-def _ts(us) -> pd.Series:
-    return pd.Series([None if us is None else np.datetime64(int(us), "us")], dtype="datetime64[us]")
+def _ts(us) -> np.ndarray:
+    return np.array(["NaT" if us is None else int(us)], dtype="datetime64[us]")
+
+
+def _obj(v) -> np.ndarray:
+    return np.array([v], dtype=object)
 
 
 def _state_fn(timeout_minutes: int, retention_minutes: int):
@@ -66,11 +71,13 @@ def _state_fn(timeout_minutes: int, retention_minutes: int):
     retention_us = retention_minutes * 60_000_000
 
     def emit(job_id, st, change):
+        # one typed row built from numpy arrays (the cheapest pandas construction)
         return pd.DataFrame({
-            "job_id": [job_id], "status": [st["status"]], "started_at": _ts(st["started_us"]),
-            "completed_at": _ts(st["completed_us"]), "n_events": [st["n_events"]],
-            "n_illegal": [st["n_illegal"]], "last_seq": pd.Series([st["last_seq"]], dtype="Int64"),
-            "error_message": pd.Series([st["message"]], dtype=object), "change": [change]})
+            "job_id": _obj(job_id), "status": _obj(st["status"]), "started_at": _ts(st["started_us"]),
+            "completed_at": _ts(st["completed_us"]), "n_events": np.array([st["n_events"]], dtype=np.int64),
+            "n_illegal": np.array([st["n_illegal"]], dtype=np.int64),
+            "last_seq": np.array([st["last_seq"]], dtype=np.int64),
+            "error_message": _obj(st["message"]), "change": _obj(change)}, copy=False)
 
     def set_timeout(state: GroupState, at_us: int):
         wm = state.getCurrentWatermarkMs()
@@ -139,6 +146,7 @@ def lifecycle_changes(events: DataFrame, timeout_minutes: int = S.JOB_TIMEOUT_MI
                       retention_minutes: int = S.RETENTION_HOURS * 60,
                       watermark_delay: str = "10 minutes") -> DataFrame:
     """Change log of job states from a (streaming) frame ``job_id, seq, ts, kind``."""
+    ship_package(events.sparkSession)
     src = (events.select("job_id", "seq", "ts", "kind")
            .withColumn("event_time", F.col("ts").cast("timestamp"))
            .withWatermark("event_time", watermark_delay))
