@@ -134,27 +134,33 @@ def fold_transitions(events: DataFrame) -> DataFrame:
     Step 1 is the first ``start`` or ``fail``; after a ``start``, step 2 is
     the first later ``complete`` or ``fail``; every other row is illegal and
     ignored. Closed form: two partial aggregates and one join, no Python.
+    The aggregates are ``min``/``min_by`` over fixed-width values (a kind
+    code, the timestamp), so they plan as hash aggregates, not sorts.
     """
-    ev = events.select("job_id", "seq", "ts", "kind")
-    step = F.struct("seq", "kind", "ts")
+    code = F.when(F.col("kind") == "start", 1).when(F.col("kind") == "complete", 2) \
+        .when(F.col("kind") == "fail", 3)
+    ev = events.select("job_id", "seq", "ts", code.alias("k"))
+    o1 = F.when(F.col("k").isin(1, 3), F.col("seq"))
     first = (ev.groupBy("job_id")
-             .agg(F.count(F.lit(1)).alias("n_events"),
-                  F.min(F.when(F.col("kind").isin("start", "fail"), step)).alias("s1")))
-    started = first.where(F.col("s1.kind") == "start").select("job_id", F.col("s1.seq").alias("_s1"))
-    second = (ev.where(F.col("kind").isin("complete", "fail"))
+             .agg(F.count(F.lit(1)).alias("n_events"), F.min(o1).alias("s1_seq"),
+                  F.min_by("k", o1).alias("s1_k"), F.min_by("ts", o1).alias("s1_ts")))
+    started = first.where(F.col("s1_k") == 1).select("job_id", "s1_seq")
+    second = (ev.where(F.col("k").isin(2, 3))
               .join(started, "job_id")
-              .where(F.col("seq") > F.col("_s1"))
-              .groupBy("job_id").agg(F.min(step).alias("s2")))
+              .where(F.col("seq") > F.col("s1_seq"))
+              .groupBy("job_id")
+              .agg(F.min("seq").alias("s2_seq"), F.min_by("k", "seq").alias("s2_k"),
+                   F.min_by("ts", "seq").alias("s2_ts")))
     f = first.join(second, "job_id", "left")
-    k1, k2 = F.col("s1.kind"), F.col("s2.kind")
-    status = (F.when(F.col("s1").isNull(), "PENDING").when(k1 == "fail", "FAILED")
-              .when(F.col("s2").isNull(), "PROCESSING").when(k2 == "complete", "COMPLETED")
+    k1, k2 = F.col("s1_k"), F.col("s2_k")
+    status = (F.when(F.col("s1_seq").isNull(), "PENDING").when(k1 == 3, "FAILED")
+              .when(F.col("s2_seq").isNull(), "PROCESSING").when(k2 == 2, "COMPLETED")
               .otherwise("FAILED"))
-    n_legal = F.col("s1").isNotNull().cast("long") + F.col("s2").isNotNull().cast("long")
+    n_legal = F.col("s1_seq").isNotNull().cast("long") + F.col("s2_seq").isNotNull().cast("long")
     return f.select(
         "job_id", status.alias("status"),
-        F.when(k1 == "start", F.col("s1.ts")).alias("started_at"),
-        F.when(k1 == "fail", F.col("s1.ts")).otherwise(F.col("s2.ts")).alias("completed_at"),
+        F.when(k1 == 1, F.col("s1_ts")).alias("started_at"),
+        F.when(k1 == 3, F.col("s1_ts")).otherwise(F.col("s2_ts")).alias("completed_at"),
         "n_events", (F.col("n_events") - n_legal).alias("n_illegal"))
 
 

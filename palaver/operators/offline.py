@@ -55,7 +55,9 @@ def _sentence_scores(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     s = _sentences(docs, id_col, text_col)
     w = s.select("id", "pos", F.explode(words(F.col("sentence"))).alias("word"))
     tf = w.groupBy("id", "word").agg(F.count(F.lit(1)).alias("tf"))
-    per_sentence = (w.join(tf, ["id", "word"])
+    # the word rows come from an explode, whose size the planner cannot see
+    # (it estimates the compressed text): never let it broadcast them
+    per_sentence = (w.hint("merge").join(tf, ["id", "word"])
                     .groupBy("id", "pos")
                     .agg(F.sum("tf").alias("tf_sum"), F.count(F.lit(1)).alias("n_words")))
     n_doc = per_sentence.groupBy("id").agg(F.sum("n_words").alias("n_doc"))
@@ -74,7 +76,7 @@ def ranked_sentences(docs: DataFrame, k: int, id_col: str = "job_id",
     scored = _sentence_scores(docs, id_col, text_col)
     top = top_k_per_group(scored, ["id"], [F.round("score", 9).desc(), F.col("pos")], k,
                           name="rank", salt_from=["pos"])
-    return top.join(_sentences(docs, id_col, text_col), ["id", "pos"])
+    return top.join(_sentences(docs, id_col, text_col).hint("merge"), ["id", "pos"])
 
 
 def extractive_summary(docs: DataFrame, k: int = 3, max_tokens: int = S.MAX_SUMMARY_TOKENS,

@@ -22,6 +22,9 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     ``driver_memory`` only takes effect when this call starts the JVM (local
     mode runs every task inside the driver, so it is the executor heap too).
     """
+    # local runs bind to loopback; advertise the same address, or task results
+    # too large for direct return cannot be fetched back (only read at JVM start)
+    os.environ.setdefault("SPARK_LOCAL_IP", "127.0.0.1")
     builder = SparkSession.builder.appName(app_name)
     if driver_memory:
         builder = builder.config("spark.driver.memory", driver_memory)
