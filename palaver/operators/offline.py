@@ -149,13 +149,20 @@ def conversation_type(docs: DataFrame, cues: dict[str, list[str]] = TYPE_CUES,
     hits = (docs.select(F.col(id_col).alias("_id"), F.explode(words(F.col(text_col))).alias("word"))
             .where(F.col("word").isin(*all_cues))
             .groupBy("_id", kind.alias("type")).agg(F.count(F.lit(1)).alias("hits")))
-    rank = F.when(F.lit(False), F.lit(None))
+    # best type per document as one packed number: hits, then the earlier
+    # enum position wins (a hash aggregate over fixed-width values)
+    n = len(S.CONVERSATION_TYPES)
+    pos = F.when(F.lit(False), F.lit(None))
     for t, i in order.items():
-        rank = rank.when(F.col("type") == t, F.lit(-i))
-    best = hits.groupBy("_id").agg(F.max(F.struct("hits", rank.alias("neg_rank"), "type")).alias("_b"))
+        pos = pos.when(F.col("type") == t, F.lit(i))
+    packed = F.col("hits") * F.lit(n) + (F.lit(n - 1) - pos)
+    best = hits.groupBy("_id").agg(F.max(packed).alias("_p"))
+    decoded = F.when(F.lit(False), F.lit(None))
+    for t, i in order.items():
+        decoded = decoded.when(F.lit(n - 1) - F.pmod(F.col("_p"), F.lit(n)) == i, F.lit(t))
     return (docs.select(F.col(id_col)).join(best, F.col(id_col) == F.col("_id"), "left")
-            .select(id_col, F.coalesce(F.col("_b.hits"), F.lit(0)).alias("hits"),
-                    F.coalesce(F.col("_b.type"), F.lit("CASUAL")).alias("conversation_type")))
+            .select(id_col, F.coalesce(F.floor(F.col("_p") / n), F.lit(0)).alias("hits"),
+                    F.coalesce(decoded, F.lit("CASUAL")).alias("conversation_type")))
 
 
 def metadata_reply(docs: DataFrame, id_col: str = "job_id", text_col: str = "text",
