@@ -34,12 +34,18 @@ IPV4_PATTERN = r"(?<![0-9])[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}(?![
 CARD_PATTERN = r"(?<![0-9])[0-9]{16}(?![0-9])"
 PHONE_PATTERN = r"[+]1 [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}"
 PII_PATTERNS = [EMAIL_PATTERN, IPV4_PATTERN, CARD_PATTERN, PHONE_PATTERN]
+# literals every match contains: a plain substring test skips the regex
+# engine for the texts that cannot match
+PII_PREFILTERS = {EMAIL_PATTERN: "@", PHONE_PATTERN: "+1 ("}
 
 
 def has_pii(text: Column, patterns: list[str] = PII_PATTERNS) -> Column:
     hit = F.lit(False)
     for p in patterns:
-        hit = hit | F.coalesce(text.rlike(p), F.lit(False))
+        test = text.rlike(p)
+        if p in PII_PREFILTERS:
+            test = text.contains(PII_PREFILTERS[p]) & test
+        hit = hit | F.coalesce(test, F.lit(False))
     return hit
 
 
