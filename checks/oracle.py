@@ -459,9 +459,11 @@ m1v AS (
               THEN list_sort(list_filter(['conversation_type', 'key_points', 'topics'],
                                          lambda k: NOT list_contains(json_keys(s), k))) END AS missing,
          json_extract_string(s, '$.conversation_type') AS ctype,
-         json_type(s, '$.topics') = 'ARRAY' AS topics_arr,
+         coalesce(json_type(s, '$.topics') IN ('ARRAY', 'VARCHAR', 'OBJECT'), false) AS topics_arr,
          CASE WHEN json_type(s, '$.topics') = 'ARRAY'
-              THEN list_filter(list_transform(json_extract(s, '$.topics[*]'), lambda t: {TOPIC_CODE}), lambda c: c > 0)[1] END AS problem,
+              THEN list_filter(list_transform(json_extract(s, '$.topics[*]'), lambda t: {TOPIC_CODE}), lambda c: c > 0)[1]
+              WHEN json_type(s, '$.topics') = 'VARCHAR' AND json_extract_string(s, '$.topics') <> '' THEN 1
+              WHEN json_type(s, '$.topics') = 'OBJECT' AND len(json_keys(s, '$.topics')) > 0 THEN 1 END AS problem,
          CASE WHEN json_type(s, '$.topics') = 'ARRAY'
               THEN coalesce(list_bool_and(list_transform(json_extract(s, '$.topics[*]'),
                                                          lambda t: json_type(t, '$.name') = 'VARCHAR')), true) END AS names_ok,

@@ -61,8 +61,18 @@ def metadata_checks(replies: DataFrame, id_col: str = "transcript_id", raw_col:
     is_obj = F.coalesce(F.schema_of_variant(F.col("_v")).startswith("OBJECT"), F.lit(False))
     missing = R.missing_fields(F.col("cleaned"))
     ctype = R.conversation_type(F.col("_v"))
-    problem = R.first_topic_problem(F.col("_v"))
-    topics_arr = F.try_variant_get(F.col("_v"), "$.topics", "array<variant>")
+    # the service iterates whatever "topics" holds: an empty string or object
+    # gives no topics, a non-empty one yields non-object items (bad
+    # structure), and null, numbers and booleans cannot be iterated
+    tv = F.try_variant_get(F.col("_v"), "$.topics", "variant")
+    tkind = F.schema_of_variant(tv)
+    empty_other = (((tkind == "STRING") & (F.try_variant_get(tv, "$", "string") == ""))
+                   | (tkind == "OBJECT<>"))
+    iterable = tkind.startswith("ARRAY") | (tkind == "STRING") | tkind.startswith("OBJECT")
+    problem = (F.when(tkind.startswith("ARRAY"), R.first_topic_problem(F.col("_v")))
+               .when(iterable & ~empty_other, F.lit(1)))
+    topics_arr = F.when(iterable, F.coalesce(F.try_variant_get(F.col("_v"), "$.topics", "array<variant>"),
+                                             F.array().cast("array<variant>")))
     kp = F.try_variant_get(F.col("_v"), "$.key_points", "array<variant>")
     names_ok = F.forall(topics_arr, lambda t: F.schema_of_variant(
         F.try_variant_get(t, "$.name", "variant")) == "STRING")
@@ -103,7 +113,8 @@ def parse_metadata(checked: DataFrame) -> DataFrame:
     v = F.col("_v")
     return checked.where("ok").select(
         "transcript_id", "conversation_type",
-        F.try_variant_get(v, "$.topics", "array<struct<name:string,confidence_score:double>>").alias("topics"),
+        F.coalesce(F.try_variant_get(v, "$.topics", "array<struct<name:string,confidence_score:double>>"),
+                   F.array().cast("array<struct<name:string,confidence_score:double>>")).alias("topics"),
         F.try_variant_get(v, "$.key_points", "array<string>").alias("key_points"))
 
 

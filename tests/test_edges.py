@@ -223,3 +223,17 @@ def test_rule_verdict_word_boundaries_and_pii(spark):
                                "job_id string, text string")
     out = {r.transcript_id: r.reject_reason for r in ver.rule_verdict(df).collect()}
     assert out == {"a": "PROFANITY", "b": None, "c": "PII", "d": "PII", "e": "PII", "f": "PII"}
+
+
+@pytest.mark.parametrize("topics,ok,detail", [
+    ('""', True, None), ("{}", True, None), ('"ab"', False, "Invalid topic structure in metadata"),
+    ('{"a": 1}', False, "Invalid topic structure in metadata"), ("null", False, "topics is not a list"),
+    ("5", False, "topics is not a list"), ('[{"name": 3, "confidence_score": 0.5}]', False,
+                                             "topic names and key points must be strings")])
+def test_topics_of_any_json_type(spark, topics, ok, detail):
+    raw = '{"conversation_type": "FORMAL", "topics": %s, "key_points": ["k"]}' % topics
+    df = spark.createDataFrame([("t", raw)], "transcript_id string, raw string")
+    r = rp.metadata_checks(df).first()
+    assert (r.ok, r.detail) == (ok, detail)
+    if ok:
+        assert rp.parse_metadata(rp.metadata_checks(df)).first().topics == []
