@@ -60,14 +60,18 @@ def rule_verdict(texts: DataFrame, id_col: str = "job_id", text_col: str = "text
     plan, no shuffle, no join, no Python.
     """
     t = F.col(text_col)
-    prof, hate, pii = has_any_word(t, profanity), has_any_word(t, hate_speech), has_pii(t, pii_patterns)
-    reason = (F.when(prof, F.lit("PROFANITY")).when(hate, F.lit("HATE_SPEECH"))
-              .when(pii, F.lit("PII")))
-    return texts.select(
-        F.col(id_col).alias("transcript_id"),
-        *[c for c in texts.columns if c in ("language",)],
-        reason.isNull().alias("is_safe"), reason.alias("reject_reason"),
-        prof.alias("has_profanity"), hate.alias("has_hate_speech"), pii.alias("has_pii"))
+    keep = [c for c in texts.columns if c in ("language",)]
+    # flags first, reason from the flag columns: each test runs once per row
+    flags = texts.select(
+        F.col(id_col).alias("transcript_id"), *keep,
+        has_any_word(t, profanity).alias("has_profanity"),
+        has_any_word(t, hate_speech).alias("has_hate_speech"),
+        has_pii(t, pii_patterns).alias("has_pii"))
+    reason = (F.when(F.col("has_profanity"), F.lit("PROFANITY"))
+              .when(F.col("has_hate_speech"), F.lit("HATE_SPEECH"))
+              .when(F.col("has_pii"), F.lit("PII")))
+    return flags.select("transcript_id", *keep, reason.isNull().alias("is_safe"), reason.alias("reject_reason"),
+                        "has_profanity", "has_hate_speech", "has_pii")
 
 
 def verdict_report(verdicts: DataFrame, by: str = "language") -> DataFrame:
