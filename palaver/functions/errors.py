@@ -30,14 +30,6 @@ TAXONOMY = [
     ("JobQueueError", "JobError", 503),
 ]
 
-# Client error kinds, the class they map to and its message.
-CLIENT_ERRORS = [
-    ("timeout", "LLMTimeoutError", "Request to language model timed out"),
-    ("rate_limit", "LLMRateLimitError", "Rate limit exceeded for language model"),
-    ("connection", "LLMConnectionError", "Failed to connect to language model service"),
-    ("context_length", "TokenLimitError", "Input exceeds maximum token limit"),
-]
-
 TAXONOMY_SCHEMA = T.StructType([
     T.StructField("error_class", T.StringType(), False),
     T.StructField("parent_class", T.StringType(), True),

@@ -53,6 +53,8 @@ CHANGES = T.StructType([
     T.StructField("change", T.StringType()),
 ])
 
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 # Legal moves (state, event kind) -> new state.
 MOVES = {("PENDING", "start"): "PROCESSING", ("PENDING", "fail"): "FAILED",
          ("PROCESSING", "complete"): "COMPLETED", ("PROCESSING", "fail"): "FAILED"}
@@ -173,7 +175,15 @@ def lifecycle_stream(spark, events_dir: str, out_dir: str, checkpoint_dir: str,
                      timeout_minutes: int = S.JOB_TIMEOUT_MINUTES,
                      retention_minutes: int = S.RETENTION_HOURS * 60,
                      available_now: bool = True):
-    """Start W2 over parquet event files; the change log is appended to ``out_dir``."""
+    """Start W2 over parquet event files; the change log is appended to ``out_dir``.
+
+    Per-job state goes to the RocksDB state store (off-heap, sized for
+    millions of keys) unless the session already names a provider; a query
+    restarted from its checkpoint keeps the provider it started with.
+    """
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if spark.conf.get(key, "").endswith("HDFSBackedStateStoreProvider") or not spark.conf.get(key, ""):
+        spark.conf.set(key, ROCKSDB_PROVIDER)
     schema = T.StructType([T.StructField("job_id", T.StringType()), T.StructField("seq", T.LongType()),
                            T.StructField("ts", T.TimestampNTZType()), T.StructField("kind", T.StringType())])
     events = spark.readStream.schema(schema).parquet(events_dir)
