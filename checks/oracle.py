@@ -726,6 +726,7 @@ FROM jobs"""
 
 ORACLE["s05_write_job_table"] = with_(JOBS) + "SELECT job_id, status, priority FROM jobs"
 
+ORACLE["s05_write_verdicts"] = ORACLE["v03_rule_verdict"]
 ORACLE["w01_admission_stream"] = ORACLE["u06_admit"]
 ORACLE["w02_lifecycle_stream"] = ORACLE["j04_fold_transitions"]
 ORACLE["w03_sweep_job"] = ORACLE["j10_sweep_stats"]

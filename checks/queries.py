@@ -546,10 +546,19 @@ def s04(spark, base):
 @query("s05_write_job_table")
 def s05(spark, base):
     path = scratch_path(spark, "job-table")
-    sk.write_table(fx.jobs(spark, base), path, ["status"])
+    sk.write_job_table(fx.jobs(spark, base), path)
     return sk.read_table(spark, path).select("job_id", "status", "priority")
 
 
+@query("s05_write_verdicts")
+def s05v(spark, base):
+    path = scratch_path(spark, "verdicts")
+    verdicts = ver.rule_verdict(fx.doc_transcripts(spark, base))
+    sk.write_verdicts(verdicts, path)
+    return sk.read_table(spark, path, verdicts.schema).select(
+        "transcript_id", "is_safe", "reject_reason", "has_profanity", "has_hate_speech", "has_pii")
+
+
 @query("w01_admission_stream")
 def w01(spark, base):
     inp, out, ck = (scratch_path(spark, n) for n in ("w01-in", "w01-out", "w01-ck"))

@@ -36,5 +36,23 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     w.parquet(path)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """Read a table back; pass its schema so partition columns keep their types
+    (discovery reads ``is_safe=true`` folders as strings)."""
+    r = spark.read.schema(schema) if schema is not None else spark.read
+    return r.parquet(path)
+
+
+def write_job_table(jobs: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Job table by status (sweeps and status lists read only their partitions)."""
+    write_table(jobs, path, ["status"], mode)
+
+
+def write_summaries(summaries: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Summary records (nested topics, speakers, key points) by conversation type."""
+    write_table(summaries, path, ["conversation_type"], mode)
+
+
+def write_verdicts(verdicts: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Verdicts by safety, so rejected texts are read without the safe ones."""
+    write_table(verdicts, path, ["is_safe"], mode)

@@ -237,3 +237,15 @@ def test_topics_of_any_json_type(spark, topics, ok, detail):
     assert (r.ok, r.detail) == (ok, detail)
     if ok:
         assert rp.parse_metadata(rp.metadata_checks(df)).first().topics == []
+
+
+def test_error_classes_with_cause_chains(spark):
+    from palaver.functions.errors import taxonomy
+    errs = spark.createDataFrame([("TokenLimitError", ["ctx too long", "Input exceeds maximum token limit"]),
+                                  ("SomethingElse", ["boom"]), ("JobNotFoundError", [])],
+                                 "error_class string, causes array<string>")
+    out = {r.error_class: r for r in jb.classify_errors(errs, taxonomy(spark), causes_col="causes").collect()}
+    assert (out["TokenLimitError"].parent_class, out["TokenLimitError"].status_code) == ("LLMError", 400)
+    assert out["TokenLimitError"].root_cause == "Input exceeds maximum token limit"
+    assert out["SomethingElse"].status_code == 500 and out["SomethingElse"].parent_class is None
+    assert out["JobNotFoundError"].status_code == 404 and out["JobNotFoundError"].root_cause is None
