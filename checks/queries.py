@@ -575,7 +575,8 @@ def w02(spark, base):
     """Timeout-free run (limits far beyond the data): final states equal the batch fold."""
     inp, out, ck = (scratch_path(spark, n) for n in ("w02-in", "w02-out", "w02-ck"))
     fx.job_events(spark, base).repartition(4).write.parquet(inp)
-    q = lifecycle_stream(spark, inp, out, ck, timeout_minutes=10 ** 7, retention_minutes=10 ** 7)
+    q = lifecycle_stream(spark, inp, out, ck, timeout_minutes=10 ** 7, retention_minutes=10 ** 7,
+                         state_partitions=2 * spark.sparkContext.defaultParallelism)
     q.awaitTermination()
     return final_states(spark.read.parquet(out)).select(
         "job_id", "status", "started_at", "completed_at", "n_events", "n_illegal")

@@ -174,12 +174,15 @@ def final_states(changes: DataFrame) -> DataFrame:
 def lifecycle_stream(spark, events_dir: str, out_dir: str, checkpoint_dir: str,
                      timeout_minutes: int = S.JOB_TIMEOUT_MINUTES,
                      retention_minutes: int = S.RETENTION_HOURS * 60,
-                     available_now: bool = True):
+                     available_now: bool = True, state_partitions: int | None = None):
     """Start W2 over parquet event files; the change log is appended to ``out_dir``.
 
     Per-job state goes to the RocksDB state store (off-heap, sized for
     millions of keys) unless the session already names a provider; a query
     restarted from its checkpoint keeps the provider it started with.
+    ``state_partitions`` sets the number of state partitions of a new query
+    (fixed in its checkpoint from then on); by default the session's
+    ``spark.sql.shuffle.partitions``.
     """
     key = "spark.sql.streaming.stateStore.providerClass"
     if spark.conf.get(key, "").endswith("HDFSBackedStateStoreProvider") or not spark.conf.get(key, ""):
@@ -190,4 +193,12 @@ def lifecycle_stream(spark, events_dir: str, out_dir: str, checkpoint_dir: str,
     w = (lifecycle_changes(events, timeout_minutes, retention_minutes).writeStream.format("parquet")
          .option("path", out_dir).option("checkpointLocation", checkpoint_dir).outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    return w.start()
+    if state_partitions is None:
+        return w.start()
+    # the query clones the session conf when it starts; restore it right after
+    prev = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    try:
+        return w.start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", prev)
