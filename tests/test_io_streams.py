@@ -129,3 +129,43 @@ def test_sweep_stream_matches_batch(spark):
     sweep_stream(spark, inp, out, ck, now=now).awaitTermination()
     got = spark.read.parquet(f"{out}/stats").drop("batch_id", "batch").first().asDict()
     assert got == jb.sweep_stats(jobs, now).first().asDict()
+
+
+def test_admission_stream_restarts_without_duplicates(spark):
+    """Re-running from the checkpoint admits nothing twice; a new file is admitted once."""
+    from palaver.streaming.admission import admission_stream
+    subs = fx.url_submissions(spark, SF_SMALL)
+    probe = fx.url_probe(spark, SF_SMALL)
+    now = fx.ts_ntz(fx.CLOCK)
+    inp, out, ck = (scratch_path(spark, n) for n in ("t-w1-in", "t-w1-out", "t-w1-ck"))
+    subs.where("page_id % 2 = 0").write.json(inp)
+    admission_stream(spark, inp, probe, now, out, ck).awaitTermination()
+    first = spark.read.parquet(out).count()
+    admission_stream(spark, inp, probe, now, out, ck).awaitTermination()   # restart, no new data
+    assert spark.read.parquet(out).count() == first
+    subs.where("page_id % 2 = 1").write.mode("append").json(inp)
+    admission_stream(spark, inp, probe, now, out, ck).awaitTermination()
+    got = spark.read.parquet(out)
+    assert got.count() == subs.count()
+    assert got.select("page_id").distinct().count() == subs.count()
+
+
+def test_complete_resumes_after_a_partial_run(spark):
+    """Requests stored by an earlier (interrupted) run are never sent again."""
+    req = pr.build_requests(fx.doc_transcripts(spark, SF_SMALL), "", ["verification"])
+    store = scratch_path(spark, "test-resume")
+    done_ids = req.where(F.length("user_content") % 2 == 0)
+    cp.complete(done_ids, stub_client_factory, store)
+    marked = {r.request_id for r in done_ids.select("request_id").collect()}
+
+    def refusing_factory():
+        def client(system, user, max_tokens, temperature):
+            if len(user) % 2 == 0:
+                raise RuntimeError("called twice")
+            return {"choices": ["{}"], "prompt_tokens": 1, "completion_tokens": 1, "model": "m"}
+        return client
+
+    full = cp.complete(req, refusing_factory, store)
+    assert full.count() == req.count()
+    again = full.where(F.col("request_id").isin(list(marked)) & (F.col("error_kind") == "other"))
+    assert again.count() == 0
