@@ -40,15 +40,25 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("language", F.coalesce(F.col("language"), F.lit("en")))
 
 
-def read_examples(spark: SparkSession, path: str = EXAMPLES_PATH, n: int = 2) -> DataFrame:
-    """S3: the first ``n`` few-shot examples of a multi-line JSON file."""
-    raw = spark.read.schema(EXAMPLES_SCHEMA).option("multiLine", True).json(path)
+def read_examples(spark: SparkSession, path: str | None = None, n: int = 2) -> DataFrame:
+    """S3: the first ``n`` few-shot examples of a multi-line JSON file.
+
+    A ``path`` must be readable by the executors (shared storage). The
+    packaged default exists only where the package is installed, so it is
+    read on the driver (a few examples) and parsed by Spark's JSON reader.
+    """
+    reader = spark.read.schema(EXAMPLES_SCHEMA)
+    if path is None:
+        with open(EXAMPLES_PATH, encoding="utf-8") as f:
+            raw = reader.json(spark.sparkContext.parallelize([f.read()], 1))
+    else:
+        raw = reader.option("multiLine", True).json(path)
     return (raw.select(F.posexplode("examples").alias("pos", "ex"))
             .where(F.col("pos") < n)
             .select("pos", "ex.*"))
 
 
-def examples_prefix(spark: SparkSession, path: str = EXAMPLES_PATH, n: int = 2,
+def examples_prefix(spark: SparkSession, path: str | None = None, n: int = 2,
                     header: str = "Example transcripts with their summaries:") -> str:
     """The few-shot block of the summary prompt, built once on the driver.
 
