@@ -44,17 +44,30 @@ def _sentences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.posexplode(sentences(F.col(text_col))).alias("pos", "sentence"))
 
 
-def _sentence_scores(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def word_rows(docs: DataFrame, id_col: str = "job_id", text_col: str = "text") -> DataFrame:
+    """(id, pos, word): every word occurrence with its sentence position."""
+    return (_sentences(docs, id_col, text_col)
+            .select("id", "pos", F.explode(words(F.col("sentence"))).alias("word")))
+
+
+def term_counts(w: DataFrame) -> DataFrame:
+    """(id, word, tf): a partial aggregate over the word rows.
+
+    Words never cross a sentence boundary (terminators are not letters), so
+    these are also the per-document word counts of the whole text and can be
+    passed to ``topics``.
+    """
+    return w.groupBy("id", "word").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _sentence_scores(w: DataFrame, tf: DataFrame) -> DataFrame:
     """(id, pos, n_words, score) for every sentence with a word.
 
     score = mean in-document term frequency of the sentence's words divided
-    by the number of words in the document. Term frequencies are a partial
-    aggregate on (document, word) joined back to the word rows; a document
-    that is a large share of the corpus is split by the AQE skew join.
+    by the number of words in the document. Term frequencies are joined back
+    to the word rows; a document that is a large share of the corpus is
+    split by the AQE skew join.
     """
-    s = _sentences(docs, id_col, text_col)
-    w = s.select("id", "pos", F.explode(words(F.col("sentence"))).alias("word"))
-    tf = w.groupBy("id", "word").agg(F.count(F.lit(1)).alias("tf"))
     # the word rows come from an explode, whose size the planner cannot see
     # (it estimates the compressed text): never let it broadcast them
     per_sentence = (w.hint("merge").join(tf, ["id", "word"])
@@ -66,14 +79,17 @@ def _sentence_scores(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     (F.col("tf_sum") / F.col("n_words") / F.col("n_doc")).alias("score")))
 
 
-def ranked_sentences(docs: DataFrame, k: int, id_col: str = "job_id",
-                     text_col: str = "text") -> DataFrame:
+def ranked_sentences(docs: DataFrame, k: int, id_col: str = "job_id", text_col: str = "text",
+                     w: DataFrame | None = None, tf: DataFrame | None = None) -> DataFrame:
     """Top ``k`` sentences per document by round(score, 9) desc, then position.
 
     The sentence text is joined back only for the chosen ``k`` per document,
-    so the scoring shuffles carry keys and numbers, not text.
+    so the scoring shuffles carry keys and numbers, not text. ``w`` and
+    ``tf`` (from ``word_rows`` / ``term_counts``) may be shared with M2.
     """
-    scored = _sentence_scores(docs, id_col, text_col)
+    w = w if w is not None else word_rows(docs, id_col, text_col)
+    tf = tf if tf is not None else term_counts(w)
+    scored = _sentence_scores(w, tf)
     top = top_k_per_group(scored, ["id"], [F.round("score", 9).desc(), F.col("pos")], k,
                           name="rank", salt_from=["pos"])
     return top.join(_sentences(docs, id_col, text_col).hint("merge"), ["id", "pos"])
@@ -113,16 +129,17 @@ def key_points(docs: DataFrame, k: int = 5, id_col: str = "job_id", text_col: st
 
 
 def topics(docs: DataFrame, k: int = 5, min_letters: int = 4, id_col: str = "job_id",
-           text_col: str = "text") -> DataFrame:
+           text_col: str = "text", tf: DataFrame | None = None) -> DataFrame:
     """M2 (exploded): ``k`` topic words per document with a confidence in [0, 1].
 
     score = f * ln((1 + N) / (1 + df)); confidence = score / best score of
-    the document, 0 when the best score is 0.
+    the document, 0 when the best score is 0. ``tf`` (``term_counts``) may
+    be shared with M1.
     """
     n_docs = docs.select(F.count(F.lit(1))).scalar()
-    f = (docs.select(F.col(id_col).alias("id"), F.explode(words(F.col(text_col))).alias("word"))
-         .where(F.length("word") >= min_letters)
-         .groupBy("id", "word").agg(F.count(F.lit(1)).alias("f")))
+    if tf is None:
+        tf = term_counts(docs.select(F.col(id_col).alias("id"), F.explode(words(F.col(text_col))).alias("word")))
+    f = tf.where(F.length("word") >= min_letters).withColumnRenamed("tf", "f")
     df_ = f.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     scored = f.join(df_, "word").select(
         "id", "word", (F.col("f") * F.log((F.lit(1) + n_docs) / (F.lit(1) + F.col("df")))).alias("score"))
@@ -166,9 +183,10 @@ def conversation_type(docs: DataFrame, cues: dict[str, list[str]] = TYPE_CUES,
 
 
 def metadata_reply(docs: DataFrame, id_col: str = "job_id", text_col: str = "text",
-                   n_topics: int = 5, n_points: int = 5, ranked: DataFrame | None = None) -> DataFrame:
+                   n_topics: int = 5, n_points: int = 5, ranked: DataFrame | None = None,
+                   tf: DataFrame | None = None) -> DataFrame:
     """A metadata reply (JSON text) per document built from M2-M4, as a model would send."""
-    t = (topics(docs, n_topics, id_col=id_col, text_col=text_col)
+    t = (topics(docs, n_topics, id_col=id_col, text_col=text_col, tf=tf)
          .groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("rank", "word", "confidence"))).alias("_t")))
     kp = (key_points(docs, n_points, id_col, text_col, ranked=ranked)
           .groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("rank", "key_point"))).alias("_k")))
