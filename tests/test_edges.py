@@ -249,3 +249,11 @@ def test_error_classes_with_cause_chains(spark):
     assert out["TokenLimitError"].root_cause == "Input exceeds maximum token limit"
     assert out["SomethingElse"].status_code == 500 and out["SomethingElse"].parent_class is None
     assert out["JobNotFoundError"].status_code == 404 and out["JobNotFoundError"].root_cause is None
+
+
+def test_split_outcomes(spark):
+    from palaver.plans.outcomes import split
+    df = spark.createDataFrame([("a", "x" * 60), ("b", "short")], "job_id string, text string")
+    ok, rejected = split(tr.validate_transcripts(df), "job_id")
+    assert [r.job_id for r in ok.collect()] == ["a"] and "message" not in ok.columns
+    assert rows(rejected, "id", "error_class") == [("b", "SummaryError")]
