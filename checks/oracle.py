@@ -607,7 +607,7 @@ def m4_cte(src: str = "doc_transcripts") -> str:
     return rf"""m4h AS (
   SELECT job_id, {hits}
   FROM (SELECT job_id, regexp_extract_all(lower(text), '[\p{{L}}]+') AS w FROM {src}) x),
-m4 AS (SELECT job_id, {g} AS hits, CASE WHEN {g} = 0 THEN 'CASUAL' {pick} END AS conversation_type FROM m4h)"""
+m4 AS (SELECT job_id, CAST({g} AS BIGINT) AS hits, CASE WHEN {g} = 0 THEN 'CASUAL' {pick} END AS conversation_type FROM m4h)"""
 
 
 ORACLE["m01_extractive_summary"] = with_(DOC_TRANSCRIPTS, m1_ctes()) + """

@@ -361,7 +361,8 @@ def _docs(spark, base):
 @query("m01_extractive_summary")
 def m01(spark, base):
     return off.extractive_summary(_docs(spark, base)).select(
-        "job_id", "rank", "pos", "n_words", "running_words", F.round("score", 9).alias("score"))
+        "job_id", "rank", F.col("pos").cast("long").alias("pos"), "n_words", "running_words",
+        F.round("score", 9).alias("score"))
 
 
 @query("m01_summary_text")
@@ -431,7 +432,7 @@ from palaver.sources.readers import examples_prefix  # noqa: E402
 def t05(spark, base):
     t = fx.doc_transcripts(spark, base)
     return tr.transcripts_for_jobs(fx.jobs(spark, base).select("job_id", "status"), t).select(
-        "job_id", "status", "language", F.length("text").alias("n_chars"))
+        "job_id", "status", "language", F.length("text").cast("long").alias("n_chars"))
 
 
 @query("t06_summarizable")
@@ -443,14 +444,15 @@ def t06(spark, base):
 def p01(spark, base):
     prefix = examples_prefix(spark)
     p = fx.doc_transcripts(spark, base).select("job_id", pr.summary_prompt(F.col("text"), prefix).alias("p"))
-    return p.select("job_id", F.length("p").alias("prompt_chars"), F.sha2("p", 256).alias("prompt_sha256"))
+    return p.select("job_id", F.length("p").cast("long").alias("prompt_chars"),
+                    F.sha2("p", 256).alias("prompt_sha256"))
 
 
 @query("p02_build_requests")
 def p02(spark, base):
     r = pr.build_requests(fx.doc_transcripts(spark, base), examples_prefix(spark))
     return r.select("request_id", "job_id", "task", "max_tokens", "temperature", "expect_json",
-                    F.length("user_content").alias("content_chars"))
+                    F.length("user_content").cast("long").alias("content_chars"))
 
 
 def _completed(spark, base):

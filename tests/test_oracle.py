@@ -4,7 +4,7 @@ rows-only run for the queries without one."""
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
-from checks.compare import _rows
+from checks.compare import _rows, type_differences
 from tests.conftest import SF_SMALL
 
 QUERIES = queries()
@@ -29,6 +29,7 @@ def test_matches_duckdb(spark, duck, name):
     cols, srows = df.columns, [tuple(r) for r in df.collect()]
     rel = duck.sql(ORACLE[name])
     assert sorted(cols) == sorted(rel.columns)
+    assert type_differences(df.schema, rel.columns, rel.types) == {}
     assert _rows(cols, srows) == _rows(rel.columns, rel.fetchall())
 
 
