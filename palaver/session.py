@@ -110,3 +110,29 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, repo))
     spark.sparkContext.addPyFile(target)
     spark.conf.set("palaver.shipped", "true")
+
+
+def cluster_settings(input_bytes: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings for a large cluster run, sized from the bytes the job reads.
+
+    Shuffle partitions start at input size / 256 MiB (AQE coalesces small
+    ones and splits skewed ones); skew splitting is forced even where it adds
+    a shuffle (a join followed by an aggregate on the same key, as in J4 and
+    M1); stream state goes to RocksDB. Apply with ``SparkSession.builder
+    .config(map=...)`` or ``spark.conf.set`` before the queries run.
+    """
+    partitions = max(200, -(-input_bytes // partition_bytes))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * partition_bytes),
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    }

@@ -257,3 +257,11 @@ def test_split_outcomes(spark):
     ok, rejected = split(tr.validate_transcripts(df), "job_id")
     assert [r.job_id for r in ok.collect()] == ["a"] and "message" not in ok.columns
     assert rows(rejected, "id", "error_class") == [("b", "SummaryError")]
+
+
+def test_cluster_settings_scale_with_input():
+    from palaver.session import cluster_settings
+    small, big = cluster_settings(1 << 30), cluster_settings(100 << 40)
+    assert small["spark.sql.shuffle.partitions"] == "200"
+    assert int(big["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
+    assert big["spark.sql.adaptive.forceOptimizeSkewedJoin"] == "true"
