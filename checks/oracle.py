@@ -340,6 +340,7 @@ SELECT q.requested_id,
        CASE WHEN j.status IN ('PENDING', 'PROCESSING') THEN {NOW} END AS completed_at,
        CASE WHEN j.job_id IS NULL THEN 'JobNotFoundError'
             WHEN j.status NOT IN ('PENDING', 'PROCESSING') THEN 'InvalidJobStateError' END AS error_class,
+       'Failed to update job: ' ||
        CASE WHEN j.job_id IS NULL THEN 'Job ' || q.requested_id || ' not found'
             WHEN j.status NOT IN ('PENDING', 'PROCESSING') THEN 'Cannot mark job as failed from state JobStatus.' || j.status END AS message
 FROM requested q LEFT JOIN jobs j ON q.requested_id = j.job_id"""

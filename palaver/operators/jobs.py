@@ -225,7 +225,11 @@ def list_jobs(jobs: DataFrame, status: str | None = None) -> DataFrame:
 
 def fail_system_error(jobs: DataFrame, ids: DataFrame, message: str, now: Column,
                       id_col: str = "job_id") -> DataFrame:
-    """Per requested id: moved to FAILED with 'System error: ..', or why not."""
+    """Per requested id: moved to FAILED with 'System error: ..', or why not.
+
+    ``error_class`` keeps the root class (JobNotFoundError or
+    InvalidJobStateError); ``message`` is the service's wrapped text.
+    """
     req = ids.select(F.col(id_col).alias("requested_id")).distinct()
     j = req.join(jobs.select("job_id", "status"), req.requested_id == F.col("job_id"), "left")
     found = F.col("job_id").isNotNull()
@@ -238,9 +242,11 @@ def fail_system_error(jobs: DataFrame, ids: DataFrame, message: str, now: Column
         F.when(legal, now).alias("completed_at"),
         F.when(~found, F.lit("JobNotFoundError")).when(~legal, F.lit("InvalidJobStateError"))
          .alias("error_class"),
-        F.when(~found, F.concat(F.lit("Job "), F.col("requested_id"), F.lit(" not found")))
-         .when(~legal, F.concat(F.lit("Cannot mark job as failed from state "), _enum(F.col("status"))))
-         .alias("message"))
+        # the service wraps both failures: JobError("Failed to update job: ..")
+        F.concat(F.lit("Failed to update job: "),
+                 F.when(~found, F.concat(F.lit("Job "), F.col("requested_id"), F.lit(" not found")))
+                 .when(~legal, F.concat(F.lit("Cannot mark job as failed from state "),
+                                        _enum(F.col("status"))))).alias("message"))
 
 
 # -- J9 / J10 ---------------------------------------------------------------
