@@ -92,7 +92,14 @@ def ranked_sentences(docs: DataFrame, k: int, id_col: str = "job_id", text_col:
     scored = _sentence_scores(w, tf)
     top = top_k_per_group(scored, ["id"], [F.round("score", 9).desc(), F.col("pos")], k,
                           name="rank", salt_from=["pos"])
-    return top.join(_sentences(docs, id_col, text_col).hint("merge"), ["id", "pos"])
+    # at most k picks per document; fetch their text with one sentence split
+    # of the document instead of joining every sentence of the corpus
+    picks = top.groupBy("id").agg(F.collect_list(F.struct("pos", "rank", "n_words", "score")).alias("_p"))
+    text = docs.select(F.col(id_col).alias("id"), sentences(F.col(text_col)).alias("_s"))
+    return (picks.join(text.hint("merge"), "id")
+            .select("id", F.explode(F.transform("_p", lambda p: p.withField(
+                "sentence", F.element_at(F.col("_s"), p["pos"] + 1)))).alias("_x"))
+            .select("id", "_x.pos", "_x.rank", "_x.n_words", "_x.score", "_x.sentence"))
 
 
 def extractive_summary(docs: DataFrame, k: int = 3, max_tokens: int = S.MAX_SUMMARY_TOKENS,
