@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import mixing, packing, token_counts, topk, url_filter
-from palaver.llm.common import table, tokenizer_path
+from palaver.llm import language, mixing, packing, token_counts, topk, toxicity, url_filter
+from palaver.llm.common import id_crc, table, tokenizer_path
 from palaver.session import scratch_path
 
 URL_RULES = [
@@ -30,6 +30,14 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(id_crc() % 4 == 2, F.lit(False))
+    model = language.fit(docs, learn=id_crc() % 4 != 2)
+    seen = docs.select("doc_id", held_out.alias("held_out"), model.column(F.col("text")).alias("p"))
+    return seen.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.rejected")
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.filter(F.col("id") % 50 == 0), k=5)
@@ -45,10 +53,20 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      scratch_path(spark, "token-cache"), limit=4096)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn=id_crc() % 5 != 0)
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(id_crc() % 5 == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_url_filters": op3_url_filters,
+    "op5_language_id": op5_language_id,
     "op6_exact_topk": op6_exact_topk,
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
+    "op10_toxicity": op10_toxicity,
 }
