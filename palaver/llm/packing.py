@@ -12,7 +12,7 @@ pieces of that length, and per (length, task) offsets turn these into one
 numbering. Written rows keep their numbers whichever executor is lost later.
 
 Words are encoded once per task: the tokenizer treats the text between white
-space on its own, so the ids of a chunk are kept (up to ``CACHE_CHUNKS``) and
+space on its own, so the ids of a chunk are kept (up to ``CACHE_WORDS``) and
 joined as bytes.
 
 Defined results: a null or empty text is the closing id alone (one piece of
@@ -21,6 +21,8 @@ length 1); repeated rows are packed each; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import array
+import re
 import zlib
 
 from pyspark.sql import DataFrame, Window
@@ -28,8 +30,12 @@ from pyspark.sql import functions as F
 
 from palaver.llm.common import slices, stored, whole_text
 
-CACHE_CHUNKS = 300_000
-ROWS = 128
+CACHE_WORDS = 300_000  # entries of each of a task's two caches
+ROWS = 512
+# Fixed values, as in the tokenizer's file: how it cuts lower-case text without white space. Over
+# LATIN characters a word character is a letter, a digit or "_", and "_" counts as a mark.
+LATIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[\W_]+")
 ID_BYTES = 4
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, task int, place long"
 
@@ -50,26 +56,53 @@ def cuts(n: int, longest: int) -> list[tuple[int, int]]:
 
 
 class ChunkEncoder:
-    """Token ids of whole texts as little-endian 32-bit bytes."""
+    """Token ids of whole texts as little-endian 32-bit bytes.
+
+    ``chunks`` keeps the ids of what stands between white space, ``parts`` those
+    of the words and marks that the tokenizer cuts a chunk into. Only chunks of
+    Latin characters are cut here (composed already, with one lower case); the
+    tokenizer gets any other chunk, and any part not seen before, itself.
+    """
 
     def __init__(self, model_path: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(model_path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.known: dict[str, bytes] = {"": b""}
+        self.chunks: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
+        special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+
+    def _encode(self, texts: list[str]) -> dict[str, bytes]:
+        out = {}
+        for lo, hi in slices(len(texts), 4096):
+            part = texts[lo:hi]
+            for c, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
+                out[c] = array.array("I", e.ids).tobytes()
+        return out
+
+    def _fresh(self, missing: list[str]) -> dict[str, bytes]:
+        cut, whole = {}, []
+        for c in missing:
+            if LATIN.fullmatch(c) and not (self.special and self.special.search(c)):
+                cut[c] = PART.findall(c.lower())
+            else:
+                whole.append(c)
+        parts = self.parts
+        new = self._encode(list({p for ps in cut.values() for p in ps if p not in parts}))
+        if len(parts) + len(new) <= CACHE_WORDS:
+            parts.update(new)
+        out = {c: b"".join([parts[p] if p in parts else new[p] for p in ps]) for c, ps in cut.items()}
+        out.update(self._encode(whole))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-        # blank and line feed only: the tokenizer itself handles other white space inside a chunk
+        # blank and line feed only: other white space stays inside a chunk
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        known, fresh = self.known, {}
-        missing = list({c for s in split for c in s if c not in known})
-        for lo, hi in slices(len(missing), 4096):
-            part = missing[lo:hi]
-            for c, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                fresh[c] = np.array(e.ids, dtype="<u4").tobytes()
-        if len(known) + len(fresh) <= CACHE_CHUNKS:
+        known = self.chunks
+        fresh = self._fresh(list({c for s in split for c in s if c not in known}))
+        if len(known) + len(fresh) <= CACHE_WORDS:
             known.update(fresh)
             return [b"".join([known[c] for c in s]) for s in split]
         return [b"".join([known[c] if c in known else fresh[c] for c in s]) for s in split]
