@@ -34,10 +34,14 @@ CACHE_WORDS = 300_000  # entries of each of a task's two caches
 ROWS = 512
 # Fixed values, as in the tokenizer's file: how it cuts lower-case text without white space. Over
 # LATIN characters a word character is a letter, a digit or "_", and "_" counts as a mark.
-LATIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+LATIN_LINES = re.compile("[\n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*")
 PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[\W_]+")
 ID_BYTES = 4
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, task int, place long"
+# Fixed rule of byte-level vocabularies: printable Latin-1 bytes show as themselves, the others, in
+# order, as the characters from U+0100 on.
+PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+SHOWN = {b: 0x100 + i for i, b in enumerate(b for b in range(0x100) if b not in PRINTED)}
 
 
 def cuts(n: int, longest: int) -> list[tuple[int, int]]:
@@ -75,25 +79,36 @@ class ChunkEncoder:
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
 
     def _encode(self, texts: list[str]) -> dict[str, bytes]:
-        out = {}
-        for lo, hi in slices(len(texts), 4096):
-            part = texts[lo:hi]
-            for c, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                out[c] = array.array("I", e.ids).tobytes()
-        return out
+        """Ids of whole chunks, by the tokenizer."""
+        return {c: array.array("I", e.ids).tobytes()
+                for c, e in zip(texts, self.tok.encode_batch_fast(texts, add_special_tokens=False))} if texts else {}
+
+    def _encode_part(self, part: str) -> bytes:
+        """Ids of one lower-case word or run of marks, by the tokenizer's model."""
+        if not part.isascii():
+            part = part.encode("utf-8").decode("latin-1").translate(SHOWN)
+        return array.array("I", [t.id for t in self.tok.model.tokenize(part)]).tobytes()
 
     def _fresh(self, missing: list[str]) -> dict[str, bytes]:
-        cut, whole = {}, []
-        for c in missing:
-            if LATIN.fullmatch(c) and not (self.special and self.special.search(c)):
-                cut[c] = PART.findall(c.lower())
-            else:
-                whole.append(c)
-        parts = self.parts
-        new = self._encode(list({p for ps in cut.values() for p in ps if p not in parts}))
-        if len(parts) + len(new) <= CACHE_WORDS:
+        joined = "\n".join(missing)
+        whole = []
+        if not LATIN_LINES.fullmatch(joined) or (self.special and self.special.search(joined)):
+            odd = {c for c in missing if not LATIN_LINES.fullmatch(c) or self.special and self.special.search(c)}
+            whole = list(odd)
+            missing = [c for c in missing if c not in odd]
+            joined = "\n".join(missing)
+        parts, new, out = self.parts, {}, {}
+        room = CACHE_WORDS - len(parts)
+        for c, low in zip(missing, joined.lower().split("\n")):
+            ids = b""
+            for p in (low,) if low.isalpha() else PART.findall(low):
+                got = parts.get(p) or new.get(p)
+                if got is None:
+                    got = new[p] = self._encode_part(p)
+                ids += got
+            out[c] = ids
+        if len(new) <= room:
             parts.update(new)
-        out = {c: b"".join([parts[p] if p in parts else new[p] for p in ps]) for c, ps in cut.items()}
         out.update(self._encode(whole))
         return out
 
