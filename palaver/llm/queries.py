@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import language, mixing, packing, token_counts, topk, toxicity, url_filter
+from palaver.llm import jaccard, language, mixing, packing, token_counts, topk, toxicity, url_filter
 from palaver.llm.common import id_crc, table, tokenizer_path
 from palaver.session import scratch_path
 
@@ -43,6 +43,11 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter(F.col("id") % 50 == 0), k=5)
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.near_classes(table(spark, sf_dir, "documents"), threshold=0.8)
+    return found.select("doc_id", "class_id", "n_links")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), F.array("source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -66,6 +71,7 @@ QUERIES = {
     "op3_url_filters": op3_url_filters,
     "op5_language_id": op5_language_id,
     "op6_exact_topk": op6_exact_topk,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
