@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import jaccard, language, mixing, packing, token_counts, topk, toxicity, url_filter
+from palaver.llm import jaccard, language, mixing, packing, pii, token_counts, topk, toxicity, url_filter
 from palaver.llm.common import id_crc, table, tokenizer_path
 from palaver.session import scratch_path
 
@@ -30,6 +30,11 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(id_crc() % 4 == 2, F.lit(False))
@@ -69,6 +74,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_url_filters": op3_url_filters,
+    "op4_pii": op4_pii,
     "op5_language_id": op5_language_id,
     "op6_exact_topk": op6_exact_topk,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
