@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import jaccard, language, mixing, packing, pii, token_counts, topk, toxicity, url_filter
+from palaver.llm import jaccard, language, mixing, packing, pii, simhash, token_counts, topk, toxicity, url_filter
 from palaver.llm.common import id_crc, table, tokenizer_path
 from palaver.session import scratch_path
 
@@ -21,6 +21,15 @@ URL_RULES = [
 ]
 
 
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_documents(table(spark, sf_dir, "documents"), radius=3)
+    return rows.select(
+        "doc_id", "n_chars", "edited_sha256", simhash.shown(F.col("fp")).alias("fingerprint"),
+        simhash.shown(F.col("edited_fp")).alias("edited_fingerprint"),
+        simhash.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        simhash.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "n_near")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"),
                         longest=2048, closing_id=1)
@@ -72,6 +81,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_document_fingerprints": op1_document_fingerprints,
     "op2_packing": op2_packing,
     "op3_url_filters": op3_url_filters,
     "op4_pii": op4_pii,
