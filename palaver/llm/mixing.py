@@ -120,12 +120,15 @@ def route(patterns: dict[tuple[int, ...], int], quotas: Sequence[int], repeats:
     return {name: sum(room[e ^ 1] for e in arcs) for name, arcs in taken.items()}
 
 
-def select(sized: DataFrame, plan: DataFrame, seed: int, buckets: int) -> DataFrame:
-    """Adds ``taken`` and ``copies`` to rows (pattern, doc_id, size, h).
+def select(rows: DataFrame, plan: DataFrame, buckets: int, sized: DataFrame | None = None) -> DataFrame:
+    """Adds ``taken`` and ``copies`` to rows (pattern, doc_id, size, h, and others).
+
+    ``sized``: the same rows without the others, to sum over.
 
     ``plan``: pattern, rounds (whole repetitions) and rest (words beyond them).
     ``copies`` counts whole documents: the one taken in part counts from half on.
     """
+    sized = rows if sized is None else sized
     bucket = F.pmod(F.col("h"), F.lit(buckets))
     per = sized.groupBy("pattern", bucket.alias("b")).agg(F.sum("size").alias("words"))
     run = Window.partitionBy("pattern").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
@@ -134,12 +137,12 @@ def select(sized: DataFrame, plan: DataFrame, seed: int, buckets: int) -> DataFr
            .filter(F.col("upto") <= F.col("rest"))
            .groupBy("pattern").agg(F.max("b").alias("last"), F.max("upto").alias("used")))
     # buckets up to `last` fit whole; the next one that has words is filled row by row
-    marked = (sized.join(plan, "pattern").join(F.broadcast(cut), "pattern", "left")
-              .withColumn("b", bucket).withColumn("last", F.coalesce("last", F.lit(-1)))
-              .withColumn("left", F.col("rest") - F.coalesce("used", F.lit(0))).drop("used"))
-    nxt = (marked.filter((F.col("b") > F.col("last")) & (F.col("size") > 0))
-           .groupBy("pattern").agg(F.min("b").alias("open")))
-    marked = marked.join(F.broadcast(nxt), "pattern", "left")
+    state = (plan.join(cut, "pattern", "left").withColumn("last", F.coalesce("last", F.lit(-1)))
+             .withColumn("left", F.col("rest") - F.coalesce("used", F.lit(0))).drop("used"))
+    nxt = (per.filter("words > 0").join(F.broadcast(state.select("pattern", "last")), "pattern")
+           .filter(F.col("b") > F.col("last")).groupBy("pattern").agg(F.min("b").alias("open")))
+    state = F.broadcast(state.join(nxt, "pattern", "left"))
+    marked = rows.withColumn("b", bucket).join(state, "pattern")
     inside = F.coalesce(F.col("b") == F.col("open"), F.lit(False))
     order = Window.partitionBy("pattern").orderBy("h", "doc_id", "size") \
         .rowsBetween(Window.unboundedPreceding, -1)
@@ -155,50 +158,58 @@ def select(sized: DataFrame, plan: DataFrame, seed: int, buckets: int) -> DataFr
         .withColumn("copies", (F.col("rounds") + F.when(full, 1).otherwise(0)).cast("int"))
 
 
-def mix(docs: DataFrame, memberships: Column, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
-        repeats: int = 2, seed: int = 17, buckets: int = 4096, carry: Sequence[str] = ()) -> DataFrame:
-    """doc_id, size, sources, source_size, target, taken, copies per document.
+def _keyed(docs: DataFrame, memberships: Column, seed: int, *others: Column | str) -> DataFrame:
+    """doc_id, size, pattern and seeded order h per row."""
+    return (docs.select("doc_id", *others, word_count().alias("size"),
+                        F.array_sort(F.array_distinct(memberships)).alias("pattern"))
+            .withColumn("h", F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.col("size"), F.lit(seed)), 1)))
 
-    ``memberships`` is the array of a document's sources. ``source_size`` and
-    ``target`` are those of its first source. ``carry`` names further columns
-    that identify a row for the caller.
-    """
-    spark = docs.sparkSession
-    sized = stored(docs.select(
-        "doc_id", *carry, word_count().alias("size"), F.array_sort(F.array_distinct(memberships)).alias("sources"),
-    ).withColumn("h", F.xxhash64(F.col("doc_id"), F.col("size"), F.lit(seed)))
-        .withColumn("h", F.shiftrightunsigned("h", 1)), "sized")
-    rows = sized.groupBy("sources").agg(F.sum("size").alias("words")).limit(MAX_PATTERNS + 1).collect()
+
+def planned(sized: DataFrame, weights: Sequence[float], share: float, repeats: int) -> DataFrame:
+    """pattern, rounds, rest, source_size, target: the flow of each membership pattern (at most MAX_PATTERNS)."""
+    rows = sized.groupBy("pattern").agg(F.sum("size").alias("words")).limit(MAX_PATTERNS + 1).collect()
     if len(rows) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns: group the sources first")
     # code point order of UTF-8 strings is the order of their bytes; null last
-    names = sorted({s for r in rows for s in r["sources"]},
+    names = sorted({s for r in rows for s in r["pattern"]},
                    key=lambda s: (s is None, b"" if s is None else s.encode("utf-8")))
     index = {s: i for i, s in enumerate(names)}
-    patterns: dict[tuple[int, ...], int] = {}
-    arrays: dict[tuple[int, ...], list] = {}
-    for r in rows:
-        key = tuple(sorted(index[s] for s in r["sources"]))
-        patterns[key] = patterns.get(key, 0) + r["words"]
-        arrays[key] = r["sources"]
-    sizes = [sum(w for k, w in patterns.items() if i in k) for i in range(len(names))]
-    goal = targets(sizes, [weights[i % len(weights)] for i in range(len(names))], share, float(repeats)) \
-        if len(patterns) else []
-    flows = route(patterns, [round(t) for t in goal], repeats)
-
-    def whole(words: int, size: int) -> tuple[int, int]:
-        return (min(repeats, words // size), words - min(repeats, words // size) * size) if size else (0, 0)
-
-    plan_rows = [(arrays[k], *whole(flows[k], patterns[k]), sizes[k[0]], float(goal[k[0]])) if k
-                 else (arrays[k], 0, 0, 0, 0.0) for k in patterns]
-    plan = _plan_frame(spark, plan_rows)
-    slim = sized.withColumnRenamed("sources", "pattern")
-    chosen = select(slim, plan.select("pattern", "rounds", "rest"), seed, buckets)
-    return (chosen.join(F.broadcast(plan.select("pattern", "source_size", "target")), "pattern")
-            .select("doc_id", *carry, "size", F.col("pattern").alias("sources"), "source_size", "target",
-                    "taken", "copies"))
+    key_of = {tuple(sorted(index[s] for s in r["pattern"])): r for r in rows}
+    words = {k: r["words"] for k, r in key_of.items()}
+    sizes = [sum(w for k, w in words.items() if i in k) for i in range(len(names))]
+    goal = targets(sizes, [weights[i % len(weights)] for i in range(len(names))], share, float(repeats))
+    flows = route(words, [round(t) for t in goal], repeats)
+
+    def plan_row(k: tuple[int, ...]) -> tuple:
+        rounds = min(repeats, flows[k] // words[k]) if words[k] else 0
+        first = (sizes[k[0]], float(goal[k[0]])) if k else (0, 0.0)
+        return (key_of[k]["pattern"], rounds, flows[k] - rounds * words[k], *first)
 
+    return sized.sparkSession.createDataFrame(
+        [plan_row(k) for k in sorted(words)],
+        "pattern array<string>, rounds long, rest long, source_size long, target double")
 
-def _plan_frame(spark: SparkSession, rows: list) -> DataFrame:
-    return spark.createDataFrame(
-        rows, "pattern array<string>, rounds long, rest long, source_size long, target double")
+
+def mix(docs: DataFrame, memberships: Column, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
+        repeats: int = 2, seed: int = 17, buckets: int = 4096) -> DataFrame:
+    """doc_id, size, sources, source_size, target, taken, copies per document.
+
+    ``memberships`` is the array of a document's sources. ``source_size`` and
+    ``target`` are those of its first source.
+    """
+    sized = stored(_keyed(docs, memberships, seed), "sized")
+    plan = planned(sized, weights, share, repeats)
+    chosen = select(sized, plan.select("pattern", "rounds", "rest"), buckets)
+    return (chosen.join(F.broadcast(plan.select("pattern", "source_size", "target")), "pattern")
+            .select("doc_id", "size", F.col("pattern").alias("sources"), "source_size", "target", "taken", "copies"))
+
+
+def repeat_rows(docs: DataFrame, memberships: Column, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
+                repeats: int = 2, seed: int = 17, buckets: int = 4096) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as its ``copies``."""
+    sized = stored(_keyed(docs, memberships, seed), "sized")
+    plan = planned(sized, weights, share, repeats).select("pattern", "rounds", "rest")
+    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    chosen = select(_keyed(docs, memberships, seed, whole), plan, buckets, sized)
+    return chosen.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))) \
+        .select("row.*")
