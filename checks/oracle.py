@@ -571,11 +571,15 @@ ps AS (SELECT sw.id, sw.pos, sum(sw.c * tf.tf) AS tf_sum, sum(sw.c) AS n_words
 sc AS (SELECT ps.id, ps.pos, CAST(ps.n_words AS BIGINT) AS n_words,
               CAST(tf_sum AS DOUBLE) / n_words / n_doc AS score FROM ps JOIN nd USING (id)),
 rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, pos) AS rank FROM sc),
-sel1 AS (SELECT * FROM (
-         SELECT rk.*, CAST(sum(n_words) OVER (PARTITION BY id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running_words
-         FROM rk WHERE rank <= 3) z WHERE running_words <= 1000),
-sum1 AS (SELECT sel1.id, string_agg(regexp_replace(s.sentence, '^\s+|\s+$', '', 'g'), ' ' ORDER BY sel1.pos) AS summary_text
-        FROM sel1 JOIN s USING (id, pos) GROUP BY sel1.id),
+sel1 AS (SELECT id, pos, rank, score, least(n_words, 1000 - before) AS n_words, n_words AS n_all,
+                before + least(n_words, 1000 - before) AS running_words FROM (
+         SELECT rk.*, CAST(coalesce(sum(n_words) OVER (PARTITION BY id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+         FROM rk WHERE rank <= 3) z WHERE before < 1000),
+cut1 AS (SELECT sel1.id, sel1.pos, CASE WHEN n_words = n_all THEN s.sentence ELSE array_to_string(list_slice(
+                regexp_extract_all(s.sentence, '[^\p{{L}}]*[\p{{L}}]+'), 1, n_words), '') END AS sentence
+        FROM sel1 JOIN s USING (id, pos)),
+sum1 AS (SELECT id, string_agg(regexp_replace(sentence, '^\s+|\s+$', '', 'g'), ' ' ORDER BY pos) AS summary_text
+        FROM cut1 GROUP BY id),
 kp3 AS (SELECT rk.id, rk.rank, regexp_replace(s.sentence, '^\s+|\s+$', '', 'g') AS key_point
        FROM rk JOIN s USING (id, pos) WHERE rk.rank <= 5)"""
 

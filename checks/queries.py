@@ -367,7 +367,7 @@ def m01(spark, base):
 
 @query("m01_summary_text")
 def m01t(spark, base):
-    return off.summary_text(off.extractive_summary(_docs(spark, base)))
+    return off.summary_text(_docs(spark, base))
 
 
 @query("m02_topics")
@@ -391,7 +391,7 @@ def m04(spark, base):
 def e06(spark, base):
     docs = fx.doc_transcripts(spark, base)
     ok = tr.validate_transcripts(docs).where("ok")
-    texts = off.summary_text(off.extractive_summary(ok.select("job_id", "text"))).withColumnRenamed(
+    texts = off.summary_text(ok.select("job_id", "text")).withColumnRenamed(
         "job_id", "transcript_id")
     meta = rp.parse_metadata(rp.metadata_checks(fx.llm_responses(spark, base)))
     s = sm.assemble_summaries(ok, texts, meta)
@@ -411,7 +411,7 @@ def e07(spark, base):
 @query("e08_batch_summarize")
 def e08(spark, base):
     docs = fx.doc_transcripts(spark, base)
-    texts = off.summary_text(off.extractive_summary(docs.select("job_id", "text")))
+    texts = off.summary_text(docs.select("job_id", "text"))
     s, f = sm.summarize_with_replies(
         docs, texts.select(F.col("job_id").alias("transcript_id"), F.col("summary_text").alias("raw")),
         fx.llm_responses(spark, base))

@@ -3,21 +3,25 @@
 They stand in for the hosted model with plain corpus statistics, produce
 the shapes the model is asked for, and pass the metadata checks E1-E4.
 
-Plans: texts are exploded to sentences and words once; every per-document
-quantity is a partial (map-side) aggregate keyed by the document plus a
-word or position, so a long or hot document is spread over many keys;
-per-document top-k uses the salted two-step of ``plans.ordering``; the
-corpus size is a scalar subquery, not a join.
+Plans: what depends on one document only (sentence scores, term counts, cue
+words) is computed inside its row, in one Arrow pass or by array functions, so
+M1, M3 and M4 shuffle nothing. M2 shuffles (document, word, count) rows for the
+document frequencies and the best words per document; the corpus size is a
+scalar subquery, not a join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from collections import Counter
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palaver import schemas as S
-from palaver.functions.text import sentences, strip, words
+from palaver.functions.text import SENTENCE_PATTERN, WORD_PATTERN, strip, words
 from palaver.plans.ordering import top_k_per_group
+from palaver.session import ship_package
 
 # Cue words per conversation type (enum order; ties go to
 # the earlier type, no hit gives CASUAL).
@@ -39,119 +43,130 @@ TYPE_CUES = {
 }
 
 
-def _sentences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"),
-                       F.posexplode(sentences(F.col(text_col))).alias("pos", "sentence"))
+PICK = "struct<pos:long,rank:long,n_words:long,kept:long,running_words:long,score:double,sentence:string,summary:string>"
+_BATCH = 256
 
 
-def word_rows(docs: DataFrame, id_col: str = "job_id", text_col: str = "text") -> DataFrame:
-    """(id, pos, word): every word occurrence with its sentence position."""
-    return (_sentences(docs, id_col, text_col)
-            .select("id", "pos", F.explode(words(F.col("sentence"))).alias("word")))
+def best_sentences(text: str, k: int, k_summary: int, max_tokens: int) -> list[dict]:
+    """The ``k`` best sentences of one text, by round(score, 9) desc, then position.
 
+    score = mean in-document frequency of a sentence's words / words in the
+    document. The first ``k_summary`` also carry ``summary``, the sentence as far
+    as it fits ``max_tokens`` words in rank order: the one that crosses the limit
+    is cut after its last word that fits, those after it have none.
+    """
+    import regex
+    found = regex.findall(SENTENCE_PATTERN, text)
+    terms = [regex.findall(WORD_PATTERN, s.lower()) for s in found]
+    tf = Counter(w for ws in terms for w in ws)
+    total = tf.total()
+    scored = [(sum(tf[w] for w in ws) / len(ws) / total, pos) for pos, ws in enumerate(terms) if ws]
+    scored.sort(key=lambda x: (-math.floor(x[0] * 1e9 + 0.5), x[1]))
+    out, used = [], 0
+    for rank, (score, pos) in enumerate(scored[:k], start=1):
+        n = len(terms[pos])
+        fits = min(n, max_tokens - used) if rank <= k_summary else 0
+        used += fits
+        cut = found[pos]
+        if fits < n:
+            ends = [m.end() for m in regex.finditer(WORD_PATTERN, cut)]
+            cut = cut[:ends[fits - 1]] if fits else None
+        out.append({"pos": pos, "rank": rank, "n_words": n, "kept": fits, "running_words": used, "score": score,
+                    "sentence": found[pos], "summary": cut})
+    return out
+
+
+def sentence_picks(docs: DataFrame, k: int, k_summary: int, max_tokens: int = S.MAX_SUMMARY_TOKENS,
+                   id_col: str = "job_id", text_col: str = "text") -> DataFrame:
+    """(id, picks): one row per document, the best sentences in rank order; no shuffle."""
+    ship_package(docs.sparkSession)
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, picks array<{PICK}>"
+
+    def run(batches):
+        import pyarrow as pa
+        kind = pa.list_(pa.struct([("pos", pa.int64()), ("rank", pa.int64()), ("n_words", pa.int64()),
+                                   ("kept", pa.int64()), ("running_words", pa.int64()), ("score", pa.float64()),
+                                   ("sentence", pa.string()), ("summary", pa.string())]))
+        for b in batches:
+            for lo in range(0, b.num_rows, _BATCH):
+                part = b.slice(lo, _BATCH)
+                picks = [best_sentences(t or "", k, k_summary, max_tokens) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(picks, kind)], names=["id", "picks"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
 
-def term_counts(w: DataFrame) -> DataFrame:
-    """(id, word, tf): a partial aggregate over the word rows.
 
-    Words never cross a sentence boundary (terminators are not letters), so
-    these are also the per-document word counts of the whole text and can be
-    passed to ``topics``.
+def extractive_summary(docs: DataFrame, k: int = 3, max_tokens: int = S.MAX_SUMMARY_TOKENS,
+                       id_col: str = "job_id", text_col: str = "text") -> DataFrame:
+    """M1 (exploded): chosen sentences, the text cut at ``max_tokens`` words.
+
+    Every document with a word has at least one; ``n_words`` counts the words kept.
     """
-    return w.groupBy("id", "word").agg(F.count(F.lit(1)).alias("tf"))
+    p = sentence_picks(docs, k, k, max_tokens, id_col, text_col).select("id", F.explode("picks").alias("p"))
+    return p.where(F.col("p.summary").isNotNull()).select(
+        F.col("id").alias(id_col), "p.pos", "p.rank",
+        F.col("p.kept").alias("n_words"), "p.running_words", "p.score",
+        F.col("p.summary").alias("sentence"))
 
 
-def _sentence_scores(w: DataFrame, tf: DataFrame) -> DataFrame:
-    """(id, pos, n_words, score) for every sentence with a word.
+def _summary(picks: Column) -> Column:
+    """Chosen sentences in position order, trimmed, of a ``picks`` array."""
+    kept = F.filter(picks, lambda p: p["summary"].isNotNull())
+    placed = F.array_sort(F.transform(kept, lambda p: F.struct(p["pos"].alias("pos"), p["summary"].alias("s"))))
+    return F.array_join(F.transform(placed, lambda p: strip(p["s"])), " ")
 
-    score = mean in-document term frequency of the sentence's words divided
-    by the number of words in the document. Term frequencies are joined back
-    to the word rows; a document that is a large share of the corpus is
-    split by the AQE skew join.
-    """
-    # the word rows come from an explode, whose size the planner cannot see
-    # (it estimates the compressed text): never let it broadcast them
-    per_sentence = (w.hint("merge").join(tf, ["id", "word"])
-                    .groupBy("id", "pos")
-                    .agg(F.sum("tf").alias("tf_sum"), F.count(F.lit(1)).alias("n_words")))
-    n_doc = per_sentence.groupBy("id").agg(F.sum("n_words").alias("n_doc"))
-    return (per_sentence.join(n_doc, "id")
-            .select("id", "pos", "n_words",
-                    (F.col("tf_sum") / F.col("n_words") / F.col("n_doc")).alias("score")))
-
-
-def ranked_sentences(docs: DataFrame, k: int, id_col: str = "job_id", text_col: str = "text",
-                     w: DataFrame | None = None, tf: DataFrame | None = None) -> DataFrame:
-    """Top ``k`` sentences per document by round(score, 9) desc, then position.
-
-    The sentence text is joined back only for the chosen ``k`` per document,
-    so the scoring shuffles carry keys and numbers, not text. ``w`` and
-    ``tf`` (from ``word_rows`` / ``term_counts``) may be shared with M2.
-    """
-    w = w if w is not None else word_rows(docs, id_col, text_col)
-    tf = tf if tf is not None else term_counts(w)
-    scored = _sentence_scores(w, tf)
-    top = top_k_per_group(scored, ["id"], [F.round("score", 9).desc(), F.col("pos")], k,
-                          name="rank", salt_from=["pos"])
-    # at most k picks per document; fetch their text with one sentence split
-    # of the document instead of joining every sentence of the corpus
-    picks = top.groupBy("id").agg(F.collect_list(F.struct("pos", "rank", "n_words", "score")).alias("_p"))
-    text = docs.select(F.col(id_col).alias("id"), sentences(F.col(text_col)).alias("_s"))
-    return (picks.join(text.hint("merge"), "id")
-            .select("id", F.explode(F.transform("_p", lambda p: p.withField(
-                "sentence", F.element_at(F.col("_s"), p["pos"] + 1)))).alias("_x"))
-            .select("id", "_x.pos", "_x.rank", "_x.n_words", "_x.score", "_x.sentence"))
 
+def summary_text(docs: DataFrame, k: int = 3, max_tokens: int = S.MAX_SUMMARY_TOKENS, id_col: str = "job_id",
+                 text_col: str = "text") -> DataFrame:
+    """M1 (one row per document with a word): chosen sentences in position order, trimmed."""
+    return sentence_picks(docs, k, k, max_tokens, id_col, text_col).where(F.size("picks") > 0) \
+        .select(F.col("id").alias(id_col), _summary(F.col("picks")).alias("summary_text"))
 
-def extractive_summary(docs: DataFrame, k: int = 3, max_tokens: int = S.MAX_SUMMARY_TOKENS,
-                       id_col: str = "job_id", text_col: str = "text",
-                       ranked: DataFrame | None = None) -> DataFrame:
-    """M1 (exploded): chosen sentences, kept while the running word count fits.
 
-    ``ranked`` (from ``ranked_sentences`` with at least ``k``) lets M1 and
-    M3 share one ranking.
-    """
-    top = (ranked if ranked is not None else ranked_sentences(docs, k, id_col, text_col)) \
-        .where(F.col("rank") <= k)
-    running = F.sum("n_words").over(
-        Window.partitionBy("id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    return (top.withColumn("running_words", running)
-            .where(F.col("running_words") <= max_tokens)
-            .withColumnRenamed("id", id_col))
+def key_points(docs: DataFrame, k: int = 5, id_col: str = "job_id", text_col: str = "text") -> DataFrame:
+    """M3 (exploded): the ``k`` best sentences in rank order, trimmed."""
+    return (sentence_picks(docs, k, 0, 0, id_col, text_col).select("id", F.explode("picks").alias("p"))
+            .select(F.col("id").alias(id_col), "p.rank", strip(F.col("p.sentence")).alias("key_point")))
 
 
-def summary_text(chosen: DataFrame, id_col: str = "job_id") -> DataFrame:
-    """M1 (one row per document): chosen sentences in position order, trimmed."""
-    return (chosen.groupBy(id_col)
-            .agg(F.array_sort(F.collect_list(F.struct("pos", strip(F.col("sentence")).alias("s"))))
-                 .alias("_p"))
-            .select(id_col, F.array_join(F.transform("_p", lambda x: x["s"]), " ").alias("summary_text")))
+def term_counts(docs: DataFrame, min_letters: int = 1, id_col: str = "job_id", text_col: str = "text") -> DataFrame:
+    """(id, word, f): words of ``min_letters`` or more per document; counted inside the row."""
+    ship_package(docs.sparkSession)
 
+    def run(batches):
+        import pyarrow as pa
+        import regex
+        pattern = regex.compile(WORD_PATTERN)
+        for b in batches:
+            for lo in range(0, b.num_rows, _BATCH):
+                part = b.slice(lo, _BATCH)
+                counts = [Counter(w for w in pattern.findall((t or "").lower()) if len(w) >= min_letters)
+                          for t in part.column(1).to_pylist()]
+                at = pa.array([i for i, c in enumerate(counts) for _ in c], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(at), pa.array([w for c in counts for w in c], pa.string()),
+                     pa.array([n for c in counts for n in c.values()], pa.int64())], names=["id", "word", "f"])
 
-def key_points(docs: DataFrame, k: int = 5, id_col: str = "job_id", text_col: str = "text",
-               ranked: DataFrame | None = None) -> DataFrame:
-    """M3 (exploded): the ``k`` best sentences in rank order, trimmed."""
-    r = ranked if ranked is not None else ranked_sentences(docs, k, id_col, text_col)
-    return (r.where(F.col("rank") <= k)
-            .select(F.col("id").alias(id_col), "rank", strip(F.col("sentence")).alias("key_point")))
+    return docs.select(id_col, text_col).mapInArrow(
+        run, f"id {docs.schema[id_col].dataType.simpleString()}, word string, f long")
 
 
 def topics(docs: DataFrame, k: int = 5, min_letters: int = 4, id_col: str = "job_id",
-           text_col: str = "text", tf: DataFrame | None = None) -> DataFrame:
+           text_col: str = "text") -> DataFrame:
     """M2 (exploded): ``k`` topic words per document with a confidence in [0, 1].
 
     score = f * ln((1 + N) / (1 + df)); confidence = score / best score of
-    the document, 0 when the best score is 0. ``tf`` (``term_counts``) may
-    be shared with M1.
+    the document, 0 when the best score is 0. The rows are (document, word,
+    count); a word found in most documents is a hot key of the join, which the
+    skew join of AQE splits.
     """
     n_docs = docs.select(F.count(F.lit(1))).scalar()
-    if tf is None:
-        tf = term_counts(docs.select(F.col(id_col).alias("id"), F.explode(words(F.col(text_col))).alias("word")))
-    f = tf.where(F.length("word") >= min_letters).withColumnRenamed("tf", "f")
+    f = term_counts(docs, min_letters, id_col, text_col)
     df_ = f.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    scored = f.join(df_, "word").select(
+    # the size of a Python pass is a guess to the planner: never let it broadcast these rows
+    scored = f.hint("merge").join(df_, "word").select(
         "id", "word", (F.col("f") * F.log((F.lit(1) + n_docs) / (F.lit(1) + F.col("df")))).alias("score"))
-    top = top_k_per_group(scored, ["id"], [F.round("score", 9).desc(), F.col("word")], k,
-                          name="rank", salt_from=["word"])
+    top = top_k_per_group(scored, ["id"], [F.round("score", 9).desc(), F.col("word")], k, name="rank")
     best = F.max("score").over(Window.partitionBy("id"))
     return top.select(F.col("id").alias(id_col), "rank", "word", "score",
                       F.when(best > 0, F.col("score") / best).otherwise(F.lit(0.0)).alias("confidence"))
@@ -161,42 +176,33 @@ def conversation_type(docs: DataFrame, cues: dict[str, list[str]] = TYPE_CUES,
                       id_col: str = "job_id", text_col: str = "text") -> DataFrame:
     """M4: type with the most cue-word hits (ties in enum order, none gives CASUAL).
 
-    Words are exploded and kept only when they are cue words (a hashed
-    ``IN`` test), so only hits are aggregated and shuffled; the best type
-    is a partial ``max`` over at most six rows per document.
+    A projection: the cue words among a row's words, counted per type.
     """
-    order = {t: i for i, t in enumerate(S.CONVERSATION_TYPES)}
     all_cues = sorted({w for c in cues.values() for w in c})
-    kind = F.when(F.lit(False), F.lit(None))
-    for t, c in cues.items():
-        kind = kind.when(F.col("word").isin(*c), F.lit(t))
-    hits = (docs.select(F.col(id_col).alias("_id"), F.explode(words(F.col(text_col))).alias("word"))
-            .where(F.col("word").isin(*all_cues))
-            .groupBy("_id", kind.alias("type")).agg(F.count(F.lit(1)).alias("hits")))
-    # best type per document as one packed number: hits, then the earlier
-    # enum position wins (a hash aggregate over fixed-width values)
-    n = len(S.CONVERSATION_TYPES)
-    pos = F.when(F.lit(False), F.lit(None))
-    for t, i in order.items():
-        pos = pos.when(F.col("type") == t, F.lit(i))
-    packed = F.col("hits") * F.lit(n) + (F.lit(n - 1) - pos)
-    best = hits.groupBy("_id").agg(F.max(packed).alias("_p"))
-    decoded = F.when(F.lit(False), F.lit(None))
-    for t, i in order.items():
-        decoded = decoded.when(F.lit(n - 1) - F.pmod(F.col("_p"), F.lit(n)) == i, F.lit(t))
-    return (docs.select(F.col(id_col)).join(best, F.col(id_col) == F.col("_id"), "left")
-            .select(id_col, F.coalesce(F.floor(F.col("_p") / n), F.lit(0)).alias("hits"),
-                    F.coalesce(decoded, F.lit("CASUAL")).alias("conversation_type")))
-
-
-def metadata_reply(docs: DataFrame, id_col: str = "job_id", text_col: str = "text",
-                   n_topics: int = 5, n_points: int = 5, ranked: DataFrame | None = None,
-                   tf: DataFrame | None = None) -> DataFrame:
-    """A metadata reply (JSON text) per document built from M2-M4, as a model would send."""
-    t = (topics(docs, n_topics, id_col=id_col, text_col=text_col, tf=tf)
+    hits = docs.select(F.col(id_col), F.coalesce(words(F.col(text_col)), F.array().cast("array<string>")).alias("_w")) \
+        .select(id_col, F.filter("_w", lambda w: w.isin(*all_cues)).alias("_w"))
+
+    def counted(position: int, kind: str) -> Column:
+        n = F.size(F.filter("_w", lambda w: w.isin(*cues[kind])))
+        # the most hits first, then the earlier type
+        return F.struct(n.cast("long").alias("hits"), F.lit(-position).alias("place"), F.lit(kind).alias("kind"))
+
+    best = F.array_max(F.array(*[counted(i, t) for i, t in enumerate(S.CONVERSATION_TYPES)]))
+    return hits.select(id_col, best.alias("_b")).select(
+        id_col, F.col("_b.hits").alias("hits"),
+        F.when(F.col("_b.hits") > 0, F.col("_b.kind")).otherwise(F.lit("CASUAL")).alias("conversation_type"))
+
+
+def metadata_reply(docs: DataFrame, picks: DataFrame, id_col: str = "job_id", text_col: str = "text",
+                   n_topics: int = 5, n_points: int = 5) -> DataFrame:
+    """A metadata reply (JSON text) per document built from M2-M4, as a model would send.
+
+    ``picks``: ``sentence_picks`` of the documents with at least ``n_points``.
+    """
+    t = (topics(docs, n_topics, id_col=id_col, text_col=text_col)
          .groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("rank", "word", "confidence"))).alias("_t")))
-    kp = (key_points(docs, n_points, id_col, text_col, ranked=ranked)
-          .groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("rank", "key_point"))).alias("_k")))
+    points = F.transform(F.filter("picks", lambda p: p["rank"] <= n_points), lambda p: strip(p["sentence"]))
+    kp = picks.select(F.col("id").alias(id_col), points.alias("_k"))
     ct = conversation_type(docs, id_col=id_col, text_col=text_col)
     j = ct.join(t, id_col, "left").join(kp, id_col, "left")
     body = F.struct(
@@ -204,6 +210,10 @@ def metadata_reply(docs: DataFrame, id_col: str = "job_id", text_col: str = "tex
         F.coalesce(F.transform("_t", lambda x: F.struct(x["word"].alias("name"),
                                                         x["confidence"].alias("confidence_score"))),
                    F.array().cast("array<struct<name:string,confidence_score:double>>")).alias("topics"),
-        F.coalesce(F.transform("_k", lambda x: x["key_point"]), F.array().cast("array<string>"))
-        .alias("key_points"))
+        F.coalesce("_k", F.array().cast("array<string>")).alias("key_points"))
     return j.select(F.col(id_col).alias("transcript_id"), F.to_json(body).alias("raw"))
+
+
+def summary_of(picks: DataFrame) -> DataFrame:
+    """(transcript_id, raw): the summary text of each row of ``sentence_picks``, '' without a word."""
+    return picks.select(F.col("id").alias("transcript_id"), _summary(F.col("picks")).alias("raw"))

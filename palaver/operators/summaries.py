@@ -14,6 +14,7 @@ from palaver.functions.replies import clean_reply
 from palaver.operators import offline as M
 from palaver.operators import replies as R
 from palaver.operators.transcripts import validate_transcripts
+from palaver.plans.staging import stored
 
 FAILURE_COLS = ["transcript_id", "error_class", "message", "detail"]
 
@@ -58,8 +59,13 @@ def summarize_with_replies(transcripts: DataFrame, summary_replies: DataFrame,
     meta = R.metadata_checks(metadata_replies.join(have_summary.select("transcript_id"), "transcript_id",
                                                    "left_semi"), mode=mode)
     bad_meta = meta.where(~F.col("ok")).select(*FAILURE_COLS)
+    no_meta = (have_summary.select("transcript_id").join(metadata_replies, "transcript_id", "left_anti")
+               .select("transcript_id", F.lit("SummaryError").alias("error_class"),
+                       F.lit("Failed to extract conversation metadata").alias("message"),
+                       F.lit("no metadata reply").alias("detail")))
     summaries = assemble_summaries(ok_t, have_summary, R.parse_metadata(meta))
-    failures = _rejected_transcripts(checked).unionByName(no_summary).unionByName(bad_meta)
+    failures = _rejected_transcripts(checked).unionByName(no_summary) \
+        .unionByName(bad_meta).unionByName(no_meta)
     return summaries, failures
 
 
@@ -69,14 +75,8 @@ def summarize_offline(transcripts: DataFrame, k: int = 3, max_tokens: int = S.MA
     ok_t = checked.where("ok")
     docs = ok_t.select("job_id", "text")
     n_points = 5
-    ranked = M.ranked_sentences(docs, max(k, n_points))  # shared by M1 and M3
-    texts = (M.summary_text(M.extractive_summary(docs, k, max_tokens, ranked=ranked))
-             .withColumnRenamed("job_id", "transcript_id"))
-    # a transcript with no sentence gets an empty summary, as a model reply could be
-    texts = (docs.select(F.col("job_id").alias("transcript_id")).join(texts, "transcript_id", "left")
-             .select("transcript_id", F.coalesce("summary_text", F.lit("")).alias("summary_text")))
-    return summarize_with_replies(transcripts, texts.withColumnRenamed("summary_text", "raw"),
-                                  M.metadata_reply(docs, n_points=n_points, ranked=ranked))
+    picks = stored(M.sentence_picks(docs, max(k, n_points), k, max_tokens), "sentence-picks")  # M1 and M3
+    return summarize_with_replies(transcripts, M.summary_of(picks), M.metadata_reply(docs, picks, n_points=n_points))
 
 
 def batch_summarize(summaries: DataFrame, failures: DataFrame, continue_on_error: bool = True) -> DataFrame:
@@ -124,6 +124,7 @@ def summarize_with_client(transcripts: DataFrame, client_factory, store: str, pr
     m_bad = m_rep.where(F.col("error_class").isNotNull()).select(
         F.col("job_id").alias("transcript_id"), "error_class",
         F.lit("Failed to extract conversation metadata").alias("message"), F.col("message").alias("detail"))
-    summaries, failures = summarize_with_replies(with_summary, s_ok, m_ok, mode)
+    answered = with_summary.join(m_ok.select(F.col("transcript_id").alias("job_id")), "job_id", "left_semi")
+    summaries, failures = summarize_with_replies(answered, s_ok, m_ok, mode)
     return summaries, (_rejected_transcripts(checked).unionByName(failures)
                        .unionByName(s_bad).unionByName(m_bad))

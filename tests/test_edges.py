@@ -146,7 +146,7 @@ def test_top_k_per_group_equals_plain_window(spark):
     from palaver.plans.ordering import top_k_per_group
     df = spark.range(0, 5000).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 1000).alias("v"),
                                      F.col("id"))
-    a = top_k_per_group(df, ["g"], [F.col("v").desc(), F.col("id")], 4, buckets=8)
+    a = top_k_per_group(df, ["g"], [F.col("v").desc(), F.col("id")], 4)
     w = Window.partitionBy("g").orderBy(F.col("v").desc(), F.col("id"))
     b = df.withColumn("rank", F.row_number().over(w)).where("rank <= 4")
     assert sorted(rows(a, "g", "id", "rank")) == sorted(rows(b, "g", "id", "rank"))
