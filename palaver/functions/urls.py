@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
 # path = after "scheme://authority", up to the query or fragment
 _PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
+_PARAMS = r";[^/]*$"
 
 
 def scheme(url: Column) -> Column:
@@ -20,7 +21,8 @@ def scheme(url: Column) -> Column:
 
 
 def path(url: Column) -> Column:
-    return F.regexp_extract(url, _PATH, 1)
+    """Without query, fragment and the ``;parameters`` of the last segment."""
+    return F.regexp_replace(F.regexp_extract(url, _PATH, 1), _PARAMS, "")
 
 
 def extension(url_path: Column) -> Column:

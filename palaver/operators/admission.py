@@ -26,21 +26,21 @@ def parse_urls(submissions: DataFrame, url_col: str = "url") -> DataFrame:
 
 
 def _size_message(mib: Column) -> Column:
-    return F.concat(F.lit("File size ("), F.format_string("%.1f", mib),
+    return F.concat(F.lit("File size ("), F.format_string("%.1f", F.bround(mib, 1)),
                     F.lit(f"MB) exceeds maximum allowed size of {S.MAX_FILE_SIZE_MB}MB"))
 
 
 def scheme_check(scheme: Column) -> tuple[Column, Column]:
     """(ok, message)."""
-    ok = scheme.isin(*S.SUPPORTED_SCHEMES)
-    return ok, F.when(~ok, F.concat(F.lit("Unsupported URL scheme: "), scheme))
+    ok = F.coalesce(scheme.isin(*S.SUPPORTED_SCHEMES), F.lit(False))
+    return ok, F.when(~ok, F.concat(F.lit("Unsupported URL scheme: "), F.coalesce(scheme, F.lit(""))))
 
 
 def format_check(extension: Column) -> tuple[Column, Column]:
     """(ok, message); the formats are printed sorted."""
-    ok = extension.isin(*S.SUPPORTED_FORMATS)
+    ok = F.coalesce(extension.isin(*S.SUPPORTED_FORMATS), F.lit(False))
     formats = ", ".join(S.SUPPORTED_FORMATS)
-    return ok, F.when(~ok, F.concat(F.lit("Unsupported audio format: "), extension,
+    return ok, F.when(~ok, F.concat(F.lit("Unsupported audio format: "), F.coalesce(extension, F.lit("")),
                                     F.lit(f". Supported formats: {formats}")))
 
 
@@ -49,18 +49,24 @@ def probe_check() -> tuple[Column, Column]:
 
     Transport first (timeout, then any other failure or a missing probe),
     then a status other than 200 (redirects too), then a size over the
-    limit; exactly the limit and an unknown size pass.
+    limit; exactly the limit and an unknown size pass. An answer without a
+    status, and a length that is not a number, are errors of the check itself.
     """
     outcome = F.coalesce(F.col("outcome"), F.lit("client_error"))
     mib = F.col("content_length").try_cast("double") / F.lit(_MIB)
     too_large = F.coalesce(mib > S.MAX_FILE_SIZE_MB, F.lit(False))
     status = F.col("http_status")
+    bad_length = F.col("content_length").isNotNull() & F.col("content_length").try_cast("double").isNull()
     cls = (F.when(outcome == "timeout", "TranscriptionTimeoutError")
            .when(outcome != "ok", "InvalidURLError")
+           .when(status.isNull() | bad_length & (status == 200), "TranscriptionError")
            .when(status != 200, "InvalidURLError")
            .when(too_large, "FileTooLargeError"))
     msg = (F.when(outcome == "timeout", F.lit("Timeout while validating URL"))
            .when(outcome != "ok", F.concat(F.lit("Error accessing URL: "), outcome))
+           .when(status.isNull(), F.lit("Error validating URL: no status"))
+           .when(bad_length & (status == 200), F.concat(F.lit("Error validating URL: bad content length "),
+                                                        F.col("content_length").cast("string")))
            .when(status != 200, F.concat(F.lit("URL returned status code: "), status.cast("string")))
            .when(too_large, _size_message(mib)))
     return cls, msg
@@ -95,12 +101,17 @@ def check_urls(parsed: DataFrame, probe: DataFrame, key: str = "page_id") -> Dat
 
 
 def admit(submissions: DataFrame, probe: DataFrame, now: Column, key: str = "page_id",
-          url_col: str = "url", priority_col: str = "priority") -> DataFrame:
-    """One job per URL (duplicates kept); PENDING, or FAILED with the message."""
+          url_col: str = "url", priority_col: str = "priority", id_cols: list[str] | None = None) -> DataFrame:
+    """One job per URL (duplicates kept); PENDING, or FAILED with the message.
+
+    The job id is a hash of ``id_cols`` and the URL. They must tell the URLs of
+    a batch apart (batch and position, as ``read_submissions`` gives them); by
+    default the key alone does.
+    """
     checked = check_urls(parse_urls(submissions, url_col), probe, key)
     failed = F.col("error_class").isNotNull()
     return checked.select(
-        job_id_for(F.col(key), F.col(url_col)).alias("job_id"),
+        job_id_for(*[F.col(c) for c in id_cols or [key]], F.col(url_col)).alias("job_id"),
         F.col(key), F.col(url_col).alias("url"),
         F.when(failed, "FAILED").otherwise("PENDING").alias("status"),
         F.coalesce(F.col(priority_col), F.lit("MEDIUM")).alias("priority"),

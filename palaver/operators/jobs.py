@@ -71,12 +71,13 @@ def _transition(jobs: DataFrame, requests: DataFrame, legal_from: list[str], ver
     """All jobs, with the requested legal ones moved.
 
     Adds ``rejected_class`` and ``rejected_message`` for requested jobs that
-    could not move; unrequested rows pass through unchanged.
+    could not move; unrequested rows pass through unchanged. A job requested
+    more than once is moved once, as the first request by its values asks; the
+    repeats and ids without a job are in ``request_misses``.
     """
-    req = requests.select(F.col("job_id"), F.lit(True).alias("_req"),
-                          *([F.col(message_col).alias("_msg")] if message_col else []),
-                          *([F.col("has_transcript").alias("_has_t")]
-                            if "has_transcript" in requests.columns else []))
+    extra = ([F.min(message_col).alias("_msg")] if message_col else []) \
+        + ([F.max("has_transcript").alias("_has_t")] if "has_transcript" in requests.columns else [])
+    req = requests.groupBy("job_id").agg(F.lit(True).alias("_req"), *extra)
     j = jobs.join(req, "job_id", "left")
     requested = F.coalesce(F.col("_req"), F.lit(False))
     state_ok = F.col("status").isin(*legal_from)
@@ -103,6 +104,22 @@ def _transition(jobs: DataFrame, requests: DataFrame, legal_from: list[str], ver
                     rejected_cls.alias("rejected_class"), rejected_msg.alias("rejected_message"))
 
 
+def request_misses(jobs: DataFrame, requests: DataFrame) -> DataFrame:
+    """Requests that move no job: unknown ids, and each repeat of an id.
+
+    A repeat would find the job already moved, so it is an illegal step.
+    """
+    n = requests.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
+    known = n.join(jobs.select("job_id", F.lit(True).alias("_known")), "job_id", "left")
+    unknown = F.col("_known").isNull()
+    return (known.select("job_id", "n", unknown.alias("unknown"))
+            .where(F.col("unknown") | (F.col("n") > 1))
+            .select("job_id", F.when(F.col("unknown"), F.col("n")).otherwise(F.col("n") - 1).alias("n_requests"),
+                    F.when(F.col("unknown"), "JobNotFoundError").otherwise("InvalidJobStateError").alias("error_class"),
+                    F.when(F.col("unknown"), F.concat(F.lit("Job "), F.col("job_id"), F.lit(" not found")))
+                     .otherwise(F.lit("Job was already moved by the same batch")).alias("message")))
+
+
 def mark_processing(jobs: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
     return _transition(jobs, ids, ["PENDING"], "processing", "PROCESSING", now, set_started=True)
 

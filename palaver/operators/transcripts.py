@@ -15,12 +15,13 @@ def assemble_transcripts(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     """One text per conversation, ``Label: utterance`` lines in turn order.
 
     ``listagg .. WITHIN GROUP`` is a partial aggregate, so the lines are
-    combined map-side before the shuffle on the conversation key.
+    combined map-side before the shuffle on the conversation key. A null role or
+    text is empty, so every turn counted in ``n_turns`` has its line.
     """
     lines = turns.select(
         F.col(conv_col).cast("string").alias("job_id"),
         F.col(turn_col).alias("_turn"),
-        F.concat(F.col(role_col), F.lit(": "), F.col(text_col)).alias("_line"))
+        F.concat(F.coalesce(role_col, F.lit("")), F.lit(": "), F.coalesce(text_col, F.lit(""))).alias("_line"))
     return (lines.groupBy("job_id")
             .agg(F.expr("listagg(_line, '\\n') WITHIN GROUP (ORDER BY _turn)").alias("_text"),
                  F.count(F.lit(1)).alias("n_turns"))
@@ -34,15 +35,16 @@ def speaker_shares(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
 
     The per-role aggregate is partial (map-side); the window that follows
     runs over at most one row per (conversation, role), so a hot
-    conversation never becomes a large window group.
+    conversation never becomes a large window group. In a conversation without
+    any character every share is 0.
     """
     per_role = (turns.groupBy(F.col(conv_col).cast("string").alias("job_id"),
                               F.col(role_col).alias("name"))
-                .agg(F.sum(F.length(text_col)).alias("n_chars"),
+                .agg(F.sum(F.coalesce(F.length(text_col), F.lit(0))).alias("n_chars"),
                      F.min(turn_col).alias("_first_turn")))
     w = Window.partitionBy("job_id")
     return (per_role
-            .withColumn("share", F.col("n_chars") / F.sum("n_chars").over(w))
+            .withColumn("share", F.coalesce(F.try_divide("n_chars", F.sum("n_chars").over(w)), F.lit(0.0)))
             .withColumn("position", F.row_number().over(w.orderBy("_first_turn", "name")).cast("long"))
             .drop("_first_turn"))
 

@@ -16,15 +16,22 @@ from pyspark.sql import SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
-                  app_name: str = "palaver", driver_memory: str | None = None) -> SparkSession:
+                  app_name: str = "palaver", driver_memory: str | None = None,
+                  checkpoint_dir: str | None = None, settings: dict[str, str] | None = None) -> SparkSession:
     """Session with the settings the operators assume (ANSI, UTC, AQE).
 
+    ``checkpoint_dir`` is the shared folder for scratch tables, which a cluster
+    needs; ``settings`` come last (see ``cluster_settings``). Loopback addresses
+    are set for local masters only.
+
     ``driver_memory`` only takes effect when this call starts the JVM (local
     mode runs every task inside the driver, so it is the executor heap too).
     """
     # local runs bind to loopback; advertise the same address, or task results
     # too large for direct return cannot be fetched back (only read at JVM start)
-    os.environ.setdefault("SPARK_LOCAL_IP", "127.0.0.1")
+    local = (master or os.environ.get("MASTER", "")).startswith("local[") or master == "local"
+    if local:
+        os.environ.setdefault("SPARK_LOCAL_IP", "127.0.0.1")
     builder = SparkSession.builder.appName(app_name)
     if driver_memory:
         builder = builder.config("spark.driver.memory", driver_memory)
@@ -40,19 +47,25 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.host", "127.0.0.1")
-        .config("spark.driver.bindAddress", "127.0.0.1")
     )
+    if local:
+        builder = builder.config("spark.driver.host", "127.0.0.1").config("spark.driver.bindAddress", "127.0.0.1")
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
+    for key, value in (settings or {}).items():
+        builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder; set a local one only when none is named."""
+    """The shared checkpoint folder; a local one is made only for a local master."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="palaver-ckpt-")
         sc.setCheckpointDir(root)
     return root
@@ -112,25 +125,26 @@ def ship_package(spark: SparkSession) -> None:
     spark.conf.set("palaver.shipped", "true")
 
 
-def cluster_settings(input_bytes: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
-    """Settings for a large cluster run, sized from the bytes the job reads.
+def cluster_settings(shuffled_bytes: int, task_bytes: int = 1 << 30, most_partitions: int = 20_000) -> dict[str, str]:
+    """Settings for a large cluster run, sized from the bytes its largest shuffle moves.
 
-    Shuffle partitions start at input size / 256 MiB (AQE coalesces small
-    ones and splits skewed ones); skew splitting is forced even where it adds
-    a shuffle (a join followed by an aggregate on the same key, as in J4 and
-    M1); stream state goes to RocksDB. Apply with ``SparkSession.builder
-    .config(map=...)`` or ``spark.conf.set`` before the queries run.
+    A shuffle of m map and r reduce tasks has m * r blocks for the driver to
+    track, so both grow with the square root of the data: scans take splits of
+    ``task_bytes``, and reduce partitions are bounded (at 100 TB, 20,000 of
+    5 GB before AQE splits skewed ones and joins small ones). Skew splitting is
+    forced even where it adds a shuffle; stream state goes to RocksDB. Pass the
+    result as ``settings`` of ``build_session``.
     """
-    partitions = max(200, -(-input_bytes // partition_bytes))
+    partitions = min(most_partitions, max(200, -(-shuffled_bytes // task_bytes)))
     return {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
-        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(task_bytes // 4),
+        "spark.sql.files.maxPartitionBytes": str(task_bytes),
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(task_bytes),
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

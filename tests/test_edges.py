@@ -259,9 +259,9 @@ def test_split_outcomes(spark):
     assert rows(rejected, "id", "error_class") == [("b", "SummaryError")]
 
 
-def test_cluster_settings_scale_with_input():
+def test_cluster_settings_stay_bounded():
     from palaver.session import cluster_settings
     small, big = cluster_settings(1 << 30), cluster_settings(100 << 40)
     assert small["spark.sql.shuffle.partitions"] == "200"
-    assert int(big["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
+    assert int(big["spark.sql.shuffle.partitions"]) == 20_000  # map x reduce blocks stay trackable
     assert big["spark.sql.adaptive.forceOptimizeSkewedJoin"] == "true"
