@@ -7,11 +7,17 @@ order within a call (Spark gives no order). Event-time timeouts:
 * PROCESSING longer than ``timeout_minutes`` becomes FAILED with the
   sweep's message (the service's sweep runs hourly, so it fires 30 to 90
   minutes late; here it fires when the watermark passes the limit);
+  The limit is also applied to each event's own time, so a completion that
+  comes 45 minutes after the start finds the job timed out whether or not
+  both lie in one micro-batch;
 * a finished job's state is dropped ``retention_minutes`` after it
   finished; a tombstone stays for one more retention period so that late
   events for it are reported (change = 'late'), not applied.
 
-The output is a change log (one row per state change), appended to any
+A job that stays PENDING has no limit in the service, so its state is kept.
+Events of a job must arrive in ``seq`` order across micro-batches.
+
+The output is a change log (one row per state change, numbered per job), appended to any
 sink; ``final_states`` reduces it to the latest row per job.
 """
 
@@ -39,6 +45,8 @@ STATE = T.StructType([
     T.StructField("last_seq", T.LongType()),
     T.StructField("message", T.StringType()),
     T.StructField("dropped", T.BooleanType()),
+    T.StructField("n_changes", T.LongType()),
+    T.StructField("expires_us", T.LongType()),
 ])
 
 CHANGES = T.StructType([
@@ -51,10 +59,14 @@ CHANGES = T.StructType([
     T.StructField("last_seq", T.LongType()),
     T.StructField("error_message", T.StringType()),
     T.StructField("change", T.StringType()),
+    T.StructField("change_no", T.LongType()),
 ])
 
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+# A fail event carries no text; a FAILED job needs one.
+MSG_EVENT_FAILED = "Job failed"
+
 # Legal moves (state, event kind) -> new state.
 MOVES = {("PENDING", "start"): "PROCESSING", ("PENDING", "fail"): "FAILED",
          ("PROCESSING", "complete"): "COMPLETED", ("PROCESSING", "fail"): "FAILED"}
@@ -79,7 +91,36 @@ def _state_fn(timeout_minutes: int, retention_minutes: int):
             "completed_at": _ts(st["completed_us"]), "n_events": np.array([st["n_events"]], dtype=np.int64),
             "n_illegal": np.array([st["n_illegal"]], dtype=np.int64),
             "last_seq": np.array([st["last_seq"]], dtype=np.int64),
-            "error_message": _obj(st["message"]), "change": _obj(change)}, copy=False)
+            "error_message": _obj(st["message"]), "change": _obj(change),
+            "change_no": np.array([st["n_changes"]], dtype=np.int64)}, copy=False)
+
+    def changed(job_id, st, change):
+        st["n_changes"] += 1
+        return emit(job_id, st, change)
+
+    def expire(st):
+        """The next change that passing time alone brings, and when; None if there is none."""
+        if st["dropped"]:
+            return None
+        if st["status"] == "PROCESSING":
+            return "timeout", st["started_us"] + timeout_us
+        if st["status"] in ("COMPLETED", "FAILED"):
+            return "dropped", st["completed_us"] + retention_us
+        return None
+
+    def pass_time(st, change, at_us):
+        if change == "timeout":
+            st.update(status="FAILED", completed_us=at_us, message=S.MSG_TIMED_OUT)
+        else:
+            st.update(dropped=True, expires_us=at_us + retention_us)
+
+    def save(state, st, names):
+        state.update(tuple(st[n] for n in names))
+        nxt = expire(st)
+        if st["dropped"]:
+            set_timeout(state, st["expires_us"])
+        elif nxt:
+            set_timeout(state, nxt[1])
 
     def set_timeout(state: GroupState, at_us: int):
         wm = state.getCurrentWatermarkMs()
@@ -93,19 +134,13 @@ def _state_fn(timeout_minutes: int, retention_minutes: int):
         if state.hasTimedOut:
             st = dict(zip(names, state.get))
             if st["dropped"]:
-                state.remove()
+                state.remove()  # the tombstone has had its time
                 return
-            if st["status"] == "PROCESSING":
-                st.update(status="FAILED", completed_us=st["started_us"] + timeout_us,
-                          message=S.MSG_TIMED_OUT)
-                state.update(tuple(st[n] for n in names))
-                set_timeout(state, st["completed_us"] + retention_us)
-                yield emit(job_id, st, "timeout")
-            else:
-                st["dropped"] = True
-                state.update(tuple(st[n] for n in names))
-                set_timeout(state, state.getCurrentWatermarkMs() * 1000 + retention_us)
-                yield emit(job_id, st, "dropped")
+            nxt = expire(st)
+            if nxt:
+                pass_time(st, *nxt)
+                yield changed(job_id, st, nxt[0])
+            save(state, st, names)
             return
         parts = list(pdfs)
         pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
@@ -117,14 +152,23 @@ def _state_fn(timeout_minutes: int, retention_minutes: int):
             st = dict(zip(names, state.get))
         else:
             st = {"status": "PENDING", "started_us": None, "completed_us": None, "n_events": 0,
-                  "n_illegal": 0, "last_seq": None, "message": None, "dropped": False}
-        if st["dropped"]:
-            late = dict(st, n_events=len(seqs), last_seq=int(seqs[-1]))
-            yield emit(job_id, late, "late")
-            return
+                  "n_illegal": 0, "last_seq": None, "message": None, "dropped": False, "n_changes": 0,
+                  "expires_us": None}
+        late, applied = [], False
         for seq, us, kind in zip(seqs, stamps, kinds):
+            # what time alone changed before this event comes first, wherever the batches were cut
+            while (nxt := expire(st)) and us > nxt[1]:
+                if applied:
+                    yield changed(job_id, st, "update")
+                    applied = False
+                pass_time(st, *nxt)
+                yield changed(job_id, st, nxt[0])
+            if st["dropped"]:
+                late.append(int(seq))
+                continue
+            applied = True
             st["n_events"] += 1
-            st["last_seq"] = int(seq)
+            st["last_seq"] = max(int(seq), st["last_seq"] if st["last_seq"] is not None else int(seq))
             new = MOVES.get((st["status"], kind))
             if new is None:
                 st["n_illegal"] += 1
@@ -133,13 +177,13 @@ def _state_fn(timeout_minutes: int, retention_minutes: int):
                 st["started_us"] = us
             else:
                 st["completed_us"] = us
+                st["message"] = MSG_EVENT_FAILED if new == "FAILED" else None
             st["status"] = new
-        state.update(tuple(st[n] for n in names))
-        if st["status"] == "PROCESSING":
-            set_timeout(state, st["started_us"] + timeout_us)
-        elif st["status"] in ("COMPLETED", "FAILED"):
-            set_timeout(state, st["completed_us"] + retention_us)
-        yield emit(job_id, st, "update")
+        if applied:
+            yield changed(job_id, st, "update")
+        if late:
+            yield emit(job_id, dict(st, n_events=len(late), last_seq=late[-1]), "late")
+        save(state, st, names)
 
     return fn
 
@@ -163,9 +207,7 @@ def final_states(changes: DataFrame) -> DataFrame:
     A job has at most a few change rows per micro-batch, so a per-job
     ``row_number`` (planned as a group limit) stays small for every key.
     """
-    order = (F.when(F.col("change") == "update", 0).when(F.col("change") == "timeout", 1)
-             .otherwise(2))
-    w = Window.partitionBy("job_id").orderBy(F.col("last_seq").desc(), order.desc())
+    w = Window.partitionBy("job_id").orderBy(F.col("change_no").desc())
     return (changes.where(F.col("change") != "late")
             .withColumn("_r", F.row_number().over(w)).where("_r = 1")
             .select(*CHANGES.fieldNames()))

@@ -107,3 +107,38 @@ def test_repeated_and_unknown_requests(spark):
     assert sorted((r.job_id, r.status) for r in moved) == [("a", "PROCESSING"), ("b", "COMPLETED")]
     missed = {r.job_id: r.error_class for r in jobs.request_misses(table, ids).collect()}
     assert missed == {"a": "InvalidJobStateError", "zz": "JobNotFoundError"}
+
+
+def _lifecycle(spark, tmp_path, name, batches):
+    from palaver.streaming.lifecycle import final_states, lifecycle_stream
+    src, out = f"{tmp_path}/{name}/in", f"{tmp_path}/{name}/out"
+    for rows in batches:
+        spark.createDataFrame(rows, "job_id string, seq long, at string, kind string") \
+            .select("job_id", "seq", F.col("at").cast("timestamp_ntz").alias("ts"), "kind") \
+            .coalesce(1).write.mode("append").parquet(src)
+        lifecycle_stream(spark, src, out, f"{tmp_path}/{name}/ck").awaitTermination()
+    log = spark.read.parquet(out)
+    final = final_states(log).select("job_id", "status", "completed_at", "n_events", "n_illegal", "error_message")
+    return sorted(tuple(r) for r in final.collect()), log
+
+
+def test_lifecycle_does_not_depend_on_batches(spark, tmp_path):
+    d = "2024-01-01 "
+    events = [("a", 1, d + "00:00:00", "start"), ("b", 1, d + "00:05:00", "start"), ("b", 2, d + "00:20:00", "complete"),
+              ("a", 2, d + "00:45:00", "complete"), ("c", 1, d + "00:50:00", "fail"), ("d", 1, d + "02:00:00", "start")]
+    one, _ = _lifecycle(spark, tmp_path, "one", [events])
+    three, _ = _lifecycle(spark, tmp_path, "three", [events[:2], events[2:4], events[4:]])
+    assert one == three
+    got = {r[0]: r for r in one}
+    assert got["a"][1] == "FAILED" and str(got["a"][2]) == "2024-01-01 00:30:00" and got["a"][5]
+    assert got["b"][1] == "COMPLETED" and got["b"][5] is None
+    assert got["c"][1] == "FAILED" and got["c"][5]
+
+
+def test_events_after_the_retention_time_are_late(spark, tmp_path):
+    d = "2024-01-01 "
+    events = [("a", 1, d + "00:00:00", "start"), ("a", 2, d + "00:10:00", "complete"), ("a", 3, d + "03:00:00", "start")]
+    one, log = _lifecycle(spark, tmp_path, "late1", [events])
+    two, log2 = _lifecycle(spark, tmp_path, "late2", [events[:2], events[2:]])
+    assert one == two and one[0][1] == "COMPLETED" and one[0][3] == 2
+    assert log.where("change = 'late'").count() == log2.where("change = 'late'").count() == 1
