@@ -15,7 +15,7 @@ vector or one holding a null, NaN or infinity takes no part; a shorter vector
 counts as padded with zeros; every row with the query's own id is left out;
 ties go to the smaller id; repeated rows are candidates of their own, and a
 repeated query row is asked once (its smallest vector by order); a score
-outside the range of a long is clipped to it.
+beyond 2^63 - 1 either way is clipped to it.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 SCALE = 256.0
 EXACT = float(1 << 53)
-LONG = np.iinfo(np.int64)
+MOST = int(np.iinfo(np.int64).max)
 
 
 def quantised(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -53,7 +53,7 @@ def _exact(q: np.ndarray, cand: np.ndarray) -> np.ndarray:
     if float(np.abs(q).sum()) * float(np.abs(cand).max(initial=0.0)) < EXACT:
         return (q @ cand).astype(np.int64)  # every partial sum is exact in a double
     whole = [sum(int(a) * int(b) for a, b in zip(q, c)) for c in cand.T]
-    return np.array([min(max(s, LONG.min), LONG.max) for s in whole], dtype=np.int64)
+    return np.array([min(max(s, -MOST), MOST) for s in whole], dtype=np.int64)
 
 
 def search_block(q_ids, q_rows, c_ids, c_rows, k: int, block: int):
