@@ -66,14 +66,17 @@ def search_block(q_ids, q_rows, c_ids, c_rows, k: int, block: int):
     cuts = [(lo, min(dims, lo + block)) for lo in range(0, dims, block)]
     # norm of what follows each cut, rounded up so that the bound stays a bound
     rest = [np.sqrt((cand[hi:] ** 2).sum(axis=0)) * (1 + 1e-9) for _, hi in cuts]
+    largest = float(np.abs(cand).max(initial=0.0))
     for j, qid in enumerate(q_ids):
         q = queries[:, j]
         alive = np.flatnonzero(c_ids != qid)
         partial = np.zeros(len(alive))
         floor = -np.inf
+        # beyond the integers that doubles hold exactly, scores are clipped: nothing is dropped then
+        exact = float(np.abs(q).sum()) * largest < EXACT
         for i, (lo, hi) in enumerate(cuts):
             partial = partial + q[lo:hi] @ cand[lo:hi, alive]
-            if hi == dims or len(alive) <= k:
+            if hi == dims or len(alive) <= k or not exact:
                 continue
             if i == 0:  # exact scores of the most promising few give the first floor
                 seeds = alive[np.argpartition(-partial, k - 1)[: 4 * k]] if len(alive) > 4 * k else alive

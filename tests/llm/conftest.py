@@ -21,7 +21,7 @@ def sample_documents():
              (106, "ok", "en", "s2"), (106, "ok", "en", "s2"), (None, "text without an id", "en", "s0"),
              (107, "x" * 50_000 + " " + "y " * 3000, "en", "s1"),
              (108, "mail a.b@c.org or 10.0.0.1 or 4111 1111 1111 1111 or +1 (212) 555-0100", "en", "s2"),
-             (109, "+1 (212) 555-0100 4111111111111111", "en", "s2")]
+             (109, "at +1 (212) 555-0100 4111111111111111", "en", "s2")]
     return rows
 
 
