@@ -681,16 +681,82 @@ ORACLE["p01_build_summary_prompt"] = with_(DOC_TRANSCRIPTS) + f"""
 SELECT job_id, length(p) AS prompt_chars, sha256(p) AS prompt_sha256
 FROM (SELECT job_id, {_PREFIX} || chr(10) || 'Transcript: ' || text AS p FROM doc_transcripts) x"""
 
-ORACLE["p02_build_requests"] = with_(DOC_TRANSCRIPTS, f"""r AS (
-  SELECT job_id, 'summary' AS task, 1000 AS max_tokens, 0.7 AS temperature, false AS expect_json,
-         {_PREFIX} || chr(10) || 'Transcript: ' || text AS c FROM doc_transcripts
-  UNION ALL SELECT job_id, 'metadata', 4096, 0.3, true, text FROM doc_transcripts
-  UNION ALL SELECT job_id, 'verification', 4096, 0.1, true, text FROM doc_transcripts)""") + """
-SELECT sha256(task || '|' || job_id || '|' || sha256(c)) AS request_id, job_id, task,
-       CAST(max_tokens AS INTEGER) AS max_tokens, CAST(temperature AS DOUBLE) AS temperature, expect_json,
+def _system(name: str) -> str:
+    from palaver.operators import prompts
+    return "'" + getattr(prompts, name).replace("'", "''") + "'"
+
+
+def requests_cte(src: str = "doc_transcripts", tasks=("summary", "metadata", "verification"), prefix=None) -> str:
+    """Completion requests of a (job_id, text) relation, with the stub's outcome."""
+    parts = {
+        "summary": (f"{prefix or _PREFIX} || chr(10) || 'Transcript: ' || text", "SUMMARY_SYSTEM", 1000, 0.7, "false"),
+        "metadata": ("text", "METADATA_SYSTEM", 4096, 0.3, "true"),
+        "verification": ("text", "VERIFICATION_SYSTEM", 4096, 0.1, "true")}
+    rows = " UNION ALL ".join(
+        f"SELECT job_id, '{t}' AS task, {parts[t][2]} AS max_tokens, CAST({parts[t][3]} AS DOUBLE) AS temperature, "
+        f"{parts[t][4]} AS expect_json, {_system(parts[t][1])} AS sp, text, {parts[t][0]} AS c FROM {src}" for t in tasks)
+    return f"""r AS (
+  SELECT *, length(c) AS h, string_split(replace(text, chr(10), ' '), ' ') AS w,
+         sha256(task || '|' || job_id || '|' || sha256(c) || '|' || sha256(sp) || '|' || CAST(temperature AS VARCHAR)
+                || '|' || CAST(max_tokens AS VARCHAR) || '|') AS request_id
+  FROM ({rows}) q),
+answered AS (
+  SELECT *, CASE WHEN h % 97 = 0 THEN 'LLMTimeoutError' WHEN h % 89 = 0 THEN 'TokenLimitError'
+                 WHEN h % 83 = 0 THEN 'LLMRateLimitError' END AS error_class,
+         CASE task WHEN 'summary' THEN array_to_string(w[1:30], ' ')
+              WHEN 'metadata' THEN CASE WHEN h % 3 <> 0 THEN '```json' || chr(10) ELSE '' END || CAST(json_object(
+                   'conversation_type', CASE WHEN h % 2 = 1 THEN 'CASUAL' ELSE 'FORMAL' END,
+                   'topics', json_array(json_object('name', w[1], 'confidence_score', 0.5)),
+                   'key_points', json_array(array_to_string(w[1:8], ' '))) AS VARCHAR)
+                   || CASE WHEN h % 3 <> 0 THEN chr(10) || '```' ELSE '' END
+              ELSE CASE WHEN contains(text, '@') THEN '{{"is_safe":false,"reject_reason":"PII"}}'
+                        ELSE '{{"is_safe":true,"reject_reason":null}}' END END AS answer
+  FROM r)"""
+
+
+ORACLE["p02_build_requests"] = with_(DOC_TRANSCRIPTS, requests_cte()) + """
+SELECT request_id, job_id, task, CAST(max_tokens AS INTEGER) AS max_tokens, temperature, expect_json,
        length(c) AS content_chars
 FROM r"""
 
+ORACLE["p03_complete"] = with_(DOC_TRANSCRIPTS, requests_cte()) + f"""
+SELECT request_id, job_id, task, CASE WHEN error_class IS NULL THEN {clean('answer')} END AS raw, error_class
+FROM answered"""
+
+ORACLE["p08_usage_report"] = with_(DOC_TRANSCRIPTS, requests_cte()) + """
+SELECT task, CASE WHEN error_class IS NULL THEN 'stub-1' END AS model, count(*) AS n_calls,
+       count(*) FILTER (WHERE error_class IS NOT NULL) AS n_failed,
+       CAST(sum(p) AS BIGINT) AS prompt_tokens, CAST(sum(k) AS BIGINT) AS completion_tokens,
+       CAST(sum(p + k) AS BIGINT) AS total_tokens
+FROM (SELECT *, CASE WHEN error_class IS NULL THEN h // 4 END AS p,
+             CASE WHEN error_class IS NULL THEN length(answer) // 4 END AS k
+      FROM answered) x
+GROUP BY 1, 2"""
+
+ORACLE["v01_verify"] = with_(DOC_TRANSCRIPTS, OK_DOCS, m1_ctes("ok_docs"), """summed AS (
+  SELECT d.job_id, coalesce(t.summary_text, '') AS text FROM ok_docs d LEFT JOIN sum1 t ON t.id = d.job_id)""",
+                             requests_cte("summed", ("verification",))) + """
+SELECT job_id AS transcript_id, error_class IS NULL AS ok,
+       CASE WHEN error_class IS NULL THEN NOT contains(text, '@') END AS is_safe,
+       CASE WHEN error_class IS NULL AND contains(text, '@') THEN 'PII' END AS reject_reason,
+       CASE WHEN error_class IS NOT NULL THEN 'VerificationError' END AS error_class,
+       CASE error_class WHEN 'LLMTimeoutError' THEN 'Failed to verify content: Request to language model timed out'
+            WHEN 'TokenLimitError' THEN 'Failed to verify content: Input exceeds maximum token limit'
+            WHEN 'LLMRateLimitError' THEN 'Failed to verify content: Rate limit exceeded for language model' END AS message,
+       false AS inconsistent
+FROM answered"""
+
+ORACLE["e07_summarize_with_client"] = with_(DOC_TRANSCRIPTS, OK_DOCS, requests_cte("ok_docs")) + """
+SELECT d.job_id AS transcript_id,
+       CASE WHEN o.job_id IS NULL THEN 'SummaryError'
+            WHEN s.error_class = 'TokenLimitError' THEN 'ContentTooLongError'
+            WHEN s.error_class IS NOT NULL THEN s.error_class ELSE m.error_class END AS error_class,
+       CASE WHEN o.job_id IS NOT NULL AND s.error_class IS NULL AND m.error_class IS NULL
+            THEN CASE WHEN m.h % 2 = 1 THEN 'CASUAL' ELSE 'FORMAL' END END AS conversation_type
+FROM doc_transcripts d LEFT JOIN ok_docs o USING (job_id)
+LEFT JOIN answered s ON s.job_id = d.job_id AND s.task = 'summary'
+LEFT JOIN answered m ON m.job_id = d.job_id AND m.task = 'metadata'"""
+
 _LINE = (r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}) - (\S+) - (\S+) - (\S+) - "
          r"Path: (\S+) Method: (\S+) Status: (\d+) Duration: ([0-9]+[.][0-9]+)s$")
 PARSED_LOG = f"""parsed_log AS (

@@ -1,20 +1,19 @@
 """A deterministic stand-in for the hosted model, for tests and the P3/V1/E7 queries.
 
-Replies are derived from the request text; some requests fail on purpose so
-every client error kind is exercised.
+Replies and failures follow from the length and the first words of the request
+text, so the oracle can state them in SQL.
 """
 
 from __future__ import annotations
 
 import json
-import zlib
 
 from palaver.operators.completion import CompletionError
 
 
 def stub_client_factory():
     def client(system_prompt: str, user_content: str, max_tokens: int, temperature: float) -> dict:
-        h = zlib.crc32(user_content.encode("utf-8"))
+        h = len(user_content)
         if h % 97 == 0:
             raise CompletionError("timeout", "read timed out")
         if h % 89 == 0:
@@ -22,19 +21,19 @@ def stub_client_factory():
         if h % 83 == 0:
             raise CompletionError("rate_limit", "slow down")
         body = user_content.rsplit("\nTranscript: ", 1)[-1]
-        words = body.split()
+        words = body.replace("\n", " ").split(" ")
         if system_prompt.startswith("Summarise"):
             choices = [" ".join(words[:30])]
         elif system_prompt.startswith("Read the transcript"):
-            longest = sorted({w.strip(".,!?").lower() for w in words if len(w) > 6})[:3]
-            reply = {"conversation_type": "CASUAL",
-                     "topics": [{"name": w, "confidence_score": 0.5} for w in longest],
+            reply = {"conversation_type": "CASUAL" if h % 2 else "FORMAL",
+                     "topics": [{"name": words[0], "confidence_score": 0.5}],
                      "key_points": [" ".join(words[:8])]}
-            text = json.dumps(reply)
-            choices = ["```json\n" + text + "\n```" if h % 2 else text]
+            text = json.dumps(reply, ensure_ascii=False, separators=(",", ":"))
+            choices = ["```json\n" + text + "\n```" if h % 3 else text]
         else:
             unsafe = "@" in body
-            choices = [json.dumps({"is_safe": not unsafe, "reject_reason": "PII" if unsafe else None})]
-        return {"choices": choices, "prompt_tokens": len(user_content) // 4,
+            choices = [json.dumps({"is_safe": not unsafe, "reject_reason": "PII" if unsafe else None},
+                                  separators=(",", ":"))]
+        return {"choices": choices, "prompt_tokens": h // 4,
                 "completion_tokens": sum(len(c) for c in choices) // 4, "model": "stub-1"}
     return client

@@ -7,8 +7,11 @@ n, "model": name}``; a failed call raises ``CompletionError(kind, text)``
 (kinds: timeout, rate_limit, connection, api_error, client_error, other).
 
 A retried task calls the model again, so results are stored: every run
-appends to a parquet store keyed by ``request_id`` and skips ids already
-there. The returned frame is read back from the store, never recomputed.
+appends to a parquet store keyed by ``request_id`` and skips ids that have a
+final outcome there. Calls that failed for a passing reason (``RETRY``) are made
+again by the next run, as a further attempt. Requests are written before the
+first call and results commit in chunks, so a failed task repeats a part of one
+chunk. The returned frame is read back from the store, never recomputed.
 """
 
 from __future__ import annotations
@@ -17,14 +20,17 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palaver.functions import errors as E
 from palaver.functions.replies import clean_reply, join_choices
+from palaver.plans.staging import stored
 from palaver.session import ship_package
 
+RETRY = ("timeout", "rate_limit", "connection")
+
 RESULT = T.StructType([
     T.StructField("request_id", T.StringType(), False),
     T.StructField("job_id", T.StringType(), False),
@@ -37,6 +43,7 @@ RESULT = T.StructType([
     T.StructField("total_tokens", T.LongType(), True),
     T.StructField("error_kind", T.StringType(), True),
     T.StructField("error_text", T.StringType(), True),
+    T.StructField("attempt", T.LongType(), False),
 ])
 
 
@@ -58,11 +65,14 @@ def _runner(client_factory: Callable[[], Callable]):
                 row = {"request_id": r.request_id, "job_id": r.job_id, "task": r.task,
                        "expect_json": bool(r.expect_json), "model": None, "choices": None,
                        "prompt_tokens": None, "completion_tokens": None, "total_tokens": None,
-                       "error_kind": None, "error_text": None}
+                       "error_kind": None, "error_text": None, "attempt": int(r.attempt)}
                 try:
                     resp = client(r.system_prompt, r.user_content, int(r.max_tokens), float(r.temperature))
                     p, c = int(resp.get("prompt_tokens", 0)), int(resp.get("completion_tokens", 0))
-                    row.update(model=resp.get("model"), choices=[str(x) for x in resp.get("choices", [])],
+                    choices = resp.get("choices", [])
+                    if any(x is None for x in choices):
+                        raise TypeError("a choice has no content")
+                    row.update(model=resp.get("model"), choices=[str(x) for x in choices],
                                prompt_tokens=p, completion_tokens=c, total_tokens=p + c)
                 except CompletionError as e:
                     row.update(error_kind=e.kind, error_text=e.text)
@@ -73,30 +83,39 @@ def _runner(client_factory: Callable[[], Callable]):
     return run
 
 
-def _stored(spark, store: str) -> DataFrame | None:
+def _latest(spark, store: str) -> DataFrame:
+    """The last attempt of every request in the store (empty where there is none yet)."""
     try:
-        return spark.read.schema(RESULT).parquet(store)
-    except AnalysisException:
-        return None
+        rows = spark.read.schema(RESULT).parquet(store)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], RESULT)
+    w = Window.partitionBy("request_id").orderBy(F.col("attempt").desc())
+    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
 def complete(requests: DataFrame, client_factory: Callable[[], Callable], store: str,
-             concurrency: int = 8) -> DataFrame:
-    """Results for ``requests`` (P2 rows), calling the client only for new ids.
+             concurrency: int = 8, rows_per_task: int = 10_000, retry: tuple[str, ...] = RETRY) -> DataFrame:
+    """Results for ``requests`` (P2 rows), calling the client only where needed.
 
-    ``repartition(concurrency)`` bounds the number of simultaneous callers.
+    At most ``concurrency`` callers at a time, each with about ``rows_per_task``
+    requests per chunk; every chunk is committed before the next begins.
     """
     spark = requests.sparkSession
     ship_package(spark)
-    todo = requests.dropDuplicates(["request_id"])
-    done = _stored(spark, store)
-    if done is not None:
-        todo = todo.join(done.select("request_id"), "request_id", "left_anti")
-    (todo.repartition(concurrency)
-         .mapInPandas(_runner(client_factory), RESULT)
-         .write.mode("append").parquet(store))
-    return (spark.read.schema(RESULT).parquet(store)
-            .join(requests.select("request_id").distinct(), "request_id", "left_semi"))
+    asked = stored(requests.dropDuplicates(["request_id"]), "requests")
+    before = _latest(spark, store).select("request_id", "error_kind", F.col("attempt").alias("_before"))
+    todo = asked.join(before, "request_id", "left") \
+        .where(F.col("_before").isNull() | F.col("error_kind").isin(*retry)) \
+        .withColumn("attempt", F.coalesce("_before", F.lit(0)) + 1).drop("_before", "error_kind")
+    todo = stored(todo, "requests-to-send")
+    chunks = -(-todo.count() // (concurrency * rows_per_task))
+    for c in range(chunks):
+        (todo.where(F.pmod(F.xxhash64("request_id"), F.lit(chunks)) == c).repartition(concurrency)
+             .mapInPandas(_runner(client_factory), RESULT)
+             .write.mode("append").parquet(store))
+    return _latest(spark, store).join(asked.select("request_id"), "request_id", "left_semi")
 
 
 def replies(results: DataFrame) -> DataFrame:

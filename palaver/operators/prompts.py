@@ -38,17 +38,20 @@ def effective(value: Column, default) -> Column:
     return F.when(F.coalesce(value, F.lit(0)) == 0, F.lit(default)).otherwise(value)
 
 
-def request_id(task: Column, job_id: Column, content: Column) -> Column:
-    return F.sha2(F.concat_ws("|", task, job_id, F.sha2(content, 256)), 256)
+def request_id(task: Column, job_id: Column, content: Column, system: Column, temperature: Column,
+               max_tokens: Column, model: str = "") -> Column:
+    """Hash of all that an answer depends on, so changed settings ask again."""
+    return F.sha2(F.concat_ws("|", task, job_id, F.sha2(content, 256), F.sha2(system, 256),
+                              temperature.cast("string"), max_tokens.cast("string"), F.lit(model)), 256)
 
 
 def build_requests(transcripts: DataFrame, prefix: str, tasks: list[str] | None = None,
-                   id_col: str = "job_id", text_col: str = "text") -> DataFrame:
-    """One request row per transcript and task.
+                   id_col: str = "job_id", text_col: str = "text", model: str = "") -> DataFrame:
+    """One request row per transcript and task (``model``: the one the client calls).
 
     The task table is a literal array exploded per row (no join), and the
-    request id is a hash of task, job and content, so a stored result can be
-    matched to its request after any re-run.
+    request id is a hash of task, job, content and settings, so a stored result
+    can be matched to its request after any re-run.
     """
     chosen = [t for t in TASKS if tasks is None or t[0] in tasks]
     text = F.col(text_col)
@@ -60,9 +63,11 @@ def build_requests(transcripts: DataFrame, prefix: str, tasks: list[str] | None
                  (summary_prompt(text, prefix) if name == "summary" else text).alias("user_content"))
         for name, system, temp, max_tok, expect_json in chosen])
     r = transcripts.select(F.col(id_col).cast("string").alias("job_id"), F.explode(arr).alias("r"))
+    limit = effective(F.col("r.max_tokens"), S.DEFAULT_MAX_TOKENS).cast("int")
+    temperature = effective(F.col("r.temperature"), S.DEFAULT_TEMPERATURE).cast("double")
     return r.select(
-        request_id(F.col("r.task"), F.col("job_id"), F.col("r.user_content")).alias("request_id"),
+        request_id(F.col("r.task"), F.col("job_id"), F.col("r.user_content"), F.col("r.system_prompt"),
+                   temperature, limit, model).alias("request_id"),
         "job_id", "r.task", "r.system_prompt", "r.user_content",
-        effective(F.col("r.max_tokens"), S.DEFAULT_MAX_TOKENS).cast("int").alias("max_tokens"),
-        effective(F.col("r.temperature"), S.DEFAULT_TEMPERATURE).cast("double").alias("temperature"),
+        limit.alias("max_tokens"), temperature.alias("temperature"),
         "r.expect_json")

@@ -34,10 +34,14 @@ def test_complete_stores_and_never_calls_twice(spark):
     first = cp.complete(req, stub_client_factory, store)
     n = first.count()
     assert n == req.count()
-    # a second run finds every id stored: the client is never called
+    # a second run calls the client only where the first failed for a passing reason
+    passing = first.where(F.col("error_kind").isin(*cp.RETRY)).count()
     again = cp.complete(req, _failing_factory, store)
     assert again.count() == n
-    assert again.where(F.col("error_kind") == "other").count() == 0
+    assert again.where(F.col("error_kind") == "other").count() == passing == again.where("attempt = 2").count()
+    # small chunks commit one by one and give the same rows
+    parts = cp.complete(req, stub_client_factory, scratch_path(spark, "test-chunks"), concurrency=2, rows_per_task=50)
+    assert parts.select("request_id", "error_kind").exceptAll(first.select("request_id", "error_kind")).count() == 0
     rep = cp.replies(first)
     kinds = {r.error_class for r in rep.select("error_class").distinct().collect()}
     assert None in kinds  # most calls succeed
@@ -155,8 +159,9 @@ def test_complete_resumes_after_a_partial_run(spark):
     req = pr.build_requests(fx.doc_transcripts(spark, SF_SMALL), "", ["verification"])
     store = scratch_path(spark, "test-resume")
     done_ids = req.where(F.length("user_content") % 2 == 0)
-    cp.complete(done_ids, stub_client_factory, store)
-    marked = {r.request_id for r in done_ids.select("request_id").collect()}
+    stored = cp.complete(done_ids, stub_client_factory, store)
+    final = F.coalesce(~F.col("error_kind").isin(*cp.RETRY), F.lit(True))  # passing failures are asked again
+    marked = {r.request_id for r in stored.where(final).select("request_id").collect()}
 
     def refusing_factory():
         def client(system, user, max_tokens, temperature):
