@@ -294,7 +294,7 @@ def p05(spark, base):
 
 @query("p06_check_json")
 def p06(spark, base):
-    return rp.check_json(rp.clean_replies(fx.llm_responses(spark, base))).select(
+    return rp.check_json(rp.clean_replies(fx.llm_responses(spark, base)), mode="sql").select(
         "transcript_id", "is_json", "error_class")
 
 

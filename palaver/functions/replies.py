@@ -3,7 +3,7 @@
 SQL mode uses ``try_parse_json`` / variant functions (JVM side). The exact
 mode of P6 is an Arrow-batched pandas UDF over Python's ``json.loads``,
 for the three inputs where the two JSON readers disagree (trailing text,
-NaN, duplicate keys).
+NaN, duplicate keys); later checks read the text it writes.
 """
 
 from __future__ import annotations
@@ -47,18 +47,29 @@ def is_json_sql(s: Column) -> Column:
     return F.coalesce(F.try_parse_json(s).isNotNull() & whole, F.lit(False))
 
 
-@F.pandas_udf(T.BooleanType())
-def is_json_exact(s: pd.Series) -> pd.Series:
-    """P6, exact mode: Python's own JSON reader, one Arrow batch at a time."""
-    def ok(x):
+@F.pandas_udf(T.StringType())
+def canonical_json(s: pd.Series) -> pd.Series:
+    """P6, exact mode: what Python's JSON reader makes of a text, written again; null if it refuses.
+
+    The last of two equal keys wins, as it does there. NaN and the infinities,
+    which Python reads and JSON cannot write, become a number out of any
+    accepted range.
+    """
+    def plain(x):
+        if isinstance(x, float) and (x != x or x in (float("inf"), float("-inf"))):
+            return 1e300
+        if isinstance(x, dict):
+            return {k: plain(v) for k, v in x.items()}
+        return [plain(v) for v in x] if isinstance(x, list) else x
+
+    def again(x):
         if x is None:
-            return False
+            return None
         try:
-            json.loads(x)
-            return True
-        except ValueError:
-            return False
-    return s.map(ok).astype(bool)
+            return json.dumps(plain(json.loads(x)), ensure_ascii=False)
+        except (ValueError, RecursionError):
+            return None
+    return s.map(again).astype(object)
 
 
 def _is_number(v: Column) -> Column:

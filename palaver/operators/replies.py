@@ -30,15 +30,19 @@ def clean_replies(replies: DataFrame, raw_col: str = "raw", strip_bare_fence: bo
     return replies.withColumn("cleaned", R.clean_reply(F.col(raw_col), strip_bare_fence))
 
 
-def check_json(cleaned: DataFrame, mode: str = "sql", col: str = "cleaned") -> DataFrame:
-    """Adds ``is_json`` and, when false, ``InvalidResponseError``.
+def check_json(cleaned: DataFrame, mode: str = "exact", col: str = "cleaned") -> DataFrame:
+    """Adds ``is_json``, ``parsed`` (the text to read) and, when false, ``InvalidResponseError``.
 
-    ``mode='sql'`` stays in the JVM; ``mode='exact'`` uses Python's reader
-    through an Arrow-batched pandas UDF.
+    ``mode='exact'`` uses Python's reader, as the service does, through an
+    Arrow-batched pandas UDF; ``mode='sql'`` stays in the JVM.
     """
     if mode != "sql":
         ship_package(cleaned.sparkSession)
-    test = R.is_json_sql(F.col(col)) if mode == "sql" else R.is_json_exact(F.col(col))
+        cleaned = cleaned.withColumn("parsed", R.canonical_json(F.col(col)))
+        test = F.col("parsed").isNotNull()
+    else:
+        cleaned = cleaned.withColumn("parsed", F.col(col))
+        test = R.is_json_sql(F.col(col))
     return (cleaned.withColumn("is_json", test)
             .withColumn("error_class", F.when(~F.col("is_json"), F.lit("InvalidResponseError")))
             .withColumn("message", F.when(~F.col("is_json"), F.lit("LLM did not return valid JSON"))))
@@ -52,14 +56,14 @@ def map_client_errors(df: DataFrame, kind_col: str = "error_kind", text_col: str
 
 
 def metadata_checks(replies: DataFrame, id_col: str = "transcript_id", raw_col: str = "raw",
-                    mode: str = "sql") -> DataFrame:
+                    mode: str = "exact") -> DataFrame:
     """E1-E4 in order over raw metadata replies; one row per reply."""
     c = check_json(clean_replies(replies.select(F.col(id_col).alias("transcript_id"),
                                                 F.col(raw_col).alias("raw"))), mode)
-    v = F.try_parse_json(F.col("cleaned"))
-    c = c.select("transcript_id", "cleaned", "is_json", v.alias("_v"))
+    v = F.try_parse_json(F.col("parsed"))
+    c = c.select("transcript_id", "cleaned", "parsed", "is_json", v.alias("_v"))
     is_obj = F.coalesce(F.schema_of_variant(F.col("_v")).startswith("OBJECT"), F.lit(False))
-    missing = R.missing_fields(F.col("cleaned"))
+    missing = R.missing_fields(F.col("parsed"))
     ctype = R.conversation_type(F.col("_v"))
     # the service iterates whatever "topics" holds: an empty string or object
     # gives no topics, a non-empty one yields non-object items (bad

@@ -41,7 +41,7 @@ def _rejected_transcripts(checked: DataFrame) -> DataFrame:
 
 
 def summarize_with_replies(transcripts: DataFrame, summary_replies: DataFrame,
-                           metadata_replies: DataFrame, mode: str = "sql"):
+                           metadata_replies: DataFrame, mode: str = "exact"):
     """E7 over stored model replies (``transcript_id, raw``) for both tasks.
 
     Order as in the service: transcript check, summary reply (cleaned like
@@ -97,7 +97,7 @@ def batch_summarize(summaries: DataFrame, failures: DataFrame, continue_on_error
 
 
 def summarize_with_client(transcripts: DataFrame, client_factory, store: str, prefix: str,
-                          concurrency: int = 8, mode: str = "sql"):
+                          concurrency: int = 8, mode: str = "exact"):
     """E7 through the model client: summary calls, then metadata calls only for
     transcripts whose summary call succeeded, then the checks of
     ``summarize_with_replies``. Results of both stages are stored (P3).

@@ -142,3 +142,19 @@ def test_events_after_the_retention_time_are_late(spark, tmp_path):
     two, log2 = _lifecycle(spark, tmp_path, "late2", [events[:2], events[2:]])
     assert one == two and one[0][1] == "COMPLETED" and one[0][3] == 2
     assert log.where("change = 'late'").count() == log2.where("change = 'late'").count() == 1
+
+
+def test_replies_are_read_as_python_reads_them(spark):
+    from palaver.operators.replies import metadata_checks, parse_metadata
+    good = '"topics": [{"name": "t", "confidence_score": 0.5}], "key_points": ["k"]}'
+    rows = [("dup", '{"conversation_type": "FORMAL", "conversation_type": "COMEDY", ' + good),
+            ("two", '{"conversation_type": "COMEDY", ' + good + ' {"a": 1}'),
+            ("nan", '{"conversation_type": "COMEDY", "topics": [{"name": "t", "confidence_score": NaN}], "key_points": []}'),
+            ("ok", '```json\n{"conversation_type": "CASUAL", ' + good + "\n```"), ("none", None)]
+    checked = metadata_checks(spark.createDataFrame(rows, "transcript_id string, raw string"))
+    got = {r.transcript_id: (r.ok, r.detail) for r in checked.collect()}
+    assert got["dup"] == got["ok"] == (True, None)
+    assert got["two"] == got["none"] == (False, "LLM did not return valid JSON")
+    assert got["nan"] == (False, "Topic confidence score must be between 0 and 1")
+    kinds = {r.transcript_id: r.conversation_type for r in parse_metadata(checked).collect()}
+    assert kinds == {"dup": "COMEDY", "ok": "CASUAL"}
