@@ -284,7 +284,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             near = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         else:
             near = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # written, so that both sides of the join are plain exchanges and a hub can be split
+        low = stored(near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-low")
         moved = near.join(low, "u")
         moved = moved.filter("v > u") if large else moved
         out = moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -292,12 +293,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "cc")
     state = None
-    while True:
+    while now.take(1):
         now = stored(star(star(now, True), False), "cc")
         seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1000003)).first()
         if tuple(seen) == state:
             break
         state = tuple(seen)
+    # every edge now leads to a root
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")) \
         .unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
