@@ -791,10 +791,39 @@ _PYTS = ("CASE WHEN {c} IS NULL THEN NULL WHEN epoch_us({c}) % 1000000 = 0 THEN
          "ELSE strftime({c}, '%Y-%m-%d %H:%M:%S.%f') END")
 
 ORACLE["s04_export_jobs_report"] = with_(JOBS) + f"""
-SELECT job_id, status, {_PYTS.format(c='created_at')} AS created_at, {_PYTS.format(c='started_at')} AS started_at,
+SELECT job_id, url, status, priority, {_PYTS.format(c='created_at')} AS created_at,
+       {_PYTS.format(c='started_at')} AS started_at, {_PYTS.format(c='completed_at')} AS completed_at,
        error_message, true AS nulls_kept
 FROM jobs"""
 
+ORACLE["s05_write_summaries"] = with_(
+    TRANSCRIPTS, SHARES, ALLOC,
+    "ok AS (SELECT * FROM transcripts WHERE NOT (text IS NULL OR text = '' OR length(text) < 50))",
+    m1_ctes("ok"), m2_ctes("ok"), m4_cte("ok")) + """
+SELECT o.job_id AS transcript_id, m.conversation_type, coalesce(t.summary_text, '') AS summary_text,
+       a.speakers, a.speaking_time, coalesce(p.topics, '') AS topics, coalesce(p.confidence, 0) AS confidence,
+       CAST(coalesce(k.n, 0) AS INTEGER) AS n_key_points
+FROM ok o JOIN m4 m USING (job_id) LEFT JOIN sum1 t ON t.id = o.job_id
+JOIN (SELECT job_id, string_agg(speaker_id || ':' || name, '|' ORDER BY position) AS speakers,
+             round(sum(speaking_time), 6) AS speaking_time FROM alloc GROUP BY job_id) a USING (job_id)
+LEFT JOIN (SELECT id, string_agg(word, '|' ORDER BY rank) AS topics, round(sum(confidence), 6) AS confidence
+           FROM top2 GROUP BY id) p ON p.id = o.job_id
+LEFT JOIN (SELECT id, count(*) AS n FROM kp3 GROUP BY id) k ON k.id = o.job_id"""
+
+ORACLE["l01_rejected_lines"] = with_(REQUEST_LOG) + """
+SELECT 'worker: ' || line AS line FROM request_log WHERE contains(line, 'Duration: 3.')"""
+
+ORACLE["j03_request_misses"] = with_(JOBS, """ids AS (
+  SELECT job_id FROM jobs WHERE CAST(job_id AS BIGINT) % 3 = 0
+  UNION ALL SELECT job_id FROM jobs WHERE CAST(job_id AS BIGINT) % 6 = 0
+  UNION ALL SELECT 'x' || job_id FROM jobs WHERE CAST(job_id AS BIGINT) % 10 = 0)""") + """
+SELECT job_id, CASE WHEN job_id LIKE 'x%' THEN n ELSE n - 1 END AS n_requests,
+       CASE WHEN job_id LIKE 'x%' THEN 'JobNotFoundError' ELSE 'InvalidJobStateError' END AS error_class,
+       CASE WHEN job_id LIKE 'x%' THEN 'Job ' || job_id || ' not found'
+            ELSE 'Job was already moved by the same batch' END AS message
+FROM (SELECT job_id, count(*) AS n FROM ids GROUP BY job_id) q
+WHERE job_id LIKE 'x%' OR n > 1"""
+
 ORACLE["s05_write_job_table"] = with_(JOBS) + "SELECT job_id, status, priority FROM jobs"
 
 ORACLE["s05_write_verdicts"] = ORACLE["v03_rule_verdict"]

@@ -491,6 +491,15 @@ def l01(spark, base):
     return parsed
 
 
+@query("l01_rejected_lines")
+def l01r(spark, base):
+    log = fx.request_log(spark, base)
+    bad = F.col("line").contains("Duration: 3.")  # a part of the lines in another layout
+    _, rejected = lg.parse_request_log(log.select(
+        F.when(bad, F.concat(F.lit("worker: "), F.col("line"))).otherwise(F.col("line")).alias("line")))
+    return rejected
+
+
 @query("l02_request_stats")
 def l02(spark, base):
     parsed, _ = lg.parse_request_log(fx.request_log(spark, base))
@@ -498,6 +507,16 @@ def l02(spark, base):
         "route", "method", "n", "n_errors", F.round("mean_seconds", 6).alias("mean_seconds"), "max_seconds")
 
 
+@query("j03_request_misses")
+def j03m(spark, base):
+    """Unknown ids and repeats among requests for a part of the jobs."""
+    js = fx.jobs(spark, base)
+    n = F.col("job_id").cast("long")
+    ids = (js.where(n % 3 == 0).select("job_id").unionByName(js.where(n % 6 == 0).select("job_id"))
+           .unionByName(js.where(n % 10 == 0).select(F.concat(F.lit("x"), F.col("job_id")).alias("job_id"))))
+    return jb.request_misses(js, ids)
+
+
 # -- S: sources and sinks; W: streams (inputs staged as files under the checkpoint root)
 
 from palaver.sources import readers as rd  # noqa: E402
@@ -539,10 +558,12 @@ def s04(spark, base):
     sk.export_jobs_report(fx.jobs(spark, base), path)
     lines = spark.read.text(path)
     parsed = spark.read.schema(
-        "job_id string, status string, created_at string, started_at string, error_message string").json(path)
-    kept = lines.select(F.count_if(F.col("value").contains('"started_at":null')).alias("n"))
-    return parsed.select("job_id", "status", "created_at", "started_at", "error_message",
-                         (kept.scalar() > 0).alias("nulls_kept"))
+        "job_id string, url string, status string, priority string, created_at string, started_at string, "
+        "completed_at string, error_message string").json(path)
+    no_null = lines.select(F.count_if(~F.col("value").rlike(
+        '"started_at":.*"completed_at":.*"error_message":')).alias("n"))  # each field is there, null or not
+    return parsed.select("job_id", "url", "status", "priority", "created_at", "started_at", "completed_at",
+                         "error_message", (no_null.scalar() == 0).alias("nulls_kept"))
 
 
 @query("s05_write_job_table")
@@ -561,6 +582,24 @@ def s05v(spark, base):
         "transcript_id", "is_safe", "reject_reason", "has_profanity", "has_hate_speech", "has_pii")
 
 
+@query("s05_write_summaries")
+def s05s(spark, base):
+    """Summaries of the conversations with speakers and topics (T1, T3, E7), written and read back."""
+    t = tr.transcripts_with_speakers(table(spark, base, "conversations"))
+    summaries, _ = sm.summarize_offline(t)
+    path = scratch_path(spark, "summaries")
+    sk.write_summaries(summaries, path)
+    back = sk.read_table(spark, path, summaries.schema)
+    total = lambda c, f: F.round(F.aggregate(
+        c, F.lit(0.0), lambda acc, x: acc + x[f]), 6)
+    return back.select(
+        "transcript_id", "conversation_type", "summary_text",
+        F.array_join(F.transform("speakers", lambda x: F.concat_ws(":", x["id"], x["name"])), "|").alias("speakers"),
+        total("speakers", "speaking_time").alias("speaking_time"),
+        F.array_join(F.transform("topics", lambda x: x["name"]), "|").alias("topics"),
+        total("topics", "confidence_score").alias("confidence"), F.size("key_points").alias("n_key_points"))
+
+
 @query("w01_admission_stream")
 def w01(spark, base):
     inp, out, ck = (scratch_path(spark, n) for n in ("w01-in", "w01-out", "w01-ck"))
