@@ -21,7 +21,7 @@ beyond 2^63 - 1 either way is clipped to it.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCALE = 256.0
@@ -29,6 +29,11 @@ EXACT = float(1 << 53)
 MOST = int(np.iinfo(np.int64).max)
 
 
+def whole(y: Column) -> Column:
+    """floor as a double; doubles from 2^53 on are whole already, and may not fit a long."""
+    return F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y)
+
+
 def quantised(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """key as ``id`` and ``v``, the array of floor(256 x) as double, of the rows that take part."""
     x = F.col(column)
@@ -36,9 +41,7 @@ def quantised(vectors: DataFrame, key: str = "vec_id", column: str = "embedding"
         x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf")))
     return vectors.filter(F.coalesce(sound, F.lit(False))).select(
         F.col(key).cast("long").alias("id"),
-        # floor as double: floor() of a large double as long would overflow
-        F.transform(x, lambda e: (F.lit(SCALE) * e.cast("double"))
-                    - F.pmod(F.lit(SCALE) * e.cast("double"), F.lit(1.0))).alias("v"))
+        F.transform(F.transform(x, lambda e: F.lit(SCALE) * e.cast("double")), whole).alias("v"))
 
 
 def _matrix(rows: list, dims: int) -> np.ndarray:

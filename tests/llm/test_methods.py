@@ -212,6 +212,12 @@ def test_search_block_equals_brute_force(seed, n, dims, span):
         assert [(s, i) for x, i, s in got if x == q] == [(-s, i) for s, i in want]
 
 
+def test_components_are_floored(spark):
+    rows = [(1, [-1e-20, 0.3, -0.3, 1e300, -0.0, 0.99999])]
+    got = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).first().v
+    assert got == [-1.0, 76.0, -77.0, 256e300, 0.0, 255.0]
+
+
 def test_blocks_cover_all_pairs(spark):
     rng = random.Random(1)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(20)]) for i in range(200)] + [(1000 + i, [0.5] * 20) for i in range(80)]
