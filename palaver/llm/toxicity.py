@@ -165,7 +165,8 @@ class Model:
     weights: np.ndarray | None = None  # per subsequence
     bias: float = 0.0
     head: tuple = ()  # weights of a document's TOP highest words, its length, and 1
-    known: dict = field(default_factory=dict)
+    known: dict = field(default_factory=dict)  # chunks, and below the words they are judged by
+    values: dict = field(default_factory=dict)
 
     def decide(self, words: list[str]) -> np.ndarray:
         space = Subsequences(self.letters)
@@ -181,9 +182,13 @@ class Model:
         bags = [set(chunks(t)) for t in texts]
         fresh = list(set().union(*bags) - self.known.keys())
         pieces = [words_of(c) for c in fresh]
-        flat = list({w for p in pieces for w in p})
-        value = dict(zip(flat, self.decide(flat).tolist())) if flat else {}
-        scores = {c: max((value[w] for w in p), default=-math.inf) for c, p in zip(fresh, pieces)}
+        values = self.values
+        flat = list({w for p in pieces for w in p if w not in values})
+        new = dict(zip(flat, self.decide(flat).tolist())) if flat else {}
+        if len(values) + len(new) <= CACHE_WORDS:
+            values.update(new)
+        scores = {c: max([new[w] if w in new else values[w] for w in p], default=-math.inf)
+                  for c, p in zip(fresh, pieces)}
         if len(self.known) + len(scores) <= CACHE_WORDS:
             self.known.update(scores)
         known, out = self.known, []
