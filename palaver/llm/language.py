@@ -6,8 +6,15 @@ length 1. Each language has several centroids, found by spherical k-means on a
 bounded sample of its labelled texts (``per_language`` rows, a documented
 parameter; the smallest hashes of the ids). Inverse document frequencies come
 from all labelled texts, whole. A text gets the language of the centroid with
-the largest cosine; it is rejected where even that cosine is below
-``min_cosine``.
+the largest cosine; it is rejected where even that cosine is below a limit.
+
+The limit belongs to the language and to the text's size (powers of two of its
+distinct n-grams), since cosines of true texts grow with their size. It is
+learned from the same sample: parts of a text of ``PARTS`` characters, and the
+whole of it, are held against centroids learned without it (``FOLDS`` folds), and
+the limit is ``MARGIN`` times their ``LOW`` quantile, ``min_cosine`` at least. Larger
+sizes than the sample has take the limit of its largest. With ``DIMS`` slots, texts
+in unlearned letters meet few slots of the centroids by collision.
 
 Defined results: a null text, or one without a letter, is ``und`` with score
 0 and rejected; ties go to the first language by name; without any labelled
@@ -27,10 +34,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DIMS_BITS = 12
+DIMS_BITS = 14
 DIMS = 1 << DIMS_BITS
 UND = "und"
 MAX_LANGUAGES = 2_000
+PARTS = (8, 32, 128, 512, 2048, 8192)
+FOLDS = 4
+LOW = 0.01
+MARGIN = 0.8
 PREDICTION = "lang_pred string, score double, rejected boolean"
 
 
@@ -80,21 +91,50 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def size_class(counts: np.ndarray) -> int:
+    return int(np.count_nonzero(counts)).bit_length() - 1
+
+
+def limits(texts: list[str], idf: np.ndarray, clusters: int, min_cosine: float) -> np.ndarray:
+    """The least cosine of each size class, from texts held against centroids of the other folds."""
+    texts = [t for t in sorted(set(texts)) if term_counts(t) is not None]
+    out = np.full(DIMS_BITS + 1, min_cosine)
+    if len(texts) < 2:
+        return out
+    x = np.array([vector(term_counts(t), idf) for t in texts])
+    fold = np.arange(len(texts)) % FOLDS
+    seen: dict[int, list[float]] = {}
+    for f in range(min(FOLDS, len(texts))):
+        c = spherical_kmeans(x[fold != f], clusters)
+        for i in np.flatnonzero(fold == f):
+            for n in {min(p, len(texts[i])) for p in (*PARTS, len(texts[i]))}:
+                counts = term_counts(texts[i][:n])
+                if counts is not None:
+                    seen.setdefault(size_class(counts), []).append(float((c @ vector(counts, idf)).max()))
+    for k in range(DIMS_BITS + 1):
+        if len(seen.get(k, [])) >= min(20, len(texts)):
+            out[k] = max(min_cosine, MARGIN * np.quantile(seen[k], LOW))
+        elif k:
+            out[k] = out[k - 1]
+    return out
+
+
 @dataclass(frozen=True)
 class Model:
     languages: list[str]  # of each centroid, in order of name
     centroids: np.ndarray
     idf: np.ndarray
-    min_cosine: float
+    limits: np.ndarray  # of each centroid's language, by size class
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         counts = term_counts(text)
         if counts is None or not self.languages:
             return UND, 0.0, True
-        cosine = self.centroids @ vector(counts, self.idf)
+        slots = np.flatnonzero(counts)
+        cosine = self.centroids[:, slots] @ vector(counts[slots], self.idf[slots])
         best = int(np.argmax(cosine))
         score = float(min(1.0, max(0.0, cosine[best])))
-        return self.languages[best], score, score < self.min_cosine
+        return self.languages[best], score, bool(score < self.limits[best, size_class(counts)])
 
     def column(self, text: Column) -> Column:
         """A struct (lang_pred, score, rejected) of a text column."""
@@ -151,15 +191,19 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 400, clusters: int =
 
     def centroids(rows):
         import pyarrow as pa
-        counts = [c for c in map(term_counts, rows.column("text").to_pylist()) if c is not None]
+        texts = rows.column("text").to_pylist()
+        counts = [c for c in map(term_counts, texts) if c is not None]
         c = spherical_kmeans(np.array([vector(x, idf) for x in counts]), clusters) if counts else np.zeros((0, DIMS))
+        least = limits(texts, idf, clusters, min_cosine).tolist()
         return pa.table({"lang": pa.array(rows.column("lang").to_pylist()[:1] * len(c), pa.string()),
-                         "centroid": pa.array([x.tolist() for x in c], pa.list_(pa.float32()))})
+                         "centroid": pa.array([x.astype("<f4").tobytes() for x in c], pa.binary()),
+                         "limits": pa.array([least] * len(c), pa.list_(pa.float64()))})
 
-    rows = sample.groupBy("lang").applyInArrow(centroids, "lang string, centroid array<float>") \
+    rows = sample.groupBy("lang").applyInArrow(centroids, "lang string, centroid binary, limits array<double>") \
         .limit(MAX_LANGUAGES * clusters + 1).collect()
     if len(rows) > MAX_LANGUAGES * clusters:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     rows = sorted(rows, key=lambda r: r["lang"])
-    matrix = np.array([r["centroid"] for r in rows], dtype=np.float32).reshape(len(rows), DIMS)
-    return Model([r["lang"] for r in rows], matrix, idf, min_cosine)
+    matrix = np.frombuffer(b"".join(r["centroid"] for r in rows), dtype="<f4").reshape(len(rows), DIMS)
+    least = np.array([r["limits"] for r in rows]).reshape(len(rows), DIMS_BITS + 1)
+    return Model([r["lang"] for r in rows], matrix, idf, least)

@@ -196,6 +196,28 @@ def test_centroids_and_rejection(spark, tiny):
     assert again.languages == model.languages and np.allclose(again.centroids, model.centroids)
 
 
+def test_junk_is_rejected_at_every_length(spark):
+    rng = random.Random(21)
+    syllables = {"aa": ["the", "an", "or", "in", "he", "er", "nd"], "bb": ["ich", "un", "sch", "ge", "ver", "te", "au"]}
+
+    def prose(lang, n):
+        return " ".join("".join(rng.choices(syllables[lang], k=rng.randrange(1, 4))) for _ in range(n))
+
+    rows = [(i, prose(lang, rng.choice([5, 20, 100, 400])), lang) for i in range(160) for lang in ("aa", "bb")]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    letters = {"cyrillic": range(0x430, 0x450), "greek": range(0x3B1, 0x3CA), "arabic": range(0x627, 0x64B),
+               "han": range(0x4E00, 0x5200), "kana": range(0x3042, 0x3094), "hangul": range(0xAC00, 0xB000),
+               "latin": range(97, 123)}
+    for name, codes in letters.items():
+        for n in (10, 200, 2000):
+            text = " ".join("".join(map(chr, rng.choices(codes, k=rng.randrange(2, 9)))) for _ in range(n))
+            assert model.predict(text)[2], (name, n)
+    for lang in syllables:
+        for n in (3, 10, 200, 2000):
+            kept = [model.predict(prose(lang, n)) for _ in range(20)]
+            assert {p[0] for p in kept} == {lang} and sum(p[2] for p in kept) <= 1, (lang, n)
+
+
 # -- 6: top-k
 
 @settings(deadline=None, max_examples=60)
