@@ -27,7 +27,8 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_chars", "edited_sha256", simhash.shown(F.col("fp")).alias("fingerprint"),
         simhash.shown(F.col("edited_fp")).alias("edited_fingerprint"),
         simhash.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
-        simhash.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "n_near")
+        simhash.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "n_near", "n_same",
+        simhash.shown(F.col("class_fp")).alias("class_fingerprint"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,9 @@ in at most ``radius`` bits agree in ``blocks - radius`` whole blocks, so one
 table per choice of that many blocks, keyed by their bits, holds every pair. A
 large bucket is cut into chunks that meet pairwise, and a task returns counts
 per fingerprint, never pairs. A pair is counted in the first table it shares.
+``links`` returns the pairs themselves. ``classes`` puts fingerprints joined by a
+chain of links into one class, again without pairs: every class is joined to the
+smallest class within reach of each member until none is in reach.
 
 Defined results: a null text is empty; a text without words has fingerprint 0
 (and an empty term list, whose votes are nowhere in the majority); equal texts
@@ -26,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palaver.llm.common import stored, whole_text
+from palaver.llm.jaccard import components
 
 WORDS = 5
 BITS = 64
@@ -165,44 +169,105 @@ def signed(mask: int) -> int:
     return mask - (1 << BITS) if mask >> (BITS - 1) else mask
 
 
-def neighbours(fps: DataFrame, radius: int = 3, blocks: int = 6, chunk: int = 256) -> DataFrame:
-    """fp, n_near: how many other fingerprints of ``fps`` (fp) lie within ``radius``; only those with any."""
+def tables_of(radius: int, blocks: int) -> list[tuple[int, ...]]:
+    return list(itertools.combinations(range(blocks), blocks - radius))
+
+
+def met(fps: DataFrame, radius: int, blocks: int, chunk: int) -> DataFrame:
+    """t, members, others: chunks of the fingerprints (fp, root) that share a table's key, each with each.
+
+    Keys whose rows all have one root are left out. A fingerprint must not repeat.
+    """
     masks = block_masks(blocks)
-    tables = list(itertools.combinations(range(blocks), blocks - radius))
     keys = [F.struct(F.lit(t).alias("t"),
                      F.col("fp").bitwiseAND(F.lit(signed(sum(masks[i] for i in c))).cast("long")).alias("key"))
-            for t, c in enumerate(tables)]
-    rows = fps.select("fp").distinct().select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.t", "k.key")
-    sizes = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1") \
-        .select("t", "key", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
+            for t, c in enumerate(tables_of(radius, blocks))]
+    rows = fps.select("fp", "root", F.explode(F.array(*keys)).alias("k")).select("fp", "root", "k.t", "k.key")
+    sizes = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")) \
+        .filter("lo < hi").select("t", "key", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
     lists = stored(rows.join(sizes, ["t", "key"])
                    .withColumn("c", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-                   .groupBy("t", "key", "c").agg(F.collect_list("fp").alias("members")), "block-lists")
-    pairs = lists.join(lists.select("t", "key", F.col("members").alias("others")), ["t", "key"])
-
-    def first_shared(x: Column) -> Column:
-        """No table before this one holds the pair with difference ``x``."""
-        tests = None
-        for t, c in enumerate(tables):
-            # a block before the table's last one, outside it, would give an earlier table
-            earlier = [i for i in range(c[-1]) if i not in c]
-            ok = F.lit(True)
-            for i in earlier:
-                ok = ok & (x.bitwiseAND(F.lit(signed(masks[i])).cast("long")) != 0)
-            tests = F.when(F.col("t") == t, ok) if tests is None else tests.when(F.col("t") == t, ok)
-        return tests
-
-    def near(a: Column) -> Column:
-        return F.size(F.filter("others", lambda b: (a != b) & (F.bit_count(a.bitwiseXOR(b)) <= radius)
-                               & first_shared(a.bitwiseXOR(b))))
-
-    counted = pairs.select(F.explode(F.transform("members", lambda a: F.struct(a.alias("fp"), near(a).alias("n"))))
-                           .alias("x")).select("x.fp", "x.n").filter("n > 0")
-    return counted.groupBy("fp").agg(F.sum("n").alias("n_near"))
+                   .groupBy("t", "key", "c").agg(F.collect_list(F.struct("fp", "root")).alias("members")), "block-lists")
+    return lists.join(lists.select("t", "key", F.col("members").alias("others")), ["t", "key"])
+
+
+def first_shared(x: Column, radius: int, blocks: int) -> Column:
+    """No table before this one holds the pair with difference ``x``."""
+    masks, tests = block_masks(blocks), None
+    for t, c in enumerate(tables_of(radius, blocks)):
+        # a block before the table's last one, outside it, would give an earlier table
+        earlier = [i for i in range(c[-1]) if i not in c]
+        ok = F.lit(True)
+        for i in earlier:
+            ok = ok & (x.bitwiseAND(F.lit(signed(masks[i])).cast("long")) != 0)
+        tests = F.when(F.col("t") == t, ok) if tests is None else tests.when(F.col("t") == t, ok)
+    return tests
+
+
+def near_others(a: Column, radius: int, blocks: int) -> Column:
+    """The fingerprints of ``others`` within ``radius`` of ``a``, where this table is the pair's first."""
+    other = F.transform("others", lambda b: b["fp"])
+    return F.filter(other, lambda b: (a != b) & (F.bit_count(a.bitwiseXOR(b)) <= radius)
+                    & first_shared(a.bitwiseXOR(b), radius, blocks))
+
+
+def apart(fps: DataFrame) -> DataFrame:
+    """The distinct fingerprints, each a class of its own."""
+    return fps.select("fp").distinct().withColumn("root", F.col("fp"))
+
+
+def neighbours(fps: DataFrame, radius: int = 3, blocks: int = 6, chunk: int = 256) -> DataFrame:
+    """fp, n_near: how many other fingerprints of ``fps`` (fp) lie within ``radius``; only those with any.
+
+    Also ``least``, the smallest of them.
+    """
+    found = F.transform("members", lambda a: F.struct(a["fp"].alias("fp"),
+                                                      near_others(a["fp"], radius, blocks).alias("near")))
+    each = met(apart(fps), radius, blocks, chunk).select(F.explode(
+        F.transform(found, lambda x: F.struct(x["fp"].alias("fp"), F.size(x["near"]).alias("n"),
+                                              F.array_min(x["near"]).alias("least")))).alias("x"))
+    return each.select("x.fp", "x.n", "x.least").filter("n > 0") \
+        .groupBy("fp").agg(F.sum("n").alias("n_near"), F.min("least").alias("least"))
+
+
+def links(fps: DataFrame, radius: int = 3, blocks: int = 6, chunk: int = 256) -> DataFrame:
+    """a, b: every two different fingerprints of ``fps`` (fp) within ``radius``, once, a < b; as many rows as pairs."""
+    pairs = F.flatten(F.transform("members", lambda a: F.transform(
+        F.filter(near_others(a["fp"], radius, blocks), lambda b: a["fp"] < b),
+        lambda b: F.struct(a["fp"].alias("a"), b.alias("b")))))
+    return met(apart(fps), radius, blocks, chunk).select(F.explode(pairs).alias("x")).select("x.a", "x.b")
+
+
+def classes(near: DataFrame, radius: int = 3, blocks: int = 6, chunk: int = 256) -> DataFrame:
+    """fp, n_near, class_fp (smallest fingerprint of its class) for the rows of ``neighbours``.
+
+    Each round joins every class to another one at least, where any is in reach, so the number of
+    classes that still grow halves.
+    """
+    roots = components(near, "fp", "least").select(F.col("node").alias("fp"), "root")
+    while True:
+        roots = stored(roots, "near-classes")
+        in_reach = F.transform("members", lambda a: F.struct(a["root"].alias("root"), F.array_min(F.transform(
+            F.filter("others", lambda b: (a["root"] != b["root"]) & (F.bit_count(a["fp"].bitwiseXOR(b["fp"])) <= radius)),
+            lambda b: b["root"])).alias("other")))
+        edges = stored(met(roots, radius, blocks, chunk).select(F.explode(in_reach).alias("x"))
+                       .select("x.root", "x.other").filter("other is not null")
+                       .groupBy("root").agg(F.min("other").alias("other")), "near-edges")
+        if not edges.take(1):
+            return near.join(roots, "fp").select("fp", "n_near", F.col("root").alias("class_fp"))
+        joined = components(edges, "root", "other").select(F.col("node").alias("root"), F.col("root").alias("new"))
+        roots = roots.join(joined, "root", "left").select("fp", F.coalesce("new", "root").alias("root"))
 
 
 def near_documents(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """``fingerprints`` with n_near, the number of other fingerprints within ``radius`` of the row's."""
+    """``fingerprints`` with n_same, n_near and class_fp.
+
+    ``n_same`` is the number of other documents with the row's fingerprint, ``n_near`` that of other
+    fingerprints within ``radius``; the documents with one ``class_fp`` are a class.
+    """
     rows = stored(fingerprints(docs), "fingerprints")
-    near = stored(neighbours(rows.select("fp"), radius), "near-fingerprints")
-    return rows.join(near, "fp", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
+    near = classes(stored(neighbours(rows.select("fp"), radius), "near-fingerprints"), radius)
+    same = rows.groupBy("fp").agg((F.count(F.lit(1)) - 1).alias("n_same")).filter("n_same > 0")
+    found = stored(same.join(near, "fp", "full"), "found-fingerprints")
+    return rows.join(found, "fp", "left").withColumn("n_same", F.coalesce("n_same", F.lit(0))) \
+        .withColumn("n_near", F.coalesce("n_near", F.lit(0))).withColumn("class_fp", F.coalesce("class_fp", "fp"))

@@ -68,6 +68,41 @@ def test_neighbours_equal_brute_force(spark, chunk):
         assert got.get(f, 0) == want
 
 
+@pytest.mark.parametrize("chunk", [3])
+def test_links_and_classes_equal_brute_force(spark, chunk):
+    rng = random.Random(6)
+    fps = set()
+    for _ in range(25):
+        f = rng.getrandbits(64)
+        for _ in range(rng.choice([1, 4, 12])):  # chains, whose ends are far apart
+            fps.add(f)
+            for b in rng.sample(range(64), rng.randrange(1, 5)):
+                f ^= 1 << b
+    signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    want = {(f, g) for f, g in itertools.combinations(signed, 2) if bin((f ^ g) % (1 << 64)).count("1") <= 3}
+    df = spark.createDataFrame([(f,) for f in signed * 2], "fp long")
+    got = [tuple(r) for r in simhash.links(df, chunk=chunk).collect()]
+    assert len(got) == len(want) and set(got) == want
+    root = {f: f for f in signed}
+    for f, g in want:
+        low, high = sorted((root[f], root[g]))
+        root = {x: low if r == high else r for x, r in root.items()}
+    found = simhash.classes(simhash.stored(simhash.neighbours(df, chunk=chunk), "near"), chunk=chunk).collect()
+    linked = {x for pair in want for x in pair}
+    assert {r.fp: r.class_fp for r in found} == {f: root[f] for f in linked} and len(found) == len(linked)
+
+
+def test_copies_are_counted_and_share_a_class(spark):
+    base = " ".join(f"w{i}" for i in range(3000))
+    rows = [(i, base) for i in range(20)] + [(50, base + " tail"), (60, "a text of its own"), (70, None), (71, "")]
+    got = {r.doc_id: r for r in simhash.near_documents(
+        spark.createDataFrame(rows, "doc_id long, text string"), radius=3).collect()}
+    equal = int(got[50].fp == got[0].fp)
+    assert [got[i].n_same for i in (0, 19, 50, 60, 70)] == [19 + equal, 19 + equal, 20 * equal, 0, 1]
+    assert len({got[i].class_fp for i in (*range(20), 50)}) == 1 and got[60].class_fp == got[60].fp
+    assert bin((got[0].fp ^ got[50].fp) % 2 ** 64).count("1") <= 3 and got[70].class_fp == got[71].class_fp
+
+
 # -- 2: packing
 
 @given(st.integers(1, 20_000))
