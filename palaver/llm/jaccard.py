@@ -409,10 +409,12 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-
 def keep_one(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-4) -> DataFrame:
     """The rows of ``docs``, all columns, without all but one document of each group.
 
-    The document with the smallest id stays. A row repeated whole stays once.
+    The document with the smallest id stays. A row repeated whole stays once. Null
+    and empty texts have no group and all stay.
     """
-    found = near_classes(docs, threshold, tolerance)
+    full = docs.filter(whole_text() != "")
+    found = near_classes(full, threshold, tolerance)
     stay = found.select(F.col("class_id").alias("__id"), F.col("class_th").alias("__th")).distinct()
-    marked = docs.withColumn("__own", F.xxhash64(whole_text()))
+    marked = full.withColumn("__own", F.xxhash64(whole_text()))
     kept = marked.join(stay, (F.col("__own") == F.col("__th")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__own"]).drop("__own")
+    return kept.dropDuplicates(["doc_id", "__own"]).drop("__own").unionByName(docs.filter(whole_text() == ""))

@@ -347,6 +347,13 @@ def test_components_of_chains_and_stars(spark):
     assert {got[i] for i in range(61)} == {0} and {got[i] for i in range(100, 130)} == {100} and got[201] == 200
 
 
+def test_keep_one_keeps_every_empty_text(spark):
+    rows = [(1, "one two three"), (1, "one two three"), (2, "one two three"), (3, None), (3, None), (3, ""),
+            (None, None), (None, None), (4, "!!"), (4, "!!")]
+    got = [tuple(r) for r in jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([rows[0], *rows[3:9]], key=str)
+
+
 # -- 8: mixing
 
 def test_targets_reshare_the_excess():
