@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import jaccard, language, mixing, packing, pii, simhash, token_counts, topk, toxicity, url_filter
+from palaver.llm import (divergence, jaccard, language, license_scan, mixing, packing, pii, simhash, token_counts, topk,
+                         toxicity, url_filter, vector_codes)
 from palaver.llm.common import id_crc, table, tokenizer_path
 from palaver.session import scratch_path
 
@@ -81,6 +82,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda d: d["base"])
+    starts = F.transform(base, lambda d: d["start"])
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), license_scan.joined_labels(base).alias("base_labels"),
+        license_scan.joined_labels(F.col("found")).alias("labels"), "score")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least=3, most=200)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(vector_codes.quantised(table(spark, sf_dir, "embeddings")),
+                                         parts=4, entries=256, rounds=4)
+    return vector_codes.with_label_error(coded).select(
+        F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_packing": op2_packing,
@@ -92,4 +114,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op11_license_scans": op11_license_scans,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_vector_codes": op13_vector_codes,
 }

@@ -41,7 +41,8 @@ def write_tables(spark, path, empty=False):
     vecs = [(i, [float((i * j) % 7) / 16 for j in range(5)]) for i in range(120)]
     vecs += [(200, None), (201, [1.0, None]), (202, [float("nan")]), (250, [0.5, 0.25]), (250, [0.5, 0.25]), (300, [])]
     spark.createDataFrame(vecs, "vec_id long, embedding array<float>").limit(keep) \
-        .withColumn("score", F.lit(1)).withColumn("id", F.lit("x")).write.parquet(f"{path}/embeddings.parquet")
+        .withColumn("score", F.lit(1)).withColumn("id", F.lit("x")) \
+        .withColumn("label", F.when(F.col("vec_id") % 5 < 4, (F.col("vec_id") % 5).cast("int"))).write.parquet(f"{path}/embeddings.parquet")
     urls = ["http://a.example.net/en/x", "https://Example.NET/EN/x", "https://example.com/de/?q", "http://x.org/fr/",
             "http://net/", "http://foo.net", "no url", None, "", "ftp://b.org/fr", "http://notexample.com/de/",
             "http://a.com/b.net/x", "http://h.net/" + "p" * 5000]
