@@ -36,7 +36,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,7 +52,7 @@ WAVE_BYTES = 64 << 20
 SHARD_TERMS = 4096
 MATRIX_CELLS = 1 << 20
 HELD_TERMS = 400_000  # distinct terms a task holds before it sends its counts on
-HELD_SLOTS = 4 << 20
+HELD_TOKENS = 8 << 20  # and occurrences
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -122,37 +122,46 @@ def perfect_hash(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Shards:
-    """Lookup over the shards of one wave, in flat arrays."""
+    """Lookup over the shards of one wave, in flat arrays; a language's slots lie side by side."""
 
     def __init__(self, rows: list[tuple[str, int, list[int], list[bytes]]], n_shards: int):
         """rows: (language, shard, displacements, stored keys by slot)."""
+        rows = sorted(rows, key=lambda r: r[:2])
         self.n_shards = n_shards
-        self.place = {(lang, shard): i for i, (lang, shard, _, _) in enumerate(rows)}
+        self.shard = np.array([r[1] for r in rows], dtype=np.int64)
         self.size = np.array([len(r[3]) for r in rows], dtype=np.uint64)
         self.buckets = np.array([len(r[2]) for r in rows], dtype=np.uint64)
-        self.moves = np.concatenate([np.asarray(r[2], dtype=np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
+        self.moves = np.concatenate([np.asarray(r[2], dtype=np.int64) for r in rows])
         self.first_move = np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])]).astype(np.int64)
         self.first_key = np.concatenate([[0], np.cumsum([len(r[3]) for r in rows])]).astype(np.int64)
+        self.rows_of: dict[str, list[int]] = {}
+        for i, r in enumerate(rows):
+            self.rows_of.setdefault(r[0], []).append(i)
         keys = [k for r in rows for k in r[3]]
         self.edges = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int64)
         self.keys = b"".join(keys)
 
-    def find(self, lang: str, terms: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index into terms, shard, slot) of the kept terms among ``terms``."""
-        shards = [zlib.crc32(t) % self.n_shards for t in terms]
-        own = np.array([self.place.get((lang, s), -1) for s in shards], dtype=np.int64)
+    def find(self, lang: str, terms: list[bytes]) -> np.ndarray:
+        """Slot of each term among all slots of the wave, -1 for a term that has none."""
+        out = np.full(len(terms), -1, dtype=np.int64)
+        rows = self.rows_of.get(lang)
+        if rows is None:
+            return out
+        row = np.full(self.n_shards, -1, dtype=np.int64)
+        row[self.shard[rows]] = rows
+        own = row[np.fromiter(map(zlib.crc32, terms), dtype=np.int64, count=len(terms)) % self.n_shards]
         there = np.flatnonzero(own >= 0)
-        if not len(there):
-            return there, there, there
         own = own[there]
-        keys = [stored_key(terms[i]) for i in there]
+        keys = [k if len(k) <= KEY_BYTES else stored_key(k) for k in (terms if len(there) == len(terms) else
+                                                                       [terms[i] for i in there.tolist()])]
         both = hashes(keys)
         move = self.moves[self.first_move[own] + (both[:, 0] % self.buckets[own]).astype(np.int64)]
         at = np.where(move < 0, -1 - move, slot(both[:, 1], np.maximum(move, 0), self.size[own]).astype(np.int64))
         place = self.first_key[own] + at
         lo, hi, blob = self.edges[place].tolist(), self.edges[place + 1].tolist(), self.keys
         same = np.array([blob[a:b] == k for a, b, k in zip(lo, hi, keys)], dtype=bool)
-        return there[same], np.array(shards, dtype=np.int64)[there[same]], at[same]
+        out[there[same]] = place[same]
+        return out
 
 
 # -- passes over the documents
@@ -185,56 +194,63 @@ def document_counts(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, "lang string, term string, n long")
 
 
-def group_counts(batches) -> Iterator[tuple[str, str, list[bytes], list[int]]]:
-    """(lang, source, distinct terms, occurrences) of a task's documents."""
-    held: dict[tuple[str, str], Counter] = {}
-    n = 0
+Counted = tuple[str, list[bytes], dict[str, tuple[np.ndarray, np.ndarray | None]]]
+
+
+def group_terms(batches) -> Iterator[Counted]:
+    """(lang, distinct terms, {source: (indices into the terms, one per occurrence; None)}) of a task's documents."""
+    numbers: dict[str, defaultdict] = {}  # lang -> term -> index
+    seen: dict[str, dict[str, list[np.ndarray]]] = {}
+    terms = tokens = 0
+
+    def rows():
+        for lang, index in numbers.items():
+            yield lang, list(index), {s: (np.concatenate(parts), None) for s, parts in seen[lang].items()}
+
     for b in batches:
         for lang, source, text in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "text"))):
-            own = held.setdefault((lang, source), Counter())
-            n -= len(own)
-            own.update(terms_of(text))
-            n += len(own)
-            if n > HELD_TERMS:
-                yield from ((*g, list(c), list(c.values())) for g, c in held.items())
-                held, n = {}, 0
-    yield from ((*g, list(c), list(c.values())) for g, c in held.items())
-
-
-def slot_rows(counted, shards: Shards):
-    """Record batches (lang, source, shard, cells) from dense slots that counts are added to."""
-    import pyarrow as pa
-    dense: dict[tuple[str, str, int], np.ndarray] = {}
-    held = 0
+            if lang not in numbers:
+                numbers[lang], seen[lang] = defaultdict(itertools.count().__next__), {}
+            index = numbers[lang]
+            terms -= len(index)
+            ids = np.array([index[t] for t in terms_of(text)], dtype=np.int32)
+            terms += len(index)
+            tokens += len(ids)
+            seen[lang].setdefault(source, []).append(ids)
+            if terms > HELD_TERMS or tokens > HELD_TOKENS:
+                yield from rows()
+                numbers, seen, terms, tokens = {}, {}, 0, 0
+    yield from rows()
 
-    def rows():
-        for (lang, source, shard), counts in dense.items():
-            used = np.flatnonzero(counts)
-            cells = pa.StructArray.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used], pa.int64())],
-                                               names=["slot", "n"])
+
+def slot_rows(counted: Iterator[Counted], shards: Shards):
+    """Record batches (lang, source, shard, cells): each group's dense slots, incremented, then those above 0."""
+    import pyarrow as pa
+    for lang, terms, groups in counted:
+        place = shards.find(lang, terms)
+        own = shards.rows_of.get(lang)
+        if own is None:
+            continue
+        first, last = int(shards.first_key[own[0]]), int(shards.first_key[own[-1] + 1])
+        for source, (ids, weight) in groups.items():
+            at = place[ids]
+            known = at >= 0
+            at = at[known] - first
+            weight = None if weight is None else weight[known]
+            dense = np.bincount(at, weights=weight, minlength=last - first)  # sums below 2^53: exact
+            used = np.flatnonzero(dense)
+            row = np.searchsorted(shards.first_key, used + first, side="right") - 1
+            edges = np.flatnonzero(np.diff(row, prepend=-1, append=len(shards.shard)))
+            if not len(used):
+                continue
+            cells = pa.StructArray.from_arrays([pa.array(used + first - shards.first_key[row], pa.int32()),
+                                                pa.array(dense[used].astype(np.int64))], names=["slot", "n"])
+            heads = row[edges[:-1]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang]), pa.array([source]), pa.array([shard], pa.int32()),
-                 pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), cells)],
+                [pa.array([lang] * len(heads), pa.string()), pa.array([source] * len(heads), pa.string()),
+                 pa.array(shards.shard[heads], pa.int32()), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), cells)],
                 names=["lang", "source", "shard", "cells"])
 
-    for lang, source, terms, counts in counted:
-        index, shard, at = shards.find(lang, terms)
-        value = np.array(counts, dtype=np.int64)[index]
-        order = np.argsort(shard, kind="stable")
-        shard, at, value = shard[order], at[order], value[order]
-        edges = np.flatnonzero(np.diff(shard, prepend=-1, append=-1)) if len(shard) else []
-        for lo, hi in zip(edges[:-1], edges[1:]):
-            key = (lang, source, int(shard[lo]))
-            if key not in dense:
-                size = int(shards.size[shards.place[lang, key[2]]])
-                dense[key] = np.zeros(size, dtype=np.int64)
-                held += size
-            dense[key][at[lo:hi]] += value[lo:hi]  # a term comes once per call, so slots differ
-        if held > HELD_SLOTS:
-            yield from rows()
-            dense, held = {}, 0
-    yield from rows()
-
 
 CELLS = "lang string, source string, shard int, cells array<struct<slot: int, n: bigint>>"
 
@@ -266,12 +282,15 @@ def recount(docs: DataFrame, shards: DataFrame, n_shards: int, wave_bytes: int)
     if n_waves > 1:
         def run_counts(batches):
             import pyarrow as pa
-            for lang, source, terms, counts in group_counts(batches):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()),
-                     pa.array(terms, pa.binary()), pa.array(counts, pa.int64()),
-                     pa.array([zlib.crc32(t) % n_shards for t in terms], pa.int32())],
-                    names=["lang", "source", "term", "n", "shard"])
+            for lang, terms, groups in group_terms(batches):
+                shard = np.fromiter(map(zlib.crc32, terms), dtype=np.int64, count=len(terms)) % n_shards
+                words = pa.array(terms, pa.binary())
+                for source, (ids, _) in groups.items():
+                    used, n = np.unique(ids, return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(used), pa.string()), pa.array([source] * len(used), pa.string()),
+                         words.take(pa.array(used)), pa.array(n, pa.int64()), pa.array(shard[used], pa.int32())],
+                        names=["lang", "source", "term", "n", "shard"])
 
         path = scratch_path(spark, "divergence-terms")
         docs.mapInArrow(run_counts, "lang string, source string, term binary, n long, shard int") \
@@ -285,17 +304,19 @@ def recount(docs: DataFrame, shards: DataFrame, n_shards: int, wave_bytes: int)
             continue
         sent = spark.sparkContext.broadcast(Shards(rows, n_shards))
         if path is None:
-            parts.append(docs.mapInArrow(lambda batches, sent=sent: slot_rows(group_counts(batches), sent.value), CELLS))
+            parts.append(docs.mapInArrow(lambda batches, sent=sent: slot_rows(group_terms(batches), sent.value), CELLS))
             continue
 
         def run_wave(batches, sent=sent):
             def counted():
                 for b in batches:
-                    groups: dict[tuple[str, str], Counter] = {}
+                    numbers, seen = {}, {}
                     for lang, source, term, n in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "term", "n"))):
-                        groups.setdefault((lang, source), Counter())[term] += n
-                    for g, c in groups.items():
-                        yield (*g, list(c), list(c.values()))
+                        index = numbers.setdefault(lang, {})
+                        seen.setdefault(lang, {}).setdefault(source, []).append((index.setdefault(term, len(index)), n))
+                    for lang, index in numbers.items():
+                        yield lang, list(index), {s: tuple(np.array(c, dtype=np.int64) for c in zip(*pairs))
+                                                  for s, pairs in seen[lang].items()}
             return slot_rows(counted(), sent.value)
 
         mine = spark.read.schema("lang string, source string, term binary, n long, wave int").parquet(path) \
