@@ -456,3 +456,59 @@ def test_finds_insults_also_when_hidden(spark):
     assert sum((got[i] >= 0.5) == bool(y) for i, y in held) >= 0.97 * len(held)
     assert sum(got[1000 + i] >= 0.5 for i in range(len(hidden))) >= 4
     assert got[2000] == got[2001] == 0.0
+
+
+def plain_features(word):
+    """Every subsequence's weight, for words of any length."""
+    out = {}
+    for first in range(len(word)):
+        for rest in itertools.combinations(range(first + 1, min(len(word), first + toxicity.REACH)), toxicity.ORDER - 1):
+            u = "".join(word[i] for i in (first, *rest))
+            out[u] = out.get(u, 0) + toxicity.DECAY ** (rest[-1] - first + 1)
+    return out
+
+
+HARD_WORDS = ["idiot", "^bad", "abc", "ab", "banana" * 9, "i----d----i----o----t" * 2, "привет", "^прив-ет", "x" * 60,
+              "".join(chr(0x4E00 + 7 * i) for i in range(40)), "^" + "ha" * 25 + "idiot", "abcdefghijklmnopqrstuvwxyz"]
+
+
+@pytest.mark.parametrize("letters", ["", "".join(chr(0x4E00 + i) for i in range(300))])
+def test_decision_is_the_sum_over_landmarks(letters):
+    marks = ["idiot", "^bad", "привет", "banana", "".join(chr(0x4E00 + 7 * i) for i in range(12)), "aaaaaaa", "z" * 30]
+    a = np.array([0.5, -1.25, 2.0, 0.75, 1.5, -0.5, 0.25])
+    space = toxicity.Subsequences("".join(marks) + letters)
+    table = toxicity.landmark_weights(marks, a, space)
+    model = toxicity.Model(toxicity.space_letters(marks + [letters]), table, 0.125)
+    got = model.decide(HARD_WORDS)
+    for word, value in zip(HARD_WORDS, got):
+        f, want = plain_features(word), 0.125
+        norm = math.sqrt(sum(x * x for x in f.values()))
+        for m, weight in zip(marks, a):
+            g = plain_features(m)
+            want += weight * sum(f.get(u, 0) * x for u, x in g.items()) / math.sqrt(sum(x * x for x in g.values())) / norm if norm else 0
+        assert value == pytest.approx(want, abs=1e-9)
+    # what is sent has one number per weighted subsequence, whatever the alphabet
+    assert len(table.ids) <= len(marks) * math.comb(30, toxicity.ORDER)
+    assert (table.dense is None) == bool(letters)
+
+
+def test_insults_of_any_length_script_and_stretch():
+    insults = ["idiot", "ass", "дурак", "βλάκας"]
+    clean = ["".join(p) for p in itertools.product(["the", "an", "or", "in", "дом", "мир", "και"], repeat=2)] + ["class", "assist", "мука"]
+    bags = [{w for w in toxicity.words_of(insults[i % 4])} | set(toxicity.words_of(clean[i % len(clean)])) for i in range(80)]
+    counts = {w: 20 for c in clean for w in toxicity.words_of(c)}
+    model = toxicity.learn_words(bags, counts, 400)
+    best = lambda chunk: float(max(model.decide(toxicity.words_of(chunk))))
+    hidden = ["idiot", "ass", "дурак", "βλάκας", "i" + "." * 12 + "d" + "-" * 12 + "i" + "*" * 12 + "o" + "_" * 12 + "t", "д.у.р.а.к"]
+    assert min(map(best, hidden)) > max(best(c) for c in clean)
+
+
+def test_labels_are_sampled_by_smallest_hash(spark):
+    labels = spark.range(5000).selectExpr("id AS doc_id", "cast(id % 10 = 0 AS int) AS toxic")
+    docs = spark.range(5000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    docs = docs.unionAll(docs.filter("doc_id < 50"))  # repeated ids
+    got = toxicity.sample_labelled(docs, labels, F.lit(True), 30).collect()
+    order = [(r.doc_id, r.toxic) for r in labels.withColumn(
+        "h", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40))).orderBy("h").collect()]
+    want = [(t, f"text {i}") for y in (0, 1) for i, t in [r for r in order if r[1] == y][:30]]
+    assert sorted((r.toxic, r.text) for r in got) == sorted(want)
