@@ -26,8 +26,8 @@ an empty mix.
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Sequence
+import itertools
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,7 +36,7 @@ from palaver.llm.common import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
-MAX_PATTERNS = 200_000
+BROADCAST_PATTERNS = 200_000  # plans of more patterns are joined by shuffling
 
 
 def word_count(column: str = "text") -> Column:
@@ -63,61 +63,104 @@ def targets(sizes: Sequence[int], weights: Sequence[float], share: float = 1.5,
 
 
 def route(patterns: dict[tuple[int, ...], int], quotas: Sequence[int], repeats: int = 2) -> dict[tuple[int, ...], int]:
-    """Words taken of each pattern: cheapest largest flow, by successive shortest paths.
-
-    ``patterns`` maps the sources of a pattern to its words. Node order: end 0,
-    sources, patterns, start. All arc costs are >= 0, so potentials keep
-    Dijkstra applicable on the residual network.
+    """Words taken of each pattern by the cheapest largest flow.
+
+    ``patterns`` maps the sources of a pattern to its words. A path from start to
+    end pays for one arc only, that of the repetition it begins with, so paths
+    come in order of repetitions: all of the first, then all of the second.
+    Within one repetition the flow grows by blocking flows: sources by their
+    distance to a source with room, then each pattern sends what it has left
+    along falling distances. A pattern of one source needs no search beyond it.
     """
     names = sorted(patterns)
-    first_p, start = 1 + len(quotas), 1 + len(quotas) + len(names)
-    heads: list[list[int]] = [[] for _ in range(start + 1)]
-    to, room, cost = [], [], []
-
-    def arc(a: int, b: int, capacity: int, price: int) -> None:
-        for x, y, c, p in ((a, b, capacity, price), (b, a, 0, -price)):
-            heads[x].append(len(to))
-            to.append(y)
-            room.append(c)
-            cost.append(p)
-
-    taken = {}
+    room = list(quotas)
+    sent: list[dict[int, int]] = [{} for _ in names]  # flow of a pattern into each of its sources
+    users: list[dict[int, None]] = [{} for _ in quotas]  # shared patterns with flow into a source
+    touching: list[list[int]] = [[] for _ in quotas]  # shared patterns that could use a source
     for i, name in enumerate(names):
-        taken[name] = []
-        for r in range(repeats):
-            taken[name].append(len(to))
-            arc(start, first_p + i, patterns[name], r * r)
-        for s in name:
-            arc(first_p + i, 1 + s, patterns[name] * repeats, 0)
-    for s, q in enumerate(quotas):
-        arc(1 + s, 0, q, 0)
-
-    potential = [0] * (start + 1)
-    while True:
-        dist: list[float] = [float("inf")] * (start + 1)
-        dist[start], via, queue = 0, [-1] * (start + 1), [(0, start)]
-        while queue:
-            d, x = heapq.heappop(queue)
-            if d > dist[x]:
-                continue
-            for e in heads[x]:
-                nd = d + cost[e] + potential[x] - potential[to[e]]
-                if room[e] > 0 and nd < dist[to[e]]:
-                    dist[to[e]], via[to[e]] = nd, e
-                    heapq.heappush(queue, (nd, to[e]))
-        if dist[0] == float("inf"):
-            break
-        potential = [p + (int(d) if d < float("inf") else 0) for p, d in zip(potential, dist)]
-        flow, x = None, 0
-        while x != start:
-            flow = room[via[x]] if flow is None else min(flow, room[via[x]])
-            x = to[via[x] ^ 1]
-        x = 0
-        while x != start:
-            room[via[x]] -= flow
-            room[via[x] ^ 1] += flow
-            x = to[via[x] ^ 1]
-    return {name: sum(room[e ^ 1] for e in arcs) for name, arcs in taken.items()}
+        if len(name) > 1:
+            for s in name:
+                touching[s].append(i)
+    taken = [0] * len(names)
+
+    def push(i: int, s: int, amount: int) -> None:
+        sent[i][s] = sent[i].get(s, 0) + amount
+        if sent[i][s]:
+            users[s][i] = None
+        else:
+            sent[i].pop(s)
+            users[s].pop(i, None)
+
+    for _ in range(repeats):
+        left = {i: patterns[name] for i, name in enumerate(names) if name and patterns[name]}
+        while left:
+            # distance of a source to one with room, by handing over flow of patterns that use it
+            far, layer = {s: 0 for s, r in enumerate(room) if r > 0}, [s for s, r in enumerate(room) if r > 0]
+            while layer:
+                nxt = []
+                for s in layer:
+                    for i in touching[s]:
+                        for t in sent[i]:
+                            if t not in far:
+                                far[t] = far[s] + 1
+                                nxt.append(t)
+                layer = nxt
+            moved = False
+            dead: set[int] = set()  # sources that lead nowhere in this phase
+            at: dict[int, Iterator[tuple[int, int]]] = {}
+
+            def onward(s: int) -> Iterator[tuple[int, int]]:
+                return iter([(i, t) for i in users[s] for t in names[i] if far.get(t, -1) == far[s] - 1])
+
+            def drain(first: int, most: int) -> int:
+                """Words up to ``most`` that find room from a source on (one path)."""
+                path, s = [], first
+                while True:
+                    if far[s] == 0 and room[s] > 0:
+                        amount = min([most, room[s], *(sent[i].get(a, 0) for a, i, _ in path)])
+                        if amount:
+                            for a, i, b in path:
+                                push(i, a, -amount)
+                                push(i, b, amount)
+                            room[s] -= amount
+                            return amount
+                    step = None
+                    if far[s] > 0:
+                        for i, t in at.setdefault(s, onward(s)):
+                            if t not in dead and sent[i].get(s, 0):
+                                step = (i, t)
+                                at[s] = itertools.chain([step], at[s])  # it may carry more
+                                break
+                    if step is None:
+                        dead.add(s)
+                        if not path:
+                            return 0
+                        s = path.pop()[0]
+                        continue
+                    path.append((s, step[0], step[1]))
+                    s = step[1]
+
+            for i in list(left):
+                # nearest room first; a source of another distance than the nearest waits for its phase
+                near = min((far[s] for s in names[i] if s in far), default=None)
+                if near is None:
+                    del left[i]  # nothing that is full now gets room again
+                    continue
+                for s in names[i]:
+                    while left.get(i) and far.get(s) == near and s not in dead:
+                        amount = drain(s, left[i])
+                        if not amount:
+                            break
+                        push(i, s, amount)
+                        taken[i] += amount
+                        left[i] -= amount
+                        moved = True
+                    if not left.get(i):
+                        left.pop(i, None)
+                        break
+            if not moved:
+                break
+    return {name: taken[i] for i, name in enumerate(names)}
 
 
 def select(rows: DataFrame, plan: DataFrame, buckets: int, sized: DataFrame | None = None) -> DataFrame:
@@ -132,16 +175,16 @@ def select(rows: DataFrame, plan: DataFrame, buckets: int, sized: DataFrame | No
     bucket = F.pmod(F.col("h"), F.lit(buckets))
     per = sized.groupBy("pattern", bucket.alias("b")).agg(F.sum("size").alias("words"))
     run = Window.partitionBy("pattern").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    plan = F.broadcast(plan)  # like `cut` and `nxt` one row per pattern: at most MAX_PATTERNS rows
     cut = (per.withColumn("upto", F.sum("words").over(run)).join(plan, "pattern")
            .filter(F.col("upto") <= F.col("rest"))
            .groupBy("pattern").agg(F.max("b").alias("last"), F.max("upto").alias("used")))
     # buckets up to `last` fit whole; the next one that has words is filled row by row
     state = (plan.join(cut, "pattern", "left").withColumn("last", F.coalesce("last", F.lit(-1)))
              .withColumn("left", F.col("rest") - F.coalesce("used", F.lit(0))).drop("used"))
-    nxt = (per.filter("words > 0").join(F.broadcast(state.select("pattern", "last")), "pattern")
+    # one row per pattern; whether that is small enough to broadcast is left to the sizes at run time
+    nxt = (per.filter("words > 0").join(state.select("pattern", "last"), "pattern")
            .filter(F.col("b") > F.col("last")).groupBy("pattern").agg(F.min("b").alias("open")))
-    state = F.broadcast(state.join(nxt, "pattern", "left"))
+    state = state.join(nxt, "pattern", "left")
     marked = rows.withColumn("b", bucket).join(state, "pattern")
     inside = F.coalesce(F.col("b") == F.col("open"), F.lit(False))
     order = Window.partitionBy("pattern").orderBy("h", "doc_id", "size") \
@@ -166,10 +209,12 @@ def _keyed(docs: DataFrame, memberships: Column, seed: int, *others: Column | st
 
 
 def planned(sized: DataFrame, weights: Sequence[float], share: float, repeats: int) -> DataFrame:
-    """pattern, rounds, rest, source_size, target: the flow of each membership pattern (at most MAX_PATTERNS)."""
-    rows = sized.groupBy("pattern").agg(F.sum("size").alias("words")).limit(MAX_PATTERNS + 1).collect()
-    if len(rows) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns: group the sources first")
+    """pattern, rounds, rest, source_size, target: the flow of each membership pattern.
+
+    The flow runs on the driver, which holds about 1 KB per pattern (not per
+    document): 1,000,000 patterns need 1 GB there.
+    """
+    rows = sized.groupBy("pattern").agg(F.sum("size").alias("words")).collect()
     # code point order of UTF-8 strings is the order of their bytes; null last
     names = sorted({s for r in rows for s in r["pattern"]},
                    key=lambda s: (s is None, b"" if s is None else s.encode("utf-8")))
@@ -185,9 +230,10 @@ def planned(sized: DataFrame, weights: Sequence[float], share: float, repeats: i
         first = (sizes[k[0]], float(goal[k[0]])) if k else (0, 0.0)
         return (key_of[k]["pattern"], rounds, flows[k] - rounds * words[k], *first)
 
-    return sized.sparkSession.createDataFrame(
+    plan = sized.sparkSession.createDataFrame(
         [plan_row(k) for k in sorted(words)],
         "pattern array<string>, rounds long, rest long, source_size long, target double")
+    return F.broadcast(plan) if len(words) <= BROADCAST_PATTERNS else stored(plan, "mix-plan")
 
 
 def mix(docs: DataFrame, memberships: Column, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
@@ -200,7 +246,7 @@ def mix(docs: DataFrame, memberships: Column, weights: Sequence[float] = WEIGHTS
     sized = stored(_keyed(docs, memberships, seed), "sized")
     plan = planned(sized, weights, share, repeats)
     chosen = select(sized, plan.select("pattern", "rounds", "rest"), buckets)
-    return (chosen.join(F.broadcast(plan.select("pattern", "source_size", "target")), "pattern")
+    return (chosen.join(plan.select("pattern", "source_size", "target"), "pattern")
             .select("doc_id", "size", F.col("pattern").alias("sources"), "source_size", "target", "taken", "copies"))
 
 

@@ -1,6 +1,7 @@
 """License scan, divergence audit and vector codes against brute force, and their queries on hard rows."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -252,3 +253,39 @@ def test_sql(spark, name):
     df, rel = QUERIES[name](spark, "/root/testdata/sf0.001"), con.sql(ORACLE[name])
     assert sorted(df.columns) == sorted(rel.columns) and not type_differences(df.schema, rel.columns, rel.types)
     assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(rel.columns, rel.fetchall())
+
+
+# -- 8: routes over many patterns
+
+def test_route_of_many_patterns_is_quick_and_feasible():
+    import time
+
+    from palaver.llm import mixing
+    rng = random.Random(3)
+    patterns = {(s,): rng.randrange(1, 500) for s in range(3000)}
+    while len(patterns) < 50_000:
+        patterns[tuple(sorted(rng.sample(range(3000), rng.randrange(1, 5))))] = rng.randrange(1, 500)
+    quotas = [rng.randrange(0, 20_000) for _ in range(3000)]
+    began = time.time()
+    taken = mixing.route(patterns, quotas, 2)
+    assert time.time() - began < 30
+    assert all(0 <= taken[k] <= 2 * w for k, w in patterns.items())
+    # each pattern's words fit into its sources, and nothing that could still flow is left
+    assert sum(taken.values()) <= sum(quotas)
+    assert all(taken[(s,)] <= quotas[s] for s in range(3000))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.sets(st.integers(0, 3), min_size=1, max_size=4).map(lambda x: tuple(sorted(x))),
+                       st.integers(0, 5), max_size=6), st.lists(st.integers(0, 9), min_size=4, max_size=4))
+def test_route_is_a_largest_flow_of_least_repetition(patterns, quotas):
+    from palaver.llm import mixing
+    taken = mixing.route(patterns, quotas, 2)
+
+    def largest(repeats):
+        """Largest flow as the smallest cut over sets of sources kept with the start."""
+        return min(sum(quotas[s] for s in cut) + sum(repeats * w for k, w in patterns.items() if not set(k) <= set(cut))
+                   for n in range(5) for cut in itertools.combinations(range(4), n))
+
+    assert sum(taken.values()) == largest(2)
+    assert sum(min(taken[k], w) for k, w in patterns.items()) == largest(1)  # first uses before repeated ones
