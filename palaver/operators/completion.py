@@ -6,21 +6,30 @@ temperature) -> {"choices": [...], "prompt_tokens": n, "completion_tokens":
 n, "model": name}``; a failed call raises ``CompletionError(kind, text)``
 (kinds: timeout, rate_limit, connection, api_error, client_error, other).
 
-A retried task calls the model again, so results are stored: every run
-appends to a parquet store keyed by ``request_id`` and skips ids that have a
-final outcome there. Calls that failed for a passing reason (``RETRY``) are made
-again by the next run, as a further attempt. Requests are written before the
-first call and results commit in chunks, so a failed task repeats a part of one
-chunk. The returned frame is read back from the store, never recomputed.
+A retried task calls the model again, so results are stored. A store has
+
+* ``requests/run=R/chunk=c``: a run's requests, written once, by chunk, before
+  the first call; a chunk's job reads its own folder and nothing else;
+* ``results/run=R/chunk=c``: what the calls of a chunk gave;
+* ``log``: one row when a run's requests are complete (``begun``, with its
+  chunks) and one when a chunk's results are (``done``, the commit mark).
+
+Readers see only marked chunks, so a chunk that a lost driver left half done is
+written anew, and a restart finds what is open in the log without a look at
+requests or results. Outcomes are keyed by ``request_id``; ids that have a final
+outcome are not asked again, those that failed for a passing reason (``RETRY``) are
+asked by the next run as a further attempt. ``compact`` folds the finished runs
+of a store into one. A store has one writer at a time.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,16 +92,58 @@ def _runner(client_factory: Callable[[], Callable]):
     return run
 
 
-def _latest(spark, store: str) -> DataFrame:
-    """The last attempt of every request in the store (empty where there is none yet)."""
+LOG = "run string, kind string, chunk int, chunks array<int>, replaces array<string>"
+
+
+def _log(spark: SparkSession, store: str) -> DataFrame:
     try:
-        rows = spark.read.schema(RESULT).parquet(store)
+        return spark.read.schema(LOG).parquet(f"{store}/log")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        rows = spark.createDataFrame([], RESULT)
+        return spark.createDataFrame([], LOG)
+
+
+def _mark(spark: SparkSession, store: str, run: str, kind: str, chunk: int | None = None,
+          chunks: list[int] | None = None, replaces: list[str] | None = None) -> None:
+    spark.createDataFrame([(run, kind, chunk, chunks, replaces)], LOG).coalesce(1).write.mode("append").parquet(f"{store}/log")
+
+
+def open_chunks(spark: SparkSession, store: str) -> list[tuple[str, int]]:
+    """(run, chunk) of begun runs without a commit mark; reads the log alone."""
+    log = _log(spark, store)
+    begun = log.where("kind = 'begun'").select("run", F.explode("chunks").alias("chunk"))
+    rows = begun.join(log.where("kind = 'done'").select("run", "chunk"), ["run", "chunk"], "left_anti")
+    return sorted((r["run"], r["chunk"]) for r in rows.collect())
+
+
+def chunk_requests(spark: SparkSession, store: str, run: str, chunk: int) -> DataFrame:
+    """The requests of one chunk: a scan of its own folder."""
+    return spark.read.parquet(f"{store}/requests/run={run}/chunk={chunk}")
+
+
+def outcomes(spark: SparkSession, store: str) -> DataFrame:
+    """The last attempt of every request in the committed chunks of a store."""
+    log = _log(spark, store)
+    replaced = log.select(F.explode("replaces").alias("run"))
+    done = log.where("kind = 'done'").join(replaced, "run", "left_anti").select("run", "chunk").distinct()
+    schema = T.StructType([*RESULT.fields, T.StructField("run", T.StringType()), T.StructField("chunk", T.IntegerType())])
+    try:
+        rows = spark.read.schema(schema).parquet(f"{store}/results")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], schema)
     w = Window.partitionBy("request_id").orderBy(F.col("attempt").desc())
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    return (rows.join(done, ["run", "chunk"], "left_semi").drop("run", "chunk")
+            .withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r"))
+
+
+def _answer(spark: SparkSession, store: str, run: str, chunk: int, client_factory, concurrency: int) -> None:
+    (chunk_requests(spark, store, run, chunk).repartition(concurrency)
+     .mapInPandas(_runner(client_factory), RESULT)
+     .write.mode("overwrite").parquet(f"{store}/results/run={run}/chunk={chunk}"))
+    _mark(spark, store, run, "done", chunk)
 
 
 def complete(requests: DataFrame, client_factory: Callable[[], Callable], store: str,
@@ -100,22 +151,52 @@ def complete(requests: DataFrame, client_factory: Callable[[], Callable], store:
     """Results for ``requests`` (P2 rows), calling the client only where needed.
 
     At most ``concurrency`` callers at a time, each with about ``rows_per_task``
-    requests per chunk; every chunk is committed before the next begins.
+    requests per chunk; every chunk is committed before the next begins. Chunks
+    that an earlier call left open are finished first.
     """
     spark = requests.sparkSession
     ship_package(spark)
-    asked = stored(requests.dropDuplicates(["request_id"]), "requests")
-    before = _latest(spark, store).select("request_id", "error_kind", F.col("attempt").alias("_before"))
-    todo = asked.join(before, "request_id", "left") \
-        .where(F.col("_before").isNull() | F.col("error_kind").isin(*retry)) \
-        .withColumn("attempt", F.coalesce("_before", F.lit(0)) + 1).drop("_before", "error_kind")
-    todo = stored(todo, "requests-to-send")
-    chunks = -(-todo.count() // (concurrency * rows_per_task))
-    for c in range(chunks):
-        (todo.where(F.pmod(F.xxhash64("request_id"), F.lit(chunks)) == c).repartition(concurrency)
-             .mapInPandas(_runner(client_factory), RESULT)
-             .write.mode("append").parquet(store))
-    return _latest(spark, store).join(asked.select("request_id"), "request_id", "left_semi")
+    for run, chunk in open_chunks(spark, store):
+        _answer(spark, store, run, chunk, client_factory, concurrency)
+    ids = stored(requests.select("request_id").distinct(), "request-ids")
+    before = outcomes(spark, store).select("request_id", "error_kind", F.col("attempt").alias("_before"))
+    todo = stored(ids.join(before, "request_id", "left")
+                  .where(F.col("_before").isNull() | F.col("error_kind").isin(*retry))
+                  .select("request_id", (F.coalesce("_before", F.lit(0)) + 1).alias("attempt")), "requests-to-send")
+    n = todo.count()
+    if n:
+        run, chunks = uuid.uuid4().hex, -(-n // (concurrency * rows_per_task))
+        path = f"{store}/requests/run={run}"
+        # a chunk has a bounded number of requests, so one task may write its folder
+        (requests.dropDuplicates(["request_id"]).join(todo, "request_id")
+         .withColumn("chunk", F.pmod(F.xxhash64("request_id"), F.lit(chunks)).cast("int"))
+         .repartition("chunk").write.partitionBy("chunk").parquet(path))
+        there = sorted(r["chunk"] for r in spark.read.parquet(path).select("chunk").distinct().collect())
+        _mark(spark, store, run, "begun", chunks=there)
+        for chunk in there:
+            _answer(spark, store, run, chunk, client_factory, concurrency)
+    return outcomes(spark, store).join(ids, "request_id", "left_semi")
+
+
+def compact(spark: SparkSession, store: str) -> list[str]:
+    """Fold the finished runs of a store into one; the runs that are no longer read are returned.
+
+    The new run counts from its commit mark on, which names the runs it
+    replaces, so a reader sees the old ones or the new one. Folders of the
+    returned runs may be deleted once no reader holds an older plan.
+    """
+    open_runs = {run for run, _ in open_chunks(spark, store)}
+    if open_runs:
+        raise ValueError("finish the open runs before compacting: " + ", ".join(sorted(open_runs)))
+    log = _log(spark, store)
+    live = sorted(r["run"] for r in log.where("kind = 'done'").select("run").distinct()
+                  .join(log.select(F.explode("replaces").alias("run")), "run", "left_anti").collect())
+    if not live:
+        return []
+    run = uuid.uuid4().hex
+    outcomes(spark, store).write.parquet(f"{store}/results/run={run}/chunk=0")
+    _mark(spark, store, run, "done", 0, replaces=live)
+    return live
 
 
 def replies(results: DataFrame) -> DataFrame:

@@ -174,3 +174,73 @@ def test_complete_resumes_after_a_partial_run(spark):
     assert full.count() == req.count()
     again = full.where(F.col("request_id").isin(list(marked)) & (F.col("error_kind") == "other"))
     assert again.count() == 0
+
+
+def _noting_factory(folder, fatal_after=None):
+    """A client that leaves a file per call, and ends its process from the given call on."""
+    def factory():
+        def client(system, user, max_tokens, temperature):
+            import os
+            import uuid
+            if fatal_after is not None and len(os.listdir(folder)) >= fatal_after:
+                raise SystemExit("the worker is lost")
+            with open(f"{folder}/{hash(user)}-{uuid.uuid4().hex}", "w") as f:
+                f.write(user)
+            return {"choices": [user[:5]], "prompt_tokens": 1, "completion_tokens": 1, "model": "m"}
+        return client
+    return factory
+
+
+def test_restart_finishes_open_chunks_only(spark, tmp_path):
+    docs = spark.createDataFrame([(str(i), f"text number {i}") for i in range(60)], "job_id string, text string")
+    req = pr.build_requests(docs, "", ["verification"])
+    store, calls = scratch_path(spark, "test-restart"), str(tmp_path)
+    # the fifth chunk or so meets the end of the worker
+    with pytest.raises(Exception, match="lost|SystemExit|Python worker"):
+        cp.complete(req, _noting_factory(calls, fatal_after=30), store, concurrency=1, rows_per_task=7)
+    log = spark.read.schema(cp.LOG).parquet(f"{store}/log")
+    chunks = log.where("kind = 'begun'").first().chunks
+    done = {r.chunk for r in log.where("kind = 'done'").collect()}
+    left = cp.open_chunks(spark, store)
+    assert 0 < len(done) < len(chunks) and [c for _, c in left] == sorted(set(chunks) - done)
+    # readers see whole chunks only, and what is open is found in the log alone
+    seen = {r.request_id for r in cp.outcomes(spark, store).collect()}
+    run = left[0][0]
+    whole = {r.request_id for c in done for r in cp.chunk_requests(spark, store, run, c).collect()}
+    assert seen == whole
+    # a chunk's scan reads its own folder
+    files = cp.chunk_requests(spark, store, run, left[0][1]).inputFiles()
+    assert files and all(f"run={run}/chunk={left[0][1]}/" in f for f in files)
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+    full = cp.complete(req, _noting_factory(str(tmp_path / "a")), store, concurrency=1, rows_per_task=7)
+    assert full.count() == 60 and full.where("error_kind is not null").count() == 0
+    assert len(list((tmp_path / "a").iterdir())) == 60 - len(whole)  # nothing of a committed chunk again
+    assert not cp.open_chunks(spark, store)
+    assert cp.complete(req, _noting_factory(str(tmp_path / "b")), store).count() == 60
+    assert not list((tmp_path / "b").iterdir())
+
+
+def test_compaction_keeps_the_last_attempts(spark):
+    def factory(kind):
+        def make():
+            def client(system, user, max_tokens, temperature):
+                if len(user) % 3 == 0 and kind:
+                    raise CompletionError(kind, "later")
+                return {"choices": [user], "prompt_tokens": 1, "completion_tokens": 1, "model": "m"}
+            return client
+        return make
+    docs = spark.createDataFrame([(str(i), "x" * i) for i in range(40)], "job_id string, text string")
+    req = pr.build_requests(docs, "", ["verification"])
+    store = scratch_path(spark, "test-compact")
+    assert cp.compact(spark, store) == []
+    cp.complete(req, factory("timeout"), store, concurrency=2, rows_per_task=5)
+    before = cp.complete(req, factory(None), store, concurrency=2, rows_per_task=5).orderBy("request_id").collect()
+    assert {r.attempt for r in before} == {1, 2}
+    gone = cp.compact(spark, store)
+    assert len(gone) == 2
+    after = cp.outcomes(spark, store)
+    assert after.orderBy("request_id").collect() == before
+    assert cp.complete(req, _failing_factory, store).orderBy("request_id").collect() == before
+    assert len(cp.compact(spark, store)) == 1  # the compacted run itself
+    assert cp.outcomes(spark, store).count() == 40
