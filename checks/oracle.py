@@ -830,3 +830,47 @@ ORACLE["s05_write_verdicts"] = ORACLE["v03_rule_verdict"]
 ORACLE["w01_admission_stream"] = ORACLE["u06_admit"]
 ORACLE["w02_lifecycle_stream"] = ORACLE["j04_fold_transitions"]
 ORACLE["w03_sweep_job"] = ORACLE["j10_sweep_stats"]
+
+# the fold of one job's events with time limits: before each event, what time alone changes
+ORACLE["w02_lifecycle_limits"] = "WITH RECURSIVE " + with_(JOB_EVENTS).removeprefix("WITH ").rstrip() + """,
+e AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS i FROM job_events),
+w AS (SELECT max(ts) - INTERVAL '10' MINUTE AS t FROM job_events),
+steps AS (
+  SELECT job_id, CAST(0 AS BIGINT) AS i, 'PENDING' AS status, CAST(NULL AS TIMESTAMP) AS started,
+         CAST(NULL AS TIMESTAMP) AS completed, CAST(0 AS BIGINT) AS n_events, CAST(0 AS BIGINT) AS n_illegal,
+         CAST(NULL AS VARCHAR) AS message, false AS dropped, CAST(0 AS BIGINT) AS n_late
+  FROM e WHERE i = 1
+  UNION ALL
+  SELECT job_id, i,
+         CASE WHEN gone THEN st WHEN st = 'PENDING' AND kind = 'start' THEN 'PROCESSING'
+              WHEN st IN ('PENDING', 'PROCESSING') AND kind = 'fail' THEN 'FAILED'
+              WHEN st = 'PROCESSING' AND kind = 'complete' THEN 'COMPLETED' ELSE st END,
+         CASE WHEN NOT gone AND st = 'PENDING' AND kind = 'start' THEN ts ELSE started END,
+         CASE WHEN NOT gone AND (st IN ('PENDING', 'PROCESSING') AND kind = 'fail' OR st = 'PROCESSING' AND kind = 'complete')
+              THEN ts ELSE ended END,
+         n_events + CASE WHEN gone THEN 0 ELSE 1 END,
+         n_illegal + CASE WHEN gone OR st = 'PENDING' AND kind IN ('start', 'fail')
+                            OR st = 'PROCESSING' AND kind IN ('complete', 'fail') THEN 0 ELSE 1 END,
+         CASE WHEN NOT gone AND st IN ('PENDING', 'PROCESSING') AND kind = 'fail' THEN 'Job failed' ELSE said END,
+         gone, n_late + CASE WHEN gone THEN 1 ELSE 0 END
+  FROM (SELECT *, dropped OR (st IN ('COMPLETED', 'FAILED') AND ts > ended + INTERVAL '60' MINUTE) AS gone
+        FROM (SELECT s.job_id, e.i, e.ts, e.kind, s.started, s.n_events, s.n_illegal, s.dropped, s.n_late,
+                     CASE WHEN s.status = 'PROCESSING' AND e.ts > s.started + INTERVAL '30' MINUTE THEN 'FAILED'
+                          ELSE s.status END AS st,
+                     CASE WHEN s.status = 'PROCESSING' AND e.ts > s.started + INTERVAL '30' MINUTE
+                          THEN s.started + INTERVAL '30' MINUTE ELSE s.completed END AS ended,
+                     CASE WHEN s.status = 'PROCESSING' AND e.ts > s.started + INTERVAL '30' MINUTE
+                          THEN 'Job timed out during forced cleanup' ELSE s.message END AS said
+              FROM steps s JOIN e ON e.job_id = s.job_id AND e.i = s.i + 1) a) b),
+last AS (SELECT * FROM steps QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY i DESC) = 1),
+passed AS (
+  SELECT job_id, n_events, n_illegal, n_late, dropped, started,
+         status = 'PROCESSING' AND started + INTERVAL '30' MINUTE <= t AS out_of_time, status, completed, message, t
+  FROM last, w),
+ended AS (
+  SELECT *, CASE WHEN out_of_time THEN 'FAILED' ELSE status END AS st,
+         CASE WHEN out_of_time THEN started + INTERVAL '30' MINUTE ELSE completed END AS fin FROM passed)
+SELECT job_id, st AS status, started AS started_at, fin AS completed_at, n_events, n_illegal,
+       CASE WHEN out_of_time THEN 'Job timed out during forced cleanup' ELSE message END AS error_message,
+       dropped OR coalesce(st IN ('COMPLETED', 'FAILED') AND fin + INTERVAL '60' MINUTE <= t, false) AS dropped, n_late
+FROM ended"""

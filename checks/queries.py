@@ -623,6 +623,24 @@ def w02(spark, base):
         "job_id", "status", "started_at", "completed_at", "n_events", "n_illegal")
 
 
+@query("w02_lifecycle_limits")
+def w02_limits(spark, base):
+    """The service's limits (30 minutes of work, 60 of keeping): states when all events have come and time has passed.
+
+    A job's events lie within one day, so tombstones of a day see every late one.
+    """
+    inp, out, ck = (scratch_path(spark, n) for n in ("w02l-in", "w02l-out", "w02l-ck"))
+    fx.job_events(spark, base).repartition(4).write.parquet(inp)
+    for _ in range(2):  # the second run has no new events: timers up to the last watermark
+        lifecycle_stream(spark, inp, out, ck, tombstone_minutes=24 * 60,
+                         state_partitions=2 * spark.sparkContext.defaultParallelism).awaitTermination()
+    log = spark.read.parquet(out)
+    late = log.where("change = 'late'").groupBy("job_id").agg(F.sum("n_events").alias("n_late"))
+    return final_states(log).join(late, "job_id", "left").select(
+        "job_id", "status", "started_at", "completed_at", "n_events", "n_illegal", "error_message",
+        (F.col("change") == "dropped").alias("dropped"), F.coalesce("n_late", F.lit(0)).alias("n_late"))
+
+
 @query("w03_sweep_job")
 def w03(spark, base):
     inp, out, ck = (scratch_path(spark, n) for n in ("w03-in", "w03-out", "w03-ck"))

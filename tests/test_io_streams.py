@@ -244,3 +244,44 @@ def test_compaction_keeps_the_last_attempts(spark):
     assert cp.complete(req, _failing_factory, store).orderBy("request_id").collect() == before
     assert len(cp.compact(spark, store)) == 1  # the compacted run itself
     assert cp.outcomes(spark, store).count() == 40
+
+
+def test_lifecycle_limits_do_not_depend_on_batches(spark, duck):
+    """One, three and twenty micro-batches give the batch fold with time limits, whatever the shards."""
+    from checks.oracle import ORACLE
+    from palaver.streaming.lifecycle import final_states, lifecycle_stream
+    events = fx.job_events(spark, SF_SMALL)
+    want = sorted(map(str, duck.sql(ORACLE["w02_lifecycle_limits"]).fetchall()))
+    for n, buckets in ((1, 1), (3, 64), (20, 7)):
+        inp, out, ck = (scratch_path(spark, f"t-w2-{n}-{x}") for x in ("in", "out", "ck"))
+        edges = (events.approxQuantile("seq", [k / n for k in range(1, n)], 0.0) if n > 1 else []) + [float("inf")]
+        low = float("-inf")
+        for high in edges:  # files in order of time, one per micro-batch
+            events.where((F.col("seq") > low) & (F.col("seq") <= high)).coalesce(1).write.mode("append").parquet(inp)
+            low = high
+        for _ in range(2):
+            lifecycle_stream(spark, inp, out, ck, tombstone_minutes=24 * 60, buckets=buckets, files_per_batch=1,
+                             state_partitions=2).awaitTermination()
+        log = spark.read.parquet(out)
+        late = log.where("change = 'late'").groupBy("job_id").agg(F.sum("n_events").alias("n_late"))
+        got = final_states(log).join(late, "job_id", "left").select(
+            "job_id", "status", "started_at", "completed_at", "n_events", "n_illegal", "error_message",
+            (F.col("change") == "dropped").alias("dropped"), F.coalesce("n_late", F.lit(0)))
+        assert sorted(map(str, (tuple(r) for r in got.collect()))) == want
+        numbered = log.where("change != 'late'").groupBy("job_id", "change_no").count().where("count > 1")
+        assert numbered.count() == 0
+
+
+def test_limits_of_one_job_against_its_text():
+    from palaver.streaming.lifecycle import FIELDS, FRESH, Limits
+    minute = 60_000_000
+    limits = Limits(30, 60, 60)
+    st = dict(zip(FIELDS, FRESH))
+    log = list(limits.events(st, [(1, 0, "start"), (2, 30 * minute, "complete")]))
+    assert [(c, s["status"]) for s, c, _ in log] == [("update", "COMPLETED")]  # the limit itself is in time
+    st = dict(zip(FIELDS, FRESH))
+    log = list(limits.events(st, [(1, 0, "start"), (2, 30 * minute + 1, "complete"), (3, 91 * minute, "start")]))
+    assert [(c, us // minute) for _, c, us in log] == [("update", 0), ("timeout", 30), ("update", 30), ("dropped", 90), ("late", 91)]
+    assert st["status"] == "FAILED" and st["n_illegal"] == 1 and limits.wakes(st) == 150 * minute
+    st = dict(zip(FIELDS, FRESH))
+    assert not list(limits.until(st, 10 ** 15)) and limits.wakes(st) is None  # PENDING has no limit
