@@ -8,9 +8,10 @@ driver and by ``checks/compare.py``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palaver.functions.errors import TAXONOMY
 from palaver.sources.tables import table
 
 CLOCK = "2024-02-01 00:00:00"   # fixed "now" of every derived fixture
@@ -62,6 +63,16 @@ def jobs_dirty(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def error_chains(spark: SparkSession, base: str) -> DataFrame:
+    """Errors that name the error they were caused by: a user's earlier one, none, or one that is not kept."""
+    e = table(spark, base, "events").where("event_type in ('error', 'view')")
+    eid = F.col("event_id")
+    names = F.array(*[F.lit(c) for c, _, _ in TAXONOMY], F.lit("KeyError"), F.lit("ValueError"), F.lit(None).cast("string"))
+    before = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
+    return e.select(eid.alias("error_id"), F.element_at(names, (eid % 23 + 1).cast("int")).alias("error_class"),
+                    F.when(eid % 11 == 3, -eid).when(eid % 7 != 0, before).alias("cause_id"))
+
+
 def job_events(spark: SparkSession, base: str) -> DataFrame:
     e = table(spark, base, "events")
     et = F.col("event_type")

@@ -6,6 +6,8 @@ fixture in a WITH clause (the DuckDB form of ``checks.fixtures``).
 
 from __future__ import annotations
 
+from palaver.functions.errors import TAXONOMY as ERROR_CLASSES
+
 # --- derived fixtures (DuckDB dialect) -------------------------------------
 
 JOBS = """jobs AS (
@@ -435,6 +437,43 @@ FROM errs e LEFT JOIN taxonomy t USING (error_class)
 WHERE e.error_class IS NOT NULL
 GROUP BY e.error_class, t.parent_class, coalesce(t.status_code, 500)"""
 
+ERROR_CHAINS = f"""error_chains AS (
+  SELECT event_id AS error_id,
+         [{", ".join(f"'{c}'" for c, _, _ in ERROR_CLASSES)}, 'KeyError', 'ValueError', NULL][event_id % 23 + 1] AS error_class,
+         CASE WHEN event_id % 11 = 3 THEN -event_id
+              WHEN event_id % 7 <> 0 THEN lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) END AS cause_id
+  FROM events WHERE event_type IN ('error', 'view'))"""
+ROOT_CAUSES = """chain AS (
+  SELECT error_id, error_id AS reached, CAST(0 AS BIGINT) AS depth FROM error_chains
+  UNION ALL
+  SELECT c.error_id, b.error_id, c.depth + 1
+  FROM chain c JOIN error_chains a ON a.error_id = c.reached JOIN error_chains b ON b.error_id = a.cause_id),
+root_causes AS (
+  SELECT e.error_id, e.error_class, e.cause_id, c.reached AS root_id, r.error_class AS root_class, c.depth
+  FROM (SELECT error_id, arg_max(reached, depth) AS reached, max(depth) AS depth FROM chain GROUP BY error_id) c
+  JOIN error_chains e USING (error_id) JOIN error_chains r ON r.error_id = c.reached)"""
+_recursive = lambda *ctes: "WITH RECURSIVE " + with_(*ctes).removeprefix("WITH ")
+ORACLE["j12_root_causes"] = _recursive(ERROR_CHAINS, ROOT_CAUSES) + "SELECT * FROM root_causes"
+ORACLE["j12_error_rollup"] = _recursive(ERROR_CHAINS, ROOT_CAUSES, TAXONOMY, """up AS (
+  SELECT error_class, error_class AS ancestor FROM taxonomy
+  UNION ALL
+  SELECT u.error_class, t.parent_class FROM up u JOIN taxonomy t ON t.error_class = u.ancestor
+  WHERE t.parent_class IS NOT NULL)""", """classes AS (
+  SELECT error_class FROM taxonomy UNION SELECT error_class FROM root_causes WHERE error_class IS NOT NULL
+  UNION SELECT root_class FROM root_causes WHERE root_class IS NOT NULL)""", """lines AS (
+  SELECT coalesce(u.ancestor, r.error_class) AS cls, 1 AS n, 0 AS n_root
+  FROM root_causes r LEFT JOIN up u ON u.error_class = r.error_class WHERE r.error_class IS NOT NULL
+  UNION ALL
+  SELECT coalesce(u.ancestor, r.root_class), 0, 1
+  FROM root_causes r LEFT JOIN up u ON u.error_class = r.root_class WHERE r.root_class IS NOT NULL)""") + """
+SELECT c.error_class, t.parent_class, coalesce(t.status_code, 500) AS status_code,
+       (SELECT count(*) FROM root_causes r WHERE r.error_class = c.error_class) AS n,
+       (SELECT count(*) FROM root_causes r WHERE r.root_class = c.error_class) AS n_root,
+       (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM lines l WHERE l.cls = c.error_class) AS n_below,
+       (SELECT CAST(coalesce(sum(n_root), 0) AS BIGINT) FROM lines l WHERE l.cls = c.error_class) AS n_root_below,
+       (SELECT max(depth) FROM root_causes r WHERE r.root_class = c.error_class) AS deepest
+FROM classes c LEFT JOIN taxonomy t USING (error_class)"""
+
 # --- P / E: replies ----------------------------------------------------------
 
 CLIENT_ERRORS = """client_errors AS (
@@ -874,3 +913,18 @@ SELECT job_id, st AS status, started AS started_at, fin AS completed_at, n_event
        CASE WHEN out_of_time THEN 'Job timed out during forced cleanup' ELSE message END AS error_message,
        dropped OR coalesce(st IN ('COMPLETED', 'FAILED') AND fin + INTERVAL '60' MINUTE <= t, false) AS dropped, n_late
 FROM ended"""
+
+# both snapshots: the whole table, and the jobs that are not of low priority
+ORACLE["w03_swept_jobs"] = with_(JOBS, SWEEP_FLAGS) + f"""
+SELECT snapshot, job_id, CASE WHEN timed_out THEN 'FAILED' ELSE status END AS status, started_at,
+       CASE WHEN timed_out THEN {NOW} ELSE completed_at END AS completed_at,
+       CASE WHEN timed_out THEN 'Job timed out during forced cleanup' ELSE error_message END AS error_message
+FROM flags, (VALUES ('whole'), ('urgent')) s(snapshot)
+WHERE NOT stale AND (snapshot = 'whole' OR priority <> 'LOW')"""
+ORACLE["w03_sweep_report"] = with_(JOBS, SWEEP_FLAGS) + """
+SELECT snapshot, count(*) AS initial_job_count, count(*) FILTER (WHERE NOT stale) AS final_job_count,
+       count(*) FILTER (WHERE stale AND status = 'COMPLETED') AS stale_completed_removed,
+       count(*) FILTER (WHERE stale AND status = 'FAILED') AS stale_failed_removed,
+       count(*) FILTER (WHERE timed_out) AS processing_timed_out
+FROM flags, (VALUES ('whole'), ('urgent')) s(snapshot)
+WHERE snapshot = 'whole' OR priority <> 'LOW' GROUP BY snapshot"""

@@ -262,6 +262,16 @@ def j12(spark, base):
     return jb.error_counts(jb.classify_errors(errors, taxonomy(spark)))
 
 
+@query("j12_root_causes")
+def j12_roots(spark, base):
+    return jb.root_causes(fx.error_chains(spark, base))
+
+
+@query("j12_error_rollup")
+def j12_rollup(spark, base):
+    return jb.error_rollup(jb.root_causes(fx.error_chains(spark, base)), taxonomy(spark))
+
+
 # -- P / E: replies and metadata
 
 from palaver.functions import replies as rf  # noqa: E402
@@ -523,7 +533,7 @@ from palaver.sources import readers as rd  # noqa: E402
 from palaver.sources import sinks as sk  # noqa: E402
 from palaver.streaming.admission import admission_stream  # noqa: E402
 from palaver.streaming.lifecycle import final_states, lifecycle_stream  # noqa: E402
-from palaver.streaming.sweep import sweep_stream  # noqa: E402
+from palaver.streaming.sweep import sweep_report, sweep_stream, swept_jobs  # noqa: E402
 
 
 @query("s01_read_submissions")
@@ -650,3 +660,22 @@ def w03(spark, base):
     return spark.read.parquet(f"{out}/stats").select(
         "initial_job_count", "final_job_count", "stale_completed_removed", "stale_failed_removed",
         "processing_timed_out")
+
+
+def _swept(spark, base):
+    """Two snapshots of the job table, each in several files, swept a few files at a time."""
+    inp, out, ck = (scratch_path(spark, n) for n in ("w03s-in", "w03s-out", "w03s-ck"))
+    fx.jobs(spark, base).repartition(4).write.parquet(f"{inp}/whole")
+    fx.jobs(spark, base).where("priority <> 'LOW'").repartition(3).write.parquet(f"{inp}/urgent")
+    sweep_stream(spark, inp, out, ck, now=_now(), files_per_batch=3).awaitTermination()
+    return out
+
+
+@query("w03_swept_jobs")
+def w03_jobs(spark, base):
+    return swept_jobs(spark, _swept(spark, base)).select("snapshot", *_JOB_COLS)
+
+
+@query("w03_sweep_report")
+def w03_report(spark, base):
+    return sweep_report(spark, _swept(spark, base))

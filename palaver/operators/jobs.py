@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from palaver import schemas as S
 from palaver.plans.ordering import global_row_number
+from palaver.plans.staging import stored
 
 
 def _enum(status: Column) -> Column:
@@ -294,11 +295,11 @@ def sweep(jobs: DataFrame, now: Column, timeout_minutes: int = S.JOB_TIMEOUT_MIN
 
 
 def sweep_stats(jobs: DataFrame, now: Column, timeout_minutes: int = S.JOB_TIMEOUT_MINUTES,
-                retention_hours: int = S.RETENTION_HOURS) -> DataFrame:
-    """One row of counters; a single partial aggregate over the table."""
+                retention_hours: int = S.RETENTION_HOURS, by: list[str] | None = None) -> DataFrame:
+    """One row of counters (one per value of ``by``); a single partial aggregate over the table."""
     stale, timed_out = _sweep_flags(now, timeout_minutes, retention_hours)
     st = F.col("status")
-    return jobs.agg(
+    return jobs.groupBy(*by or []).agg(
         F.count(F.lit(1)).alias("initial_job_count"),
         F.count_if(~stale).alias("final_job_count"),
         F.count_if(stale & (st == "COMPLETED")).alias("stale_completed_removed"),
@@ -324,6 +325,79 @@ def classify_errors(errors: DataFrame, taxonomy: DataFrame, class_col: str = "er
                     F.coalesce(F.col("status_code"), F.lit(500)).alias("status_code"))
 
 
+def root_causes(errors: DataFrame) -> DataFrame:
+    """Error rows (error_id, error_class, cause_id) with the end of their chain of causes.
+
+    Adds ``root_id``, ``root_class`` and ``depth`` (links to the root). Chains of any
+    depth take a number of joins that grows with its logarithm: every round
+    each link reaches as far again. A cause that is not in the table ends its
+    chain before it; a chain that runs into a circle has no root (nulls).
+    ``error_id`` is unique.
+    """
+    base = stored(errors.select("error_id", "error_class", "cause_id"), "errors")
+    known = base.select(F.col("error_id").alias("_id"))
+    links = stored(base.join(known, base["cause_id"] == known["_id"], "left")
+                   .select("error_id", F.col("_id").alias("up"), F.when(F.col("_id").isNotNull(), 1).otherwise(0).cast("long").alias("depth")),
+                   "error-links")
+    left, rounds = None, 0
+    while True:
+        far = links.where("up is not null").select(F.col("error_id").alias("_id"), F.col("up").alias("_up"),
+                                                   F.col("depth").alias("_depth"))
+        # `up` moves on to its own `up`; at a root it stays
+        longer = links.join(far, links["up"] == far["_id"], "left")
+        moving = longer.where("_up is not null").count()
+        # after log2(rows) rounds only links on the way into a circle still move
+        if moving == 0 or (left is not None and rounds > left):
+            break
+        if left is None:
+            left = max(1, base.count()).bit_length()
+        links = stored(longer.select("error_id", F.coalesce("_up", "up").alias("up"),
+                                     (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")), "error-links")
+        rounds += 1
+    ends = links.join(links.where("up is null").select(F.col("error_id").alias("_end")), F.col("up") == F.col("_end"), "left")
+    is_root = F.col("up").isNull()
+    found = ends.select("error_id", F.when(is_root, F.col("error_id")).otherwise(F.col("_end")).alias("root_id"), "depth")
+    roots = base.select(F.col("error_id").alias("_id"), F.col("error_class").alias("root_class"))
+    return (base.join(found, "error_id").join(roots, F.col("root_id") == F.col("_id"), "left")
+            .select("error_id", "error_class", "cause_id", "root_id", "root_class",
+                    F.when(F.col("root_id").isNotNull(), F.col("depth")).alias("depth")))
+
+
+def error_ancestors(taxonomy: DataFrame) -> DataFrame:
+    """(error_class, ancestor, level) of the class-parent table, every class its own ancestor at level 0."""
+    return taxonomy.sparkSession.sql("""
+        WITH RECURSIVE up (error_class, ancestor, level, path) AS (
+          SELECT error_class, error_class, 0, array(error_class) FROM {taxonomy}
+          UNION ALL
+          SELECT u.error_class, t.parent_class, u.level + 1, array_append(u.path, t.parent_class)
+          FROM up u JOIN {taxonomy} t ON t.error_class = u.ancestor
+          WHERE t.parent_class IS NOT NULL AND NOT array_contains(u.path, t.parent_class))
+        SELECT error_class, ancestor, level FROM up""", taxonomy=taxonomy)
+
+
+def error_rollup(caused: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """Per class: rows of the class itself, rows it is the root of, and both with all classes below it.
+
+    ``caused`` is as from ``root_causes``. Classes without a row and classes that
+    the taxonomy does not know (no parent, status code 500) are reported too.
+    """
+    own = caused.where("error_class is not null").groupBy("error_class").agg(F.count(F.lit(1)).alias("n"))
+    rooted = caused.where("root_class is not null").groupBy(F.col("root_class").alias("error_class")) \
+        .agg(F.count(F.lit(1)).alias("n_root"), F.max("depth").alias("deepest"))
+    counts = own.join(rooted, "error_class", "full")
+    counts = counts.select("error_class", F.coalesce("n", F.lit(0)).alias("n"),
+                           F.coalesce("n_root", F.lit(0)).alias("n_root"), "deepest")
+    lines = counts.join(F.broadcast(error_ancestors(taxonomy)), "error_class", "left") \
+        .select(F.coalesce("ancestor", "error_class").alias("of"), "n", "n_root")
+    below = lines.groupBy("of").agg(F.sum("n").alias("n_below"), F.sum("n_root").alias("n_root_below"))
+    t = F.broadcast(taxonomy)
+    classes = taxonomy.select("error_class").unionByName(counts.select("error_class")).distinct()
+    return (classes.join(counts, "error_class", "left").join(below, classes["error_class"] == below["of"], "left")
+            .join(t, "error_class", "left")
+            .select("error_class", "parent_class", F.coalesce("status_code", F.lit(500)).alias("status_code"),
+                    *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "n_root", "n_below", "n_root_below")], "deepest"))
+
+
 def error_counts(classified: DataFrame, class_col: str = "error_class") -> DataFrame:
     return (classified.groupBy(class_col, "parent_class", "status_code")
             .agg(F.count(F.lit(1)).alias("n")))

@@ -285,3 +285,50 @@ def test_limits_of_one_job_against_its_text():
     assert st["status"] == "FAILED" and st["n_illegal"] == 1 and limits.wakes(st) == 150 * minute
     st = dict(zip(FIELDS, FRESH))
     assert not list(limits.until(st, 10 ** 15)) and limits.wakes(st) is None  # PENDING has no limit
+
+
+def test_readers_see_published_batches_only(spark, monkeypatch):
+    from palaver.streaming import sweep as sw
+    out = scratch_path(spark, "t-w3-publish")
+    now = fx.ts_ntz(fx.CLOCK)
+    jobs = fx.jobs(spark, SF_SMALL).select(*sw.S.JOB.fieldNames()).withColumn("snapshot", F.lit("a"))
+    assert sw.swept_jobs(spark, out).count() == 0 and sw.sweep_report(spark, out).count() == 0
+    real = sw.sweep_stats
+
+    def lost(*args, **kwargs):
+        raise RuntimeError("the driver is lost")
+    monkeypatch.setattr(sw, "sweep_stats", lost)
+    with pytest.raises(RuntimeError):
+        sw.publish(spark, jobs, 0, out, now)  # the swept rows are written, the entry is not
+    assert sw.swept_jobs(spark, out).count() == 0
+    monkeypatch.setattr(sw, "sweep_stats", real)
+    for _ in range(2):  # the second try of a published batch changes nothing
+        sw.publish(spark, jobs, 0, out, now)
+    sw.publish(spark, jobs.withColumn("snapshot", F.lit("b")).limit(10), 1, out, now)
+    want = jb.sweep(jobs.drop("snapshot"), now)
+    got = sw.swept_jobs(spark, out, "a").drop("snapshot")
+    assert got.exceptAll(want.select(*got.columns)).count() == 0 and got.count() == want.count()
+    report = {r.snapshot: r.initial_job_count for r in sw.sweep_report(spark, out).collect()}
+    assert report == {"a": jobs.count(), "b": 10}
+
+
+def test_root_causes_of_long_chains_and_circles(spark):
+    rows = [(i, f"C{i}", i - 1 if i else None) for i in range(3000)]  # one chain of 3,000
+    rows += [(10_001, "A", 10_002), (10_002, "B", 10_003), (10_003, "A", 10_001), (10_004, "X", 10_002)]  # a circle
+    rows += [(20_000, "Y", 99_999), (20_001, None, 20_000), (20_002, "Z", 20_002)]  # unknown cause, no class, itself
+    got = {r.error_id: r for r in jb.root_causes(spark.createDataFrame(
+        rows, "error_id long, error_class string, cause_id long")).collect()}
+    assert len(got) == len(rows)
+    assert all((got[i].root_id, got[i].root_class, got[i].depth) == (0, "C0", i) for i in range(3000))
+    assert all(got[i].root_id is None and got[i].depth is None for i in (10_001, 10_002, 10_003, 10_004, 20_002))
+    assert (got[20_001].root_id, got[20_001].root_class, got[20_001].depth) == (20_000, "Y", 1)
+
+
+def test_rollup_over_a_deeper_taxonomy(spark):
+    taxonomy = spark.createDataFrame([("Top", None, 500), ("Mid", "Top", 501), ("Low", "Mid", 502), ("Odd", "Odd", 503)],
+                                     "error_class string, parent_class string, status_code int")
+    caused = jb.root_causes(spark.createDataFrame(
+        [(1, "Low", None), (2, "Mid", 1), (3, "Alien", 2), (4, "Odd", None)], "error_id long, error_class string, cause_id long"))
+    got = {r.error_class: (r.status_code, r.n, r.n_root, r.n_below, r.n_root_below) for r in jb.error_rollup(caused, taxonomy).collect()}
+    assert got == {"Top": (500, 0, 0, 2, 3), "Mid": (501, 1, 0, 2, 3), "Low": (502, 1, 3, 1, 3), "Odd": (503, 1, 1, 1, 1),
+                   "Alien": (500, 1, 0, 1, 0)}
