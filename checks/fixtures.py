@@ -128,40 +128,64 @@ def doc_transcripts(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def json_text(text: Column) -> Column:
+    """A text as the inside of a JSON string."""
+    out = F.coalesce(text, F.lit(""))
+    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.regexp_replace(out, r"[\x00-\x1f]", " ")
+
+
+def _cases(by: Column, forms: list[Column]) -> Column:
+    out = F.when(by == 0, forms[0])
+    for i, form in enumerate(forms[1:], 1):
+        out = out.when(by == i, form)
+    return out
+
+
 def llm_responses(spark: SparkSession, base: str) -> DataFrame:
+    """Metadata replies about each document's text: sound, wrapped, wrong, and such as only Python's reader takes."""
     d = table(spark, base, "documents")
-    did = F.col("doc_id")
-    sid = did.cast("string")
-    good = F.concat(
-        F.lit('{"conversation_type": "EDUCATIONAL", "topics": [{"name": "t'), sid,
-        F.lit('", "confidence_score": 0.'), (did % 10).cast("string"),
-        F.lit('}, {"name": "all", "confidence_score": 1}], "key_points": ["k1", "k2"]}'))
-    k = did % 12
-    raw = (F.when(k == 0, F.concat(F.lit("```json\n"), good, F.lit("\n```")))
-           .when(k == 1, good)
-           .when(k == 2, F.concat(F.lit("  "), good, F.lit("  ")))
-           .when(k == 3, F.concat(F.lit("JSON "), good))
-           .when(k == 4, F.concat(F.lit("```\n"), good, F.lit("\n```")))
-           .when(k == 5, F.lit("I cannot answer that."))
-           .when(k == 6, F.lit('{"conversation_type": "CASUAL", "topics": []}'))
-           .when(k == 7, F.lit('{"conversation_type": "casual", "topics": [], "key_points": []}'))
-           .when(k == 8, F.lit('{"conversation_type": "FORMAL", "topics": [{"name": "a"}], "key_points": []}'))
-           .when(k == 9, F.lit('{"conversation_type": "FORMAL", "topics": [{"name": "a", '
-                               '"confidence_score": 1.5}], "key_points": []}'))
-           .when(k == 10, F.lit('{"conversation_type": "FORMAL", "topics": ["a"], "key_points": []}'))
-           .otherwise(F.lit('{"conversation_type": "COMEDY", "topics": [], "key_points": []}')))
-    return d.select(sid.alias("transcript_id"), raw.alias("raw"))
+    did, lit, cat = F.col("doc_id"), F.lit, F.concat
+    name, whole = json_text(F.substring("text", 1, 40)), json_text(F.col("text"))
+    topics = cat(lit('[{"name": "'), name, lit('", "confidence_score": 0.'), (did % 10).cast("string"),
+                 lit('}, {"name": "all", "confidence_score": 1}]'))
+    points = cat(lit(', "key_points": ["'), whole, lit('", "k2"]'))
+    good = cat(lit('{"conversation_type": "EDUCATIONAL", "topics": '), topics, points, lit("}"))
+    scored = lambda score: cat(
+        lit('{"conversation_type": "COMEDY", "topics": [{"name": "a", "confidence_score": ' + score + "}]"), points, lit("}"))
+    raw = _cases(did % 24, [
+        cat(lit("```json\n"), good, lit("\n```")), good, cat(lit("  "), good, lit("  ")), cat(lit("JSON "), good),
+        cat(lit("```\n"), good, lit("\n```")), cat(lit("I cannot answer that: "), F.coalesce("text", lit(""))),
+        cat(lit('{"conversation_type": "CASUAL", "topics": '), topics, lit("}")),
+        cat(lit('{"conversation_type": "casual", "topics": []'), points, lit("}")),
+        cat(lit('{"conversation_type": "FORMAL", "topics": [{"name": "'), name, lit('"}]'), points, lit("}")),
+        scored("1.5"), cat(lit('{"conversation_type": "FORMAL", "topics": ["'), name, lit('"]'), points, lit("}")),
+        cat(lit('{"conversation_type": "COMEDY", "topics": []'), points, lit("}")),
+        cat(lit('{"conversation_type": "FORMAL", "conversation_type": "COMEDY", "topics": '), topics, points, lit("}")),
+        scored("NaN"), cat(good, lit(" "), good), cat(good, lit("\nThat is all.")), F.coalesce("text", lit("")),
+        cat(lit('{"conversation_type": "INTERVIEW", "topics": '), topics, lit(', "key_points": ["\\ud800 half", "'), whole, lit('"]}')),
+        cat(lit('{"conversation_type": "INTERVIEW", "topics": '), topics, lit(', "key_points": ["\\ud83d\\ude00", "'), whole, lit('"]}')),
+        scored("1e400"), cat(lit('{"conversation_type": "CASUAL", "topics": ["bad"], "topics": '), topics, points, lit("}")),
+        cat(lit('{"conversation_type": "CASUAL", "topics": [], "key_points": ["a\nb", "'), whole, lit('"]}')),
+        scored("-Infinity"), cat(lit('"'), whole, lit('"'))])
+    return d.select(did.cast("string").alias("transcript_id"), raw.alias("raw"))
 
 
 def verify_responses(spark: SparkSession, base: str) -> DataFrame:
+    """Safety replies with each document's text as a note."""
     d = table(spark, base, "documents")
-    k = F.col("doc_id") % 6
-    raw = (F.when(k == 0, F.lit('{"is_safe": true, "reject_reason": null}'))
-           .when(k == 1, F.lit('```json\n{"is_safe": false, "reject_reason": "PII"}\n```'))
-           .when(k == 2, F.lit('{"is_safe": true}'))
-           .when(k == 3, F.lit('{"is_safe": false, "reject_reason": "SPAM"}'))
-           .when(k == 4, F.lit('{"reject_reason": "PROFANITY"}'))
-           .otherwise(F.lit("unsafe")))
+    lit, cat = F.lit, F.concat
+    note = cat(lit(', "note": "'), json_text(F.col("text")), lit('"}'))
+    raw = _cases(F.col("doc_id") % 12, [
+        cat(lit('{"is_safe": true, "reject_reason": null'), note),
+        cat(lit('```json\n{"is_safe": false, "reject_reason": "PII"'), note, lit("\n```")),
+        lit('{"is_safe": true}'), cat(lit('{"is_safe": false, "reject_reason": "SPAM"'), note),
+        cat(lit('{"reject_reason": "PROFANITY"'), note), cat(lit("unsafe: "), F.coalesce("text", lit(""))),
+        cat(lit('{"is_safe": true, "is_safe": false, "reject_reason": "PII"'), note),
+        cat(lit('{"score": NaN, "is_safe": true'), note), cat(lit('{"is_safe": true'), note, lit('{"is_safe": false}')),
+        cat(lit('{"is_safe": 1, "sign": "\\udfff"'), note), cat(lit('JSON {"is_safe": "no", "reject_reason": "HATE_SPEECH"'), note),
+        cat(lit('["is_safe", "'), json_text(F.col("text")), lit('"]'))])
     return d.select(F.col("doc_id").cast("string").alias("transcript_id"), raw.alias("raw"))
 
 

@@ -69,37 +69,85 @@ DOC_TRANSCRIPTS = """doc_transcripts AS (
          length(text) / CAST(16 AS DOUBLE) AS duration
   FROM documents)"""
 
-LLM_RESPONSES = """llm_responses AS (
+def json_text(x: str) -> str:
+    """A text as the inside of a JSON string."""
+    out = f"coalesce({x}, '')"
+    for a, b in (("'\\'", r"'\\'"), ("'\"'", "'\\\"'"), ("chr(10)", r"'\n'"), ("chr(13)", r"'\r'"), ("chr(9)", r"'\t'")):
+        out = f"replace({out}, {a}, {b})"
+    return f"regexp_replace({out}, '[\\x00-\\x1f]', ' ', 'g')"
+
+
+def _scored(score: str) -> str:
+    return f"""'{{"conversation_type": "COMEDY", "topics": [{{"name": "a", "confidence_score": {score}}}]' || points || '}}'"""
+
+
+LLM_RESPONSES = f"""llm_responses AS (
   SELECT CAST(doc_id AS VARCHAR) AS transcript_id,
-         CASE doc_id % 12
+         CASE doc_id % 24
            WHEN 0 THEN '```json' || chr(10) || good || chr(10) || '```'
            WHEN 1 THEN good
            WHEN 2 THEN '  ' || good || '  '
            WHEN 3 THEN 'JSON ' || good
            WHEN 4 THEN '```' || chr(10) || good || chr(10) || '```'
-           WHEN 5 THEN 'I cannot answer that.'
-           WHEN 6 THEN '{"conversation_type": "CASUAL", "topics": []}'
-           WHEN 7 THEN '{"conversation_type": "casual", "topics": [], "key_points": []}'
-           WHEN 8 THEN '{"conversation_type": "FORMAL", "topics": [{"name": "a"}], "key_points": []}'
-           WHEN 9 THEN '{"conversation_type": "FORMAL", "topics": [{"name": "a", "confidence_score": 1.5}], "key_points": []}'
-           WHEN 10 THEN '{"conversation_type": "FORMAL", "topics": ["a"], "key_points": []}'
-           ELSE '{"conversation_type": "COMEDY", "topics": [], "key_points": []}' END AS raw
-  FROM (SELECT doc_id,
-               '{"conversation_type": "EDUCATIONAL", "topics": [{"name": "t' || CAST(doc_id AS VARCHAR) ||
-               '", "confidence_score": 0.' || CAST(doc_id % 10 AS VARCHAR) ||
-               '}, {"name": "all", "confidence_score": 1}], "key_points": ["k1", "k2"]}' AS good
-        FROM documents) g)"""
-
-VERIFY_RESPONSES = """verify_responses AS (
+           WHEN 5 THEN 'I cannot answer that: ' || coalesce(text, '')
+           WHEN 6 THEN '{{"conversation_type": "CASUAL", "topics": ' || topics || '}}'
+           WHEN 7 THEN '{{"conversation_type": "casual", "topics": []' || points || '}}'
+           WHEN 8 THEN '{{"conversation_type": "FORMAL", "topics": [{{"name": "' || name || '"}}]' || points || '}}'
+           WHEN 9 THEN {_scored("1.5")}
+           WHEN 10 THEN '{{"conversation_type": "FORMAL", "topics": ["' || name || '"]' || points || '}}'
+           WHEN 11 THEN '{{"conversation_type": "COMEDY", "topics": []' || points || '}}'
+           WHEN 12 THEN '{{"conversation_type": "FORMAL", "conversation_type": "COMEDY", "topics": ' || topics || points || '}}'
+           WHEN 13 THEN {_scored("NaN")}
+           WHEN 14 THEN good || ' ' || good
+           WHEN 15 THEN good || chr(10) || 'That is all.'
+           WHEN 16 THEN coalesce(text, '')
+           WHEN 17 THEN '{{"conversation_type": "INTERVIEW", "topics": ' || topics || ', "key_points": ["\\ud800 half", "' || whole || '"]}}'
+           WHEN 18 THEN '{{"conversation_type": "INTERVIEW", "topics": ' || topics || ', "key_points": ["\\ud83d\\ude00", "' || whole || '"]}}'
+           WHEN 19 THEN {_scored("1e400")}
+           WHEN 20 THEN '{{"conversation_type": "CASUAL", "topics": ["bad"], "topics": ' || topics || points || '}}'
+           WHEN 21 THEN '{{"conversation_type": "CASUAL", "topics": [], "key_points": ["a' || chr(10) || 'b", "' || whole || '"]}}'
+           WHEN 22 THEN {_scored("-Infinity")}
+           ELSE '"' || whole || '"' END AS raw
+  FROM (SELECT *, '{{"conversation_type": "EDUCATIONAL", "topics": ' || topics || points || '}}' AS good
+        FROM (SELECT doc_id, text, name, whole, ', "key_points": ["' || whole || '", "k2"]' AS points,
+                     '[{{"name": "' || name || '", "confidence_score": 0.' || CAST(doc_id % 10 AS VARCHAR) ||
+                     '}}, {{"name": "all", "confidence_score": 1}}]' AS topics
+              FROM (SELECT doc_id, text, {json_text('substr(text, 1, 40)')} AS name, {json_text('text')} AS whole
+                    FROM documents) a) b) g)"""
+
+VERIFY_RESPONSES = f"""verify_responses AS (
   SELECT CAST(doc_id AS VARCHAR) AS transcript_id,
-         CASE doc_id % 6
-           WHEN 0 THEN '{"is_safe": true, "reject_reason": null}'
-           WHEN 1 THEN '```json' || chr(10) || '{"is_safe": false, "reject_reason": "PII"}' || chr(10) || '```'
-           WHEN 2 THEN '{"is_safe": true}'
-           WHEN 3 THEN '{"is_safe": false, "reject_reason": "SPAM"}'
-           WHEN 4 THEN '{"reject_reason": "PROFANITY"}'
-           ELSE 'unsafe' END AS raw
-  FROM documents)"""
+         CASE doc_id % 12
+           WHEN 0 THEN '{{"is_safe": true, "reject_reason": null' || note
+           WHEN 1 THEN '```json' || chr(10) || '{{"is_safe": false, "reject_reason": "PII"' || note || chr(10) || '```'
+           WHEN 2 THEN '{{"is_safe": true}}'
+           WHEN 3 THEN '{{"is_safe": false, "reject_reason": "SPAM"' || note
+           WHEN 4 THEN '{{"reject_reason": "PROFANITY"' || note
+           WHEN 5 THEN 'unsafe: ' || coalesce(text, '')
+           WHEN 6 THEN '{{"is_safe": true, "is_safe": false, "reject_reason": "PII"' || note
+           WHEN 7 THEN '{{"score": NaN, "is_safe": true' || note
+           WHEN 8 THEN '{{"is_safe": true' || note || '{{"is_safe": false}}'
+           WHEN 9 THEN '{{"is_safe": 1, "sign": "\\udfff"' || note
+           WHEN 10 THEN 'JSON {{"is_safe": "no", "reject_reason": "HATE_SPEECH"' || note
+           ELSE '["is_safe", "' || {json_text('text')} || '"]' END AS raw
+  FROM (SELECT doc_id, text, ', "note": "' || {json_text('text')} || '"}}' AS note FROM documents) n)"""
+
+
+def as_python(s: str, only_both: bool = False) -> str:
+    """A reply in a form that DuckDB reads as Python reads the reply: last key wins, no NaN, no half pairs.
+
+    ``only_both``: without the forms that only Python takes (NaN, infinities, duplicate keys).
+    """
+    out = s
+    for a, b in ((r"\ud800", r"�"), (r"\udfff", r"�"), (": 1e400", ": 1e300")):
+        out = f"replace({out}, '{a}', '{b}')"
+    if only_both:
+        return out
+    for a, b in ((": NaN", ": 1e300"), (": -Infinity", ": 1e300"), ('{"conversation_type": "FORMAL", "conversation_type":',
+                 '{"conversation_type":'), ('"topics": ["bad"], "topics":', '"topics":'), ('"is_safe": true, "is_safe":', '"is_safe":')):
+        out = f"replace({out}, '{a}', '{b}')"
+    return out
+
 
 REQUEST_LOG = """request_log AS (
   SELECT substr(CAST(ts AS VARCHAR), 1, 19) || ' - app.app - INFO - app.py:log_requests:166 - Path: ' ||
@@ -202,7 +250,7 @@ SELECT language, coalesce(reject_reason, 'SAFE') AS verdict, count(*) AS n
 FROM verdicts GROUP BY ROLLUP (language, coalesce(reject_reason, 'SAFE'))"""
 
 ORACLE["v02_parse_verdict"] = with_(VERIFY_RESPONSES, f"""c AS (
-  SELECT transcript_id, {clean('raw')} AS s FROM verify_responses)""", """j AS (
+  SELECT transcript_id, {as_python(clean('raw'))} AS s FROM verify_responses)""", """j AS (
   SELECT transcript_id, s, json_valid(s) AS isj FROM c)""", """t AS (
   SELECT transcript_id, isj,
          CASE WHEN isj THEN json_type(s) END AS top,
@@ -484,14 +532,15 @@ CLIENT_ERRORS = """client_errors AS (
               ELSE 'upstream failure ' || CAST(event_id AS VARCHAR) END AS t
   FROM events)"""
 
-CLEANED = f"""cleaned AS (SELECT transcript_id, {clean('raw')} AS s FROM llm_responses)"""
+CLEANED = f"""cleaned AS (SELECT transcript_id, {clean('raw')} AS s FROM llm_responses),
+python_read AS (SELECT transcript_id, {as_python('s')} AS s FROM cleaned)"""
 
 TOPIC_CODE = """CASE WHEN json_type(t) <> 'OBJECT' OR json_type(t, '$.name') IS NULL OR json_type(t, '$.confidence_score') IS NULL THEN 1
      WHEN json_type(t, '$.confidence_score') NOT IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 3
      WHEN CAST(json_extract(t, '$.confidence_score') AS DOUBLE) < 0
        OR CAST(json_extract(t, '$.confidence_score') AS DOUBLE) > 1 THEN 2 ELSE 0 END"""
 
-META = f"""m0 AS (SELECT transcript_id, s, json_valid(s) AS isj FROM cleaned),
+META = f"""m0 AS (SELECT transcript_id, s, json_valid(s) AS isj FROM python_read),
 m1v AS (
   SELECT transcript_id,
          json_type(s) = 'OBJECT' AS is_obj0,
@@ -535,10 +584,11 @@ FROM documents"""
 
 ORACLE["p05_clean_reply"] = with_(LLM_RESPONSES, CLEANED) + "SELECT transcript_id, s AS cleaned FROM cleaned"
 
-for _k in ("p06_check_json", "p06_check_json_exact"):
-    ORACLE[_k] = with_(LLM_RESPONSES, CLEANED) + """
-SELECT transcript_id, json_valid(s) AS is_json,
-       CASE WHEN NOT json_valid(s) THEN 'InvalidResponseError' END AS error_class FROM cleaned"""
+for _k, _valid in (("p06_check_json", f"json_valid({as_python('s', only_both=True)}) AND {as_python('s', True)} = {as_python('s')}"),
+                   ("p06_check_json_exact", f"json_valid({as_python('s')})")):
+    ORACLE[_k] = with_(LLM_RESPONSES, CLEANED) + f"""
+SELECT transcript_id, isj AS is_json, CASE WHEN NOT isj THEN 'InvalidResponseError' END AS error_class
+FROM (SELECT transcript_id, {_valid} AS isj FROM cleaned)"""
 
 ORACLE["p07_map_client_error"] = with_(CLIENT_ERRORS) + """
 SELECT event_id,
@@ -556,15 +606,15 @@ SELECT event_id,
 FROM client_errors"""
 
 ORACLE["e01_check_required_fields"] = with_(LLM_RESPONSES, CLEANED, META) + """
-SELECT transcript_id, CASE WHEN is_obj THEN array_to_string(missing, ',') END AS missing_fields FROM m2 WHERE isj"""
+SELECT transcript_id, CASE WHEN is_obj THEN array_to_string(missing, ',') END AS missing_fields FROM m2"""
 
 ORACLE["e02_check_conversation_type"] = with_(LLM_RESPONSES, CLEANED, META) + """
 SELECT transcript_id, ctype AS conversation_type,
        coalesce(ctype IN ('EDUCATIONAL', 'FORMAL', 'COMEDY', 'PROFESSIONAL', 'CASUAL', 'INTERVIEW'), false) AS valid
-FROM m2 WHERE isj"""
+FROM m2"""
 
 ORACLE["e03_check_topics"] = with_(LLM_RESPONSES, CLEANED, META) + \
-    "SELECT transcript_id, problem AS topic_problem FROM m2 WHERE isj"
+    "SELECT transcript_id, problem AS topic_problem FROM m2"
 
 ORACLE["e04_validate_metadata"] = with_(LLM_RESPONSES, CLEANED, META) + """
 SELECT transcript_id, detail IS NULL AS ok,

@@ -325,19 +325,19 @@ def _meta(spark, base):
 
 @query("e01_check_required_fields")
 def e01(spark, base):
-    return _meta(spark, base).where("is_json").select("transcript_id", "missing_fields")
+    return _meta(spark, base).select("transcript_id", "missing_fields")
 
 
 @query("e02_check_conversation_type")
 def e02(spark, base):
-    return _meta(spark, base).where("is_json").select(
+    return _meta(spark, base).select(
         "transcript_id", "conversation_type",
         F.coalesce(F.col("conversation_type").isin(*rp.S.CONVERSATION_TYPES), F.lit(False)).alias("valid"))
 
 
 @query("e03_check_topics")
 def e03(spark, base):
-    return _meta(spark, base).where("is_json").select("transcript_id", "topic_problem")
+    return _meta(spark, base).select("transcript_id", "topic_problem")
 
 
 @query("e04_validate_metadata")

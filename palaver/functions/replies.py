@@ -1,9 +1,11 @@
 """Model reply handling as column expressions.
 
-SQL mode uses ``try_parse_json`` / variant functions (JVM side). The exact
-mode of P6 is an Arrow-batched pandas UDF over Python's ``json.loads``,
-for the three inputs where the two JSON readers disagree (trailing text,
-NaN, duplicate keys); later checks read the text it writes.
+JSON is read in two lanes. The JVM lane (``whole_json``) takes texts that are
+one JSON value by the strict grammar, where both readers agree. What it leaves
+(duplicate keys, NaN and the infinities, escapes of lone surrogates, and texts
+that are not JSON at all) goes to the exact lane, an Arrow-batched UDF over
+Python's ``json.loads``, which is how the service reads; it gets nulls for all
+other rows.
 """
 
 from __future__ import annotations
@@ -38,35 +40,63 @@ def clean_reply(raw: Column, strip_bare_fence: bool = False) -> Column:
     return F.regexp_replace(s, _TRAILING_FENCE, "")
 
 
-_SCALAR = r'^(true|false|null|-?(0|[1-9][0-9]*)([.][0-9]+)?([eE][+-]?[0-9]+)?|"([^"\\]|\\.)*")$'
+def guarded(s: Column) -> Column:
+    """A text as the first of two entries of a parsed array, the second being a hash of the text; see ``whole_json``."""
+    return F.try_parse_json(F.concat(F.lit("["), s, F.lit(","), F.xxhash64(s).cast("string"), F.lit("]")))
+
+
+def unguarded(pair: Column, s: Column) -> Column:
+    whole = (F.try_variant_get(pair, "$[1]", "bigint") == F.xxhash64(s)) & F.try_variant_get(pair, "$[2]", "variant").isNull()
+    return F.when(whole, F.try_variant_get(pair, "$[0]", "variant"))
+
+
+def whole_json(s: Column) -> Column:
+    """The variant of a text that is one JSON value and nothing else; null for any other.
+
+    The SQL parser stops after the first value, so the text is read with a hash of
+    itself behind it: only a text that is a whole value leaves exactly these two.
+    """
+    return unguarded(guarded(s), s)
+
+
+def has_surrogate_escape(s: Column) -> Column:
+    """Whether a text may hold half of a surrogate pair, which UTF-8 cannot write."""
+    return F.contains(s, F.lit("\\u")) & s.rlike(r"\\u[dD][89a-fA-F]")
 
 
 def is_json_sql(s: Column) -> Column:
-    """P6, SQL mode: parses, and the text is one whole JSON value."""
-    whole = s.rlike(r"(?s)^\{.*\}$") | s.rlike(r"(?s)^\[.*\]$") | s.rlike(_SCALAR)
-    return F.coalesce(F.try_parse_json(s).isNotNull() & whole, F.lit(False))
+    """P6, SQL mode: the text is one whole JSON value by the strict grammar."""
+    return F.coalesce(whole_json(s).isNotNull(), F.lit(False))
 
 
 @F.pandas_udf(T.StringType())
 def canonical_json(s: pd.Series) -> pd.Series:
-    """P6, exact mode: what Python's JSON reader makes of a text, written again; null if it refuses.
+    """P6, exact lane: what Python's JSON reader makes of a text, written again; null if it refuses.
 
     The last of two equal keys wins, as it does there. NaN and the infinities,
     which Python reads and JSON cannot write, become a number out of any
-    accepted range.
+    accepted range; so do integers beyond a double. Half a surrogate pair, which
+    no text column can hold, becomes U+FFFD.
     """
+    def text(x):
+        return x if x.isascii() else x.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+
     def plain(x):
         if isinstance(x, float) and (x != x or x in (float("inf"), float("-inf"))):
             return 1e300
+        if isinstance(x, int) and not isinstance(x, bool) and abs(x) > 10 ** 300:
+            return 1e300 if x > 0 else -1e300
+        if isinstance(x, str):
+            return text(x)
         if isinstance(x, dict):
-            return {k: plain(v) for k, v in x.items()}
+            return {text(k): plain(v) for k, v in x.items()}
         return [plain(v) for v in x] if isinstance(x, list) else x
 
     def again(x):
         if x is None:
             return None
         try:
-            return json.dumps(plain(json.loads(x)), ensure_ascii=False)
+            return json.dumps(plain(json.loads(x)))
         except (ValueError, RecursionError):
             return None
     return s.map(again).astype(object)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from palaver import schemas as S
 from palaver.functions import errors as E
 from palaver.functions import replies as R
+from palaver.plans.staging import once
 from palaver.session import ship_package
 
 _META_FAIL = "Unexpected error during metadata extraction"
@@ -31,19 +32,25 @@ def clean_replies(replies: DataFrame, raw_col: str = "raw", strip_bare_fence: bo
 
 
 def check_json(cleaned: DataFrame, mode: str = "exact", col: str = "cleaned") -> DataFrame:
-    """Adds ``is_json``, ``parsed`` (the text to read) and, when false, ``InvalidResponseError``.
+    """Adds ``is_json``, ``parsed`` (the text to read), ``value`` (its variant) and, when false, ``InvalidResponseError``.
 
-    ``mode='exact'`` uses Python's reader, as the service does, through an
-    Arrow-batched pandas UDF; ``mode='sql'`` stays in the JVM.
+    ``mode='exact'`` reads as the service does: in the JVM where both readers
+    agree, else in Python. ``mode='sql'`` stays in the JVM and refuses what only
+    Python reads (duplicate keys, NaN, infinities).
     """
-    if mode != "sql":
-        ship_package(cleaned.sparkSession)
-        cleaned = cleaned.withColumn("parsed", R.canonical_json(F.col(col)))
-        test = F.col("parsed").isNotNull()
+    text = F.col(col)
+    read = once(cleaned, _pair=R.guarded(text))
+    if mode == "sql":
+        read = once(read, value=R.unguarded(F.col("_pair"), text)) \
+            .withColumn("parsed", F.when(F.col("value").isNotNull(), text)).drop("_pair")
     else:
-        cleaned = cleaned.withColumn("parsed", F.col(col))
-        test = R.is_json_sql(F.col(col))
-    return (cleaned.withColumn("is_json", test)
+        ship_package(cleaned.sparkSession)
+        read = once(read, _fast=F.when(~R.has_surrogate_escape(text), R.unguarded(F.col("_pair"), text))) \
+            .withColumn("_again", R.canonical_json(F.when(F.col("_fast").isNull(), text)))
+        read = once(read, value=F.coalesce("_fast", F.try_parse_json("_again")),
+                    parsed=F.when(F.col("_fast").isNotNull(), text).otherwise(F.col("_again"))) \
+            .drop("_pair", "_fast", "_again")
+    return (read.withColumn("is_json", F.col("parsed").isNotNull())
             .withColumn("error_class", F.when(~F.col("is_json"), F.lit("InvalidResponseError")))
             .withColumn("message", F.when(~F.col("is_json"), F.lit("LLM did not return valid JSON"))))
 
@@ -60,8 +67,7 @@ def metadata_checks(replies: DataFrame, id_col: str = "transcript_id", raw_col:
     """E1-E4 in order over raw metadata replies; one row per reply."""
     c = check_json(clean_replies(replies.select(F.col(id_col).alias("transcript_id"),
                                                 F.col(raw_col).alias("raw"))), mode)
-    v = F.try_parse_json(F.col("parsed"))
-    c = c.select("transcript_id", "cleaned", "parsed", "is_json", v.alias("_v"))
+    c = c.select("transcript_id", "cleaned", "parsed", "is_json", F.col("value").alias("_v"))
     is_obj = F.coalesce(F.schema_of_variant(F.col("_v")).startswith("OBJECT"), F.lit(False))
     missing = R.missing_fields(F.col("parsed"))
     ctype = R.conversation_type(F.col("_v"))
@@ -82,8 +88,10 @@ def metadata_checks(replies: DataFrame, id_col: str = "transcript_id", raw_col:
         F.try_variant_get(t, "$.name", "variant")) == "STRING")
     kp_ok = F.coalesce(F.forall(kp, lambda x: F.schema_of_variant(x) == "STRING"), F.lit(False))
     missing_text = F.concat(F.lit("Missing required fields: {"),
-                            F.array_join(F.transform(missing, lambda m: F.concat(F.lit("'"), m, F.lit("'"))), ", "),
+                            F.array_join(F.transform("_missing", lambda m: F.concat(F.lit("'"), m, F.lit("'"))), ", "),
                             F.lit("}"))
+    c = once(c, _missing=missing, _ctype=ctype, _problem=problem, _object=is_obj)
+    missing, ctype, problem, is_obj = (F.col(x) for x in ("_missing", "_ctype", "_problem", "_object"))
     detail = (F.when(~F.col("is_json"), F.lit("LLM did not return valid JSON"))
               .when(~is_obj, F.lit("reply is not a JSON object"))
               .when(F.size(missing) > 0, missing_text)
@@ -94,6 +102,7 @@ def metadata_checks(replies: DataFrame, id_col: str = "transcript_id", raw_col:
               .when(problem == 2, F.lit("Topic confidence score must be between 0 and 1"))
               .when(problem == 3, F.lit("confidence_score is not a number"))
               .when(~names_ok | ~kp_ok, F.lit(_TYPE_FAIL)))
+    c = once(c, detail=detail)
     # the root class follows from the first failing check
     error_class = (F.when(~F.col("is_json"), F.lit("InvalidResponseError"))
                    .when(F.col("detail").isin(*_NOT_METADATA_ERRORS), F.lit("SummaryError"))
@@ -103,8 +112,7 @@ def metadata_checks(replies: DataFrame, id_col: str = "transcript_id", raw_col:
                .otherwise(F.lit(_META_FAIL)))
     out = c.select("transcript_id", "cleaned", "is_json", "_v",
                    F.when(is_obj, F.array_join(missing, ",")).alias("missing_fields"),
-                   ctype.alias("conversation_type"), problem.alias("topic_problem"),
-                   detail.alias("detail"))
+                   ctype.alias("conversation_type"), problem.alias("topic_problem"), "detail")
     ok = F.col("detail").isNull()
     return out.select("transcript_id", "cleaned", "is_json", "_v", "missing_fields",
                       "conversation_type", "topic_problem", ok.alias("ok"),

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palaver import schemas as S
-from palaver.functions.replies import clean_reply, is_json_sql
+from palaver.functions.replies import clean_reply
 from palaver.functions.text import has_any_word
+from palaver.operators.replies import check_json
+from palaver.plans.staging import once
 
 # Default word lists of the offline verdict (public, general
 # English usage; callers pass their own lists for other languages or rules).
@@ -91,17 +93,15 @@ def _as_bool(v: Column) -> Column:
             .when((kind == "STRING") & s.isin("false", "f", "no", "n", "off", "0"), F.lit(False)))
 
 
-def parse_verdicts(replies: DataFrame, id_col: str = "transcript_id", raw_col: str = "raw") -> DataFrame:
+def parse_verdicts(replies: DataFrame, id_col: str = "transcript_id", raw_col: str = "raw",
+                   mode: str = "exact") -> DataFrame:
     """V2: typed verdicts; ``is_safe`` required, ``reject_reason`` optional of three.
 
-    Failures are rows with ``error_class = VerificationError``. A reason with
+    Replies are read as in P6 (``mode``). Failures are rows with ``error_class = VerificationError``. A reason with
     ``is_safe = true`` (or none with false) is accepted and flagged.
     """
-    cleaned = clean_reply(F.col(raw_col))
-    v = F.try_parse_json(F.col("_clean"))
-    base = replies.select(F.col(id_col).alias("transcript_id"), cleaned.alias("_clean"))
-    with_v = base.select("transcript_id", "_clean", is_json_sql(F.col("_clean")).alias("_json"),
-                         v.alias("_v"))
+    base = replies.select(F.col(id_col).alias("transcript_id"), clean_reply(F.col(raw_col)).alias("cleaned"))
+    with_v = check_json(base, mode).select("transcript_id", F.col("is_json").alias("_json"), F.col("value").alias("_v"))
     is_obj = F.schema_of_variant(F.col("_v")).startswith("OBJECT")
     safe_v = F.try_variant_get(F.col("_v"), "$.is_safe", "variant")
     reason_v = F.try_variant_get(F.col("_v"), "$.reject_reason", "variant")
@@ -113,11 +113,8 @@ def parse_verdicts(replies: DataFrame, id_col: str = "transcript_id", raw_col: s
            .when(~is_obj | safe_v.isNull(), F.lit("Unexpected error during verification: 'is_safe'"))
            .when(safe.isNull(), F.lit("Unexpected error during verification: invalid is_safe"))
            .when(~reason_ok, F.lit("Unexpected error during verification: invalid reject_reason")))
-    out = with_v.select(
-        "transcript_id",
-        err.alias("message"),
-        safe.alias("_safe"),
-        F.when(reason_null, F.lit(None).cast("string")).otherwise(reason_s).alias("_reason"))
+    out = once(with_v, message=err, _safe=safe,
+               _reason=F.when(reason_null, F.lit(None).cast("string")).otherwise(reason_s))
     ok = F.col("message").isNull()
     return out.select(
         "transcript_id", ok.alias("ok"),

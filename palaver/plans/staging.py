@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from palaver.session import scratch_path
 
@@ -16,3 +17,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once per row.
+
+    The optimizer copies a projected expression into every place that uses it,
+    filters above all, so that a parsed document would be parsed dozens of times.
+    A generator of one row is not copied.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))

@@ -158,3 +158,46 @@ def test_replies_are_read_as_python_reads_them(spark):
     assert got["nan"] == (False, "Topic confidence score must be between 0 and 1")
     kinds = {r.transcript_id: r.conversation_type for r in parse_metadata(checked).collect()}
     assert kinds == {"dup": "COMEDY", "ok": "CASUAL"}
+
+
+def test_no_reply_ends_the_job(spark):
+    """Half surrogate pairs, deep nesting, long numbers: outcomes of rows, as Python's reader has them."""
+    import json
+
+    from palaver.operators.replies import check_json, metadata_checks, parse_metadata
+    good = '{"conversation_type": "COMEDY", "topics": [{"name": "%s", "confidence_score": 0.5}], "key_points": ["%s"]}'
+    texts = [good % ("\\ud800", "k"), good % ("a", "\\udc00\\ud800"), good % ("\\ud83d\\ude00", "k"), good % ("t", "k" * 200_000),
+             "[" * 900 + "]" * 900, "[" * 100_000, '{"a": ' + "9" * 2000 + "}", '{"a": ' + "9" * 5000 + "}", '{"a": 1e999}', "", "null",
+             "1]", "1,2", '{"a": 1},{"b": 2}', '"\\ud800"', "﻿1", "01", "1 1", "nul", '{"a": "\x01"}', '{"a": 1,}', "-0", "NaN", "Infinity"]
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "transcript_id string, cleaned string")
+
+    def python_reads(t):
+        try:
+            json.loads(t)
+            return True
+        except (ValueError, RecursionError):
+            return False
+    got = {r.transcript_id: r.is_json for r in check_json(rows).select("transcript_id", "is_json").collect()}
+    assert got == {str(i): python_reads(t) for i, t in enumerate(texts)}
+    parsed = {r.transcript_id: r for r in parse_metadata(metadata_checks(rows, raw_col="cleaned")).collect()}
+    assert parsed["0"].topics[0].name == "�" and parsed["1"].key_points == ["��"]
+    assert parsed["2"].topics[0].name == "\U0001f600" and len(parsed["3"].key_points[0]) == 200_000
+
+
+def test_verdicts_are_read_as_python_reads_them(spark):
+    from palaver.operators.verification import parse_verdicts
+    rows = [("dup", '{"is_safe": true, "is_safe": false, "reject_reason": "PII"}'), ("nan", '{"is_safe": true, "x": NaN}'),
+            ("two", '{"is_safe": true} {"is_safe": false}'), ("half", '{"is_safe": true, "x": "\\ud800"}'), ("none", None),
+            ("key", '{"is_safe": "no", "reject_reason": "\\ud800"}')]
+    got = {r.transcript_id: (r.ok, r.is_safe, r.reject_reason) for r in
+           parse_verdicts(spark.createDataFrame(rows, "transcript_id string, raw string")).collect()}
+    assert got == {"dup": (True, False, "PII"), "nan": (True, True, None), "two": (False, None, None),
+                   "half": (True, True, None), "none": (False, None, None), "key": (False, None, None)}
+
+
+def test_parsed_replies_are_computed_once(spark):
+    """The parser stands at most three times in a plan (JVM lane, exact lane), however often its value is used."""
+    from palaver.operators.replies import metadata_checks, parse_metadata
+    rows = spark.createDataFrame([("a", "{}")], "transcript_id string, raw string")
+    plan = parse_metadata(metadata_checks(rows))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parse_json") <= 3, plan

@@ -48,8 +48,3 @@ def test_exploded_text_is_never_broadcast(spark, name):
                                   "t03_allocate_speaking_time"])
 def test_aggregates_are_hash_based(spark, name):
     assert not any("SortAggregate" in line for line in _final_plan(spark, name))
-
-
-def test_text_queries_read_only_needed_columns(spark):
-    plan = "\n".join(_final_plan(spark, "e04_validate_metadata"))
-    assert "ReadSchema: struct<doc_id:bigint>" in plan  # replies are derived from ids: no text read
