@@ -163,12 +163,15 @@ def route(patterns: dict[tuple[int, ...], int], quotas: Sequence[int], repeats:
     return {name: taken[i] for i, name in enumerate(names)}
 
 
-def select(rows: DataFrame, plan: DataFrame, buckets: int, sized: DataFrame | None = None) -> DataFrame:
+def select(rows: DataFrame, plan: DataFrame, buckets: int, sized: DataFrame | None = None,
+           small: bool = True) -> DataFrame:
     """Adds ``taken`` and ``copies`` to rows (pattern, doc_id, size, h, and others).
 
     ``sized``: the same rows without the others, to sum over.
 
-    ``plan``: pattern, rounds (whole repetitions) and rest (words beyond them).
+    ``plan``: pattern, rounds (whole repetitions) and rest (words beyond them);
+    ``small``: at most ``BROADCAST_PATTERNS`` rows, so that what has one row per pattern
+    is broadcast and rows with their texts are not shuffled.
     ``copies`` counts whole documents: the one taken in part counts from half on.
     """
     sized = rows if sized is None else sized
@@ -181,10 +184,10 @@ def select(rows: DataFrame, plan: DataFrame, buckets: int, sized: DataFrame | No
     # buckets up to `last` fit whole; the next one that has words is filled row by row
     state = (plan.join(cut, "pattern", "left").withColumn("last", F.coalesce("last", F.lit(-1)))
              .withColumn("left", F.col("rest") - F.coalesce("used", F.lit(0))).drop("used"))
-    # one row per pattern; whether that is small enough to broadcast is left to the sizes at run time
-    nxt = (per.filter("words > 0").join(state.select("pattern", "last"), "pattern")
+    sent = F.broadcast if small else (lambda df: df)
+    nxt = (per.filter("words > 0").join(sent(state.select("pattern", "last")), "pattern")
            .filter(F.col("b") > F.col("last")).groupBy("pattern").agg(F.min("b").alias("open")))
-    state = state.join(nxt, "pattern", "left")
+    state = sent(state.join(nxt, "pattern", "left"))
     marked = rows.withColumn("b", bucket).join(state, "pattern")
     inside = F.coalesce(F.col("b") == F.col("open"), F.lit(False))
     order = Window.partitionBy("pattern").orderBy("h", "doc_id", "size") \
@@ -208,8 +211,8 @@ def _keyed(docs: DataFrame, memberships: Column, seed: int, *others: Column | st
             .withColumn("h", F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.col("size"), F.lit(seed)), 1)))
 
 
-def planned(sized: DataFrame, weights: Sequence[float], share: float, repeats: int) -> DataFrame:
-    """pattern, rounds, rest, source_size, target: the flow of each membership pattern.
+def planned(sized: DataFrame, weights: Sequence[float], share: float, repeats: int) -> tuple[DataFrame, bool]:
+    """(pattern, rounds, rest, source_size, target: the flow of each membership pattern; whether that is small).
 
     The flow runs on the driver, which holds about 1 KB per pattern (not per
     document): 1,000,000 patterns need 1 GB there.
@@ -233,7 +236,8 @@ def planned(sized: DataFrame, weights: Sequence[float], share: float, repeats: i
     plan = sized.sparkSession.createDataFrame(
         [plan_row(k) for k in sorted(words)],
         "pattern array<string>, rounds long, rest long, source_size long, target double")
-    return F.broadcast(plan) if len(words) <= BROADCAST_PATTERNS else stored(plan, "mix-plan")
+    small = len(words) <= BROADCAST_PATTERNS
+    return (F.broadcast(plan), True) if small else (stored(plan, "mix-plan"), False)
 
 
 def mix(docs: DataFrame, memberships: Column, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
@@ -244,8 +248,8 @@ def mix(docs: DataFrame, memberships: Column, weights: Sequence[float] = WEIGHTS
     ``target`` are those of its first source.
     """
     sized = stored(_keyed(docs, memberships, seed), "sized")
-    plan = planned(sized, weights, share, repeats)
-    chosen = select(sized, plan.select("pattern", "rounds", "rest"), buckets)
+    plan, small = planned(sized, weights, share, repeats)
+    chosen = select(sized, plan.select("pattern", "rounds", "rest"), buckets, small=small)
     return (chosen.join(plan.select("pattern", "source_size", "target"), "pattern")
             .select("doc_id", "size", F.col("pattern").alias("sources"), "source_size", "target", "taken", "copies"))
 
@@ -254,8 +258,8 @@ def repeat_rows(docs: DataFrame, memberships: Column, weights: Sequence[float] =
                 repeats: int = 2, seed: int = 17, buckets: int = 4096) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as its ``copies``."""
     sized = stored(_keyed(docs, memberships, seed), "sized")
-    plan = planned(sized, weights, share, repeats).select("pattern", "rounds", "rest")
+    plan, small = planned(sized, weights, share, repeats)
     whole = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
-    chosen = select(_keyed(docs, memberships, seed, whole), plan, buckets, sized)
+    chosen = select(_keyed(docs, memberships, seed, whole), plan.select("pattern", "rounds", "rest"), buckets, sized, small)
     return chosen.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))) \
         .select("row.*")

@@ -22,6 +22,7 @@ length 1); repeated rows are packed each; an empty table gives no pieces.
 from __future__ import annotations
 
 import array
+import json
 import re
 import zlib
 
@@ -34,6 +35,7 @@ CACHE_WORDS = 300_000  # entries of each of a task's two caches
 ROWS = 512
 # Fixed values, as in the tokenizer's file: how it cuts lower-case text without white space. Over
 # LATIN characters a word character is a letter, a digit or "_", and "_" counts as a mark.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # its pre-tokenizer's pattern
 LATIN_LINES = re.compile("[\n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*")
 PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[\W_]+")
 ID_BYTES = 4
@@ -44,6 +46,19 @@ PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 SHOWN = {b: 0x100 + i for i, b in enumerate(b for b in range(0x100) if b not in PRINTED)}
 
 
+def cuts_by_words(rules: dict) -> bool:
+    """Whether a tokenizer file has the rules that the fast path follows: composed, lower case, cut as above."""
+    steps = (rules.get("normalizer") or {}).get("normalizers") or []
+    before = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    model = rules["model"]
+    return ([x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"]
+            and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+            and [x["type"] for x in before] == ["Split", "ByteLevel"]
+            and before[0]["pattern"] == {"Regex": CUT} and before[0]["behavior"] == "Removed" and before[0]["invert"]
+            and not before[1]["add_prefix_space"] and not before[1]["use_regex"]
+            and model["type"] == "BPE" and not model["dropout"])
+
+
 def cuts(n: int, longest: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n ids; ``longest`` is a power of two."""
     out, at = [], 0
@@ -65,7 +80,8 @@ class ChunkEncoder:
     ``chunks`` keeps the ids of what stands between white space, ``parts`` those
     of the words and marks that the tokenizer cuts a chunk into. Only chunks of
     Latin characters are cut here (composed already, with one lower case); the
-    tokenizer gets any other chunk, and any part not seen before, itself.
+    tokenizer gets any other chunk, and any part not seen before, itself. For a
+    file with other rules (``cuts_by_words``) the tokenizer gets the whole texts.
     """
 
     def __init__(self, model_path: str):
@@ -75,6 +91,7 @@ class ChunkEncoder:
         self.tok.no_padding()
         self.chunks: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {}
+        self.by_words = cuts_by_words(json.loads(self.tok.to_str()))
         special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
 
@@ -113,6 +130,8 @@ class ChunkEncoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_words:
+            return [array.array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         # blank and line feed only: other white space stays inside a chunk
         split = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.chunks

@@ -289,3 +289,26 @@ def test_route_is_a_largest_flow_of_least_repetition(patterns, quotas):
 
     assert sum(taken.values()) == largest(2)
     assert sum(min(taken[k], w) for k, w in patterns.items()) == largest(1)  # first uses before repeated ones
+
+
+# -- 2: tokenizers with other rules
+
+@pytest.mark.parametrize("name, fast", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_packing_follows_the_tokenizers_rules(spark, name, fast):
+    import zlib
+    from struct import pack
+
+    from tokenizers import Tokenizer
+
+    from palaver.llm import packing
+    from palaver.llm.common import tokenizer_path
+    tok = Tokenizer.from_file(tokenizer_path(name))
+    assert packing.ChunkEncoder(tokenizer_path(name)).by_words == fast
+    texts = [t for _, t, *_ in DOCS] + ["It's  A Test\n\tof  white   space", " lead and trail ", "ÄÖÜ ſtraße 12,5", "日本語 テキスト", "a\u0301 e\u0301"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in packing.pack(docs, tokenizer_path(name)).collect())
+    want = []
+    for i, t in enumerate(texts):
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [1]
+        want += [(i, a, n, zlib.crc32(pack(f"<{n}I", *ids[a:a + n]))) for a, n in packing.cuts(len(ids), 2048)]
+    assert got == sorted(want)
