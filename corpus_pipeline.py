@@ -26,6 +26,8 @@ from palaver.session import scratch_path, ship_package
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose language is known by distance. A null text, or one without a letter, goes; rows with a null
+    language or id are judged like others; long texts are judged whole; repeated rows stay or go together."""
     ship_package(spark)
     model = language.fit(docs, learn=F.lit(True))
     return docs.withColumn("__language", model.column(F.col("text"))) \
@@ -33,11 +35,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies, the smallest id (nulls last); rows without a word stay as they are.
+    Texts of any length are compared by all of their five-word shingles."""
     ship_package(spark)
     return jaccard.keep_one(docs, threshold=0.8).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row, its spans of personal data replaced and ``n_chars`` counted anew; a null text stays null."""
     out = pii.redact(docs, pii.fit(docs))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -45,10 +50,13 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole rows, each 0 to 2 times, so that sources come to their targets; a null source is a source, rows
+    without words take nothing and come as often as the flow's rounds say."""
     return mixing.repeat_rows(docs, F.array("source")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece; a null or empty text is one piece of the closing id; repeated rows are packed each."""
     ship_package(spark)
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), longest=2048, closing_id=1)
 
