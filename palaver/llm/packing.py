@@ -135,11 +135,13 @@ class ChunkEncoder:
         # blank and line feed only: other white space stays inside a chunk
         split = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.chunks
-        fresh = self._fresh(list({c for s in split for c in s if c not in known}))
-        if len(known) + len(fresh) <= CACHE_WORDS:
-            known.update(fresh)
-            return [b"".join([known[c] for c in s]) for s in split]
-        return [b"".join([known[c] if c in known else fresh[c] for c in s]) for s in split]
+        fresh = self._fresh(list(set().union(*split).difference(known)))
+        known.update(fresh)
+        out = [b"".join(map(known.__getitem__, s)) for s in split]
+        if len(known) > CACHE_WORDS:
+            for c in fresh:
+                del known[c]
+        return out
 
 
 def pieces(docs: DataFrame, model_path: str, longest: int = 2048, closing_id: int = 1) -> DataFrame:
