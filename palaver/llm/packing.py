@@ -46,17 +46,19 @@ PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 SHOWN = {b: 0x100 + i for i, b in enumerate(b for b in range(0x100) if b not in PRINTED)}
 
 
-def cuts_by_words(rules: dict) -> bool:
-    """Whether a tokenizer file has the rules that the fast path follows: composed, lower case, cut as above."""
-    steps = (rules.get("normalizer") or {}).get("normalizers") or []
-    before = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or []
-    model = rules["model"]
+def cuts_by_words(tok) -> bool:
+    """Whether a tokenizer has the rules that the fast path follows: composed, lower case, cut as above."""
+    def rules(part) -> dict:
+        return {} if part is None else json.loads(part.__getstate__())
+
+    steps = rules(tok.normalizer).get("normalizers", [])
+    before = rules(tok.pre_tokenizer).get("pretokenizers", [])
     return ([x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"]
             and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
             and [x["type"] for x in before] == ["Split", "ByteLevel"]
             and before[0]["pattern"] == {"Regex": CUT} and before[0]["behavior"] == "Removed" and before[0]["invert"]
             and not before[1]["add_prefix_space"] and not before[1]["use_regex"]
-            and model["type"] == "BPE" and not model["dropout"])
+            and type(tok.model).__name__ == "BPE" and not tok.model.dropout)
 
 
 def cuts(n: int, longest: int) -> list[tuple[int, int]]:
@@ -91,7 +93,7 @@ class ChunkEncoder:
         self.tok.no_padding()
         self.chunks: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {}
-        self.by_words = cuts_by_words(json.loads(self.tok.to_str()))
+        self.by_words = cuts_by_words(self.tok)
         special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
 
