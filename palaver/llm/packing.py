@@ -25,6 +25,7 @@ import array
 import json
 import re
 import zlib
+from codecs import charmap_decode
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,14 +37,15 @@ ROWS = 512
 # Fixed values, as in the tokenizer's file: how it cuts lower-case text without white space. Over
 # LATIN characters a word character is a letter, a digit or "_", and "_" counts as a mark.
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # its pre-tokenizer's pattern
-LATIN_LINES = re.compile("[\n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*")
+LATIN = frozenset(map(chr, (*range(0x21, 0x7F), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x250))))
 PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[\W_]+")
 ID_BYTES = 4
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, task int, place long"
 # Fixed rule of byte-level vocabularies: printable Latin-1 bytes show as themselves, the others, in
 # order, as the characters from U+0100 on.
 PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-SHOWN = {b: 0x100 + i for i, b in enumerate(b for b in range(0x100) if b not in PRINTED)}
+HIDDEN = [b for b in range(0x100) if b not in PRINTED]
+SHOWN = "".join(chr(b) if b in PRINTED else chr(0x100 + HIDDEN.index(b)) for b in range(0x100))
 
 
 def cuts_by_words(tok) -> bool:
@@ -76,6 +78,20 @@ def cuts(n: int, longest: int) -> list[tuple[int, int]]:
     return out
 
 
+class Chunks(dict):
+    """Ids of chunks as bytes, found on first use and kept while there is room."""
+
+    def __init__(self, find):
+        super().__init__({"": b""})
+        self.find = find
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.find(chunk)
+        if len(self) < CACHE_WORDS:
+            self[chunk] = ids
+        return ids
+
+
 class ChunkEncoder:
     """Token ids of whole texts as little-endian 32-bit bytes.
 
@@ -91,59 +107,34 @@ class ChunkEncoder:
         self.tok = Tokenizer.from_file(model_path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
+        self.model = self.tok.model
+        self.chunks = Chunks(self._chunk)
+        self.parts = Chunks(self._part)
         self.by_words = cuts_by_words(self.tok)
         special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.special_words = any(t.isalpha() for t in special)  # others are never inside letters alone
 
-    def _encode(self, texts: list[str]) -> dict[str, bytes]:
-        """Ids of whole chunks, by the tokenizer."""
-        return {c: array.array("I", e.ids).tobytes()
-                for c, e in zip(texts, self.tok.encode_batch_fast(texts, add_special_tokens=False))} if texts else {}
-
-    def _encode_part(self, part: str) -> bytes:
+    def _part(self, part: str) -> bytes:
         """Ids of one lower-case word or run of marks, by the tokenizer's model."""
         if not part.isascii():
-            part = part.encode("utf-8").decode("latin-1").translate(SHOWN)
-        return array.array("I", [t.id for t in self.tok.model.tokenize(part)]).tobytes()
-
-    def _fresh(self, missing: list[str]) -> dict[str, bytes]:
-        joined = "\n".join(missing)
-        whole = []
-        if not LATIN_LINES.fullmatch(joined) or (self.special and self.special.search(joined)):
-            odd = {c for c in missing if not LATIN_LINES.fullmatch(c) or self.special and self.special.search(c)}
-            whole = list(odd)
-            missing = [c for c in missing if c not in odd]
-            joined = "\n".join(missing)
-        parts, new, out = self.parts, {}, {}
-        room = CACHE_WORDS - len(parts)
-        for c, low in zip(missing, joined.lower().split("\n")):
-            ids = b""
-            for p in (low,) if low.isalpha() else PART.findall(low):
-                got = parts.get(p) or new.get(p)
-                if got is None:
-                    got = new[p] = self._encode_part(p)
-                ids += got
-            out[c] = ids
-        if len(new) <= room:
-            parts.update(new)
-        out.update(self._encode(whole))
-        return out
+            part = charmap_decode(part.encode("utf-8"), "strict", SHOWN)[0]
+        return array.array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of one chunk, from its parts or by the tokenizer."""
+        letters = chunk.isalpha()
+        latin = (letters or chunk.isprintable()) if chunk.isascii() else LATIN.issuperset(chunk)
+        if not latin or self.special and (self.special_words or not letters) and self.special.search(chunk):
+            return array.array("I", self.tok.encode(chunk, add_special_tokens=False).ids).tobytes()
+        low = chunk.lower()
+        return self.parts[low] if letters else b"".join(map(self.parts.__getitem__, PART.findall(low)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
             return [array.array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         # blank and line feed only: other white space stays inside a chunk
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.chunks
-        fresh = self._fresh(list(set().union(*split).difference(known)))
-        known.update(fresh)
-        out = [b"".join(map(known.__getitem__, s)) for s in split]
-        if len(known) > CACHE_WORDS:
-            for c in fresh:
-                del known[c]
-        return out
+        return [b"".join(map(self.chunks.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 def pieces(docs: DataFrame, model_path: str, longest: int = 2048, closing_id: int = 1) -> DataFrame:
