@@ -862,6 +862,37 @@ SELECT regexp_replace(path, '^/v1/(jobs|summarize)/[^/]+$', '/v1/\1/{job_id}') A
        round(avg(seconds), 6) AS mean_seconds, max(seconds) AS max_seconds
 FROM parsed_log GROUP BY 1, 2"""
 
+# latency sketches: buckets of relative width, quantiles by running counts of buckets
+_GAMMA = (1 + 0.01) / (1 - 0.01)
+
+
+def latencies(by: str, keys: str, of: str = "parsed_log") -> str:
+    return f"""
+SELECT {by}, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n_errors) AS BIGINT) AS n_errors, max(max_seconds) AS max_seconds,
+       round(min(v) FILTER (WHERE upto >= ceil(0.5 * total)), 6) AS p50,
+       round(min(v) FILTER (WHERE upto >= ceil(0.95 * total)), 6) AS p95,
+       round(min(v) FILTER (WHERE upto >= ceil(0.99 * total)), 6) AS p99
+FROM (SELECT *, coalesce(2.0 * pow({_GAMMA!r}, bucket) / {_GAMMA + 1!r}, 0.0) AS v,
+             sum(n) OVER (PARTITION BY {by} ORDER BY bucket NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY {by}) AS total
+      FROM (SELECT {keys}, CASE WHEN seconds > 0 THEN CAST(ceil(ln(seconds) / ln({_GAMMA!r})) AS INTEGER) END AS bucket,
+                   count(*) AS n, count(*) FILTER (WHERE status >= 500) AS n_errors, max(seconds) AS max_seconds
+            FROM (SELECT *, date_trunc('hour', CAST(logged_at AS TIMESTAMP)) AS window_start,
+                         regexp_replace(path, '^/v1/(jobs|summarize)/[^/]+$', '/v1/\\1/{{job_id}}') AS route
+                  FROM {of}) x
+            GROUP BY ALL) y) z
+GROUP BY {by}"""
+
+
+ORACLE["l02_latency_windows"] = with_(REQUEST_LOG, PARSED_LOG) + latencies(
+    "window_start, route, method", "window_start, route, method")
+ORACLE["l02_latency_days"] = with_(REQUEST_LOG, PARSED_LOG) + latencies(
+    "day, route", "CAST(window_start AS DATE) AS day, route")
+ORACLE["l02_latency_stream"] = with_(REQUEST_LOG, PARSED_LOG, """closed AS (
+  SELECT * FROM parsed_log
+  WHERE date_trunc('hour', CAST(logged_at AS TIMESTAMP)) + INTERVAL '1' HOUR
+        <= (SELECT max(CAST(logged_at AS TIMESTAMP)) FROM parsed_log) - INTERVAL '10' MINUTE)""") + latencies(
+    "window_start, route, method", "window_start, route, method", "closed")
+
 # --- S / W ------------------------------------------------------------------
 
 ORACLE["s01_read_submissions"] = with_(URL_SUBMISSIONS) + """

@@ -517,6 +517,42 @@ def l02(spark, base):
         "route", "method", "n", "n_errors", F.round("mean_seconds", 6).alias("mean_seconds"), "max_seconds")
 
 
+LATENCY_KEYS = ["window_start", "route", "method"]
+
+
+def _latencies(sketch, by):
+    return lg.sketch_quantiles(sketch, by).select(
+        *by, "n", "n_errors", "max_seconds", *[F.round(p, 6).alias(p) for p in ("p50", "p95", "p99")])
+
+
+@query("l02_latency_windows")
+def l02w(spark, base):
+    """Latency quantiles per hour, route and method."""
+    parsed, _ = lg.parse_request_log(fx.request_log(spark, base))
+    return _latencies(lg.latency_sketch(lg.timed(parsed)), LATENCY_KEYS)
+
+
+@query("l02_latency_days")
+def l02d(spark, base):
+    """Hourly sketches merged to days, over all methods of a route."""
+    parsed, _ = lg.parse_request_log(fx.request_log(spark, base))
+    hours = lg.latency_sketch(lg.timed(parsed))
+    return _latencies(hours.withColumn("day", F.to_date("window_start")), ["day", "route"])
+
+
+@query("l02_latency_stream")
+def l02s(spark, base):
+    """The log in three parts by time, as a stream: the windows that the watermark has closed."""
+    inp, out, ck = (scratch_path(spark, n) for n in ("l02-in", "l02-out", "l02-ck"))
+    log = fx.request_log(spark, base)
+    second = F.unix_seconds(F.substring("line", 1, 19).cast("timestamp"))
+    a, b = log.agg(F.percentile_approx(second, [1 / 3, 2 / 3])).first()[0] or (0, 0)
+    for part in (second <= a, (second > a) & (second <= b), second > b):
+        log.where(part).select("line").coalesce(4).write.mode("append").text(inp)
+    latency_stream(spark, inp, out, ck, max_files_per_trigger=4).awaitTermination()
+    return _latencies(read_sketches(spark, out), LATENCY_KEYS)
+
+
 @query("j03_request_misses")
 def j03m(spark, base):
     """Unknown ids and repeats among requests for a part of the jobs."""
@@ -532,6 +568,7 @@ def j03m(spark, base):
 from palaver.sources import readers as rd  # noqa: E402
 from palaver.sources import sinks as sk  # noqa: E402
 from palaver.streaming.admission import admission_stream  # noqa: E402
+from palaver.streaming.latency import latency_stream, read_sketches  # noqa: E402
 from palaver.streaming.lifecycle import final_states, lifecycle_stream  # noqa: E402
 from palaver.streaming.sweep import sweep_report, sweep_stream, swept_jobs  # noqa: E402
 
