@@ -103,6 +103,33 @@ def url_submissions(spark: SparkSession, base: str) -> DataFrame:
                      .otherwise("MEDIUM").alias("priority")))
 
 
+def submission_lines(spark: SparkSession, base: str) -> DataFrame:
+    """Batch requests of up to 8 URLs as JSON lines; some are cut off, mistyped or incomplete."""
+    rid = F.col("request_id")
+    req = (url_submissions(spark, base).withColumn("request_id", F.floor(F.col("page_id") / 8))
+           .groupBy("request_id")
+           .agg(F.array_sort(F.collect_list(F.struct("page_id", "url"))).alias("u"),
+                F.min_by("priority", "page_id").alias("priority"))
+           .withColumn("urls", F.transform("u", lambda x: x["url"])))
+    plain = F.to_json(F.struct("request_id", "urls", "priority"))
+    return req.select(
+        F.when(rid % 9 == 1, F.substring(plain, 1, 60))
+         .when(rid % 9 == 2, F.to_json(F.struct("request_id", F.col("urls")[0].alias("urls"))))
+         .when(rid % 9 == 3, F.to_json(F.struct("request_id", "priority")))
+         .when(rid % 9 == 4, F.to_json(F.struct("request_id", "urls", F.lit("URGENT").alias("priority"))))
+         .when(rid % 9 == 5, F.to_json(F.struct("urls", "priority")))
+         .when(rid % 9 == 6, F.to_json(F.struct("request_id", "urls")))
+         .otherwise(plain).alias("line"))
+
+
+def submission_probe(spark: SparkSession, base: str) -> DataFrame:
+    """``url_probe`` by batch and position of the URL."""
+    rid = F.floor(F.col("page_id") / 8)
+    pos = F.row_number().over(Window.partitionBy("request_id").orderBy("page_id")) - 1
+    return (url_probe(spark, base).withColumn("request_id", rid).withColumn("pos", pos)
+            .withColumn("submission", F.concat_ws("/", "request_id", "pos")).drop("request_id", "pos", "page_id"))
+
+
 def url_probe(spark: SparkSession, base: str) -> DataFrame:
     p = table(spark, base, "pages")
     pid = F.col("page_id")

@@ -901,6 +901,32 @@ SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY page
             ELSE arg_min(priority, page_id) OVER (PARTITION BY request_id) END AS priority
 FROM (SELECT *, CAST(floor(page_id / 8) AS BIGINT) AS request_id FROM url_submissions) s"""
 
+SUBMITTED = """numbered AS (
+  SELECT *, CAST(floor(page_id / 8) AS BIGINT) AS request_id,
+         CAST(row_number() OVER (PARTITION BY floor(page_id / 8) ORDER BY page_id) - 1 AS INTEGER) AS pos
+  FROM url_submissions)""", """requests AS (
+  SELECT request_id, list(url ORDER BY page_id) AS urls, arg_min(priority, page_id) AS priority
+  FROM numbered GROUP BY request_id)""", """accepted AS (
+  SELECT n.page_id, n.request_id, n.pos, n.url, CASE n.request_id % 9 WHEN 6 THEN 'MEDIUM' ELSE r.priority END AS priority
+  FROM numbered n JOIN requests r USING (request_id) WHERE n.request_id % 9 IN (0, 6, 7, 8))""", """rejected AS (
+  SELECT CASE request_id % 9
+           WHEN 1 THEN substr(CAST(to_json({'request_id': request_id, 'urls': urls, 'priority': priority}) AS VARCHAR), 1, 60)
+           WHEN 2 THEN CAST(to_json({'request_id': request_id, 'urls': urls[1]}) AS VARCHAR)
+           WHEN 3 THEN CAST(to_json({'request_id': request_id, 'priority': priority}) AS VARCHAR)
+           WHEN 4 THEN CAST(to_json({'request_id': request_id, 'urls': urls, 'priority': 'URGENT'}) AS VARCHAR)
+           ELSE CAST(to_json({'urls': urls, 'priority': priority}) AS VARCHAR) END AS line,
+         CASE request_id % 9 WHEN 3 THEN 'missing_urls' WHEN 4 THEN 'unknown_priority' WHEN 5 THEN 'missing_request_id'
+           ELSE 'malformed' END AS reason
+  FROM requests WHERE request_id % 9 BETWEEN 1 AND 5)"""
+ORACLE["s01_accepted_submissions"] = with_(URL_SUBMISSIONS, *SUBMITTED) + \
+    "SELECT request_id, pos, url, priority FROM accepted"
+ORACLE["s01_rejected_submissions"] = with_(URL_SUBMISSIONS, *SUBMITTED) + "SELECT line, reason FROM rejected"
+ORACLE["w01_rejected_requests"] = ORACLE["s01_rejected_submissions"]
+ORACLE["w01_admission_requests"] = with_(URL_SUBMISSIONS, URL_PROBE, PARSED, ADMITTED, *SUBMITTED) + """
+SELECT sha256(a.request_id || '/' || a.pos || '|' || a.url) AS job_id, a.request_id || '/' || a.pos AS submission, a.url,
+       d.status, a.priority, d.error_class, d.error_message, d.content_type_warning
+FROM accepted a JOIN admitted d USING (page_id)"""
+
 ORACLE["s02_read_transcripts"] = with_(TRANSCRIPTS) + """
 SELECT t.job_id, 'en' AS language, round(t.duration, 6) AS duration,
        CAST(n.n AS INTEGER) AS n_speakers, sha256(t.text) AS text_sha256

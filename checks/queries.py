@@ -567,7 +567,7 @@ def j03m(spark, base):
 
 from palaver.sources import readers as rd  # noqa: E402
 from palaver.sources import sinks as sk  # noqa: E402
-from palaver.streaming.admission import admission_stream  # noqa: E402
+from palaver.streaming.admission import admission_lanes_stream, admission_stream  # noqa: E402
 from palaver.streaming.latency import latency_stream, read_sketches  # noqa: E402
 from palaver.streaming.lifecycle import final_states, lifecycle_stream  # noqa: E402
 from palaver.streaming.sweep import sweep_report, sweep_stream, swept_jobs  # noqa: E402
@@ -587,6 +587,44 @@ def s01(spark, base):
     return rd.read_submissions(spark, path)
 
 
+def _written_lines(spark, base):
+    path = scratch_path(spark, "submission-lines")
+    fx.submission_lines(spark, base).write.text(path)
+    return path
+
+
+@query("s01_accepted_submissions")
+def s01a(spark, base):
+    """The requests among good and bad lines, one row per URL."""
+    return rd.read_submission_lanes(spark, _written_lines(spark, base))[0]
+
+
+@query("s01_rejected_submissions")
+def s01r(spark, base):
+    """The bad records among good and bad lines, with the reason."""
+    return rd.read_submission_lanes(spark, _written_lines(spark, base))[1]
+
+
+def _lanes(spark, base):
+    out, bad, ck = (scratch_path(spark, n) for n in ("w01-jobs", "w01-bad", "w01-lanes-ck"))
+    admission_lanes_stream(spark, _written_lines(spark, base), fx.submission_probe(spark, base), _now(), out, bad, ck,
+                           max_files_per_trigger=2).awaitTermination()
+    return out, bad
+
+
+@query("w01_admission_requests")
+def w01q(spark, base):
+    """Nested requests as a stream: one job per URL of the accepted ones."""
+    return spark.read.parquet(_lanes(spark, base)[0]).select(
+        "job_id", "submission", "url", "status", "priority", "error_class", "error_message", "content_type_warning")
+
+
+@query("w01_rejected_requests")
+def w01x(spark, base):
+    """Nested requests as a stream: the rejected records."""
+    return spark.read.parquet(_lanes(spark, base)[1]).select("line", "reason")
+
+
 @query("s02_read_transcripts")
 def s02(spark, base):
     t = tr.transcripts_with_speakers(table(spark, base, "conversations")).select(
