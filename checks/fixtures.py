@@ -16,6 +16,10 @@ from palaver.sources.tables import table
 
 CLOCK = "2024-02-01 00:00:00"   # fixed "now" of every derived fixture
 
+# common phrases of one language each (null: of any), terms beside the default lists
+STOCK_PHRASES = [("of the", "en"), ("in the", "en"), ("the", "en"), ("de la", "es"), ("de la", "fr"), ("et les", "fr"),
+                 ("und der", "de"), ("der die", "de"), ("a la", None), ("que los", "es"), ("to be in the", "en")]
+
 
 def ts_ntz(value: str) -> Column:
     return F.lit(value).cast("timestamp_ntz")

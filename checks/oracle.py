@@ -6,6 +6,8 @@ fixture in a WITH clause (the DuckDB form of ``checks.fixtures``).
 
 from __future__ import annotations
 
+from checks.fixtures import STOCK_PHRASES
+from palaver.operators.phrases import DEFAULT_TERMS
 from palaver.functions.errors import TAXONOMY as ERROR_CLASSES
 
 # --- derived fixtures (DuckDB dialect) -------------------------------------
@@ -249,6 +251,40 @@ ORACLE["v04_verdict_report"] = with_(DOC_TRANSCRIPTS, VERDICTS) + """
 SELECT language, coalesce(reject_reason, 'SAFE') AS verdict, count(*) AS n
 FROM verdicts GROUP BY ROLLUP (language, coalesce(reject_reason, 'SAFE'))"""
 
+def _terms(name: str, extra: tuple = ()) -> str:
+    def text(x):
+        return "NULL" if x is None else f"'{x}'"
+    rows = ", ".join(f"({text(c)}, {text(p)}, {text(lang)})" for c, p, lang in (*DEFAULT_TERMS, *extra))
+    return f"{name}(category, phrase, language) AS (VALUES {rows})"
+
+
+PHRASE_HITS = r"""spoken AS (
+  SELECT job_id, language, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i
+  FROM (SELECT job_id, language, regexp_extract_all(lower(text), '[\p{L}]+') AS ws FROM doc_transcripts) x)""", """follow AS (
+  SELECT job_id, language, i, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4,
+         lead(w, 4) OVER o AS w5
+  FROM spoken WINDOW o AS (PARTITION BY job_id ORDER BY i))""", """grams AS (
+  SELECT job_id, language, i, w AS g FROM follow
+  UNION ALL SELECT job_id, language, i, w || ' ' || w2 FROM follow
+  UNION ALL SELECT job_id, language, i, w || ' ' || w2 || ' ' || w3 FROM follow
+  UNION ALL SELECT job_id, language, i, w || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM follow
+  UNION ALL SELECT job_id, language, i, w || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5 FROM follow)""", """hits AS (
+  SELECT g.job_id AS transcript_id, t.category, t.phrase, CAST(g.i AS INTEGER) AS first_word
+  FROM grams g JOIN terms t ON t.phrase = g.g WHERE t.language IS NULL OR t.language = g.language)"""
+ORACLE["v03_phrase_hits"] = with_(
+    DOC_TRANSCRIPTS, _terms("terms", tuple(("STOCK", p, lang) for p, lang in STOCK_PHRASES)), *PHRASE_HITS) + \
+    "SELECT * FROM hits"
+ORACLE["v03_phrase_verdict"] = with_(DOC_TRANSCRIPTS, _terms("terms"), *PHRASE_HITS, f"""flags AS (
+  SELECT job_id AS transcript_id, language,
+         job_id IN (SELECT transcript_id FROM hits WHERE category = 'PROFANITY') AS has_profanity,
+         job_id IN (SELECT transcript_id FROM hits WHERE category = 'HATE_SPEECH') AS has_hate_speech,
+         coalesce({PII}, false) AS has_pii
+  FROM doc_transcripts)""") + """
+SELECT transcript_id, language, NOT (has_profanity OR has_hate_speech OR has_pii) AS is_safe,
+       CASE WHEN has_profanity THEN 'PROFANITY' WHEN has_hate_speech THEN 'HATE_SPEECH' WHEN has_pii THEN 'PII' END
+         AS reject_reason, has_profanity, has_hate_speech, has_pii
+FROM flags"""
+
 ORACLE["v02_parse_verdict"] = with_(VERIFY_RESPONSES, f"""c AS (
   SELECT transcript_id, {as_python(clean('raw'))} AS s FROM verify_responses)""", """j AS (
   SELECT transcript_id, s, json_valid(s) AS isj FROM c)""", """t AS (

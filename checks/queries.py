@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
+from palaver.operators import phrases as ph
 from palaver.operators import transcripts as tr
 from palaver.operators import verification as ver
 from palaver.sources.tables import table
@@ -81,6 +82,18 @@ def v03(spark, base):
         "transcript_id", "is_safe", "reject_reason", "has_profanity", "has_hate_speech", "has_pii")
 
 
+@query("v03_phrase_hits")
+def v03h(spark, base):
+    """Every place of every term, phrases of single languages among them."""
+    terms = [*ph.DEFAULT_TERMS, *[ph.Term("STOCK", p, lang) for p, lang in fx.STOCK_PHRASES]]
+    return ph.phrase_hits(ph.find_phrases(fx.doc_transcripts(spark, base), terms))
+
+
+@query("v03_phrase_verdict")
+def v03p(spark, base):
+    return ph.phrase_verdict(ph.find_phrases(fx.doc_transcripts(spark, base)))
+
+
 @query("v04_verdict_report")
 def v04(spark, base):
     return ver.verdict_report(ver.rule_verdict(fx.doc_transcripts(spark, base)))
