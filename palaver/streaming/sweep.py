@@ -73,14 +73,21 @@ def sweep_report(spark: SparkSession, out_dir: str) -> DataFrame:
             .agg(*[F.sum(c).alias(c) for c in COUNTERS]))
 
 
+def folder_of(path: Column) -> Column:
+    """The last folder of a file's path.
+
+    No pattern: one that looks for the end of the path is tried at every place of it, for every row.
+    """
+    return F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+
+
 def sweep_stream(spark: SparkSession, snapshots_dir: str, out_dir: str, checkpoint_dir: str,
                  now: Column | None = None, available_now: bool = True, files_per_batch: int | None = None):
     """Start the stream; ``now`` defaults to each batch's processing time."""
     reader = spark.readStream.schema(S.JOB).option("recursiveFileLookup", "true")
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
-    src = reader.parquet(snapshots_dir).select(*S.JOB.fieldNames(), folder.alias("snapshot"))
+    src = reader.parquet(snapshots_dir).select(*S.JOB.fieldNames(), folder_of(F.col("_metadata.file_path")).alias("snapshot"))
 
     def run(batch, batch_id: int):
         publish(batch.sparkSession, batch, batch_id, out_dir, now)

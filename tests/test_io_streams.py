@@ -332,3 +332,16 @@ def test_rollup_over_a_deeper_taxonomy(spark):
     got = {r.error_class: (r.status_code, r.n, r.n_root, r.n_below, r.n_root_below) for r in jb.error_rollup(caused, taxonomy).collect()}
     assert got == {"Top": (500, 0, 0, 2, 3), "Mid": (501, 1, 0, 2, 3), "Low": (502, 1, 3, 1, 3), "Odd": (503, 1, 1, 1, 1),
                    "Alien": (500, 1, 0, 1, 0)}
+
+
+def test_last_folder_takes_time_in_proportion_to_the_path(spark):
+    import time
+
+    from palaver.streaming.sweep import folder_of
+    paths = spark.createDataFrame([("file:///a/whole/part-0.parquet",), ("s3://b/x y/p",), ("file:///p",)], "p string")
+    assert [r[0] for r in paths.select(folder_of(F.col("p"))).collect()] == ["whole", "x y", ""]
+    begun = time.monotonic()
+    deep = spark.range(400).select(F.concat(F.lit("/" + "/".join(["d" * 5000] * 4) + "/"), F.col("id").cast("string"),
+                                            F.lit("/part-0.parquet")).alias("p"))
+    assert deep.select(folder_of(F.col("p")).alias("f")).where("f rlike '^[0-9]+$'").count() == 400
+    assert time.monotonic() - begun < 30
