@@ -9,7 +9,8 @@ n, "model": name}``; a failed call raises ``CompletionError(kind, text)``
 A retried task calls the model again, so results are stored. A store has
 
 * ``requests/run=R/chunk=c``: a run's requests, written once, by chunk, before
-  the first call; a chunk's job reads its own folder and nothing else;
+  the first call, the only time that their texts are shuffled; a chunk's job
+  reads its own folder and nothing else, the callers sharing its files;
 * ``results/run=R/chunk=c``: what the calls of a chunk gave;
 * ``log``: one row when a run's requests are complete (``begun``, with its
   chunks) and one when a chunk's results are (``done``, the commit mark).
@@ -39,6 +40,7 @@ from palaver.plans.staging import stored
 from palaver.session import ship_package
 
 RETRY = ("timeout", "rate_limit", "connection")
+FILES_PER_CALLER = 4  # of a chunk, so that its callers get about equal shares without a shuffle
 
 RESULT = T.StructType([
     T.StructField("request_id", T.StringType(), False),
@@ -140,7 +142,7 @@ def outcomes(spark: SparkSession, store: str) -> DataFrame:
 
 
 def _answer(spark: SparkSession, store: str, run: str, chunk: int, client_factory, concurrency: int) -> None:
-    (chunk_requests(spark, store, run, chunk).repartition(concurrency)
+    (chunk_requests(spark, store, run, chunk).coalesce(concurrency)
      .mapInPandas(_runner(client_factory), RESULT)
      .write.mode("overwrite").parquet(f"{store}/results/run={run}/chunk={chunk}"))
     _mark(spark, store, run, "done", chunk)
@@ -167,10 +169,16 @@ def complete(requests: DataFrame, client_factory: Callable[[], Callable], store:
     if n:
         run, chunks = uuid.uuid4().hex, -(-n // (concurrency * rows_per_task))
         path = f"{store}/requests/run={run}"
-        # a chunk has a bounded number of requests, so one task may write its folder
-        (requests.dropDuplicates(["request_id"]).join(todo, "request_id")
-         .withColumn("chunk", F.pmod(F.xxhash64("request_id"), F.lit(chunks)).cast("int"))
-         .repartition("chunk").write.partitionBy("chunk").parquet(path))
+        # a task of the shuffle writes one file of one chunk; the join and the choice among equal ids need no
+        # further shuffle, as both sides have its partitions (a join raises fewer than the session's number to that)
+        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        files = max(concurrency * FILES_PER_CALLER, -(-least // chunks))
+        n_tasks = chunks * files
+        place = F.pmod(F.hash("request_id"), F.lit(n_tasks))
+        (requests.repartition(n_tasks, "request_id").hint("merge")
+         .join(todo.repartition(n_tasks, "request_id"), "request_id").dropDuplicates(["request_id"])
+         .withColumn("chunk", F.floor(place / files).cast("int"))
+         .write.partitionBy("chunk").parquet(path))
         there = sorted(r["chunk"] for r in spark.read.parquet(path).select("chunk").distinct().collect())
         _mark(spark, store, run, "begun", chunks=there)
         for chunk in there:

@@ -345,3 +345,24 @@ def test_last_folder_takes_time_in_proportion_to_the_path(spark):
                                             F.lit("/part-0.parquet")).alias("p"))
     assert deep.select(folder_of(F.col("p")).alias("f")).where("f rlike '^[0-9]+$'").count() == 400
     assert time.monotonic() - begun < 30
+
+
+def test_requests_are_shuffled_once(spark, monkeypatch):
+    """The texts pass one exchange on their way to the callers; equal ids are asked once, whatever the layout."""
+    from pyspark.sql import DataFrameWriter
+    written, plan_of = [], lambda df: df._jdf.queryExecution().executedPlan().toString()
+    real = DataFrameWriter.parquet
+
+    def noted(self, path, *args, **kwargs):
+        written.append((path, plan_of(self._df)))
+        return real(self, path, *args, **kwargs)
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    docs = spark.range(40).select(F.col("id").cast("string").alias("job_id"),
+                                  F.concat(F.lit("some words number "), F.col("id").cast("string")).alias("text"))
+    req = pr.build_requests(docs.unionByName(docs.where("cast(job_id as int) % 2 = 0")), "p")
+    got = cp.complete(req, stub_client_factory, scratch_path(spark, "test-once"), concurrency=2, rows_per_task=20).collect()
+    assert len(got) == len({r.request_id for r in got}) == 120
+    moved = [line for path, plan in written if "/requests/" in path or "/results/" in path
+             for line in plan.splitlines() if "Exchange" in line]
+    texts = [line for line in moved if "request_id" not in line or "REPARTITION_BY_NUM" in line]
+    assert len(texts) == 2  # the requests and, beside them, the ids to send
