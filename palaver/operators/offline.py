@@ -13,6 +13,7 @@ scalar subquery, not a join.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from palaver import schemas as S
 from palaver.functions.text import SENTENCE_PATTERN, WORD_PATTERN, strip, words
 from palaver.plans.ordering import top_k_per_group
+from palaver.plans.staging import stored
 from palaver.session import ship_package
 
 # Cue words per conversation type (enum order; ties go to
@@ -45,6 +47,8 @@ TYPE_CUES = {
 
 PICK = "struct<pos:long,rank:long,n_words:long,kept:long,running_words:long,score:double,sentence:string,summary:string>"
 _BATCH = 256
+LATIN_1_LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+OTHER_THAN_LATIN_1 = re.compile("[^\x00-\xff]")
 
 
 def best_sentences(text: str, k: int, k_summary: int, max_tokens: int) -> list[dict]:
@@ -137,11 +141,18 @@ def term_counts(docs: DataFrame, min_letters: int = 1, id_col: str = "job_id", t
         import pyarrow as pa
         import regex
         pattern = regex.compile(WORD_PATTERN)
+        # a text of Latin-1 characters alone has no other letters than these
+        plain = re.compile(f"[{LATIN_1_LETTERS}]{{{max(min_letters, 1)},}}")
+
+        def found(text: str) -> list[str]:
+            if OTHER_THAN_LATIN_1.search(text):
+                return [w for w in pattern.findall(text) if len(w) >= min_letters]
+            return plain.findall(text)
+
         for b in batches:
             for lo in range(0, b.num_rows, _BATCH):
                 part = b.slice(lo, _BATCH)
-                counts = [Counter(w for w in pattern.findall((t or "").lower()) if len(w) >= min_letters)
-                          for t in part.column(1).to_pylist()]
+                counts = [Counter(found((t or "").lower())) for t in part.column(1).to_pylist()]
                 at = pa.array([i for i, c in enumerate(counts) for _ in c], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(at), pa.array([w for c in counts for w in c], pa.string()),
@@ -161,12 +172,15 @@ def topics(docs: DataFrame, k: int = 5, min_letters: int = 4, id_col: str = "job
     skew join of AQE splits.
     """
     n_docs = docs.select(F.count(F.lit(1))).scalar()
-    f = term_counts(docs, min_letters, id_col, text_col)
+    f = stored(term_counts(docs, min_letters, id_col, text_col), "term-counts")  # read twice, counted once
     df_ = f.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    # the size of a Python pass is a guess to the planner: never let it broadcast these rows
-    scored = f.hint("merge").join(df_, "word").select(
+    # never let the planner broadcast these rows; of the two sides only that of the different words is
+    # held, by partition, and the many rows need no sort
+    scored = f.join(df_.hint("shuffle_hash"), "word").select(
         "id", "word", (F.col("f") * F.log((F.lit(1) + n_docs) / (F.lit(1) + F.col("df")))).alias("score"))
-    top = top_k_per_group(scored, ["id"], [F.round("score", 9).desc(), F.col("word")], k, name="rank")
+    # a column of its own: the sort would round anew in every comparison
+    rounded = scored.withColumn("_by", F.round("score", 9))
+    top = top_k_per_group(rounded, ["id"], [F.col("_by").desc(), F.col("word")], k, name="rank").drop("_by")
     best = F.max("score").over(Window.partitionBy("id"))
     return top.select(F.col("id").alias(id_col), "rank", "word", "score",
                       F.when(best > 0, F.col("score") / best).otherwise(F.lit(0.0)).alias("confidence"))

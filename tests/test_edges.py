@@ -265,3 +265,25 @@ def test_cluster_settings_stay_bounded():
     assert small["spark.sql.shuffle.partitions"] == "200"
     assert int(big["spark.sql.shuffle.partitions"]) == 20_000  # map x reduce blocks stay trackable
     assert big["spark.sql.adaptive.forceOptimizeSkewedJoin"] == "true"
+
+
+def test_topics_count_letters_of_all_scripts_and_rank_a_stored_score(spark):
+    """Latin-1 texts take a path of their own: every character counts as the pattern of words says."""
+    import regex
+
+    from palaver.functions.text import WORD_PATTERN
+    from palaver.operators import offline as off
+    chars = [chr(c) for c in range(1, 0x180)]
+    texts = ["".join(f"ab{c}cd{c} " for c in chars[lo:lo + n]) for n in (7, 64) for lo in range(0, len(chars), n)]
+    docs = spark.createDataFrame([*enumerate(texts), (9999, None)], "job_id int, text string")
+    for least in (1, 4):
+        got = {}
+        for r in off.term_counts(docs, least).collect():
+            got.setdefault(r.id, {})[r.word] = r.f
+        for i, t in enumerate(texts):
+            want = [w for w in regex.findall(WORD_PATTERN, t.lower()) if len(w) >= least]
+            assert got.get(i, {}) == {w: want.count(w) for w in want}
+    plan = off.topics(docs)._jdf.queryExecution().executedPlan().toString()
+    sorts = [line for line in plan.splitlines() if "Sort [" in line or "WindowGroupLimit" in line]
+    assert sorts and not any("round(" in line for line in sorts) and "BroadcastHashJoin" not in plan
+    assert "MapInArrow" not in plan  # counted once, then read
