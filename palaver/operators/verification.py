@@ -9,7 +9,7 @@ from palaver import schemas as S
 from palaver.functions.replies import clean_reply
 from palaver.functions.text import has_any_word
 from palaver.operators.replies import check_json
-from palaver.plans.staging import once
+from palaver.plans.staging import once, stored
 
 # Default word lists of the offline verdict (public, general
 # English usage; callers pass their own lists for other languages or rules).
@@ -135,8 +135,9 @@ def verify_with_client(summaries: DataFrame, client_factory, store: str, concurr
     from palaver.operators.completion import complete, replies
     from palaver.operators.prompts import build_requests
 
-    req = build_requests(summaries.select(F.col(id_col).alias("job_id"), F.col(text_col).alias("text")),
-                         prefix="", tasks=["verification"])
+    # requests are read twice, for their ids and for their texts: the summaries are made once
+    texts = stored(summaries.select(F.col(id_col).alias("job_id"), F.col(text_col).alias("text")), "to-verify")
+    req = build_requests(texts, prefix="", tasks=["verification"])
     rep = replies(complete(req, client_factory, store, concurrency))
     ok_calls = rep.where(F.col("error_class").isNull()).select(
         F.col("job_id").alias("transcript_id"), "raw")
