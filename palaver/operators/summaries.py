@@ -100,15 +100,16 @@ def summarize_with_client(transcripts: DataFrame, client_factory, store: str, pr
                           concurrency: int = 8, mode: str = "exact"):
     """E7 through the model client: summary calls, then metadata calls only for
     transcripts whose summary call succeeded, then the checks of
-    ``summarize_with_replies``. Results of both stages are stored (P3).
+    ``summarize_with_replies``. Results of both stages are stored (P3), and so are the
+    replies read from them, which have several readers. Texts are shuffled once per task.
     """
     from palaver.operators.completion import complete, replies
     from palaver.operators.prompts import build_requests
 
     checked = validate_transcripts(transcripts)
     ok_t = checked.where("ok")
-    s_rep = replies(complete(build_requests(ok_t, prefix, ["summary"]), client_factory,
-                             f"{store}/summary", concurrency))
+    s_rep = stored(replies(complete(build_requests(ok_t, prefix, ["summary"]), client_factory,
+                                    f"{store}/summary", concurrency)), "summary-replies")
     s_ok = s_rep.where(F.col("error_class").isNull()).select(F.col("job_id").alias("transcript_id"), "raw")
     s_bad = s_rep.where(F.col("error_class").isNotNull()).select(
         F.col("job_id").alias("transcript_id"),
@@ -117,14 +118,14 @@ def summarize_with_client(transcripts: DataFrame, client_factory, store: str, pr
         F.when(F.col("error_class") == "TokenLimitError", F.lit("Transcript too long for summarization"))
          .otherwise(F.concat(F.lit("Failed to generate summary: "), F.col("message"))).alias("message"),
         F.col("message").alias("detail"))
-    with_summary = ok_t.join(s_ok.select(F.col("transcript_id").alias("job_id")), "job_id", "left_semi")
-    m_rep = replies(complete(build_requests(with_summary, prefix, ["metadata"]), client_factory,
-                             f"{store}/metadata", concurrency))
+    m_rep = stored(replies(complete(build_requests(ok_t, prefix, ["metadata"]), client_factory,
+                                    f"{store}/metadata", concurrency,
+                                    job_ids=s_ok.select(F.col("transcript_id").alias("job_id")))), "metadata-replies")
     m_ok = m_rep.where(F.col("error_class").isNull()).select(F.col("job_id").alias("transcript_id"), "raw")
     m_bad = m_rep.where(F.col("error_class").isNotNull()).select(
         F.col("job_id").alias("transcript_id"), "error_class",
         F.lit("Failed to extract conversation metadata").alias("message"), F.col("message").alias("detail"))
-    answered = with_summary.join(m_ok.select(F.col("transcript_id").alias("job_id")), "job_id", "left_semi")
+    answered = ok_t.join(m_ok.select(F.col("transcript_id").alias("job_id")), "job_id", "left_semi")
     summaries, failures = summarize_with_replies(answered, s_ok, m_ok, mode)
     return summaries, (_rejected_transcripts(checked).unionByName(failures)
                        .unionByName(s_bad).unionByName(m_bad))

@@ -1,5 +1,6 @@
 """Model calls, sources, sinks and streams."""
 
+import re
 import sys
 
 import pytest
@@ -366,3 +367,44 @@ def test_requests_are_shuffled_once(spark, monkeypatch):
              for line in plan.splitlines() if "Exchange" in line]
     texts = [line for line in moved if "request_id" not in line or "REPARTITION_BY_NUM" in line]
     assert len(texts) == 2  # the requests and, beside them, the ids to send
+
+
+def test_client_summaries_shuffle_texts_once_per_task(spark, monkeypatch):
+    """Metadata is asked only where a summary came; choosing these jobs moves no text."""
+    from pyspark.sql import DataFrameWriter
+    formatted = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    moved, real = [], DataFrameWriter.parquet
+
+    def noted(self, path, *args, **kwargs):
+        nodes = self._df._jdf.queryExecution().explainString(formatted).split("\n\n")
+        moved.extend(n for n in nodes if ") Exchange\n" in n and re.search(r"[\[ ](text|user_content)#", n))
+        return real(self, path, *args, **kwargs)
+
+    def factory():
+        def client(system, user, max_tokens, temperature):
+            summary, body = system.startswith("Summarise"), user.rsplit("Transcript: ", 1)[-1]
+            if body.startswith("mute") or (body.startswith("half") and not summary):
+                raise CompletionError("connection" if summary else "rate_limit", "x")
+            reply = "short" if summary else '{"conversation_type": "CASUAL", "topics": [], "key_points": []}'
+            return {"choices": [reply], "prompt_tokens": 1, "completion_tokens": 1, "model": "m"}
+        return client
+    fill = " and some words that make the text long enough to be taken"
+    docs = spark.createDataFrame(
+        [("1", "good" + fill), ("2", "mute" + fill), ("3", "half" + fill), ("4", "brief"), ("5", None), ("6", "good" + fill),
+         ("7", "mute" + fill), ("7", "good" + fill), ("8", "good one" + fill), ("8", "good two" + fill)],
+        "job_id string, text string").withColumn("duration", F.lit(1.0))
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        s, f = sm.summarize_with_client(docs, factory, scratch_path(spark, "test-client"), "p", concurrency=1, mode="sql")
+        rows = (s.select("transcript_id", F.lit("").alias("error_class")).distinct()
+                .unionByName(f.select("transcript_id", "error_class")).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(r.transcript_id for r in rows if not r.error_class) == ["1", "6", "7", "8"]
+    # job 7 has two texts, one without a summary: its metadata is asked, for both texts, as the job is
+    assert sorted((r.transcript_id, r.error_class) for r in rows if r.error_class) == [
+        ("2", "LLMConnectionError"), ("3", "LLMRateLimitError"), ("4", "SummaryError"), ("5", "SummaryError"),
+        ("7", "LLMConnectionError"), ("7", "LLMRateLimitError")]
+    assert len(moved) == 2
